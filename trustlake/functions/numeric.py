@@ -13,7 +13,9 @@ def col(value: Column | str) -> Column:
 
 
 def clamp01(value: Column | str) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col(value)))
+    """Limit to [0, 1]; null stays null (``least`` alone would skip it)."""
+    x = col(value)
+    return F.when(x < 0.0, 0.0).when(x > 1.0, 1.0).otherwise(x)
 
 
 def round3(value: Column | str) -> Column:
@@ -63,8 +65,7 @@ def freshness(last_modified: Column | str, as_of: Column) -> Column:
     text = col(last_modified)
     parsed = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|\z)"), text.try_cast("timestamp"))
     seconds = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(parsed)) / 1e6
-    age_days = F.greatest(F.lit(0.0), seconds / 86400.0)
-    return F.coalesce(clamp01(1.0 - age_days / 365.0), F.lit(0.0))
+    return F.coalesce(clamp01(1.0 - seconds / 86400.0 / 365.0), F.lit(0.0))
 
 
 def trust_band(net_score: Column | str) -> Column:

@@ -77,10 +77,7 @@ def code_facts(source: Column | str) -> Column:
     that cannot be analysed have null facts.
     """
     names = [field.split()[0] for field in FACTS_SCHEMA.split(", ")]
-    read = F.pandas_udf(
-        _fact_reader(C.RISKY_CALLS, names), FACTS_SCHEMA, F.PandasUDFType.SCALAR
-    )
-    return read(source)
+    return F.pandas_udf(_fact_reader(C.RISKY_CALLS, names), FACTS_SCHEMA)(source)
 
 
 def unused_imports(facts: Column) -> Column:

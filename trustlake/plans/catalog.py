@@ -131,7 +131,7 @@ def src_pr_activity(spark, sf):
     status = F.expr("case when number % 50 = 0 then 500 else 200 end").alias("status_code")
     t.prs(spark, sf).select(
         "repo", status,
-        F.array(F.struct("number", "updated_at", F.col("merged_at").cast("string"))).alias("prs"),
+        F.array(F.struct("number", "updated_at", F.col("merged_at"))).alias("prs"),
     ).write.json(f"{root}/prs")
     t.pr_reviews(spark, sf).select(
         "repo", "number", status, F.array(F.struct(F.col("review_id").alias("id"))).alias("reviews")
@@ -241,7 +241,8 @@ def change_log(spark, sf) -> str:
 
 @query
 def snk_upsert_registry(spark, sf):
-    return sinks.read_current(spark, change_log(spark, sf))
+    stored = sinks.read_current(spark, change_log(spark, sf))
+    return stored.select("type", "id", "name", "net_score", "seq")
 
 
 @query
@@ -306,7 +307,8 @@ def snk_reset(spark, sf):
         (F.max("seq") + 1).alias("seq"), F.lit("").alias("type"), F.lit(0).cast("long").alias("id")
     )
     sinks.append_changes(marker, root, "reset")
-    return sinks.read_current(spark, root)
+    stored = sinks.read_current(spark, root)
+    return stored.select("type", "id", "name", "net_score", "seq")
 
 
 # --- filters and projections -------------------------------------------------------------
@@ -1071,7 +1073,7 @@ def udf_registry(spark, sf):
         return landed.models.select("type", "id", score.alias("score"))
 
     def broken(landed):
-        return landed.models.select("no_such_column")
+        raise ValueError("this metric has no input")
 
     chosen = {"bus_factor": metrics.bus_factor, "name_length": name_length, "broken": broken}
     rows = metrics.run_metrics(t.landed(spark, sf), chosen)

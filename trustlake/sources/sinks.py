@@ -7,7 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from trustlake import schemas
 from trustlake.operators.registry import as_changes, current_view
 
 
@@ -25,12 +27,25 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 
 def append_changes(records: DataFrame, path: str, op: str = "put") -> None:
-    """Append records (or keys, or a reset marker) to the change log at ``path``."""
-    as_changes(records, op).write.mode("append").partitionBy("type").parquet(path)
+    """Append records, keys to delete, or a reset marker to the log at ``path``.
+
+    Every file gets all columns of a change, so that readers need no footers to
+    know the schema.
+    """
+    changes = as_changes(records, op)
+    columns = [
+        (F.col(f.name) if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in _change_schema().fields
+    ]
+    changes.select(*columns).write.mode("append").partitionBy("type").parquet(path)
+
+
+def _change_schema() -> StructType:
+    return StructType.fromDDL(schemas.CHANGE)
 
 
 def read_current(spark: SparkSession, path: str) -> DataFrame:
-    return current_view(spark.read.parquet(path))
+    return current_view(spark.read.schema(schemas.CHANGE).parquet(path))
 
 
 def compact(spark: SparkSession, path: str, version: str) -> DataFrame:
