@@ -673,14 +673,14 @@ q["join_readme_name"] = f"""select coalesce(n.name, '{C.UNKNOWN_NAME}') as name,
 q["join_pr_reviews"] = """select p.repo, p.number, exists (select 1 from pr_reviews v
   where v.repo = p.repo and v.number = p.number) as reviewed from prs p"""
 q["join_pr_files"] = "select f.* from prs p join pr_files f on f.repo = p.repo and f.number = p.number"
-q["join_registry_info"] = f"""select m.model_id, case when i.model_id is not null then true end as has_info,
+q["join_registry_info"] = f"""select m.id, m.model_id, case when i.model_id is not null then true end as has_info,
     case when i.model_id is not null then i.sha is not null end as has_sha,
     {round3('i.likes_score')} as likes_score, i.has_card, i.has_examples, {round3('i.popularity')} as popularity,
     {round3('i.freshness')} as freshness, lower(array_to_string(i.datasets, '|')) as datasets,
     f.total_bytes, f.has_readme, f.has_python, r.blank, r.license, r.python_signal,
     case when r.model_id is not null then {join_list('r.trusted')} end as trusted, r.quality_hits, r.has_section,
     c.claims, l.page_repo
-  from (select distinct {model_id('model_url')} as model_id from models) m
+  from (select id, {model_id('model_url')} as model_id from models) m
   left join (select * from info_scores where status_code = 200) i on i.model_id = m.model_id
   left join listing_facts f on f.model_id = m.model_id left join readme_facts r on r.model_id = m.model_id
   left join claims c on c.model_id = m.model_id

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value evaluated once per row.
+
+    A Column that is used in several branches of a condition is otherwise
+    evaluated in each of them; with whole texts that is most of the work.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def clamp01(value: Column | str) -> Column:
     """Limit to [0, 1]; null stays null (``least`` alone would skip it)."""
     x = col(value)

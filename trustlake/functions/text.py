@@ -18,30 +18,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trustlake import constants as C
-from trustlake.functions.numeric import col, round3
+from trustlake.functions.numeric import col, let, round3
 from trustlake.functions.urls import strip
 
-NUMBER = "(?U)" + C.NUMBER
-NUMBER_LEFT = f"(?Us)\\b(?=\\d)(?<=(.{{{C.CLAIM_WINDOW}}})){C.NUMBER}"
-NUMBER_RIGHT = f"(?Us)\\b(?=\\d)(?=(.{{{C.CLAIM_WINDOW}}})){C.NUMBER}"
+# Cheap look-aheads keep the costly Unicode word boundary from being tried at
+# every character.
+NUMBER = r"(?U)(?=\d)" + C.NUMBER
+NUMBER_LEFT = f"(?Us)(?=\\d)\\b(?<=(.{{{C.CLAIM_WINDOW}}})){C.NUMBER}"
+NUMBER_RIGHT = f"(?Us)(?=\\d)\\b(?=(.{{{C.CLAIM_WINDOW}}})){C.NUMBER}"
 DATE_OR_VERSION = "(?U)" + C.DATE_OR_VERSION
-METRIC_WORD = "|".join(re.escape(word) for word in C.METRIC_WORDS)
 TABLE = r"(?Ud)\n\|.*\|\n\|[-:\s|]+\|\n(?:\|.*\|\n)++"
 BREAKS = "".join(f"\\x{{{ord(c):x}}}" for c in C.LINE_BREAKS)
 FIRST_LINE = f"^[^{BREAKS}]*"
 TABLE_HEADER = f"^\\n([^{BREAKS}]*)"
 # Body of a markdown section, up to the next heading.
 SECTION = r"(?imsdU)^[ \t]*#{{1,6}}[ \t]*({heading})\b[^\n]*\n(.*?)(?=^[ \t]*#{{1,6}}[ \t]+\S|\z)"
+SPACES = r"(?U)[\s\x1c-\x1f_]+"
 LICENSE_LINE = r"(?imdU)^\s*license\s*:\s*([^\r\n#]+)$"
 
 
 def contains_any(text: Column | str, words: Sequence[str]) -> Column:
-    return reduce(or_, [col(text).contains(word) for word in words])
+    return let(col(text), lambda value: reduce(or_, [value.contains(word) for word in words]))
 
 
 def words_found(text: Column | str, words: Sequence[str]) -> Column:
     """Array of the dictionary words that occur in a text as substrings."""
-    return F.filter(F.array(*map(F.lit, words)), lambda word: F.contains(col(text), word))
+
+    def found(value: Column) -> Column:
+        hits = [F.when(value.contains(word), F.lit(word)) for word in words]
+        return F.array_compact(F.array(*hits))
+
+    return let(col(text), found)
 
 
 # --- performance claims ------------------------------------------------------------
@@ -62,11 +69,11 @@ def has_placeholder(text: Column | str) -> Column:
 
 def has_yaml_metric(text: Column | str) -> Column:
     """Structured results in the card header; expects lower-case text."""
-    value = col(text)
-    return (
-        value.contains("model-index")
+    return let(
+        col(text),
+        lambda value: value.contains("model-index")
         & value.contains("metrics:")
-        & value.rlike("(?U)" + C.YAML_VALUE)
+        & value.rlike("(?U)" + C.YAML_VALUE),
     )
 
 
@@ -125,11 +132,15 @@ def has_number_near_metric(text: Column | str) -> Column:
 
     def supports(window: Column) -> Column:
         near = F.concat(F.right(window["left"], F.lit(C.DATE_WINDOW)), F.left(window["right"], F.lit(C.DATE_WINDOW)))
-        return F.concat(window["left"], window["right"]).rlike(METRIC_WORD) & ~near.rlike(
-            DATE_OR_VERSION
-        )
-
-    return col(text).rlike(METRIC_WORD) & F.exists(number_windows(text), supports)
+        around = F.concat(window["left"], window["right"])
+        return ~near.rlike(DATE_OR_VERSION) & contains_any(around, C.METRIC_WORDS)
+
+    return let(
+        col(text),
+        lambda value: value.rlike(NUMBER)
+        & contains_any(value, C.METRIC_WORDS)
+        & F.exists(number_windows(value), supports),
+    )
 
 
 def has_metric_table(text: Column | str) -> Column:
@@ -139,16 +150,13 @@ def has_metric_table(text: Column | str) -> Column:
     def is_metric_table(table: Column) -> Column:
         header = F.regexp_extract(table, TABLE_HEADER, 1)
         body = F.substr(table, F.length(header) + 2)
-        return header.rlike(METRIC_WORD) & body.rlike(NUMBER)
+        return contains_any(header, C.METRIC_WORDS) & body.rlike(NUMBER)
 
     return F.exists(tables, is_metric_table)
 
 
 def has_claims(text: Column | str) -> Column:
     """Does a README state measured results?"""
-    lowered = F.lower(col(text))
-    sections = claim_sections(lowered)
-    sections = F.when(F.size(sections) > 0, sections).otherwise(F.array(lowered))
 
     def supports(section: Column) -> Column:
         return (
@@ -157,8 +165,15 @@ def has_claims(text: Column | str) -> Column:
             & (has_number_near_metric(section) | has_metric_table(section))
         )
 
+    def states_results(lowered: Column) -> Column:
+        sections = let(
+            claim_sections(lowered),
+            lambda parts: F.when(F.size(parts) > 0, parts).otherwise(F.array(lowered)),
+        )
+        return has_yaml_metric(lowered) | F.exists(sections, supports)
+
     # Without a digit no rule can hold; most texts stop here.
-    return lowered.rlike(r"\p{Nd}") & (has_yaml_metric(lowered) | F.exists(sections, supports))
+    return col(text).rlike(r"\p{Nd}") & let(F.lower(col(text)), states_results)
 
 
 # --- dataset and code ----------------------------------------------------------------
@@ -171,26 +186,32 @@ def has_python_signal(text: Column | str) -> Column:
 # --- dataset quality -----------------------------------------------------------------
 
 
-def section_body(text: Column | str, headings: Sequence[str]) -> Column:
+def section_body(text: Column, headings: Sequence[str]) -> Column:
     """Body of the first section under the first heading pattern that matches;
-    empty when there is none or the section is empty.
+    null when no heading does.
     """
-    value = col(text)
-    body = F.lit("")
-    for heading in reversed(headings):
+
+    def under(heading: str, otherwise: Column) -> Column:
         pattern = SECTION.format(heading=heading)
-        body = F.when(value.rlike(pattern), F.regexp_extract(value, pattern, 2)).otherwise(body)
-    return body
+        return let(
+            F.regexp_substr(text, F.lit(pattern)),
+            lambda section: F.when(
+                section.isNotNull(), F.regexp_extract(section, pattern, 2)
+            ).otherwise(otherwise),
+        )
+
+    body = F.lit(None).cast("string")
+    for heading in reversed(headings):
+        body = under(heading, body)
+    # Texts without any heading skip the section patterns.
+    return F.when(text.rlike(r"(?md)^[ \t]*#"), body)
 
 
 def dataset_section(text: Column | str) -> Column:
-    """Body of the section on training data. A cheap test for any heading
-    comes first, so that texts without headings skip the section patterns.
-    """
-    value = col(text)
-    return F.when(
-        value.rlike(r"(?md)^[ \t]*#"), section_body(value, C.DATASET_HEADINGS)
-    ).otherwise("")
+    """Body of the section on training data; '' if missing or empty."""
+    return F.coalesce(
+        let(col(text), lambda value: section_body(value, C.DATASET_HEADINGS)), F.lit("")
+    )
 
 
 def quality_hits(text: Column | str) -> Column:
@@ -198,6 +219,15 @@ def quality_hits(text: Column | str) -> Column:
     return F.size(words_found(text, C.QUALITY_WORDS))
 
 
+def quality_share(hits: Column | str) -> Column:
+    return F.least(F.lit(1.0), col(hits) / 4.0)
+
+
+def all_found(found: Column | str, required: Sequence[str]) -> Column:
+    """Is every required name among the ones found?"""
+    return F.size(F.array_except(F.array(*map(F.lit, required)), col(found))) == 0
+
+
 def dataset_quality_score(
     trusted: Column | str, hits: Column | str, described: Column | str
 ) -> Column:
@@ -205,8 +235,8 @@ def dataset_quality_score(
     quality words. ``described``: a datasets entry or a data section exists.
     """
     found = col(trusted)
-    share = F.least(F.lit(1.0), col(hits) / 4.0)
-    strong = F.size(F.array_except(F.array(*map(F.lit, C.STRONG_DATASETS)), found)) == 0
+    share = quality_share(hits)
+    strong = all_found(found, C.STRONG_DATASETS)
     score = (
         F.when(strong, F.least(F.lit(1.0), F.lit(0.9) + 0.05 + share * 0.05))
         .when(F.size(found) >= 2, F.least(F.lit(0.95), F.lit(0.8) + share * 0.15))
@@ -224,34 +254,41 @@ def license_text(readme: Column | str) -> Column:
     """The part of a README that states the license, blanks and underscores as
     dashes: the ``license:`` line, else the license section, else everything.
     """
-    text = strip(readme)
-    lowered = F.lower(text)
-    line = F.regexp_extract(lowered, LICENSE_LINE, 1)
-    section = SECTION.format(heading=C.LICENSE_HEADING)
-    chosen = (
-        F.when(line != "", strip(line))
-        .when(text.rlike(section), F.lower(strip(F.regexp_extract(text, section, 2))))
-        .otherwise(lowered)
-    )
-    return F.regexp_replace(chosen, r"(?U)[\s_]+", "-")
+
+    def chosen(text: Column, low: Column) -> Column:
+        line = F.when(low.contains("license"), F.regexp_extract(low, LICENSE_LINE, 1))
+        section = F.lower(strip(section_body(text, [C.LICENSE_HEADING])))
+        return let(
+            line,
+            lambda found: F.when(found != "", strip(found)).otherwise(F.coalesce(section, low)),
+        )
+
+    stripped = let(strip(readme), lambda text: let(F.lower(text), lambda low: chosen(text, low)))
+    return F.regexp_replace(stripped, SPACES, "-")
 
 
 def _any_of(patterns: Sequence[str]) -> str:
-    return "(?U)" + "|".join(patterns)
+    """One alternation of patterns that all are bounded words."""
+    words = [re.fullmatch(r"\\b(.*)\\b", p).group(1) for p in patterns]
+    initials = "".join(sorted({w[0] for w in words}))
+    return rf"(?U)(?=[{initials}])\b(?:{'|'.join(words)})\b"
 
 
 def license_class_score(text: Column | str) -> Column:
     """0 restrictive, 0.5 unclear, 1 permissive and compatible, else 0."""
-    value = col(text)
-    return (
-        F.when(value.rlike(_any_of(C.LICENSE_RESTRICTIVE)), 0.0)
-        .when(value.rlike(_any_of(C.LICENSE_UNCLEAR)), 0.5)
-        .when(
-            value.rlike(_any_of(C.LICENSE_PERMISSIVE)),
-            value.rlike(_any_of(C.LICENSE_COMPATIBLE)).cast("double"),
+
+    def score(value: Column) -> Column:
+        return (
+            F.when(value.rlike(_any_of(C.LICENSE_RESTRICTIVE)), 0.0)
+            .when(value.rlike(_any_of(C.LICENSE_UNCLEAR)), 0.5)
+            .when(
+                value.rlike(_any_of(C.LICENSE_PERMISSIVE)),
+                value.rlike(_any_of(C.LICENSE_COMPATIBLE)).cast("double"),
+            )
+            .otherwise(0.0)
         )
-        .otherwise(0.0)
-    )
+
+    return let(col(text), score)
 
 
 def license_score(readme: Column | str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trustlake import constants as C
-from trustlake.functions.numeric import col
+from trustlake.functions.numeric import col, let
 
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
@@ -40,20 +40,25 @@ def model_id(url: Column | str) -> Column:
     unchanged; a hub URL with no repository before ``tree``, ``blob`` and so on
     has no id (null).
     """
-    ref = strip(url)
-    segments = path_segments(ref)
-    # Leading and trailing "/" let one pattern cut at the first non-repo segment.
-    slashed = F.concat(F.lit("/"), F.array_join(segments, "/"), F.lit("/"))
-    repo_path = F.regexp_replace(slashed, f"/(?:{'|'.join(C.NON_REPO_SEGMENTS)})/.*$", "/")
-    repo = F.regexp_extract(repo_path, "^/([^/]+(?:/[^/]+)?)", 1)
-    return (
-        F.when(ref.startswith("hf://"), F.substring_index(F.substr(ref, F.lit(6)), "/", 2))
-        .when(~ref.startswith("http"), ref)
-        .when(~authority(ref).endswith(C.HUB_HOST), ref)
-        .when(F.size(segments) == 0, ref)
-        .when(F.element_at(segments, 1) == "datasets", ref)
-        .otherwise(F.nullif(repo, F.lit("")))
-    )
+    kept_out = f"/(?:{'|'.join(C.NON_REPO_SEGMENTS)})/.*$"
+
+    def hub_id(ref: Column, segments: Column) -> Column:
+        # Leading and trailing "/" let one pattern cut at the first non-repo segment.
+        slashed = F.concat(F.lit("/"), F.array_join(segments, "/"), F.lit("/"))
+        repo_path = F.regexp_replace(slashed, kept_out, "/")
+        repo = F.regexp_extract(repo_path, "^/([^/]+(?:/[^/]+)?)", 1)
+        whole = (F.size(segments) == 0) | (F.try_element_at(segments, F.lit(1)) == "datasets")
+        return F.when(whole, ref).otherwise(F.when(repo != "", repo))
+
+    def reference_id(ref: Column) -> Column:
+        return (
+            F.when(ref.startswith("hf://"), F.substring_index(F.substr(ref, F.lit(6)), "/", 2))
+            .when(~ref.startswith("http"), ref)
+            .when(~authority(ref).endswith(C.HUB_HOST), ref)
+            .otherwise(let(path_segments(ref), lambda segments: hub_id(ref, segments)))
+        )
+
+    return let(strip(url), reference_id)
 
 
 def is_url(reference: Column | str) -> Column:

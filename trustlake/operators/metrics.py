@@ -20,7 +20,9 @@ from trustlake.functions import numeric as N
 from trustlake.functions import text as T
 from trustlake.functions import urls as U
 from trustlake.operators import code, readmes, reviews, sizes
+from trustlake.operators.joins import lookup_join, restrict
 from trustlake.operators.scores import gate_failures, net_score_of
+from trustlake.sources.scratch import saved
 
 KEY = ["type", "id"]
 
@@ -107,26 +109,14 @@ def page_links(pages: DataFrame) -> DataFrame:
     return pages.select("model_id", F.concat_ws("/", link["owner"], link["repo"]).alias("page_repo"))
 
 
-def review_repo(models: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds ``review_repo``: the code repository named by the model URL, or, for
-    hub models, by the model's page.
+def with_review_repo(models: DataFrame) -> DataFrame:
+    """Adds ``review_repo``: the code repository named by the model URL or, for
+    hub models, by the model's page (``page_repo``).
     """
     link = U.repo_link("model_url")
     direct = F.when(link.isNotNull(), F.concat_ws("/", link["owner"], link["repo"]))
-    return (
-        with_model_id(models)
-        .join(page_links(pages), "model_id", "left")
-        .withColumn(
-            "review_repo",
-            F.coalesce(
-                direct,
-                F.when(
-                    F.col("model_url").contains(C.HUB_HOST), F.nullif("page_repo", F.lit(""))
-                ),
-            ),
-        )
-        .drop("page_repo")
-    )
+    by_page = F.when(F.col("model_url").contains(C.HUB_HOST), F.nullif("page_repo", F.lit("")))
+    return models.withColumn("review_repo", F.coalesce(direct, by_page))
 
 
 def code_repo(url: Column | str = "code_url") -> Column:
@@ -228,93 +218,117 @@ def result_rows(df: DataFrame, metric: str, score: Column, devices: Column | Non
     )
 
 
-def _joined(landed: Landed, *facts: DataFrame) -> DataFrame:
+def _joined(landed: Landed, *facts: Callable[[Landed, DataFrame], DataFrame]) -> DataFrame:
+    """Models with the given facts, one row per model.
+
+    Facts are first brought together per distinct model id, where no key is hot.
+    """
     models = with_model_id(landed.models)
-    return reduce(lambda df, fact: df.join(fact, "model_id", "left"), facts, models)
+    ids = saved(models.select("model_id").dropna().distinct(), "ids")
+    together = reduce(lambda df, fact: df.join(fact(landed, ids), "model_id", "left"), facts, ids)
+    return lookup_join(models, saved(together, "facts"), ["model_id"], ["id"])
 
 
-def ramp_up_time(landed: Landed) -> DataFrame:
-    facts = _joined(
-        landed, info_facts(landed.info, landed.as_of), listing_facts(landed.siblings)
-    )
-    return result_rows(facts, "ramp_up_time", ramp_up_score())
+def _info(landed: Landed, ids: DataFrame) -> DataFrame:
+    return info_facts(restrict(landed.info, ids, ["model_id"]), landed.as_of)
 
 
-def bus_factor(landed: Landed) -> DataFrame:
-    facts = _joined(landed, info_facts(landed.info, landed.as_of))
-    return result_rows(facts, "bus_factor", bus_factor_score())
+def _listing(landed: Landed, ids: DataFrame) -> DataFrame:
+    return listing_facts(restrict(landed.siblings, ids, ["model_id"]))
 
 
-def license_score(landed: Landed) -> DataFrame:
-    facts = _joined(landed, readmes.readme_facts(main_readmes(landed.repo_files)))
-    return result_rows(facts, "license", license_metric())
+def _files(landed: Landed, ids: DataFrame) -> DataFrame:
+    repos = ids.withColumnRenamed("model_id", "repo")
+    return restrict(landed.repo_files, repos, ["repo"])
+
 
+def _readmes(landed: Landed, ids: DataFrame) -> DataFrame:
+    return readmes.readme_facts(main_readmes(_files(landed, ids)))
 
-def claim_facts(repo_files: DataFrame) -> DataFrame:
-    return readmes.claims(repo_files).select(
+
+def _claims(landed: Landed, ids: DataFrame) -> DataFrame:
+    return readmes.claims(_files(landed, ids)).select(
         F.col("repo").alias("model_id"), F.col("score").alias("claims")
     )
 
 
+def _texts(landed: Landed, ids: DataFrame) -> DataFrame:
+    return readmes.text_facts(_files(landed, ids))
+
+
+def _pages(landed: Landed, ids: DataFrame) -> DataFrame:
+    return page_links(restrict(landed.pages, ids, ["model_id"]))
+
+
+def ramp_up_time(landed: Landed) -> DataFrame:
+    return result_rows(_joined(landed, _info, _listing), "ramp_up_time", ramp_up_score())
+
+
+def bus_factor(landed: Landed) -> DataFrame:
+    return result_rows(_joined(landed, _info), "bus_factor", bus_factor_score())
+
+
+def license_score(landed: Landed) -> DataFrame:
+    return result_rows(_joined(landed, _readmes), "license", license_metric())
+
+
 def performance_claims(landed: Landed) -> DataFrame:
-    facts = _joined(landed, claim_facts(landed.repo_files))
-    return result_rows(facts, "performance_claims", performance_score())
+    return result_rows(_joined(landed, _claims), "performance_claims", performance_score())
 
 
 def size_score(landed: Landed) -> DataFrame:
-    facts = _joined(
-        landed, info_facts(landed.info, landed.as_of), listing_facts(landed.siblings)
-    )
+    facts = _joined(landed, _info, _listing)
     return result_rows(facts, "size_score", F.lit(None), device_struct())
 
 
 def dataset_and_code_score(landed: Landed) -> DataFrame:
-    facts = _joined(
-        landed,
-        info_facts(landed.info, landed.as_of),
-        listing_facts(landed.siblings),
-        readmes.readme_facts(main_readmes(landed.repo_files)),
-    )
-    return result_rows(
-        facts, "dataset_and_code_score", dataset_and_code_value(landed.strict_links)
-    )
+    facts = _joined(landed, _info, _listing, _readmes)
+    score = dataset_and_code_value(landed.strict_links)
+    return result_rows(facts, "dataset_and_code_score", score)
 
 
 def dataset_quality(landed: Landed) -> DataFrame:
-    facts = _joined(
-        landed,
-        info_facts(landed.info, landed.as_of),
-        readmes.readme_facts(main_readmes(landed.repo_files)),
-    )
+    facts = _joined(landed, _info, _readmes)
     return result_rows(facts, "dataset_quality", dataset_quality_value())
 
 
-def _code_facts(landed: Landed) -> DataFrame:
-    return code.code_quality(landed.code_files).select(
-        F.col("repo").alias("code_repo"), F.col("score").alias("code_score")
+def _code_scores(landed: Landed, models: DataFrame) -> DataFrame:
+    """Adds ``code_quality`` to models with a ``code_repo``."""
+    repos = saved(
+        models.select(F.col("code_repo").alias("repo")).dropna().distinct(), "code_repos"
+    )
+    scores = code.code_quality(restrict(landed.code_files, repos, ["repo"]))
+    table = saved(scores.toDF("code_repo", "code_quality"), "code_scores")
+    found = lookup_join(models, table, ["code_repo"], ["id"])
+    return found.withColumn(
+        "code_quality", F.coalesce("code_quality", F.lit(C.NO_CODE_SCORE))
     )
 
 
 def code_quality(landed: Landed) -> DataFrame:
-    facts = landed.models.withColumn("code_repo", code_repo()).join(
-        _code_facts(landed), "code_repo", "left"
-    )
-    return result_rows(
-        facts, "code_quality", F.coalesce("code_score", F.lit(C.NO_CODE_SCORE))
-    )
+    models = landed.models.withColumn("code_repo", code_repo())
+    return result_rows(_code_scores(landed, models), "code_quality", F.col("code_quality"))
 
 
-def _review_facts(landed: Landed) -> DataFrame:
-    return reviews.reviewedness(landed.prs, landed.reviews, landed.pr_files).select(
-        F.col("repo").alias("review_repo"), F.col("score").alias("review_score")
+def _review_scores(landed: Landed, models: DataFrame) -> DataFrame:
+    """Adds ``reviewedness`` to models with a ``review_repo``."""
+    repos = saved(
+        models.select(F.col("review_repo").alias("repo")).dropna().distinct(), "review_repos"
+    )
+    scores = reviews.reviewedness(
+        *[
+            restrict(table, repos, ["repo"])
+            for table in (landed.prs, landed.reviews, landed.pr_files)
+        ]
     )
+    table = saved(scores.toDF("review_repo", "reviewedness"), "review_scores")
+    found = lookup_join(models, table, ["review_repo"], ["id"])
+    return found.withColumn("reviewedness", F.coalesce("reviewedness", F.lit(-1.0)))
 
 
 def reviewedness(landed: Landed) -> DataFrame:
-    facts = review_repo(landed.models, landed.pages).join(
-        _review_facts(landed), "review_repo", "left"
-    )
-    return result_rows(facts, "reviewedness", F.coalesce("review_score", F.lit(-1.0)))
+    models = saved(with_review_repo(_joined(landed, _pages)), "models")
+    return result_rows(_review_scores(landed, models), "reviewedness", F.col("reviewedness"))
 
 
 def reproducibility(landed: Landed) -> DataFrame:
@@ -361,60 +375,41 @@ def run_metrics(landed: Landed, metrics: Mapping[str, Metric] = METRICS) -> Data
 
 
 def model_facts(landed: Landed) -> DataFrame:
-    """All facts keyed by ``model_id``, one row per id that some model uses.
-
-    Ids are made distinct first, so an id shared by a third of all models is one
-    row here; every input is shuffled once, on the same key.
-    """
-    ids = with_model_id(landed.models).select("model_id").where("model_id is not null").distinct()
-    tables = [
-        info_facts(landed.info, landed.as_of),
-        listing_facts(landed.siblings),
-        readmes.readme_facts(main_readmes(landed.repo_files)),
-        claim_facts(landed.repo_files),
-        page_links(landed.pages),
-    ]
-    return reduce(lambda df, fact: df.join(fact, "model_id", "left"), tables, ids)
+    """Models with all facts keyed by ``model_id``."""
+    return _joined(landed, _info, _listing, _texts, _pages)
 
 
 def rate(landed: Landed) -> DataFrame:
     """All ten metrics, wide: one row per model, plus net score and admission.
 
-    Every landed table is read once. Scores, net score and gate are Columns over
-    the joined facts, with no further shuffle.
+    Every landed table is scanned once. The heavy scans end in narrow tables of
+    facts; models meet them in lookup joins, and scores, net score and gate are
+    Columns over the result.
     """
-    link = U.repo_link("model_url")
-    on_hub = F.col("model_url").contains(C.HUB_HOST)
-    wide = (
-        with_model_id(landed.models)
-        .join(model_facts(landed), "model_id", "left")
-        .withColumn("code_repo", code_repo())
-        .withColumn(
+    models = saved(
+        with_review_repo(model_facts(landed)).select(
+            *KEY,
+            "name",
+            "model_url",
+            code_repo().alias("code_repo"),
             "review_repo",
-            F.coalesce(
-                F.when(link.isNotNull(), F.concat_ws("/", link["owner"], link["repo"])),
-                F.when(on_hub, F.nullif("page_repo", F.lit(""))),
-            ),
-        )
-        .join(_code_facts(landed), "code_repo", "left")
-        .join(_review_facts(landed), "review_repo", "left")
+            ramp_up_score().alias("ramp_up_time"),
+            bus_factor_score().alias("bus_factor"),
+            license_metric().alias("license"),
+            performance_score().alias("performance_claims"),
+            device_struct().alias("devices"),
+            dataset_and_code_value(landed.strict_links).alias("dataset_and_code_score"),
+            dataset_quality_value().alias("dataset_quality"),
+        ),
+        "models",
+    )
+    scored = (
+        _review_scores(landed, _code_scores(landed, models))
         .join(landed.responses, KEY, "left")
+        .withColumn("reproducibility", reproducibility_value())
+        .withColumn("size_score", files_fn.device_mean("devices"))
+        .drop("code_repo", "review_repo", "body")
     )
-    scored = wide.select(
-        *KEY,
-        "name",
-        "model_url",
-        ramp_up_score().alias("ramp_up_time"),
-        bus_factor_score().alias("bus_factor"),
-        license_metric().alias("license"),
-        performance_score().alias("performance_claims"),
-        device_struct().alias("devices"),
-        dataset_and_code_value(landed.strict_links).alias("dataset_and_code_score"),
-        dataset_quality_value().alias("dataset_quality"),
-        F.coalesce("code_score", F.lit(C.NO_CODE_SCORE)).alias("code_quality"),
-        F.coalesce("review_score", F.lit(-1.0)).alias("reviewedness"),
-        reproducibility_value().alias("reproducibility"),
-    ).withColumn("size_score", files_fn.device_mean("devices"))
     columns = {m: F.col(m) for m in C.METRIC_WEIGHTS}
     return (
         scored.withColumn("net_score", net_score_of(columns, C.METRIC_WEIGHTS))

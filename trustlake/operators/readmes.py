@@ -104,28 +104,74 @@ def claims(files: DataFrame) -> DataFrame:
     )
 
 
+README_FACTS = (
+    "blank", "license", "python_signal", "trusted", "quality_hits", "has_section",
+)
+
+
+def _with_scope(files: DataFrame) -> DataFrame:
+    """Adds the data section and the lower-case text to search for data sets."""
+    scope = F.lower(F.when(F.col("section") != "", F.col("section")).otherwise(F.col("text")))
+    return files.withColumn("section", T.dataset_section("text")).withColumn("scope", scope)
+
+
+def _readme_columns() -> list[Column]:
+    return [
+        (strip("text") == "").alias("blank"),
+        T.license_score("text").alias("license"),
+        T.has_python_signal("text").alias("python_signal"),
+        T.words_found("scope", C.TRUSTED_DATASETS).alias("trusted"),
+        T.quality_hits("scope").alias("quality_hits"),
+        (F.col("section") != "").alias("has_section"),
+    ]
+
+
 def readme_facts(readmes: DataFrame) -> DataFrame:
     """Everything the metrics need to know about README texts, without the text.
 
     Computed in the scan stage, so that joins on ``model_id`` carry a few narrow
     columns instead of documents.
     """
-    text = F.col("text")
-    section = T.dataset_section(text)
-    scope = F.lower(F.when(section != "", section).otherwise(text))
-    return readmes.select(
-        "model_id",
-        text,
-        section.alias("_section"),
-        scope.alias("_scope"),
-    ).select(
+    return _with_scope(readmes.select("model_id", "text")).select("model_id", *_readme_columns())
+
+
+def text_facts(files: DataFrame) -> DataFrame:
+    """``readme_facts`` and ``claims`` of every repository in one pass.
+
+    Each text is read and judged once; one narrow row per file is then combined
+    per repository.
+    """
+    is_readme = (F.col("file") == "README.md") & (F.col("branch") == C.BRANCHES[0])
+    own_readme = is_readme & (F.instr("repo", "/") > 0)
+    usable = fetched(files).where(F.col("file").isin(list(C.REPO_FILES)))
+    judged = _with_scope(usable).select(
+        F.col("repo").alias("model_id"),
+        "file",
+        rank_in("branch", C.BRANCHES).alias("branch_rank"),
+        F.when(own_readme, F.struct(*_readme_columns())).alias("readme"),
+        F.when(
+            F.col("file").isin(list(C.CLAIM_FILES)),
+            F.struct((strip("text") == "").alias("blank"), T.has_claims("text").alias("claims")),
+        ).alias("judged"),
+    )
+    picks = [
+        F.min_by(F.when(F.col("file") == f, F.col("judged")),
+                 F.when(F.col("file") == f, F.col("branch_rank"))).alias(f"_pick{i}")
+        for i, f in enumerate(C.CLAIM_FILES)
+    ]
+    combined = judged.groupBy("model_id").agg(
+        F.max_by("readme", F.col("readme").isNotNull()).alias("readme"), *picks
+    )
+    first = F.coalesce(
+        *[
+            F.when(~F.col(f"_pick{i}.blank"), F.col(f"_pick{i}.claims"))
+            for i in range(len(C.CLAIM_FILES))
+        ]
+    )
+    return combined.select(
         "model_id",
-        (strip("text") == "").alias("blank"),
-        T.license_score("text").alias("license"),
-        T.has_python_signal("text").alias("python_signal"),
-        T.words_found("_scope", C.TRUSTED_DATASETS).alias("trusted"),
-        T.quality_hits("_scope").alias("quality_hits"),
-        (F.col("_section") != "").alias("has_section"),
+        *[F.col(f"readme.{c}").alias(c) for c in README_FACTS],
+        first.cast("double").alias("claims"),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trustlake import constants as C
 from trustlake.functions.guard import unsafe_reason
 from trustlake.functions.numeric import col
+from trustlake.functions.text import words_found
 
 
 def java_pattern(pattern: str) -> str:
@@ -116,6 +117,5 @@ def multi_search(documents: DataFrame, patterns: DataFrame, text: str = "text")
 
 def keyword_matches(documents: DataFrame, words: list[str], text: str = "text") -> DataFrame:
     """Every document with every dictionary word that occurs in it."""
-    lowered = F.lower(F.col(text))
-    found = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(lowered, w))
+    found = words_found(F.lower(text), words)
     return documents.withColumn("word", F.explode(found)).drop(text)

@@ -36,6 +36,7 @@ from trustlake.operators import (
 from trustlake.plans import flows
 from trustlake.plans import tables as t
 from trustlake.sources import landing, sinks
+from trustlake.sources.scratch import scratch_dir
 from trustlake.streaming import health as health_stream
 from trustlake.streaming import register as register_stream
 
@@ -69,7 +70,7 @@ def unioned(*frames: DataFrame) -> DataFrame:
 
 @query
 def src_registry(spark, sf):
-    root = sinks.scratch_dir(spark, "records")
+    root = scratch_dir(spark, "records")
     record = F.to_json(F.struct("type", "id", "name", "model_url", "download_url", "net_score"))
     # One document in seventeen is cut off.
     text = F.when(F.col("seq") % 17 == 0, F.left(record, F.lit(40))).otherwise(record)
@@ -79,7 +80,7 @@ def src_registry(spark, sf):
 
 @query
 def src_name_index(spark, sf):
-    root = sinks.scratch_dir(spark, "index")
+    root = scratch_dir(spark, "index")
     line = F.expr(
         """case when seq % 13 = 0 then 'no separator' when seq % 17 = 0 then concat(name, ',', id)
              when seq % 19 = 0 then concat(name, ',', id, ',', type, ',')
@@ -91,7 +92,7 @@ def src_name_index(spark, sf):
 
 @query
 def src_readmes(spark, sf):
-    root = sinks.scratch_dir(spark, "readmes")
+    root = scratch_dir(spark, "readmes")
     path = F.expr(
         """element_at(array('README.md', 'docs/README.md', 'readme.md', 'README.MD'),
                       cast(id % 4 as int) + 1)"""
@@ -102,7 +103,7 @@ def src_readmes(spark, sf):
 
 @query
 def src_model_info(spark, sf):
-    root = sinks.scratch_dir(spark, "hub")
+    root = scratch_dir(spark, "hub")
     replies = t.model_info(spark, sf).select(
         "model_id", "status_code", "sha", "downloads", "likes",
         F.col("last_modified").alias("lastModified"), "tags",
@@ -127,7 +128,7 @@ def src_model_info(spark, sf):
 
 @query
 def src_pr_activity(spark, sf):
-    root = sinks.scratch_dir(spark, "activity")
+    root = scratch_dir(spark, "activity")
     status = F.expr("case when number % 50 = 0 then 500 else 200 end").alias("status_code")
     t.prs(spark, sf).select(
         "repo", status,
@@ -157,7 +158,7 @@ def src_pr_activity(spark, sf):
 
 @query
 def src_code_files(spark, sf):
-    root = sinks.scratch_dir(spark, "listings")
+    root = scratch_dir(spark, "listings")
     entry = F.struct(
         F.col("kind").alias("type"), "name", F.concat(F.lit("./"), "name").alias("path"),
         "status_code", "text",
@@ -196,7 +197,7 @@ LOG_START, LOG_END = "2024-01-02 03:04:05", "2024-01-29 06:00:00"
 
 @query
 def src_logs(spark, sf):
-    root = sinks.scratch_dir(spark, "logs")
+    root = scratch_dir(spark, "logs")
     t.logs(spark, sf).write.parquet(root)
     start, end = map(datetime.fromisoformat, (LOG_START, LOG_END))
     return landing.read_logs(spark, root, start, end, [f"g{i}" for i in range(8)]).select(
@@ -206,7 +207,7 @@ def src_logs(spark, sf):
 
 @query
 def src_api_requests(spark, sf):
-    root = sinks.scratch_dir(spark, "requests")
+    root = scratch_dir(spark, "requests")
     t.api_requests(spark, sf).write.parquet(root)
     start, end = map(datetime.fromisoformat, (LOG_START, LOG_END))
     return landing.read_api_requests(spark, root, start, end).select(
@@ -216,7 +217,7 @@ def src_api_requests(spark, sf):
 
 @query
 def src_object_sizes(spark, sf):
-    root = sinks.scratch_dir(spark, "objects")
+    root = scratch_dir(spark, "objects")
     t.artifacts(spark, sf).selectExpr(
         "type", "seq % 5 as id", "name as value"
     ).repartition("type", "id").write.partitionBy("type", "id").text(root)
@@ -227,7 +228,7 @@ def change_log(spark, sf) -> str:
     """Change log with a first version of every artifact, a second one of every
     third, and deletions of every tenth.
     """
-    root = sinks.scratch_dir(spark, "changes")
+    root = scratch_dir(spark, "changes")
     records = t.artifacts(spark, sf).select("type", "id", "name", "net_score", "seq")
     sinks.append_changes(records, root)
     later = records.where("seq % 3 = 0").withColumns(
@@ -247,7 +248,7 @@ def snk_upsert_registry(spark, sf):
 
 @query
 def snk_append_index(spark, sf):
-    root = sinks.scratch_dir(spark, "index")
+    root = scratch_dir(spark, "index")
     index = t.artifacts(spark, sf)
     sinks.append_index_lines(index, root)
     sinks.append_index_lines(index.where("seq % 2 = 0"), root)
@@ -256,7 +257,7 @@ def snk_append_index(spark, sf):
 
 @query
 def snk_store_readme(spark, sf):
-    root = sinks.scratch_dir(spark, "readmes")
+    root = scratch_dir(spark, "readmes")
     texts = t.readme_texts(spark, sf)
     replies = texts.select(
         F.lit("model").alias("type"),
@@ -497,11 +498,12 @@ def join_pr_files(spark, sf):
 def join_registry_info(spark, sf):
     facts = metrics.model_facts(t.landed(spark, sf))
     return facts.select(
-        "model_id", "has_info", "has_sha", N.round3("likes_score").alias("likes_score"), "has_card",
+        "id", "model_id", "has_info", "has_sha", N.round3("likes_score").alias("likes_score"), "has_card",
         "has_examples", N.round3("popularity").alias("popularity"),
         N.round3("freshness").alias("freshness"), joined("datasets").alias("datasets"),
         "total_bytes", "has_readme", "has_python", "blank", "license", "python_signal",
-        joined("trusted").alias("trusted"), "quality_hits", "has_section", "claims", "page_repo",
+        joined("trusted").alias("trusted"),
+        F.col("quality_hits").cast("long").alias("quality_hits"), "has_section", "claims", "page_repo",
     )
 
 
@@ -572,16 +574,16 @@ def agg_code_quality(spark, sf):
 @query
 def agg_keyword_hits(spark, sf):
     hits = T.quality_hits(F.lower("text"))
-    return t.readme_texts(spark, sf).select(
-        "d", hits.alias("hits"), F.least(F.lit(1.0), hits / 4.0).alias("share")
+    return t.readme_texts(spark, sf).select("d", hits.alias("hits")).select(
+        "d", "hits", T.quality_share("hits").alias("share")
     )
 
 
 @query
 def agg_distinct_trusted(spark, sf):
     found = T.words_found(F.lower("text"), C.TRUSTED_DATASETS)
-    return t.readme_texts(spark, sf).select(
-        "d", F.size(found).alias("n"), joined(F.sort_array(found)).alias("found")
+    return t.readme_texts(spark, sf).select("d", F.sort_array(found).alias("f")).select(
+        "d", F.size("f").alias("n"), joined("f").alias("found")
     )
 
 
@@ -762,9 +764,8 @@ def set_union_types(spark, sf):
 @query
 def set_superset(spark, sf):
     found = T.words_found(F.lower("text"), C.TRUSTED_DATASETS)
-    required = F.array(*map(F.lit, C.STRONG_DATASETS))
     return t.readme_texts(spark, sf).select(
-        "d", (F.size(F.array_except(required, found)) == 0).alias("strong")
+        "d", T.all_found(found, C.STRONG_DATASETS).alias("strong")
     )
 
 
@@ -886,8 +887,8 @@ def scl_license_text(spark, sf):
 @query
 def scl_sections(spark, sf):
     sections = T.claim_sections(F.lower("text"))
-    return t.readme_texts(spark, sf).select(
-        "d", F.size(sections).alias("n"), digest(joined(sections)).alias("digest")
+    return t.readme_texts(spark, sf).select("d", sections.alias("s")).select(
+        "d", F.size("s").alias("n"), digest(joined("s")).alias("digest")
     )
 
 
@@ -1143,7 +1144,7 @@ def log_stream(spark, sf) -> DataFrame:
 
 
 def streamed(spark, counts: DataFrame) -> DataFrame:
-    root = sinks.scratch_dir(spark, "stream")
+    root = scratch_dir(spark, "stream")
     health_stream.run_counts(counts, f"{root}/counts", f"{root}/checkpoint")
     return health_stream.read_counts(spark, f"{root}/counts").select(
         micros("window_start").alias("start_us"), micros("window_end").alias("end_us"),
@@ -1163,7 +1164,7 @@ def stream_health_hour(spark, sf):
 
 @query
 def stream_register(spark, sf):
-    root = sinks.scratch_dir(spark, "stream")
+    root = scratch_dir(spark, "stream")
     schema = spark.read.parquet(f"{sf}/part.parquet").schema
     parts = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf)
     requests = t.registrations_of(parts)

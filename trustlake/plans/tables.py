@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from trustlake import constants as C
 from trustlake.functions.ids import artifact_id
 from trustlake.operators.metrics import Landed
+from trustlake.sources.landing import spread
 
 AS_OF = "2024-02-01T00:00:00Z"
 HEALTH_AS_OF = datetime(2024, 1, 15, 12, 0, 0)
@@ -36,8 +37,12 @@ PATTERNS = [
 ]
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
 
 
 def repo(number: str) -> str:

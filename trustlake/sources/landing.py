@@ -13,6 +13,19 @@ from trustlake.functions.urls import strip
 from trustlake.operators.health import between
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan with at least one task per core, for work that is heavy per row.
+
+    A file of one row group is one task, however many rows it has. Only scans
+    with fewer tasks than the cluster has cores are redistributed; large tables
+    pass through unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)
+
+
 def read_registry(spark: SparkSession, root: str, tree: bool = True) -> DataFrame:
     """Stored records; unreadable documents are skipped, missing fields are null.
 

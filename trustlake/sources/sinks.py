@@ -1,10 +1,7 @@
-"""Writers: the change log, the name index, READMEs; and scratch space."""
+"""Writers: the change log, the name index and READMEs."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,19 +10,6 @@ from trustlake import schemas
 from trustlake.operators.registry import as_changes, current_view
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new directory in the shared folder named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without that setting; it gets a temporary one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="trustlake-")
-    return f"{base.rstrip('/')}/trustlake/{name}-{uuid.uuid4().hex}"
-
-
 def append_changes(records: DataFrame, path: str, op: str = "put") -> None:
     """Append records, keys to delete, or a reset marker to the log at ``path``.
 
