@@ -125,6 +125,8 @@ NUMBER = r"\b\d+(?:\.\d+)?\s*%?\b"
 DATE_OR_VERSION = r"(\b20\d{2}\b|\b\d{4}-\d{2}-\d{2}\b|\bv?\d+(?:\.\d+){1,}\b)"
 YAML_VALUE = r"\bvalue\s*:\s*[-+]?\d+(?:\.\d+)?"
 CLAIM_HEADING = r"\b(evaluation|results?|benchmarks?|performance|metrics?)\b"
+HEADING_SPLIT = r"\n(?=#{1,6}\s)"
+METRIC_TABLE = r"\n\|.*\|\n\|[-:\s|]+\|\n(?:\|.*\|\n)+"
 CLAIM_WINDOW = 100
 DATE_WINDOW = 10
 NO_FILES_SCORE = 0.1
@@ -159,6 +161,7 @@ DATASET_HEADINGS = (
     r"training data|pre[- ]?training data|pre[- ]?trained on|data|corpus",
 )
 LICENSE_HEADING = r"licens(?:e|ing)"
+LICENSE_LINE = r"^\s*license\s*:\s*([^\r\n#]+)$"
 
 # --- fixed values: license -------------------------------------------------------
 LICENSE_RESTRICTIVE = (

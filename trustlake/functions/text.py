@@ -21,20 +21,38 @@ from trustlake import constants as C
 from trustlake.functions.numeric import col, let, round3
 from trustlake.functions.urls import strip
 
+
+
+def java(flags: str, pattern: str) -> str:
+    """A Python pattern for Java: Unicode classes, and the four separators that
+    only Python counts as white space.
+    """
+    spaces = pattern.replace(r"\s", r"[\s\x1c-\x1f]").replace(r"\S", r"[^\s\x1c-\x1f]")
+    return f"(?U{flags}){spaces}"
+
+
 # Cheap look-aheads keep the costly Unicode word boundary from being tried at
 # every character.
-NUMBER = r"(?U)(?=\d)" + C.NUMBER
-NUMBER_LEFT = f"(?Us)(?=\\d)\\b(?<=(.{{{C.CLAIM_WINDOW}}})){C.NUMBER}"
-NUMBER_RIGHT = f"(?Us)(?=\\d)\\b(?=(.{{{C.CLAIM_WINDOW}}})){C.NUMBER}"
-DATE_OR_VERSION = "(?U)" + C.DATE_OR_VERSION
-TABLE = r"(?Ud)\n\|.*\|\n\|[-:\s|]+\|\n(?:\|.*\|\n)++"
+NUMBER = java("", r"(?=\d)" + C.NUMBER)
+NUMBER_LEFT = java("s", rf"(?=\d)\b(?<=(.{{{C.CLAIM_WINDOW}}})){C.NUMBER}")
+NUMBER_RIGHT = java("s", rf"(?=\d)\b(?=(.{{{C.CLAIM_WINDOW}}})){C.NUMBER}")
+DATE_OR_VERSION = java("", C.DATE_OR_VERSION)
+YAML_VALUE = java("", C.YAML_VALUE)
+CLAIM_HEADING = java("", C.CLAIM_HEADING)
+HEADING_SPLIT = java("", C.HEADING_SPLIT)
+# The trailing "+" makes the repeated rows possessive.
+TABLE = java("d", C.METRIC_TABLE + "+")
 BREAKS = "".join(f"\\x{{{ord(c):x}}}" for c in C.LINE_BREAKS)
 FIRST_LINE = f"^[^{BREAKS}]*"
 TABLE_HEADER = f"^\\n([^{BREAKS}]*)"
-# Body of a markdown section, up to the next heading.
-SECTION = r"(?imsdU)^[ \t]*#{{1,6}}[ \t]*({heading})\b[^\n]*\n(.*?)(?=^[ \t]*#{{1,6}}[ \t]+\S|\z)"
-SPACES = r"(?U)[\s\x1c-\x1f_]+"
-LICENSE_LINE = r"(?imdU)^\s*license\s*:\s*([^\r\n#]+)$"
+SPACES = java("", r"[\s_]+")
+LICENSE_LINE = java("imd", C.LICENSE_LINE)
+
+
+def section_pattern(heading: str) -> str:
+    """A markdown section and, as group 2, its body up to the next heading."""
+    level = r"^[ \t]*#{1,6}[ \t]"
+    return java("imsd", rf"{level}*({heading})\b[^\n]*\n(.*?)(?={level}+\S|\z)")
 
 
 def contains_any(text: Column | str, words: Sequence[str]) -> Column:
@@ -56,10 +74,10 @@ def words_found(text: Column | str, words: Sequence[str]) -> Column:
 
 def claim_sections(text: Column | str) -> Column:
     """Markdown parts whose heading line speaks of an evaluation."""
-    parts = F.split(col(text), r"(?U)\n(?=#{1,6}\s)")
+    parts = F.split(col(text), HEADING_SPLIT)
     return F.filter(
         parts,
-        lambda part: F.regexp_extract(part, FIRST_LINE, 0).rlike("(?U)" + C.CLAIM_HEADING),
+        lambda part: F.regexp_extract(part, FIRST_LINE, 0).rlike(CLAIM_HEADING),
     )
 
 
@@ -73,7 +91,7 @@ def has_yaml_metric(text: Column | str) -> Column:
         col(text),
         lambda value: value.contains("model-index")
         & value.contains("metrics:")
-        & value.rlike("(?U)" + C.YAML_VALUE),
+        & value.rlike(YAML_VALUE),
     )
 
 
@@ -192,7 +210,7 @@ def section_body(text: Column, headings: Sequence[str]) -> Column:
     """
 
     def under(heading: str, otherwise: Column) -> Column:
-        pattern = SECTION.format(heading=heading)
+        pattern = section_pattern(heading)
         return let(
             F.regexp_substr(text, F.lit(pattern)),
             lambda section: F.when(
@@ -271,7 +289,7 @@ def _any_of(patterns: Sequence[str]) -> str:
     """One alternation of patterns that all are bounded words."""
     words = [re.fullmatch(r"\\b(.*)\\b", p).group(1) for p in patterns]
     initials = "".join(sorted({w[0] for w in words}))
-    return rf"(?U)(?=[{initials}])\b(?:{'|'.join(words)})\b"
+    return java("", rf"(?=[{initials}])\b(?:{'|'.join(words)})\b")
 
 
 def license_class_score(text: Column | str) -> Column:
@@ -304,7 +322,7 @@ def license_score(readme: Column | str) -> Column:
 def status_code(content: Column | str, lenient: bool = False) -> Column:
     """The status a response text reports, 0 when it reports none."""
     pattern = C.STATUS_CODE_LENIENT if lenient else C.STATUS_CODE
-    found = F.regexp_extract(col(content), "(?U)" + pattern, 1)
+    found = F.regexp_extract(col(content), java("", pattern), 1)
     return F.coalesce(F.nullif(found, F.lit("")).try_cast("double"), F.lit(0.0))
 
 

@@ -66,8 +66,8 @@ def _fact_reader(risky_calls: tuple[str, ...], columns: list[str]):
             try:
                 rows.append(facts(source))
             except Exception:  # not analysable, for example nested too deeply
-                rows.append({})
-        return pd.DataFrame(rows, columns=columns).astype(object)
+                rows.append(dict.fromkeys(columns))
+        return pd.DataFrame({c: pd.Series([r[c] for r in rows], dtype=object) for c in columns})
 
     return read
 

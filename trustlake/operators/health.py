@@ -131,7 +131,11 @@ EXACT_BELOW = 10_000
 
 
 def latency_percentile(
-    requests: DataFrame, fraction: float, name: str, period: str = C.PERIOD
+    requests: DataFrame,
+    fraction: float,
+    name: str,
+    period: str = C.PERIOD,
+    exact_below: int = EXACT_BELOW,
 ) -> DataFrame:
     """One row: exact interpolated percentile of the latest period, 0 without data.
 
@@ -155,8 +159,8 @@ def latency_percentile(
     ).select(
         F.struct(
             ((F.col("n") - 1) * F.lit(fraction)).alias("position"),
-            F.when(F.col("n") < EXACT_BELOW, F.col("lowest")).otherwise(F.col("s")[0]).alias("low"),
-            F.when(F.col("n") < EXACT_BELOW, F.col("highest"))
+            F.when(F.col("n") < exact_below, F.col("lowest")).otherwise(F.col("s")[0]).alias("low"),
+            F.when(F.col("n") < exact_below, F.col("highest"))
             .otherwise(F.col("s")[1])
             .alias("high"),
         )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustlake.sources.scratch import saved
+
 # Rows up to which a narrow table is broadcast.
 BROADCAST_ROWS = 200_000
 HOT_SHARE = 1000
@@ -27,42 +29,42 @@ def lookup_join(
     facts: DataFrame,
     table: DataFrame,
     keys: Sequence[str],
-    spread_by: Sequence[str],
     broadcast_rows: int = BROADCAST_ROWS,
     share: int = HOT_SHARE,
 ) -> DataFrame:
     """Left join to a narrow table with one row per key.
 
-    A table of at most ``broadcast_rows`` (it is counted) is broadcast. A larger
-    one is joined in two ways at once. Rows with a hot key are matched in place
-    against the hot table rows, which are broadcast: fewer than ``share`` rows.
-    In the shuffled join that serves all others, hot rows and rows without a key
-    carry a salt that matches nothing, so they are spread over all partitions.
+    A table of at most ``broadcast_rows`` (it is counted) is broadcast. With a
+    larger one, rows with a hot key are matched in place against the hot table
+    rows, which are broadcast: fewer than ``share`` rows. In the shuffled join
+    that serves all others, hot rows and rows without a key carry their row
+    number, which matches nothing, so they are spread over all partitions. For
+    this the facts are numbered and written once.
 
-    Both sides are read more than once; pass scans or ``saved`` results.
+    ``table`` is read more than once; pass a scan or a ``saved`` result.
     """
     keys = list(keys)
     if table.count() <= broadcast_rows:
         return facts.join(F.broadcast(table), keys, "left")
-    values = [c for c in table.columns if c not in keys]
+    columns, values = facts.columns, [c for c in table.columns if c not in keys]
+    facts = saved(facts.withColumn("_row", F.monotonically_increasing_id()), "facts")
     hot = F.broadcast(hot_keys(facts, keys, share))
     here = table.join(hot, keys, "left_semi").select(*keys, F.struct(*values).alias("_here"))
     no_key: Column = F.lit(False)
     for key in keys:
         no_key = no_key | F.col(key).isNull()
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20)) + 1
-    flagged = facts.join(
-        F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left"
-    ).join(F.broadcast(here), keys, "left")
+    flagged = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").join(
+        F.broadcast(here), keys, "left"
+    )
     salted = flagged.withColumn(
         "_salt",
-        F.when(F.col("_hot").isNotNull() | no_key, salt).otherwise(F.lit(0).cast("long")),
+        F.when(F.col("_hot").isNotNull() | no_key, F.col("_row") + 1).otherwise(F.lit(0)),
     )
     there = table.select(
         *keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_there")
     )
     found = [F.coalesce(F.col(f"_here.{v}"), F.col(f"_there.{v}")).alias(v) for v in values]
-    return salted.join(there, [*keys, "_salt"], "left").select(*facts.columns, *found)
+    return salted.join(there, [*keys, "_salt"], "left").select(*columns, *found)
 
 
 def restrict(

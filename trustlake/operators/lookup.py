@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.functions.numeric import mb_label
+from trustlake.operators.joins import lookup_join, restrict
 
 KEY = ["type", "id"]
 
@@ -18,17 +19,16 @@ def get_artifacts(registry: DataFrame, keys: DataFrame) -> DataFrame:
     """Metadata and data of each requested key.
 
     ``status`` is ``ok``, ``malformed`` (a stored record without name, URL, type
-    or id) or ``not_found``. Keys are the preserved side; whether the registry
-    or the keys are broadcast is left to the size check of the planner.
+    or id) or ``not_found``. If few keys are asked for, the registry scan keeps
+    only their records.
     """
-    stored = registry.select(
+    stored = restrict(registry, keys, KEY).select(
         *KEY, "name", "model_url", "download_url", F.lit(True).alias("_stored")
     )
     malformed = _missing("name") | _missing("model_url") | _missing("type") | _missing("id")
     ok = F.col("status") == "ok"
     return (
-        keys.select(*KEY)
-        .join(stored, KEY, "left")
+        lookup_join(keys.select(*KEY), stored, KEY)
         .withColumn(
             "status",
             F.when(F.col("_stored").isNull(), "not_found")
@@ -49,7 +49,7 @@ def get_artifacts(registry: DataFrame, keys: DataFrame) -> DataFrame:
 def lookup_keys(table: DataFrame, keys: DataFrame) -> DataFrame:
     """Left lookup of many keys, with a ``found`` flag."""
     found = table.withColumn("found", F.lit(True))
-    return keys.join(found, KEY, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return lookup_join(keys, found, KEY).withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def cost(objects: DataFrame) -> DataFrame:

@@ -226,7 +226,7 @@ def _joined(landed: Landed, *facts: Callable[[Landed, DataFrame], DataFrame]) ->
     models = with_model_id(landed.models)
     ids = saved(models.select("model_id").dropna().distinct(), "ids")
     together = reduce(lambda df, fact: df.join(fact(landed, ids), "model_id", "left"), facts, ids)
-    return lookup_join(models, saved(together, "facts"), ["model_id"], ["id"])
+    return lookup_join(models, saved(together, "facts"), ["model_id"])
 
 
 def _info(landed: Landed, ids: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def _code_scores(landed: Landed, models: DataFrame) -> DataFrame:
     )
     scores = code.code_quality(restrict(landed.code_files, repos, ["repo"]))
     table = saved(scores.toDF("code_repo", "code_quality"), "code_scores")
-    found = lookup_join(models, table, ["code_repo"], ["id"])
+    found = lookup_join(models, table, ["code_repo"])
     return found.withColumn(
         "code_quality", F.coalesce("code_quality", F.lit(C.NO_CODE_SCORE))
     )
@@ -322,7 +322,7 @@ def _review_scores(landed: Landed, models: DataFrame) -> DataFrame:
         ]
     )
     table = saved(scores.toDF("review_repo", "reviewedness"), "review_scores")
-    found = lookup_join(models, table, ["review_repo"], ["id"])
+    found = lookup_join(models, table, ["review_repo"])
     return found.withColumn("reviewedness", F.coalesce("reviewedness", F.lit(-1.0)))
 
 

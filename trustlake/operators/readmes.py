@@ -11,6 +11,7 @@ from trustlake import constants as C
 from trustlake.functions import text as T
 from trustlake.functions.files import first_named
 from trustlake.functions.urls import strip
+from trustlake.operators.joins import restrict
 
 
 def rank_in(column: str, order: Sequence[str]) -> Column:
@@ -57,9 +58,10 @@ def landed_readme(ids: DataFrame, files: DataFrame) -> DataFrame:
     texts = fetched(files).where(
         (F.col("file") == "README.md") & (F.col("branch") == C.BRANCHES[0])
     ).select(F.col("repo").alias("model_id"), "text")
+    wanted = restrict(texts, ids, ["model_id"])
     return (
         ids.select("model_id")
-        .join(texts, "model_id", "left")
+        .join(wanted, "model_id", "left")
         .withColumn(
             "text",
             F.when(F.instr("model_id", "/") == 0, "").otherwise(F.coalesce("text", F.lit(""))),

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.functions.numeric import col
+from trustlake.operators.joins import lookup_join, restrict
+from trustlake.sources.scratch import saved
 
 KEY = ["type", "id"]
 
@@ -58,9 +60,12 @@ def delete(registry: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prune_index(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """Drop index lines of deleted artifacts (by default they stay)."""
+    """Drop index lines of deleted artifacts (by default they stay). An id that
+    was registered very often is a hot key of the index.
+    """
     gone = keys.select(F.col("id").cast("string").alias("id"), "type").distinct()
-    return index.join(gone, ["id", "type"], "left_anti")
+    flagged = lookup_join(index, saved(gone.withColumn("_gone", F.lit(True)), "gone"), ["id", "type"])
+    return flagged.where(F.col("_gone").isNull()).drop("_gone")
 
 
 def reset(registry: DataFrame) -> DataFrame:
@@ -102,22 +107,31 @@ def validate_updates(updates: DataFrame, registry: DataFrame) -> DataFrame:
     or ``not_found`` (no such artifact).
     """
     agree = F.col("path_type").eqNullSafe(F.col("type")) & F.col("path_id").eqNullSafe(F.col("id"))
-    stored = registry.select(*KEY).distinct().withColumn("_stored", F.lit(True))
     return (
-        updates.join(stored, KEY, "left")
+        with_stored_flag(updates, registry)
         .withColumn(
             "status",
             F.when(~agree | _blank("name"), "invalid")
-            .when(F.col("_stored").isNull(), "not_found")
+            .when(~F.col("stored"), "not_found")
             .otherwise("ok"),
         )
-        .drop("_stored")
+        .drop("stored")
+    )
+
+
+def with_stored_flag(changes: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds ``stored``: is the (type, id) of a change in the registry? The
+    registry has one row per key; an artifact may be changed very often.
+    """
+    stored = restrict(registry, changes, KEY).select(*KEY, F.lit(True).alias("stored"))
+    return lookup_join(changes, stored, KEY).withColumn(
+        "stored", F.coalesce("stored", F.lit(False))
     )
 
 
 def existing_updates(updates: DataFrame, registry: DataFrame) -> DataFrame:
-    return updates.join(registry.select(*KEY), KEY, "left_semi")
+    return with_stored_flag(updates, registry).where("stored").drop("stored")
 
 
 def missing_updates(updates: DataFrame, registry: DataFrame) -> DataFrame:
-    return updates.join(registry.select(*KEY), KEY, "left_anti")
+    return with_stored_flag(updates, registry).where("not stored").drop("stored")

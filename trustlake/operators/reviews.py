@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trustlake import constants as C
 from trustlake.functions.files import has_extension
 from trustlake.functions.numeric import round3
+from trustlake.operators.joins import lookup_join
 
 PR = ["repo", "number"]
 
@@ -49,8 +50,9 @@ def with_review_flag(prs: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def pr_file_changes(prs: DataFrame, files: DataFrame) -> DataFrame:
-    """Changed files of each PR (inner join; a PR row is unique per key)."""
-    return prs.select(*PR).join(files, PR)
+    """Changed files of the given PRs. A PR with very many files is a hot key."""
+    known = prs.select(*PR, F.lit(True).alias("_known"))
+    return lookup_join(files, known, PR).where("_known").drop("_known")
 
 
 def pr_additions(files: DataFrame) -> DataFrame:

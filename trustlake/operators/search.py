@@ -12,6 +12,8 @@ from trustlake import constants as C
 from trustlake.functions.guard import unsafe_reason
 from trustlake.functions.numeric import col
 from trustlake.functions.text import words_found
+from trustlake.operators.joins import lookup_join, restrict
+from trustlake.sources.scratch import saved
 
 
 def java_pattern(pattern: str) -> str:
@@ -56,10 +58,12 @@ def last_names(name_index: DataFrame) -> DataFrame:
 def name_hits(hits: DataFrame, name_index: DataFrame) -> DataFrame:
     """Attach the last indexed name to hits by id.
 
-    Names are one row per id, so the join never multiplies hits; hits are narrow
-    keys, and a hot id is split by the adaptive skew join.
+    The hits, narrow keys that a scan of all texts has found, are written once.
+    If they are few, only their index lines are looked at.
     """
-    named = hits.join(last_names(name_index), "id", "left")
+    hits = saved(hits.select("type", "id"), "hits")
+    index = restrict(name_index, hits, ["id"])
+    named = lookup_join(hits, saved(last_names(index), "names"), ["id"])
     return named.select(F.coalesce("name", F.lit(C.UNKNOWN_NAME)).alias("name"), "id", "type")
 
 
