@@ -182,7 +182,7 @@ _DEVICE_MEAN = "((((abs(s) - 0e0) + (abs(s) - 0.125e0)) + (abs(s) - 0.25e0)) + (
 TABLES["metric_results"] = f"""select type, id, metric, s,
   case when metric = 'size_score' then {_DEVICE_MEAN} else s end as score from raw_results"""
 
-TABLES["models"] = f"""select 'model' as type, {artifact_id('name')} as id, name,
+TABLES["models"] = f"""select p, 'model' as type, {artifact_id('name')} as id, name,
   case p % 8 when 2 then concat('https://github.com/', name, '.git') when 3 then name
     when 4 then concat(' hf://', name, ' ')
     when 6 then concat('https://huggingface.co/', name, '/tree/main')
@@ -483,10 +483,10 @@ TABLES["rated"] = rated("models")
 TABLES["scored"] = scored("rated")
 TABLES["rated_strict"] = rated("models", strict=True)
 
-_REGISTRATION = """select case when id % 11 = 0 then '' when id % 12 = 0 then null when id % 13 = 0 then 'dataset'
+_REGISTRATION = """select case when p % 11 = 0 then '' when p % 12 = 0 then null when p % 13 = 0 then 'dataset'
       else type end as artifact_type,
-    case when id % 17 = 0 then '' else model_url end as source_url,
-    case when id % 19 <> 0 then name end as name, code_url, dataset_url from models"""
+    case when p % 17 = 0 then '' else model_url end as source_url,
+    case when p % 19 <> 0 then name end as name, code_url, dataset_url from models"""
 TABLES["registrations"] = f"""select *, case when coalesce(artifact_type, '') = '' or source_url = ''
     then 'Missing artifact_type or url' when name is null then 'Missing name' end as error
   from ({_REGISTRATION})"""
@@ -500,10 +500,10 @@ TABLES["decisions"] = f"""select type, id, name, model_url, case when admitted t
     case when error is null then 'created' else 'invalid' end, '', case when error is null then 0e0 end, error
     from registrations where error is not null or artifact_type <> 'model'"""
 
-TABLES["stored_models"] = "select type, id, name, model_url from models where id % 7 <> 0"
-TABLES["updates"] = """select case when id % 11 = 0 then 'code' else type end as path_type,
-    id + case when id % 13 = 0 then 1 else 0 end as path_id, type, id,
-    case when id % 17 = 0 then '' when id % 5 = 0 then concat(name, '-new') else name end as name,
+TABLES["stored_models"] = "select type, id, name, model_url from models where p % 7 <> 0"
+TABLES["updates"] = """select case when p % 11 = 0 then 'code' else type end as path_type,
+    id + case when p % 13 = 0 then 1 else 0 end as path_id, type, id,
+    case when p % 17 = 0 then '' when p % 5 = 0 then concat(name, '-new') else name end as name,
     model_url as url, code_url, dataset_url from models"""
 TABLES["checked_updates"] = """select u.*, case when path_type <> u.type or path_id <> u.id or u.name = '' then 'invalid'
     when s.id is null then 'not_found' else 'ok' end as status

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,15 +13,18 @@ from trustlake.functions.urls import strip
 
 
 def has_extension(filename: Column | str, extensions: Sequence[str]) -> Column:
-    pattern = "(?:" + "|".join(re.escape(e) for e in extensions) + r")\z"
-    return F.lower(col(filename)).rlike(pattern)
+    """Does the part after the last dot, in any case, belong to the list?"""
+    name = col(filename)
+    suffix = F.lower(F.substring_index(name, ".", -1))
+    return name.contains(".") & suffix.isin([e.removeprefix(".") for e in extensions])
 
 
 def is_weight_file(filename: Column | str) -> Column:
     """By extension, or by the first letters of the last path component."""
-    name = F.lower(strip(filename))
-    stems = r"(?:\A|/)(?:" + "|".join(C.WEIGHT_STEMS) + r")[^/]*\z"
-    return has_extension(name, C.WEIGHT_EXTENSIONS) | name.rlike(stems)
+    name = strip(filename)
+    base = F.lower(F.substring_index(name, "/", -1))
+    stems = r"\A(?:" + "|".join(C.WEIGHT_STEMS) + ")"
+    return has_extension(name, C.WEIGHT_EXTENSIONS) | base.rlike(stems)
 
 
 def size_bytes(content_length: Column | str, content_range: Column | str) -> Column:

@@ -25,8 +25,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def clamp01(value: Column | str) -> Column:
     """Limit to [0, 1]; null stays null (``least`` alone would skip it)."""
-    x = col(value)
-    return F.when(x < 0.0, 0.0).when(x > 1.0, 1.0).otherwise(x)
+    return let(col(value), lambda x: F.when(x < 0.0, 0.0).when(x > 1.0, 1.0).otherwise(x))
 
 
 def round3(value: Column | str) -> Column:
@@ -36,6 +35,7 @@ def round3(value: Column | str) -> Column:
     ties such as 0.0625. Away from ties ``rint`` of the product is already the
     answer; at a computed tie the sign of the product's rounding error (exact,
     by splitting the value into two halves) says on which side the value lies.
+    The value is used many times over: pass a column, or bind it with ``let``.
     """
     x = col(value).cast("double")
     scaled = x * 1000.0

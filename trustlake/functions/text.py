@@ -262,7 +262,7 @@ def dataset_quality_score(
         .when(col(described), F.least(F.lit(0.7), F.lit(0.4) + share * 0.3))
         .otherwise(0.0)
     )
-    return round3(score)
+    return let(score, round3)
 
 
 # --- license -------------------------------------------------------------------------

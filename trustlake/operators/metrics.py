@@ -21,7 +21,7 @@ from trustlake.functions import text as T
 from trustlake.functions import urls as U
 from trustlake.operators import code, readmes, reviews, sizes
 from trustlake.operators.joins import lookup_join, restrict
-from trustlake.operators.scores import gate_failures, net_score_of
+from trustlake.operators.scores import gate_failures, with_net_score
 from trustlake.sources.scratch import saved
 
 KEY = ["type", "id"]
@@ -138,11 +138,11 @@ def ramp_up_score() -> Column:
         + F.col("likes_score") * 0.4
         + F.when(F.col("has_examples"), 0.1).otherwise(0.0)
     )
-    return F.when(F.col("has_info") & ~_url_shaped(), N.round3(N.clamp01(score)))
+    return F.when(F.col("has_info") & ~_url_shaped(), N.let(N.clamp01(score), N.round3))
 
 
 def bus_factor_score() -> Column:
-    score = N.round3(F.col("popularity") * 0.6 + F.col("freshness") * 0.4)
+    score = N.let(F.col("popularity") * 0.6 + F.col("freshness") * 0.4, N.round3)
     return F.when(F.col("has_info") & ~_url_shaped(), score).otherwise(0.0)
 
 
@@ -412,7 +412,7 @@ def rate(landed: Landed) -> DataFrame:
     )
     columns = {m: F.col(m) for m in C.METRIC_WEIGHTS}
     return (
-        scored.withColumn("net_score", net_score_of(columns, C.METRIC_WEIGHTS))
+        with_net_score(scored, columns, C.METRIC_WEIGHTS)
         .withColumn("failures", gate_failures(columns, C.ADMISSION_THRESHOLD))
         .withColumn("admitted", F.size("failures") == 0)
     )

@@ -82,10 +82,9 @@ def reviewedness(prs: DataFrame, reviews: DataFrame, files: DataFrame) -> DataFr
         )
         .select(
             "repo",
-            F.when(
-                F.col("total") > 0, round3(F.coalesce("reviewed", F.lit(0)) / F.col("total"))
-            )
+            F.when(F.col("total") > 0, F.coalesce("reviewed", F.lit(0)) / F.col("total"))
             .otherwise(0.0)
-            .alias("score"),
+            .alias("share"),
         )
+        .select("repo", round3("share").alias("score"))
     )

@@ -35,8 +35,10 @@ def widen(results: DataFrame, metrics: Mapping[str, float] = C.METRIC_WEIGHTS) -
     )
 
 
-def net_score_of(columns: Mapping[str, Column | str], weights: Mapping[str, float]) -> Column:
-    """Weighted mean over the scores present, negative ones as zero.
+def with_net_score(
+    wide: DataFrame, columns: Mapping[str, Column | str], weights: Mapping[str, float]
+) -> DataFrame:
+    """Adds ``net_score``: weighted mean of the scores present, negative ones as zero.
 
     Terms are added one by one in the order of the weights: the sum, and with it
     the rounding at ties, is then independent of the partitioning.
@@ -49,7 +51,8 @@ def net_score_of(columns: Mapping[str, Column | str], weights: Mapping[str, floa
             F.greatest(score, F.lit(0.0)) * F.lit(weight)
         )
         used = used + F.when(score.isNull(), 0.0).otherwise(F.lit(weight))
-    return F.when(used > 0, round3(net / used)).otherwise(0.0)
+    mean = F.when(used > 0, net / used).otherwise(0.0)
+    return wide.withColumn("_mean", mean).withColumn("net_score", round3("_mean")).drop("_mean")
 
 
 def net_score(
@@ -57,7 +60,7 @@ def net_score(
 ) -> DataFrame:
     wide = widen(results, weights)
     columns = {m: F.col(m) for m in weights}
-    return wide.select(*KEY, net_score_of(columns, weights).alias("net_score"))
+    return with_net_score(wide, columns, weights).select(*KEY, "net_score")
 
 
 def gate_failures(columns: Mapping[str, Column | str], threshold: float) -> Column:

@@ -364,12 +364,12 @@ def flt_upload_valid(spark, sf):
 
 def updates(spark, sf) -> DataFrame:
     """One update per model; paths, names and keys are wrong for some."""
-    return t.models(spark, sf).selectExpr(
-        "case when id % 11 = 0 then 'code' else type end as path_type",
-        "id + case when id % 13 = 0 then 1 else 0 end as path_id",
+    return t.models_of(t.table(spark, sf, "part")).selectExpr(
+        "case when p % 11 = 0 then 'code' else type end as path_type",
+        "id + case when p % 13 = 0 then 1 else 0 end as path_id",
         "type",
         "id",
-        "case when id % 17 = 0 then '' when id % 5 = 0 then concat(name, '-new') else name end as name",
+        "case when p % 17 = 0 then '' when p % 5 = 0 then concat(name, '-new') else name end as name",
         "model_url as url",
         "code_url",
         "dataset_url",
@@ -377,7 +377,8 @@ def updates(spark, sf) -> DataFrame:
 
 
 def stored_models(spark, sf) -> DataFrame:
-    return t.models(spark, sf).where("id % 7 <> 0").select("type", "id", "name", "model_url")
+    parts = t.table(spark, sf, "part").where("p_partkey % 7 <> 0")
+    return t.models_of(parts).select("type", "id", "name", "model_url")
 
 
 @query

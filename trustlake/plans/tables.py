@@ -124,13 +124,14 @@ def metric_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models_of(table(spark, sf_dir, "part"))
+    return models_of(table(spark, sf_dir, "part")).drop("p")
 
 
 def models_of(parts: DataFrame) -> DataFrame:
-    """Registered models, one per part, with extracted links."""
+    """Registered models, one per part, with extracted links; ``p`` is the part key."""
     rows = parts.selectExpr("p_partkey as p", f"{repo('p_partkey')} as name")
     return rows.select(
+        "p",
         F.lit("model").alias("type"),
         artifact_id("name").alias("id"),
         "name",
@@ -157,10 +158,10 @@ def models_of(parts: DataFrame) -> DataFrame:
 def registrations_of(parts: DataFrame) -> DataFrame:
     """artifact_type, source_url, name, code_url, dataset_url; some incomplete."""
     return models_of(parts).selectExpr(
-        """case when id % 11 = 0 then '' when id % 12 = 0 then null when id % 13 = 0 then 'dataset'
+        """case when p % 11 = 0 then '' when p % 12 = 0 then null when p % 13 = 0 then 'dataset'
              else type end as artifact_type""",
-        "case when id % 17 = 0 then '' else model_url end as source_url",
-        "case when id % 19 <> 0 then name end as name",
+        "case when p % 17 = 0 then '' else model_url end as source_url",
+        "case when p % 19 <> 0 then name end as name",
         "code_url",
         "dataset_url",
     )
