@@ -331,9 +331,15 @@ def reviewedness(landed: Landed) -> DataFrame:
     return result_rows(_review_scores(landed, models), "reviewedness", F.col("reviewedness"))
 
 
+def _reproducibility(landed: Landed, models: DataFrame) -> DataFrame:
+    """Scores of landed replies; their texts stay in the scan stage."""
+    replies = restrict(landed.responses, models, KEY)
+    return replies.select(*KEY, reproducibility_value().alias("reproducibility"))
+
+
 def reproducibility(landed: Landed) -> DataFrame:
-    facts = landed.models.join(landed.responses, KEY, "left")
-    return result_rows(facts, "reproducibility", reproducibility_value())
+    facts = landed.models.join(_reproducibility(landed, landed.models), KEY, "left")
+    return result_rows(facts, "reproducibility", F.col("reproducibility"))
 
 
 # --- registry of metrics ---------------------------------------------------------------
@@ -405,10 +411,9 @@ def rate(landed: Landed) -> DataFrame:
     )
     scored = (
         _review_scores(landed, _code_scores(landed, models))
-        .join(landed.responses, KEY, "left")
-        .withColumn("reproducibility", reproducibility_value())
+        .join(_reproducibility(landed, models), KEY, "left")
         .withColumn("size_score", files_fn.device_mean("devices"))
-        .drop("code_repo", "review_repo", "body")
+        .drop("code_repo", "review_repo")
     )
     columns = {m: F.col(m) for m in C.METRIC_WEIGHTS}
     return (

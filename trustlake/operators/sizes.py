@@ -46,7 +46,7 @@ def files_to_cap(
     inside each block, starting from the sum of the blocks before. A model with
     a third of all files is thus spread over its blocks.
     """
-    blocks = files.withColumn("_block", F.floor(F.col("ord") / block))
+    blocks = files.withColumn("_block", F.expr(f"ord div {block}"))
     before = Window.partitionBy("model_id").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -54,7 +54,9 @@ def joined(column: Column | str) -> Column:
 
 
 def micros(column: str) -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    """Wall-clock time as microseconds, the same in every session time zone."""
+    start = "timestamp_ntz'1970-01-01 00:00:00'"
+    return F.expr(f"timestampdiff(MICROSECOND, {start}, cast({column} as timestamp_ntz))")
 
 
 def digest(column: Column | str) -> Column:
