@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trustlake import constants as C
-from trustlake.functions.numeric import col
+from trustlake.functions.numeric import col, let
 from trustlake.functions.urls import strip
 
 
@@ -21,20 +21,23 @@ def has_extension(filename: Column | str, extensions: Sequence[str]) -> Column:
 
 def is_weight_file(filename: Column | str) -> Column:
     """By extension, or by the first letters of the last path component."""
-    name = strip(filename)
-    base = F.lower(F.substring_index(name, "/", -1))
     stems = r"\A(?:" + "|".join(C.WEIGHT_STEMS) + ")"
-    return has_extension(name, C.WEIGHT_EXTENSIONS) | base.rlike(stems)
+
+    def is_weight(name: Column) -> Column:
+        base = F.lower(F.substring_index(name, "/", -1))
+        return has_extension(name, C.WEIGHT_EXTENSIONS) | base.rlike(stems)
+
+    return let(strip(filename), is_weight)
 
 
 def size_bytes(content_length: Column | str, content_range: Column | str) -> Column:
     """``Content-Length`` if it is a number, else the total in ``Content-Range``."""
-    total = strip(F.regexp_extract(col(content_range), r"(?s)\A[^/]*/(.*)\z", 1))
+    after_slash = F.regexp_extract(col(content_range), r"(?s)\A[^/]*/(.*)\z", 1)
 
     def number(text: Column) -> Column:
-        return F.when(text.rlike(r"\A[0-9]+\z"), text.try_cast("long"))
+        return let(text, lambda t: F.when(t.rlike(r"\A[0-9]+\z"), t.try_cast("long")))
 
-    return F.coalesce(number(col(content_length)), number(total))
+    return F.coalesce(number(col(content_length)), number(strip(after_slash)))
 
 
 def device_scores(total_bytes: Column | str) -> Column:

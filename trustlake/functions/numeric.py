@@ -18,7 +18,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value evaluated once per row.
 
     A Column that is used in several branches of a condition is otherwise
-    evaluated in each of them; with whole texts that is most of the work.
+    evaluated in each of them; with whole texts that is most of the work. It
+    also keeps generated code small: the JVM does not compile methods of more
+    than 8000 bytes, and a filter that repeats its inputs soon gets there.
     """
     return F.transform(F.array(value), body)[0]
 

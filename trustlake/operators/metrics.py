@@ -85,11 +85,9 @@ def info_facts(info: DataFrame, as_of: Column) -> DataFrame:
 
 def listing_facts(siblings: DataFrame) -> DataFrame:
     """Facts from file listings, one pass, combined on the map side."""
-    size = files_fn.size_bytes("content_length", "content_range")
-    counted = files_fn.is_weight_file("rfilename") & (size >= C.MIN_WEIGHT_BYTES)
     name = F.lower("rfilename")
     return siblings.groupBy("model_id").agg(
-        F.sum(F.when(counted, size)).alias("total_bytes"),
+        sizes.counted_bytes().alias("total_bytes"),
         F.max(name == "readme.md").alias("has_readme"),
         F.max(name.endswith(".py")).alias("has_python"),
     )

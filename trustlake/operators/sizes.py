@@ -18,8 +18,10 @@ def sized(siblings: DataFrame) -> DataFrame:
 
 
 def large_enough(files: DataFrame) -> DataFrame:
-    """Files of known size from 5 MiB up."""
-    return files.where(F.col("size_bytes") >= C.MIN_WEIGHT_BYTES)
+    """Files of known size from 5 MiB up. One null-safe comparison, so that the
+    filter evaluates a computed size once.
+    """
+    return files.where(F.coalesce("size_bytes", F.lit(0)) >= C.MIN_WEIGHT_BYTES)
 
 
 def counted_files(siblings: DataFrame) -> DataFrame:
@@ -27,14 +29,20 @@ def counted_files(siblings: DataFrame) -> DataFrame:
 
 
 def total_weight(siblings: DataFrame) -> DataFrame:
-    """Bytes of weight files per model.
+    """Bytes of weight files per model, for models that have any.
 
     A plain sum, combined on the map side: adding stops mattering at the cap,
     because every total from there on falls into the last bucket of each device.
     """
-    return (
-        counted_files(siblings).groupBy("model_id").agg(F.sum("size_bytes").alias("total_bytes"))
-    )
+    totals = siblings.groupBy("model_id").agg(counted_bytes().alias("total_bytes"))
+    return totals.where(F.col("total_bytes").isNotNull())
+
+
+def counted_bytes() -> Column:
+    """Aggregate: sum over the weight files that are large enough."""
+    size = size_bytes("content_length", "content_range")
+    counted = is_weight_file("rfilename") & (size >= C.MIN_WEIGHT_BYTES)
+    return F.sum(F.when(counted, size))
 
 
 def files_to_cap(

@@ -1141,9 +1141,7 @@ def e2e_health(spark, sf):
 
 def log_stream(spark, sf) -> DataFrame:
     """Log lines as a stream over the events file."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return t.log_lines(events)
+    return t.log_lines(t.table_stream(spark, sf, "events"))
 
 
 def streamed(spark, counts: DataFrame) -> DataFrame:
@@ -1168,9 +1166,7 @@ def stream_health_hour(spark, sf):
 @query
 def stream_register(spark, sf):
     root = scratch_dir(spark, "stream")
-    schema = spark.read.parquet(f"{sf}/part.parquet").schema
-    parts = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").parquet(sf)
-    requests = t.registrations_of(parts)
+    requests = t.registrations_of(t.table_stream(spark, sf, "part"))
     landed = t.landed(spark, sf)
     register_stream.run_registrations(
         requests, lambda batch: flows.decide(batch, landed), f"{root}/decisions", f"{root}/checkpoint"

@@ -45,6 +45,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a file stream; the table is a directory or a single file."""
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    if table.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return reader.parquet(path)
+
+
 def repo(number: str) -> str:
     """SQL expression: repository name of a number."""
     return f"concat('org', ({number}) % 97, '/model', {number})"
@@ -192,9 +202,8 @@ def siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_partkey as p",
         "l_orderkey as o",
         "l_linenumber as n",
-        """cast(floor(l_extendedprice * element_at(
-             array(10D, 100D, 1000D, 10000D, 100000D), cast(l_partkey % 5 as int) + 1)) as bigint)
-           as bytes""",
+        """cast(floor(l_extendedprice * case l_partkey % 5 when 0 then 10D when 1 then 100D
+             when 2 then 1000D when 3 then 10000D else 100000D end) as bigint) as bytes""",
     )
     return rows.selectExpr(
         f"{repo('p')} as model_id",
