@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from trustlake import constants as C
 from trustlake.functions.ids import artifact_id
 from trustlake.operators.metrics import Landed
-from trustlake.sources.landing import spread
+from trustlake.sources.landing import read_spread
 
 AS_OF = "2024-02-01T00:00:00Z"
 HEALTH_AS_OF = datetime(2024, 1, 15, 12, 0, 0)
@@ -37,12 +37,20 @@ PATTERNS = [
 ]
 
 
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+HEAVY_TABLES = {
+    "documents": "doc_id",
+    "pages": "page_id",
+    "conversations": "conv_id",
+    "lineitem": "l_orderkey",
+    "part": "p_partkey",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(scan, TEXT_TABLES[name]) if name in TEXT_TABLES else scan
+    path = f"{sf_dir}/{name}.parquet"
+    if name in HEAVY_TABLES:
+        return read_spread(spark, path, HEAVY_TABLES[name])
+    return spark.read.parquet(path)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +14,21 @@ from trustlake.functions.urls import strip
 from trustlake.operators.health import between
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A scan with at least one task per core, for work that is heavy per row.
+@lru_cache(maxsize=1024)
+def _scan_tasks(application: str, path: str) -> int:
+    return SparkSession.active().read.parquet(path).rdd.getNumPartitions()
+
+
+def read_spread(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """A Parquet table with at least one task per core, for work that is heavy per row.
 
     A file of one row group is one task, however many rows it has. Only scans
     with fewer tasks than the cluster has cores are redistributed; large tables
     pass through unshuffled.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
+    scan = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if _scan_tasks(spark.sparkContext.applicationId, path) >= cores:
         return scan
     return scan.repartition(cores, *keys)
 
