@@ -182,7 +182,7 @@ _DEVICE_MEAN = "((((abs(s) - 0e0) + (abs(s) - 0.125e0)) + (abs(s) - 0.25e0)) + (
 TABLES["metric_results"] = f"""select type, id, metric, s,
   case when metric = 'size_score' then {_DEVICE_MEAN} else s end as score from raw_results"""
 
-TABLES["models"] = f"""select p, 'model' as type, {artifact_id('name')} as id, name,
+TABLES["models"] = f"""select p, p_size, 'model' as type, {artifact_id('name')} as id, name,
   case p % 8 when 2 then concat('https://github.com/', name, '.git') when 3 then name
     when 4 then concat(' hf://', name, ' ')
     when 6 then concat('https://huggingface.co/', name, '/tree/main')
@@ -191,7 +191,7 @@ TABLES["models"] = f"""select p, 'model' as type, {artifact_id('name')} as id, n
     when 3 then concat('https://github.com/', name, '/tree/x')
     else concat('https://gitlab.com/', name) end as code_url,
   case when p % 7 < 3 then 'NULL' when p % 7 < 5 then concat('https://data.example/', p) end as dataset_url
-  from (select p_partkey as p, {repo('p_partkey')} as name from part)"""
+  from (select p_partkey as p, p_size, {repo('p_partkey')} as name from part)"""
 
 TABLES["model_info"] = f"""select {repo('p')} as model_id, p,
   case when p % 17 = 0 then 404 else 200 end as status_code,
@@ -500,7 +500,7 @@ TABLES["decisions"] = f"""select type, id, name, model_url, case when admitted t
     case when error is null then 'created' else 'invalid' end, '', case when error is null then 0e0 end, error
     from registrations where error is not null or artifact_type <> 'model'"""
 
-TABLES["stored_models"] = "select type, id, name, model_url from models where p % 7 <> 0"
+TABLES["stored_models"] = "select type, id, name, model_url from models where p_size < 45"
 TABLES["updates"] = """select case when p % 11 = 0 then 'code' else type end as path_type,
     id + case when p % 13 = 0 then 1 else 0 end as path_id, type, id,
     case when p % 17 = 0 then '' when p % 5 = 0 then concat(name, '-new') else name end as name,
@@ -527,7 +527,7 @@ TABLES["logs"] = """select case when event_id % 3 = 0 then 'g0' else concat('g',
   from events"""
 TABLES["api_requests"] = "select ts, value as latency_ms from events"
 TABLES["objects"] = f"""select type, {artifact_id('name')} as id, floor(p_retailprice * 12345)::bigint as length
-  from parts where p % 11 <> 0"""
+  from parts where p_size > 5"""
 TABLES["costs"] = "select type, id, round_even(length / 1048576e0, 0)::bigint as total_cost from objects"
 _GROUPS = ", ".join(f"('{g}')" for g in t.LOG_GROUPS)
 
@@ -588,23 +588,23 @@ q["src_logs"] = f"""select log_group, event_id, message, epoch_us(ts) as ts_us f
 q["src_api_requests"] = f"""select epoch_us(ts) as ts_us, latency_ms from api_requests
   where ts between timestamp '{catalog.LOG_START}' and timestamp '{catalog.LOG_END}'"""
 q["src_object_sizes"] = """select type, seq % 5 as id, sum(strlen(name) + 1)::bigint as length from artifacts group by 1, 2"""
-q["snk_upsert_registry"] = """select type, id, name, case when seq % 3 = 0 then net_score / 2 else net_score end as net_score,
-  seq + case when seq % 3 = 0 then 1000000000 else 0 end as seq from artifacts where seq % 10 <> 0"""
+q["snk_upsert_registry"] = """select type, id, name, case when type = 'model' then net_score / 2 else net_score end as net_score,
+  seq + case when type = 'model' then 1000000000 else 0 end as seq from artifacts where net_score <= 0.9e0"""
 q["snk_append_index"] = """select name, id::varchar as id, type from artifacts
-  union all select name, id::varchar, type from artifacts where seq % 2 = 0"""
+  union all select name, id::varchar, type from artifacts"""
 q["snk_store_readme"] = """select 'model' as type, d as id, case d % 4
     when 0 then case when d % 3 <> 0 then concat('docs/ReadMe_', d) else 'README.md' end
     else case when d % 8 = 1 then 'README.rst' else 'README' end end as path, md5(text) as digest
   from readme_texts where d % 11 <> 0 and d % 4 <> 3 and not (d % 4 = 0 and d % 3 = 0 and d % 9 = 0)
     and not (d % 12 = 2 and d % 4 in (1, 2))"""
-TABLES["delete_keys"] = """select type, id from artifacts where seq % 3 = 1
-  union all select type, -id from artifacts where seq % 3 = 1"""
-q["snk_delete_artifacts"] = """select type, id, 'remaining' as outcome from artifacts where seq % 3 <> 1
-  union all select type, -id, 'not_found' from artifacts where seq % 3 = 1"""
+TABLES["delete_keys"] = """select type, id from artifacts where type = 'dataset'
+  union all select type, -id from artifacts where type = 'dataset'"""
+q["snk_delete_artifacts"] = """select type, id, 'remaining' as outcome from artifacts where type <> 'dataset'
+  union all select type, -id, 'not_found' from artifacts where type = 'dataset'"""
 q["snk_prune_index"] = """select name, id, type from name_index i where not exists
   (select 1 from delete_keys k where k.id::varchar = i.id and k.type = i.type)"""
 q["snk_reset"] = """select type, id, name, net_score / 2 as net_score, seq + 1000000000 as seq from artifacts
-  where seq % 3 = 0 and seq % 10 <> 0"""
+  where type = 'model' and net_score <= 0.9e0"""
 
 # --- queries: filters and projections ----------------------------------------------------
 
@@ -614,8 +614,8 @@ q["flt_name_exact"] = f"""select name, id, type from artifacts
 q["flt_wildcard"] = "select name, id, type from artifacts"
 q["flt_artifact_by_key"] = """select type, id, case when model_url = '' then 'malformed' else 'ok' end as status,
     case when model_url <> '' then name end as name, case when model_url <> '' then model_url end as url,
-    case when model_url <> '' then download_url end as download_url from artifacts where seq % 2 = 0
-  union all select concat(type, 's'), id, 'not_found', null, null, null from artifacts where seq % 2 = 0"""
+    case when model_url <> '' then download_url end as download_url from artifacts
+  union all select concat(type, 's'), id, 'not_found', null, null, null from artifacts"""
 q["flt_registration_valid"] = "select * from registrations"
 q["flt_upload_valid"] = """select seq, artifact_type, model_url, net_score,
     case when artifact_type = '' or model_url = '' or seq % 11 = 0 or net_score is null
@@ -691,8 +691,8 @@ q["join_details"] = """select a.type, a.id, a.name, coalesce(case when a.type =
 q["join_update_exists"] = """select u.type, u.id, s.id is not null as found
   from updates u left join stored_models s on s.type = u.type and s.id = u.id"""
 q["join_keys_lookup"] = """select a.type, a.id, c.total_cost, case when c.id is null then 'not_found' else 'ok' end as status
-    from artifacts a left join costs c on c.type = a.type and c.id = a.id where a.seq % 2 = 0
-  union all select concat(type, 's'), id, null, 'not_found' from artifacts where seq % 2 = 0"""
+    from artifacts a left join costs c on c.type = a.type and c.id = a.id
+  union all select concat(type, 's'), id, null, 'not_found' from artifacts"""
 _PATTERNS = ", ".join(f"({i}, {text(p)})" for i, p in t.PATTERNS)
 q["join_patterns_theta"] = f"""select d, pattern_id from (select d, text from readme_texts
     union all select -1 - seq, name from artifacts) x

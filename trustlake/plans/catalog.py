@@ -228,16 +228,16 @@ def src_object_sizes(spark, sf):
 
 def change_log(spark, sf) -> str:
     """Change log with a first version of every artifact, a second one of every
-    third, and deletions of every tenth.
+    model, and deletions of the best rated.
     """
     root = scratch_dir(spark, "changes")
     records = t.artifacts(spark, sf).select("type", "id", "name", "net_score", "seq")
     sinks.append_changes(records, root)
-    later = records.where("seq % 3 = 0").withColumns(
+    later = records.where("type = 'model'").withColumns(
         {"seq": F.col("seq") + 1_000_000_000, "net_score": F.col("net_score") / 2}
     )
     sinks.append_changes(later, root)
-    gone = records.where("seq % 10 = 0").withColumn("seq", F.col("seq") + 2_000_000_000)
+    gone = records.where("net_score > 0.9").withColumn("seq", F.col("seq") + 2_000_000_000)
     sinks.append_changes(gone, root, "delete")
     return root
 
@@ -253,7 +253,7 @@ def snk_append_index(spark, sf):
     root = scratch_dir(spark, "index")
     index = t.artifacts(spark, sf)
     sinks.append_index_lines(index, root)
-    sinks.append_index_lines(index.where("seq % 2 = 0"), root)
+    sinks.append_index_lines(index, root)
     return landing.read_name_index(spark, root).drop("seq")
 
 
@@ -284,8 +284,8 @@ def snk_store_readme(spark, sf):
 
 
 def delete_keys(spark, sf) -> DataFrame:
-    """Keys to delete: every third artifact, and as many that do not exist."""
-    keys = t.artifacts(spark, sf).where("seq % 3 = 1").select("type", "id")
+    """Keys to delete: all data sets, and as many that do not exist."""
+    keys = t.artifacts(spark, sf).where("type = 'dataset'").select("type", "id")
     return keys.unionByName(keys.select("type", (-F.col("id")).alias("id")))
 
 
@@ -334,8 +334,8 @@ def flt_wildcard(spark, sf):
 
 
 def lookup_keys(spark, sf) -> DataFrame:
-    """Every second artifact, and as many keys under the wrong type."""
-    keys = t.artifacts(spark, sf).where("seq % 2 = 0").select("type", "id")
+    """Every artifact, and as many keys under the wrong type."""
+    keys = t.artifacts(spark, sf).select("type", "id")
     return keys.unionByName(keys.selectExpr("concat(type, 's') as type", "id"))
 
 
@@ -379,7 +379,7 @@ def updates(spark, sf) -> DataFrame:
 
 
 def stored_models(spark, sf) -> DataFrame:
-    parts = t.table(spark, sf, "part").where("p_partkey % 7 <> 0")
+    parts = t.table(spark, sf, "part").where("p_size < 45")
     return t.models_of(parts).select("type", "id", "name", "model_url")
 
 
