@@ -1,7 +1,7 @@
 """The ten trust metrics over tables of models and landed inputs.
 
 Each metric is a Column over narrow facts. Facts are derived where their table
-is scanned (``info_facts``, ``listing_facts``, ``readme_facts``, ``claims``),
+is scanned (``info_facts``, ``listing_facts``, ``text_facts``, ``page_links``),
 so that texts and listings never travel through a join.
 """
 
@@ -66,9 +66,16 @@ def with_model_id(models: DataFrame) -> DataFrame:
     return models.withColumn("model_id", U.model_id("model_url"))
 
 
+def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The greatest row of each key: copies collapse on the map side."""
+    rest = [c for c in df.columns if c not in keys]
+    greatest = df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row"))
+    return greatest.select(*keys, "_row.*")
+
+
 def info_facts(info: DataFrame, as_of: Column) -> DataFrame:
     """Facts from hub metadata; failed fetches leave no row."""
-    return info.where(F.col("status_code") == 200).select(
+    facts = info.where(F.col("status_code") == 200).select(
         "model_id",
         F.lit(True).alias("has_info"),
         (F.coalesce("sha", F.lit("")) != "").alias("has_sha"),
@@ -81,6 +88,7 @@ def info_facts(info: DataFrame, as_of: Column) -> DataFrame:
             "datasets"
         ),
     )
+    return one_per_key(facts, ["model_id"])
 
 
 def listing_facts(siblings: DataFrame) -> DataFrame:
@@ -93,18 +101,12 @@ def listing_facts(siblings: DataFrame) -> DataFrame:
     )
 
 
-def main_readmes(repo_files: DataFrame) -> DataFrame:
-    """READMEs of branch ``main`` of repositories named ``owner/repo``."""
-    return readmes.fetched(repo_files).where(
-        (F.col("file") == "README.md")
-        & (F.col("branch") == C.BRANCHES[0])
-        & (F.instr("repo", "/") > 0)
-    ).select(F.col("repo").alias("model_id"), "text")
-
-
 def page_links(pages: DataFrame) -> DataFrame:
     link = U.repo_link("html", html=True)
-    return pages.select("model_id", F.concat_ws("/", link["owner"], link["repo"]).alias("page_repo"))
+    links = pages.select(
+        "model_id", F.concat_ws("/", link["owner"], link["repo"]).alias("page_repo")
+    )
+    return one_per_key(links, ["model_id"])
 
 
 def with_review_repo(models: DataFrame) -> DataFrame:
@@ -241,7 +243,7 @@ def _files(landed: Landed, ids: DataFrame) -> DataFrame:
 
 
 def _readmes(landed: Landed, ids: DataFrame) -> DataFrame:
-    return readmes.readme_facts(main_readmes(_files(landed, ids)))
+    return readmes.readme_facts(_files(landed, ids))
 
 
 def _claims(landed: Landed, ids: DataFrame) -> DataFrame:
@@ -332,7 +334,8 @@ def reviewedness(landed: Landed) -> DataFrame:
 def _reproducibility(landed: Landed, models: DataFrame) -> DataFrame:
     """Scores of landed replies; their texts stay in the scan stage."""
     replies = restrict(landed.responses, models, KEY)
-    return replies.select(*KEY, reproducibility_value().alias("reproducibility"))
+    scored = replies.select(*KEY, reproducibility_value().alias("reproducibility"))
+    return one_per_key(scored, KEY)
 
 
 def reproducibility(landed: Landed) -> DataFrame:

@@ -81,31 +81,6 @@ def first_nonblank(
     )
 
 
-def claims(files: DataFrame) -> DataFrame:
-    """(repo, score): does the first non-blank file state measured results?
-
-    Texts are judged where they are scanned. What is shuffled is one flag per
-    file, never a text.
-    """
-    ranked = fetched(files).select(
-        "repo",
-        rank_in("branch", C.BRANCHES).alias("branch_rank"),
-        rank_in("file", C.CLAIM_FILES).alias("file_rank"),
-        (strip("text") == "").alias("blank"),
-        T.has_claims("text").alias("claims"),
-        F.col("file").isin(list(C.REPO_FILES)).alias("candidate"),
-    ).where("candidate and branch_rank is not null and file_rank is not null")
-    per_file = ranked.groupBy("repo", "file_rank").agg(
-        F.min_by(F.struct("blank", "claims"), "branch_rank").alias("pick")
-    )
-    return (
-        per_file.where(~F.col("pick.blank"))
-        .groupBy("repo")
-        .agg(F.min_by("pick.claims", "file_rank").alias("claims"))
-        .select("repo", F.col("claims").cast("double").alias("score"))
-    )
-
-
 README_FACTS = (
     "blank", "license", "python_signal", "trusted", "quality_hits", "has_section",
 )
@@ -117,31 +92,24 @@ def _with_scope(files: DataFrame) -> DataFrame:
     return files.withColumn("section", T.dataset_section("text")).withColumn("scope", scope)
 
 
-def _readme_columns() -> list[Column]:
-    return [
-        (strip("text") == "").alias("blank"),
-        T.license_score("text").alias("license"),
-        T.has_python_signal("text").alias("python_signal"),
-        T.words_found("scope", C.TRUSTED_DATASETS).alias("trusted"),
-        T.quality_hits("scope").alias("quality_hits"),
-        (F.col("section") != "").alias("has_section"),
-    ]
-
-
-def readme_facts(readmes: DataFrame) -> DataFrame:
-    """Everything the metrics need to know about README texts, without the text.
-
-    Computed in the scan stage, so that joins on ``model_id`` carry a few narrow
-    columns instead of documents.
-    """
-    return _with_scope(readmes.select("model_id", "text")).select("model_id", *_readme_columns())
+def _readme_columns() -> dict[str, Column]:
+    return {
+        "blank": strip("text") == "",
+        "license": T.license_score("text"),
+        "python_signal": T.has_python_signal("text"),
+        "trusted": T.words_found("scope", C.TRUSTED_DATASETS),
+        "quality_hits": T.quality_hits("scope"),
+        "has_section": F.col("section") != "",
+    }
 
 
 def text_facts(files: DataFrame) -> DataFrame:
-    """``readme_facts`` and ``claims`` of every repository in one pass.
+    """All that the metrics need to know about texts, without the texts: one row
+    per repository with the facts of its README (branch ``main``) and ``claims``.
 
-    Each text is read and judged once; one narrow row per file is then combined
-    per repository.
+    Each text is read and judged once, in the scan stage. One narrow row per file
+    is then combined per repository, on the map side first, so copies of a file
+    cost nothing further. Columns that a caller drops are not computed.
     """
     is_readme = (F.col("file") == "README.md") & (F.col("branch") == C.BRANCHES[0])
     own_readme = is_readme & (F.instr("repo", "/") > 0)
@@ -150,7 +118,7 @@ def text_facts(files: DataFrame) -> DataFrame:
         F.col("repo").alias("model_id"),
         "file",
         rank_in("branch", C.BRANCHES).alias("branch_rank"),
-        F.when(own_readme, F.struct(*_readme_columns())).alias("readme"),
+        *[F.when(own_readme, fact).alias(name) for name, fact in _readme_columns().items()],
         F.when(
             F.col("file").isin(list(C.CLAIM_FILES)),
             F.struct((strip("text") == "").alias("blank"), T.has_claims("text").alias("claims")),
@@ -162,7 +130,7 @@ def text_facts(files: DataFrame) -> DataFrame:
         for i, f in enumerate(C.CLAIM_FILES)
     ]
     combined = judged.groupBy("model_id").agg(
-        F.max_by("readme", F.col("readme").isNotNull()).alias("readme"), *picks
+        *[F.max(name).alias(name) for name in README_FACTS], *picks
     )
     first = F.coalesce(
         *[
@@ -172,11 +140,24 @@ def text_facts(files: DataFrame) -> DataFrame:
     )
     return combined.select(
         "model_id",
-        *[F.col(f"readme.{c}").alias(c) for c in README_FACTS],
+        *README_FACTS,
         first.cast("double").alias("claims"),
     )
 
 
+def readme_facts(files: DataFrame) -> DataFrame:
+    """Facts of the READMEs alone, for repositories that have one."""
+    return text_facts(files).select("model_id", *README_FACTS).where("blank is not null")
+
+
+def claims(files: DataFrame) -> DataFrame:
+    """(repo, score): does the first non-blank file state measured results?"""
+    scores = text_facts(files).select(
+        F.col("model_id").alias("repo"), F.col("claims").alias("score")
+    )
+    return scores.where("score is not null")
+
+
 def stored_readme(landed: DataFrame) -> DataFrame:
     """Which README is stored for a registered artifact.
 

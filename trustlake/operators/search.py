@@ -17,8 +17,9 @@ from trustlake.sources.scratch import saved
 
 
 def java_pattern(pattern: str) -> str:
-    """The pattern with the flags that give it its Python meaning."""
-    return "(?iudU)" + pattern
+    """The pattern with the flags and group syntax that give it its Python meaning."""
+    java = pattern.replace("(?P<", "(?<").replace(r"\Z", r"\z")
+    return "(?iudU)" + java
 
 
 def check_pattern(df: DataFrame, pattern: str) -> None:
