@@ -294,3 +294,19 @@ def test_stream_drops_nothing_on_replay(spark, tmp_path):
     streamed = stream_health.read_counts(spark, str(tmp_path / "counts"))
     batch = stream_health.window_counts(logs)
     assert sorted(map(str, streamed.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_join_built(spark, broadcast_rows):
+    facts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "z")], "n int, k string")
+    landed = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5), ("c", 9)], "key string, v int")
+    seen = []
+
+    def build(wanted, keep):
+        rows = keep(landed, ["key"])
+        seen.append((wanted.count(), rows.count()))
+        return rows.groupBy(F.col("key").alias("k")).agg(F.sum("v").alias("v"))
+
+    got = joins.join_built(facts, ["k"], build, broadcast_rows=broadcast_rows)
+    assert {r.n: r.v for r in got.collect()} == {1: 3, 2: 3, 3: 5, 4: None, 5: None}
+    assert seen == [(3, 3 if broadcast_rows else 4)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +67,37 @@ def lookup_join(
     return salted.join(there, [*keys, "_salt"], "left").select(*columns, *found)
 
 
+Keep = Callable[[DataFrame, Sequence[str]], DataFrame]
+
+
+def join_built(
+    facts: DataFrame,
+    keys: Sequence[str],
+    build: Callable[[DataFrame, Keep], DataFrame],
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Left join to a table that is built for the keys in use.
+
+    ``build(wanted, keep)`` gets the distinct keys and returns one row for each
+    that it knows. ``keep(table, columns)`` filters a landed table by the keys,
+    inside its scan, if at most ``broadcast_rows`` are wanted. The built table
+    is then no larger and is broadcast; otherwise it is written once and looked
+    up with care for hot keys.
+    """
+    keys = list(keys)
+    wanted = saved(facts.select(*keys).dropna().distinct(), "wanted")
+    few = wanted.count() <= broadcast_rows
+
+    def keep(table: DataFrame, columns: Sequence[str]) -> DataFrame:
+        named = wanted.toDF(*columns)
+        return table.join(F.broadcast(named), list(columns), "left_semi") if few else table
+
+    table = build(wanted, keep)
+    if few:
+        return facts.join(F.broadcast(table), keys, "left")
+    return lookup_join(facts, saved(table, "built"), keys, broadcast_rows)
+
+
 def restrict(
     table: DataFrame, wanted: DataFrame, keys: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

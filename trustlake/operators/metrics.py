@@ -20,7 +20,7 @@ from trustlake.functions import numeric as N
 from trustlake.functions import text as T
 from trustlake.functions import urls as U
 from trustlake.operators import code, readmes, reviews, sizes
-from trustlake.operators.joins import lookup_join, restrict
+from trustlake.operators.joins import Keep, join_built, restrict
 from trustlake.operators.scores import gate_failures, with_net_score
 from trustlake.sources.scratch import saved
 
@@ -218,46 +218,44 @@ def result_rows(df: DataFrame, metric: str, score: Column, devices: Column | Non
     )
 
 
-def _joined(landed: Landed, *facts: Callable[[Landed, DataFrame], DataFrame]) -> DataFrame:
+Facts = Callable[[Landed, Keep], DataFrame]
+
+
+def _joined(landed: Landed, *facts: Facts) -> DataFrame:
     """Models with the given facts, one row per model.
 
     Facts are first brought together per distinct model id, where no key is hot.
     """
-    models = with_model_id(landed.models)
-    ids = saved(models.select("model_id").dropna().distinct(), "ids")
-    together = reduce(lambda df, fact: df.join(fact(landed, ids), "model_id", "left"), facts, ids)
-    return lookup_join(models, saved(together, "facts"), ["model_id"])
 
+    def build(ids: DataFrame, keep: Keep) -> DataFrame:
+        tables = [fact(landed, keep) for fact in facts]
+        return reduce(lambda df, table: df.join(table, "model_id", "left"), tables, ids)
 
-def _info(landed: Landed, ids: DataFrame) -> DataFrame:
-    return info_facts(restrict(landed.info, ids, ["model_id"]), landed.as_of)
+    return join_built(with_model_id(landed.models), ["model_id"], build)
 
 
-def _listing(landed: Landed, ids: DataFrame) -> DataFrame:
-    return listing_facts(restrict(landed.siblings, ids, ["model_id"]))
+def _info(landed: Landed, keep: Keep) -> DataFrame:
+    return info_facts(keep(landed.info, ["model_id"]), landed.as_of)
 
 
-def _files(landed: Landed, ids: DataFrame) -> DataFrame:
-    repos = ids.withColumnRenamed("model_id", "repo")
-    return restrict(landed.repo_files, repos, ["repo"])
+def _listing(landed: Landed, keep: Keep) -> DataFrame:
+    return listing_facts(keep(landed.siblings, ["model_id"]))
 
 
-def _readmes(landed: Landed, ids: DataFrame) -> DataFrame:
-    return readmes.readme_facts(_files(landed, ids))
+def _readmes(landed: Landed, keep: Keep) -> DataFrame:
+    return readmes.readme_facts(keep(landed.repo_files, ["repo"]))
 
 
-def _claims(landed: Landed, ids: DataFrame) -> DataFrame:
-    return readmes.claims(_files(landed, ids)).select(
-        F.col("repo").alias("model_id"), F.col("score").alias("claims")
-    )
+def _claims(landed: Landed, keep: Keep) -> DataFrame:
+    return readmes.claims(keep(landed.repo_files, ["repo"])).toDF("model_id", "claims")
 
 
-def _texts(landed: Landed, ids: DataFrame) -> DataFrame:
-    return readmes.text_facts(_files(landed, ids))
+def _texts(landed: Landed, keep: Keep) -> DataFrame:
+    return readmes.text_facts(keep(landed.repo_files, ["repo"]))
 
 
-def _pages(landed: Landed, ids: DataFrame) -> DataFrame:
-    return page_links(restrict(landed.pages, ids, ["model_id"]))
+def _pages(landed: Landed, keep: Keep) -> DataFrame:
+    return page_links(keep(landed.pages, ["model_id"]))
 
 
 def ramp_up_time(landed: Landed) -> DataFrame:
@@ -294,12 +292,12 @@ def dataset_quality(landed: Landed) -> DataFrame:
 
 def _code_scores(landed: Landed, models: DataFrame) -> DataFrame:
     """Adds ``code_quality`` to models with a ``code_repo``."""
-    repos = saved(
-        models.select(F.col("code_repo").alias("repo")).dropna().distinct(), "code_repos"
-    )
-    scores = code.code_quality(restrict(landed.code_files, repos, ["repo"]))
-    table = saved(scores.toDF("code_repo", "code_quality"), "code_scores")
-    found = lookup_join(models, table, ["code_repo"])
+
+    def build(repos: DataFrame, keep: Keep) -> DataFrame:
+        scores = code.code_quality(keep(landed.code_files, ["repo"]))
+        return scores.toDF("code_repo", "code_quality")
+
+    found = join_built(models, ["code_repo"], build)
     return found.withColumn(
         "code_quality", F.coalesce("code_quality", F.lit(C.NO_CODE_SCORE))
     )
@@ -312,17 +310,13 @@ def code_quality(landed: Landed) -> DataFrame:
 
 def _review_scores(landed: Landed, models: DataFrame) -> DataFrame:
     """Adds ``reviewedness`` to models with a ``review_repo``."""
-    repos = saved(
-        models.select(F.col("review_repo").alias("repo")).dropna().distinct(), "review_repos"
-    )
-    scores = reviews.reviewedness(
-        *[
-            restrict(table, repos, ["repo"])
-            for table in (landed.prs, landed.reviews, landed.pr_files)
-        ]
-    )
-    table = saved(scores.toDF("review_repo", "reviewedness"), "review_scores")
-    found = lookup_join(models, table, ["review_repo"])
+
+    def build(repos: DataFrame, keep: Keep) -> DataFrame:
+        activity = (landed.prs, landed.reviews, landed.pr_files)
+        scores = reviews.reviewedness(*[keep(table, ["repo"]) for table in activity])
+        return scores.toDF("review_repo", "reviewedness")
+
+    found = join_built(models, ["review_repo"], build)
     return found.withColumn("reviewedness", F.coalesce("reviewedness", F.lit(-1.0)))
 
 

@@ -12,7 +12,7 @@ from trustlake import constants as C
 from trustlake.functions.guard import unsafe_reason
 from trustlake.functions.numeric import col
 from trustlake.functions.text import words_found
-from trustlake.operators.joins import lookup_join, restrict
+from trustlake.operators.joins import Keep, join_built
 from trustlake.sources.scratch import saved
 
 
@@ -62,9 +62,11 @@ def name_hits(hits: DataFrame, name_index: DataFrame) -> DataFrame:
     The hits, narrow keys that a scan of all texts has found, are written once.
     If they are few, only their index lines are looked at.
     """
-    hits = saved(hits.select("type", "id"), "hits")
-    index = restrict(name_index, hits, ["id"])
-    named = lookup_join(hits, saved(last_names(index), "names"), ["id"])
+
+    def build(ids: DataFrame, keep: Keep) -> DataFrame:
+        return last_names(keep(name_index, ["id"]))
+
+    named = join_built(saved(hits.select("type", "id"), "hits"), ["id"], build)
     return named.select(F.coalesce("name", F.lit(C.UNKNOWN_NAME)).alias("name"), "id", "type")
 
 
