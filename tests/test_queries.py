@@ -7,6 +7,8 @@ from collections import Counter
 import duckdb
 import pytest
 
+from trustlake.operators import joins
+
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -44,5 +46,19 @@ def test_query(spark, duck, key):
     assert got == Counter(tuple(plain(r[i]) for i in order) for r in result.fetchall())
 
 
+LOOKUPS = [
+    "met_all", "met_code_quality", "e2e_update", "e2e_search", "join_readme_name", "join_pr_files",
+    "join_keys_lookup", "flt_artifact_by_key", "flt_update_valid", "join_update_exists",
+    "snk_prune_index", "src_landed_readme",
+]
+
+
+@pytest.mark.parametrize("key", LOOKUPS)
+def test_query_without_small_tables(spark, duck, key, monkeypatch):
+    """The same results when no table counts as small enough to be broadcast."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    test_query(spark, duck, key)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 200

@@ -14,6 +14,11 @@ BROADCAST_ROWS = 200_000
 HOT_SHARE = 1000
 
 
+def is_small(table: DataFrame, rows: int | None = None) -> bool:
+    """Is the table, which is counted, small enough to be broadcast?"""
+    return table.count() <= (BROADCAST_ROWS if rows is None else rows)
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys that each hold more than ``1 / share`` of the rows.
 
@@ -29,7 +34,7 @@ def lookup_join(
     facts: DataFrame,
     table: DataFrame,
     keys: Sequence[str],
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
     share: int = HOT_SHARE,
 ) -> DataFrame:
     """Left join to a narrow table with one row per key.
@@ -44,7 +49,7 @@ def lookup_join(
     ``table`` is read more than once; pass a scan or a ``saved`` result.
     """
     keys = list(keys)
-    if table.count() <= broadcast_rows:
+    if is_small(table, broadcast_rows):
         return facts.join(F.broadcast(table), keys, "left")
     columns, values = facts.columns, [c for c in table.columns if c not in keys]
     facts = saved(facts.withColumn("_row", F.monotonically_increasing_id()), "facts")
@@ -74,7 +79,7 @@ def join_built(
     facts: DataFrame,
     keys: Sequence[str],
     build: Callable[[DataFrame, Keep], DataFrame],
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Left join to a table that is built for the keys in use.
 
@@ -86,7 +91,7 @@ def join_built(
     """
     keys = list(keys)
     wanted = saved(facts.select(*keys).dropna().distinct(), "wanted")
-    few = wanted.count() <= broadcast_rows
+    few = is_small(wanted, broadcast_rows)
 
     def keep(table: DataFrame, columns: Sequence[str]) -> DataFrame:
         named = wanted.toDF(*columns)
@@ -99,7 +104,7 @@ def join_built(
 
 
 def restrict(
-    table: DataFrame, wanted: DataFrame, keys: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
+    table: DataFrame, wanted: DataFrame, keys: Sequence[str], broadcast_rows: int | None = None
 ) -> DataFrame:
     """Only rows with a wanted key, if the wanted keys are few enough to be
     broadcast (they are counted); otherwise the whole table.
@@ -107,6 +112,6 @@ def restrict(
     It keeps heavy scans short when little is asked for. Callers join to the
     wanted keys afterwards in either case.
     """
-    if wanted.count() > broadcast_rows:
+    if not is_small(wanted, broadcast_rows):
         return table
     return table.join(F.broadcast(wanted.select(*keys).distinct()), list(keys), "left_semi")

@@ -25,7 +25,7 @@ def get_artifacts(registry: DataFrame, keys: DataFrame) -> DataFrame:
     stored = restrict(registry, keys, KEY).select(
         *KEY, "name", "model_url", "download_url", F.lit(True).alias("_stored")
     )
-    malformed = _missing("name") | _missing("model_url") | _missing("type") | _missing("id")
+    malformed = _missing("name") | _missing("model_url") | _missing("type") | (F.col("id") == 0)
     ok = F.col("status") == "ok"
     return (
         lookup_join(keys.select(*KEY), stored, KEY)
