@@ -310,3 +310,16 @@ def test_join_built(spark, broadcast_rows):
     got = joins.join_built(facts, ["k"], build, broadcast_rows=broadcast_rows)
     assert {r.n: r.v for r in got.collect()} == {1: 3, 2: 3, 3: 5, 4: None, 5: None}
     assert seen == [(3, 3 if broadcast_rows else 4)]
+
+
+def test_update_existence(spark):
+    stored = spark.createDataFrame([record(1), record(2)], RECORD)
+    updates = spark.createDataFrame(
+        [("model", 1, "model", 1, "a"), ("model", 1, "model", 1, ""), ("code", 2, "model", 2, "b"),
+         ("model", 9, "model", 9, "c")],
+        "path_type string, path_id long, type string, id long, name string",
+    )
+    statuses = sorted(r.status for r in registry.validate_updates(updates, stored).collect())
+    assert statuses == ["invalid", "invalid", "not_found", "ok"]
+    assert sorted(r.id for r in registry.existing_updates(updates, stored).collect()) == [1, 1, 2]
+    assert [r.id for r in registry.missing_updates(updates, stored).collect()] == [9]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.functions.numeric import col
-from trustlake.operators.joins import lookup_join, restrict
+from trustlake.operators.joins import Keep, join_built, lookup_join
 from trustlake.sources.scratch import saved
 
 KEY = ["type", "id"]
@@ -123,10 +123,12 @@ def with_stored_flag(changes: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``stored``: is the (type, id) of a change in the registry? The
     registry has one row per key; an artifact may be changed very often.
     """
-    stored = restrict(registry, changes, KEY).select(*KEY, F.lit(True).alias("stored"))
-    return lookup_join(changes, stored, KEY).withColumn(
-        "stored", F.coalesce("stored", F.lit(False))
-    )
+
+    def build(wanted: DataFrame, keep: Keep) -> DataFrame:
+        return keep(registry, KEY).select(*KEY, F.lit(True).alias("stored"))
+
+    flagged = join_built(changes, KEY, build)
+    return flagged.withColumn("stored", F.coalesce("stored", F.lit(False)))
 
 
 def existing_updates(updates: DataFrame, registry: DataFrame) -> DataFrame:

@@ -518,11 +518,8 @@ def join_details(spark, sf):
 
 @query
 def join_update_exists(spark, sf):
-    changes, stored = updates(spark, sf), stored_models(spark, sf)
-    return unioned(
-        registry.existing_updates(changes, stored).select("type", "id", F.lit(True).alias("found")),
-        registry.missing_updates(changes, stored).select("type", "id", F.lit(False).alias("found")),
-    )
+    flagged = registry.with_stored_flag(updates(spark, sf), stored_models(spark, sf))
+    return flagged.select("type", "id", F.col("stored").alias("found"))
 
 
 @query
