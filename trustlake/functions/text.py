@@ -295,9 +295,13 @@ def _any_of(patterns: Sequence[str]) -> str:
 def license_class_score(text: Column | str) -> Column:
     """0 restrictive, 0.5 unclear, 1 permissive and compatible, else 0."""
 
+    every = C.LICENSE_RESTRICTIVE + C.LICENSE_UNCLEAR + C.LICENSE_PERMISSIVE
+
     def score(value: Column) -> Column:
+        # One pass settles texts that name no license at all.
         return (
-            F.when(value.rlike(_any_of(C.LICENSE_RESTRICTIVE)), 0.0)
+            F.when(~value.rlike(_any_of(every)), 0.0)
+            .when(value.rlike(_any_of(C.LICENSE_RESTRICTIVE)), 0.0)
             .when(value.rlike(_any_of(C.LICENSE_UNCLEAR)), 0.5)
             .when(
                 value.rlike(_any_of(C.LICENSE_PERMISSIVE)),
