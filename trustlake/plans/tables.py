@@ -268,7 +268,7 @@ README_TAIL = r"""case d % 9
   when 6 then '\n| Metric | Accuracy |\n|---|---|\n| a | 91 |\n| b | 92.5 |\n'
   when 7 then concat('\nversion 2024-01-05 released, f1 ', d % 40, ' todo\n')
   when 8 then concat('\n---\nmodel-index:\n metrics:\n  - value: 0.', d, '\n')
-  else case when d % 2 = 0
+  else case when d % 36 <> 9
     then '\nlicense: mit\n## Data\nWikipedia, BookCorpus\n## Evaluation\naccuracy 92%\n'
     else '\nLicensed under the OpenRAIL license\n' end end"""
 
