@@ -114,12 +114,13 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         .where(~F.col("kept") | (F.col("rows") > 1)),
         "copies",
     )
-    mark = f"_digest_{uuid.uuid4().hex[:8]}"
+    mark, number, sha = (f"_{uuid.uuid4().hex}" for _ in range(3))
     rows = docs.withColumn(mark, digest(docs["text"]))
 
     def listed(keys: DataFrame, how: str) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("k"), F.col("digest").alias("d"))
-        return rows.join(keys, rows["doc_id"].eqNullSafe(F.col("k")) & (rows[mark] == F.col("d")), how)
+        keys = keys.select(F.col("doc_id").alias(number), F.col("digest").alias(sha))
+        same = F.col("doc_id").eqNullSafe(F.col(number)) & (F.col(mark) == F.col(sha))
+        return rows.join(keys, same, how)
 
     again = listed(gone.where("kept"), "left_semi").dropDuplicates(["doc_id", mark])
-    return listed(gone, "left_anti").unionByName(again).select(*[rows[c] for c in docs.columns])
+    return listed(gone, "left_anti").unionByName(again).drop(mark)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustlake.llm import language, secret_scan
 from trustlake.llm.exact_dedup import DigestIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def fold(modulus: int, held: int) -> Column:
+    """Is this one of the held-out documents? Those without a number are not."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    return F.coalesce(number % modulus == held, F.lit(False))
+
+
+def sha256(column: Column) -> Column:
+    return F.sha2(column.cast("binary"), 256)
+
+
 @query(
     """
     select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
@@ -40,3 +51,32 @@ def op7_exact_dedup(spark, sf):
     return decided.select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
+
+
+@query()
+def op9_language_id(spark, sf):
+    docs = table(spark, sf, "documents")
+    texts = language.sample(docs.where(F.col("doc_id").isNotNull() & ~fold(4, 2)))
+    found = language.identify(docs, texts)
+    return found.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_secret_scan(spark, sf):
+    found = secret_scan.scan(table(spark, sf, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        "doc_id",
+        *[number(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        sha256(joined(base)).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
