@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import cut, salt, scratch_dir
+from trustlake.llm.common import cut, place, scratch_dir
 
 
 def digest(text: str | Column = "text") -> Column:
@@ -76,25 +76,18 @@ class DigestIndex:
         index knows the text already: then its document stays. ``group_size``
         counts the rows of the batch.
 
-        Copies are counted by (digest, salt) before they meet, and each such cell
-        gets its answer before it is joined to the rows, so a text that holds a
-        third of all rows is spread over ``SALTS`` parts.
+        Copies are counted where they are scanned before they meet, and ``place``
+        spreads the rows of a text that holds a third of all rows.
         """
-        rows = cut(
-            docs.select("doc_id", digest().alias("digest"), salt("doc_id").alias("salt")), "digests"
-        )
-        cells = rows.groupBy("digest", "salt").agg(
-            F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")
-        )
-        totals = cells.groupBy("digest").agg(
-            F.max("last").alias("keep_id"), F.sum("n").alias("group_size")
+        rows = cut(docs.select("doc_id", digest().alias("digest")), "digests")
+        totals = rows.groupBy("digest").agg(
+            F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
         )
         found = cut(totals, "groups")
         known = self.read()
         self.append(found.hint("merge").join(known, "digest", "left_anti"))
         settled = found.select("digest", "group_size").hint("merge").join(self.read(), "digest")
-        placed = cells.select("digest", "salt").join(settled, "digest")
-        return rows.join(placed, ["digest", "salt"]).select(
+        return place(rows, settled, "digest", "doc_id").select(
             "doc_id", "digest", "keep_id", "group_size",
             F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import language, secret_scan
+from trustlake.llm import language, near_dup, secret_scan
 from trustlake.llm.exact_dedup import DigestIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,9 @@ def op10_secret_scan(spark, sf):
         sha256(joined(base)).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op8_minhash_near_dedup(spark, sf):
+    found = near_dup.near_duplicates(table(spark, sf, "documents"), size=4)
+    return found.drop("mark")
