@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import language, near_dup, secret_scan
+from trustlake.llm import decontaminate, language, near_dup, secret_scan
 from trustlake.llm.exact_dedup import DigestIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ def op10_secret_scan(spark, sf):
 def op8_minhash_near_dedup(spark, sf):
     found = near_dup.near_duplicates(table(spark, sf, "documents"), size=4)
     return found.drop("mark")
+
+
+@query()
+def op6_decontaminate(spark, sf):
+    return decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
