@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import decontaminate, language, near_dup, secret_scan
+from trustlake.llm import decontaminate, language, near_dup, secret_scan, toxicity
 from trustlake.llm.exact_dedup import DigestIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,13 @@ def op8_minhash_near_dedup(spark, sf):
 @query()
 def op6_decontaminate(spark, sf):
     return decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query()
+def op3_toxicity(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.score(table(spark, sf, "documents"), labels.where(~fold(5, 0)))
+    return found.select(
+        "doc_id", fold(5, 0).alias("held_out"), "score", "predicted",
+        F.array_join("neighbours", ",").alias("neighbours"), F.array_join("terms", ",").alias("terms"),
+    )
