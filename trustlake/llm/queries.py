@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import decontaminate, language, near_dup, secret_scan, toxicity
+from trustlake.llm import decontaminate, language, near_dup, secret_scan, token_count, toxicity
 from trustlake.llm.exact_dedup import DigestIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,9 @@ def op3_toxicity(spark, sf):
         "doc_id", fold(5, 0).alias("held_out"), "score", "predicted",
         F.array_join("neighbours", ",").alias("neighbours"), F.array_join("terms", ",").alias("terms"),
     )
+
+
+@query()
+def op1_token_counts(spark, sf):
+    vocabulary = token_count.load(token_count.VOCABULARY)
+    return token_count.count_tokens(table(spark, sf, "documents"), vocabulary)
