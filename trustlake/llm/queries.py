@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm import decontaminate, language, near_dup, secret_scan, token_count, toxicity
+from trustlake.llm import (
+    decontaminate,
+    html_text,
+    language,
+    near_dup,
+    secret_scan,
+    token_count,
+    toxicity,
+)
 from trustlake.llm.exact_dedup import DigestIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +115,8 @@ def op3_toxicity(spark, sf):
 def op1_token_counts(spark, sf):
     vocabulary = token_count.load(token_count.VOCABULARY)
     return token_count.count_tokens(table(spark, sf, "documents"), vocabulary)
+
+
+@query()
+def op2_html_text(spark, sf):
+    return html_text.extract_text(table(spark, sf, "pages"))
