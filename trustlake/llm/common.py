@@ -41,16 +41,17 @@ def salt(*columns: str | Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
-def place(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
-    """Join ``rows`` to ``table``, which has one row for each key.
+def place(rows: DataFrame, table: DataFrame, keys: str | list[str], by: str) -> DataFrame:
+    """Join ``rows`` to a narrow ``table`` with few rows for each key.
 
     The rows of a key are dealt by a hash of ``by`` into ``SALTS`` cells, and each
-    cell gets its table row first, so a key with a third of all rows is spread.
+    cell gets its table rows first, so a key with a third of all rows is spread.
     ``rows`` is read twice; pass a scan or a ``cut`` result.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     rows = rows.withColumn("_salt", salt(by))
-    cells = rows.select(key, "_salt").distinct().join(table, key)
-    return rows.join(cells, [key, "_salt"]).drop("_salt")
+    cells = rows.select(*keys, "_salt").distinct().join(table, keys)
+    return rows.join(cells, [*keys, "_salt"]).drop("_salt")
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,10 +11,12 @@ from trustlake.llm import (
     decontaminate,
     html_text,
     language,
+    mixing,
     near_dup,
     secret_scan,
     token_count,
     toxicity,
+    url_filter,
 )
 from trustlake.llm.exact_dedup import DigestIndex
 
@@ -120,3 +122,162 @@ def op1_token_counts(spark, sf):
 @query()
 def op2_html_text(spark, sf):
     return html_text.extract_text(table(spark, sf, "pages"))
+
+
+HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+
+
+def captures(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages, fetched over the thirty days from 2024-01-01."""
+    return table(spark, sf, "pages").select(
+        "page_id", "url",
+        F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(page_id * 37 % 43200 as int))")
+        .alias("fetched"),
+    )
+
+
+def list_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Dated entries: each event touches the hosts that share its user's number."""
+    url = F.col("url")
+    hosts = (
+        captures(spark, sf).groupBy(url_filter.host(url).alias("host"))
+        .agg(F.min(url_filter.canonical(url)).alias("first_url")).where("host is not null")
+        .withColumn("number", F.conv(F.substr(F.md5(F.col("host").cast("binary")), F.lit(1), F.lit(4)), 16, 10)
+                    .cast("long") % 512)
+    )
+    events = table(spark, sf, "events").withColumn("number", F.col("user_id") % 512)
+    part = F.col("event_id") % 4
+    return events.join(hosts, "number").select(
+        F.element_at(F.array(*map(F.lit, ("host", "domain", "prefix", "url"))), (part + 1).cast("int"))
+        .alias("kind"),
+        F.when(part == 0, F.col("host"))
+        .when(part == 1, F.regexp_replace("host", r"^[^.]*\.", ""))
+        .when(part == 2, F.concat("host", F.lit("/en/")))
+        .otherwise(F.col("first_url")).alias("pattern"),
+        F.when(F.col("event_type").isin("error", "view"), "deny").otherwise("allow").alias("verdict"),
+        F.when(F.col("event_id") % 3 == 0, "remove").otherwise("add").alias("action"),
+        F.col("ts").alias("at"),
+    )
+
+
+@query(
+    f"""
+    with captures as (
+        select page_id, url,
+               timestamp '2024-01-01' + to_minutes((page_id * 37 % 43200)::int) as fetched,
+               nullif(regexp_replace(regexp_extract(lower(url), '{HOST}', 1), '\\.$', ''), '') as host,
+               regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1) as tail,
+               regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) as query
+        from pages
+    ), parsed as (
+        select *, case when tail = '' then '/' else tail end as path, host || path || query as whole,
+               string_split(host, '.') as labels, string_split(path, '/') as steps
+        from captures
+    ), asked as (
+        select page_id, url, fetched, 'domain' as kind,
+               array_to_string(labels[len(labels) - n + 1:], '.') as pattern, n as rank
+        from parsed, lateral (select unnest(range(1, len(labels) + 1)) as n)
+        union all select page_id, url, fetched, 'host', host, 1000000 from parsed
+        union all
+        select page_id, url, fetched, 'prefix', host || array_to_string(steps[1:n], '/') || '/', n + 2000000
+        from parsed, lateral (select unnest(range(1, len(steps))) as n)
+        union all select page_id, url, fetched, 'url', whole, 9000000 from parsed
+    ), hosts as (
+        select host, min(whole) as first_url, ('0x' || substr(md5(host), 1, 4))::bigint % 512 as number
+        from parsed where host is not null group by host
+    ), entries as (
+        select case event_id % 4 when 0 then 'host' when 1 then 'domain' when 2 then 'prefix' else 'url' end
+                   as kind,
+               case event_id % 4 when 0 then host when 1 then regexp_replace(host, '^[^.]*\\.', '')
+                   when 2 then host || '/en/' else first_url end as pattern,
+               case when event_type in ('error', 'view') then 'deny' else 'allow' end as verdict,
+               event_id % 3 <> 0 as added, ts as moment
+        from events join hosts on user_id % 512 = number
+    ), changes as (
+        select kind, pattern, verdict, moment, bool_or(added) as listed from entries group by all
+    ), turns as (
+        select *, lag(listed, 1, false) over (partition by kind, pattern, verdict order by moment) as before
+        from changes
+    ), spans as (
+        select *, lead(moment) over (partition by kind, pattern, verdict order by moment) as until
+        from (select * from turns where listed <> before)
+    ), found as (
+        select a.*, s.verdict, count(*) over same as listed,
+               row_number() over (partition by page_id, url, fetched order by rank desc, s.verdict = 'allow' desc,
+                                  a.kind desc, a.pattern desc) as place
+        from asked a join spans s using (kind, pattern)
+        where s.listed and moment <= fetched and (until is null or fetched < until)
+        window same as (partition by page_id, url, fetched)
+    )
+    select c.page_id, c.url, coalesce(f.verdict = 'deny', false) as blocked,
+           coalesce(f.listed, 0) as listed, f.kind, f.pattern, f.verdict
+    from captures c left join (select * from found where place = 1) f
+      on c.page_id = f.page_id and c.url = f.url
+    """
+)
+def op4_url_filter(spark, sf):
+    return url_filter.evaluate(captures(spark, sf), list_entries(spark, sf)).drop("fetched")
+
+
+def mixing_sql() -> str:
+    topics = " ".join(
+        f"when regexp_matches(t, '{pattern.replace(chr(39), chr(39) * 2)}') then '{name}'"
+        for name, pattern in mixing.TOPICS
+    )
+    parts = [
+        f"""texts as (
+            select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang, coalesce(text, '') as t
+            from documents
+        ), m as materialized (
+            select doc_id, source, lang, case {topics} else 'prose' end as topic,
+                   len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as tokens,
+                   ('0x' || substr(md5(concat_ws('|', doc_id::varchar, md5(t))), 1, 12))::bigint
+                       / 281474976710656.0::double as u
+            from texts
+        ), c0 as materialized (
+            select source, lang, topic, sum(tokens)::double as tokens, 1.0::double as weight
+            from m group by all
+        ), total as (select sum(tokens) as t from c0)"""
+    ]
+    for name, power in mixing.TEMPER.items():
+        parts.append(
+            f"""a_{name} as materialized (
+            select {name}, share / sum(share) over () * (select t from total) as aim
+            from (select {name}, pow(sum(tokens), {power}) as share from c0 group by 1 having sum(tokens) > 0)
+        )"""
+        )
+    k = 0
+    for _ in range(mixing.ROUNDS):
+        for name in mixing.TEMPER:
+            k += 1
+            parts.append(
+                f"""c{k} as materialized (
+            select c.source, c.lang, c.topic, tokens,
+                   weight * case when now > 0 then coalesce(aim, 0) / now else 0 end as weight
+            from c{k - 1} c
+            join (select {name}, sum(tokens * weight) as now from c{k - 1} group by 1) using ({name})
+            left join a_{name} using ({name})
+        )"""
+            )
+    parts.append("s0 as (select 0.0::double as scale)")
+    for step in range(1, mixing.SCALINGS + 1):
+        full = f"weight * scale >= 1 and {step} > 1"
+        parts.append(
+            f"""s{step} as materialized (
+            select case when rest > 0 and spare > 0 then spare / rest else scale end as scale
+            from (select any_value(scale) as scale,
+                         {mixing.FRACTION} * any_value(t) - sum(case when {full} then tokens else 0 end) as spare,
+                         sum(case when {full} then 0 else tokens * weight end) as rest
+                  from c{k}, s{step - 1}, total)
+        )"""
+        )
+    return f"""with {", ".join(parts)}
+        select doc_id, source, lang, topic, m.tokens, round(weight, 6) as weight,
+               round(least(1, weight * scale), 6) as probability, u < least(1, weight * scale) as drawn
+        from m join c{k} using (source, lang, topic), s{mixing.SCALINGS}"""
+
+
+@query(mixing_sql())
+def op5_mix_sources(spark, sf):
+    found = mixing.chances(table(spark, sf, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
