@@ -187,10 +187,13 @@ def automaton(symbols: list[int]) -> np.ndarray:
                     steps[p][c] = twin
                     p = link[p]
         last = new
-    again = np.ones(SYMBOLS, np.int64)  # the state after a symbol alone, a phrase has ended
+    # The state after a symbol alone, a phrase having ended before it. A symbol that the
+    # sample lacks leads to one more state, from which every symbol begins a phrase.
+    alone = np.full(SYMBOLS, len(steps) * SYMBOLS, np.int64)
     for c, q in steps[0].items():
-        again[c] = q * SYMBOLS + 1
-    table = np.tile(again, (len(steps), 1))
+        alone[c] = q * SYMBOLS
+    table = np.tile(alone + 1, (len(steps) + 1, 1))
+    table[0] = alone
     for s, out in enumerate(steps):
         for c, q in out.items():
             table[s, c] = q * SYMBOLS
