@@ -18,7 +18,7 @@ def test_margins_are_met(spark):
     cells = cells_of(spark, [(s, l, t, 1 + 10 * i * j + k) for i, s in enumerate("abc")
                              for j, l in enumerate("xy") for k, t in enumerate("pq")])
     targets = targets_of(
-        spark, source={"a": 0.2, "b": 0.3, "c": 0.5}, lang={"x": 1, "y": 3}, topic={"p": 0.5, "q": 0.5}
+        spark, source={"a": 0.2, "b": 0.3, "c": 0.5}, lang={"x": 1.0, "y": 3.0}, topic={"p": 0.5, "q": 0.5}
     )
     rows = mixing.rake(cells, targets, 40).collect()
     total = sum(r.tokens for r in rows)
