@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import cut, place
+from trustlake.llm.common import cut
 
 ROUNDS = 60
 
@@ -16,7 +16,8 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has columns ``a, b`` of any ordered type. Each round hangs the
     larger neighbours of every node on its least neighbour, then the smaller
     ones, which takes a number of rounds of the order of the logarithm squared.
-    Only the links travel, and a node with many links is spread by ``place``.
+    Only the links travel; least neighbours are partial aggregates, and the join
+    to them is one that adaptive execution splits where a node has many links.
     """
 
     def down(edges: DataFrame) -> DataFrame:
@@ -24,20 +25,22 @@ def components(links: DataFrame) -> DataFrame:
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         ).distinct()
 
+    def hang(edges: DataFrame, least: DataFrame) -> DataFrame:
+        joined = edges.join(least, "a")
+        return joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
+
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
 
     edges = cut(down(links), "links")
     before = state(edges)
     for _ in range(ROUNDS):
-        both = cut(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = place(both.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(down(large), "large")
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = down(hang(both.where("b > a"), least))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = place(large, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        hung = least.select("a", F.col("m").alias("b"))
-        edges = cut(down(small.unionAll(hung)), "links")
+        small = hang(large, least).unionAll(least.toDF("a", "b"))
+        edges = cut(down(small), "links")
         after = state(edges)
         if after == before:
             break

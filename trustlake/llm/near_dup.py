@@ -14,7 +14,10 @@ Jaccard distance). What is left follows ``PATHS`` further chosen tokens to
 smaller nodes. Nodes still large after ``DEPTH`` levels are compared in blocks.
 
 Inside a node links form a spanning forest, so copies are not expanded into all
-pairs. Components of all links are found by alternating stars.
+pairs. Components of all links are found by alternating stars. Rows of nodes and
+components are joined to one row for each key, in joins whose larger side adaptive
+execution splits where a key is hot; the members of a large node meet copies of
+their pivot, ``PER_PIVOT`` members to a copy.
 
 Defined results
     null or empty text    empty set, n_shingles 0, linked with nothing, kept
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import cut, groups, mix, place, shingles, slices, utf8, word_hashes
+from trustlake.llm.common import cut, groups, mix, shingles, slices, utf8, word_hashes
 from trustlake.llm.components import components
 
 SHINGLE = 5
@@ -49,7 +52,7 @@ PATHS = 2
 SKETCH = 128
 # Sketch values that must agree at a threshold of 0.8: four and a half deviations below it.
 AGREE = 82
-NODE = 2048
+NODE = 4096
 DEPTH = 12
 # Shingles that one comparison of full sets holds.
 BLOCK = 2_000_000
@@ -297,9 +300,8 @@ class _Join:
 
     def nodes(self, members: DataFrame) -> DataFrame:
         """``node, digest, size`` of nodes with two members or more."""
-        members = cut(members, "members")
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        return cut(place(members, sizes, "node", "digest"), "nodes")
+        return cut(members.join(sizes, "node"), "nodes")
 
     def candidates(self, nodes: DataFrame) -> DataFrame:
         """``group, digest``: sets of small nodes whose sketches are connected."""
@@ -341,7 +343,7 @@ class _Join:
             F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest")
         )
         open_ = F.col("far") >= F.col("nearest") - reach - 1e-9
-        left = place(near, edge, "node", "digest").where(
+        left = near.join(edge, "node").where(
             (F.col("digest") != F.col("pivot")) & (~F.col("linked") | F.coalesce(open_, F.lit(False)))
         )
         return links, left.select("node", "digest")
@@ -414,9 +416,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         "roots",
     )
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
-    settled = cut(place(reps, least, "root", "digest").select("digest", "component_id"), "settled")
+    settled = cut(reps.join(least, "root").select("digest", "component_id"), "settled")
     rows = join.rows.select("doc_id", "mark", F.col("n").alias("n_shingles"), "digest")
-    linked = place(rows.where("n_shingles > 0"), settled, "digest", "doc_id")
+    linked = rows.where("n_shingles > 0").join(settled, "digest")
     alone = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     return linked.unionByName(alone).select(
         "doc_id", "mark", "n_shingles", "component_id",
