@@ -48,6 +48,8 @@ LEAST = 3
 STEM = 5
 NEIGHBOURS = 16
 BLOCK = 64
+# Blocks that are read before the others are judged by the worst example kept.
+SEEDS = 4
 # A vote of this weight for the overall rate, so that few far neighbours say little.
 PRIOR = 0.5
 BINS = 10
@@ -67,6 +69,7 @@ class Fitted(NamedTuple):
     examples: list[tuple[int, int, list[int], list[int]]]  # doc_id, label, terms, counts
     without: float  # rate of label 1 among examples without a term
     overall: float
+    levels: list[tuple[float, float]] = []  # calibration
 
 
 def words(text: str | None) -> list[str]:
@@ -163,13 +166,12 @@ class Index:
     def __init__(self, fitted: Fitted):
         self.fitted = fitted
         vectors = [self.unit(terms, counts) for _, _, terms, counts in fitted.examples]
-        self.order = sorted(
-            range(len(vectors)), key=lambda i: (vectors[i][0][np.argmax(vectors[i][1])], i)
-        )
+        strongest = [int(terms[np.argmax(weights)]) for terms, weights in vectors]
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (strongest[i], i)), np.int64)
         self.blocks = -(-len(vectors) // BLOCK)
         size = len(fitted.terms) + 1
         lists: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        for place, i in enumerate(self.order):
+        for place, i in enumerate(self.order.tolist()):
             for term, weight in zip(*vectors[i], strict=True):
                 lists[term].append((place, weight))
         self.places = [np.array([p for p, _ in x], np.int64) for x in lists]
@@ -180,11 +182,6 @@ class Index:
         for t, (p, w) in enumerate(zip(self.places, self.weights, strict=True)):
             np.maximum.at(self.most[t], p // BLOCK, w)
         self.labels = np.array([e[1] for e in fitted.examples])
-        self.levels: list[tuple[float, float]] = []
-        votes = [
-            (self.vote(self.nearest(*v, leave=i)), int(self.labels[i])) for i, v in enumerate(vectors)
-        ]
-        self.levels = calibration(sorted(votes))
 
     def unit(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
         raw = np.array(
@@ -195,23 +192,42 @@ class Index:
     def nearest(
         self, terms: np.ndarray, weights: np.ndarray, leave: int = -1
     ) -> list[tuple[float, int]]:
-        """The ``NEIGHBOURS`` best examples by cosine, then number, each with its cosine."""
+        """The ``NEIGHBOURS`` best examples by cosine, then number, each with its cosine.
+
+        The blocks with the largest bounds are read first. The worst example kept
+        then tells which of the others may still hold a better one.
+        """
         bounds = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []  # (-cosine, number)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if len(best) == NEIGHBOURS and bounds[b] + 1e-9 < -best[-1][0]:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                low, high = self.starts[t][b], self.starts[t][b + 1]
-                if high > low:
-                    sums[self.places[t][low:high] - b * BLOCK] += w * self.weights[t][low:high]
-            for at in np.flatnonzero(sums).tolist():
-                if (i := self.order[b * BLOCK + at]) != leave:
-                    best.append((-round(float(sums[at]), 12), i))
-            best = sorted(best)[:NEIGHBOURS]
+        order = np.argsort(-bounds, kind="stable")
+        best = self._read(order[:SEEDS], terms, weights, leave)
+        worst = -best[-1][0] - 1e-9 if len(best) == NEIGHBOURS else 0.0
+        rest = order[SEEDS:]
+        if len(rest := rest[bounds[rest] >= worst]):
+            best = sorted(best + self._read(rest, terms, weights, leave))[:NEIGHBOURS]
         return [(-c, i) for c, i in best]
 
+    def _read(
+        self, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, leave: int
+    ) -> list[tuple[float, int]]:
+        """The best examples of some blocks, as cosine below zero and number."""
+        sums = np.zeros(self.blocks * BLOCK)
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            places, held = self.places[t], self.weights[t]
+            if len(blocks) > SEEDS:  # one pass over the list is less work than a jump to each block
+                sums[places] += w * held
+                continue
+            for b in blocks.tolist():
+                low, high = self.starts[t][b], self.starts[t][b + 1]
+                sums[places[low:high]] += w * held[low:high]
+        sums = np.round(sums.reshape(self.blocks, BLOCK)[blocks], 12)
+        row, at = np.nonzero(sums)
+        values, numbers = sums[row, at], self.order[blocks[row] * BLOCK + at]
+        values, numbers = values[numbers != leave], numbers[numbers != leave]
+        if len(values) > NEIGHBOURS:
+            near = values >= np.partition(values, -NEIGHBOURS)[-NEIGHBOURS]
+            values, numbers = values[near], numbers[near]
+        return sorted(zip((-values).tolist(), numbers.tolist(), strict=True))[:NEIGHBOURS]
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         for_one = sum(c for c, i in near if self.labels[i])
         return (for_one + PRIOR * self.fitted.overall) / (sum(c for c, _ in near) + PRIOR)
@@ -222,7 +238,7 @@ class Index:
             return self.fitted.without, [], []
         near = self.nearest(*self.unit(terms, counts))
         return (
-            calibrated(self.vote(near), self.levels),
+            calibrated(self.vote(near), self.fitted.levels),
             [self.fitted.examples[i][0] for _, i in near],
             [round(c, 9) for c, _ in near],
         )
@@ -258,12 +274,35 @@ def calibrated(vote: float, levels: list[tuple[float, float]]) -> float:
 _INDEXES: dict[str, Index] = {}
 
 
-def _score(key: str, fitted: Fitted) -> Callable[[Iterator], Iterator]:
+def _index(fitted: Fitted) -> Index:
+    key = str(hash(str(fitted)))
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = Index(fitted)
+    return _INDEXES[key]
+
+
+def _votes(fitted: Fitted) -> Callable[[Iterator], Iterator]:
+    """The vote on each example without itself, and its label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(fitted)
+        for batch in batches:
+            numbers = batch.column("number").to_pylist()
+            votes = [
+                index.vote(index.nearest(*index.unit(*fitted.examples[i][2:]), leave=i)) for i in numbers
+            ]
+            labels = [int(index.labels[i]) for i in numbers]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(votes, pa.float64()), pa.array(labels, pa.int32())], ["vote", "label"]
+            )
+
+    return run
+
+
+def _score(fitted: Fitted) -> Callable[[Iterator], Iterator]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _INDEXES:
-            _INDEXES.clear()
-            _INDEXES[key] = Index(fitted)
-        index = _INDEXES[key]
+        index = _index(fitted)
         for batch in batches:
             rows = [
                 (*index.score(t, c), [fitted.terms[x] for x in t if x < len(fitted.terms)])
@@ -314,11 +353,14 @@ def fit(docs: DataFrame, labelled: DataFrame) -> tuple[Fitted, DataFrame]:
         terms, idf, [(r.doc_id, r.label, list(r.held), list(r.counts)) for r in examples],
         ones / blank if blank else 0.0, every or 0.0,
     )
-    return fitted, vectors
+    numbers = docs.sparkSession.range(len(examples)).withColumnRenamed("id", "number")
+    votes = numbers.mapInArrow(_votes(fitted), "vote double, label int").collect()  # SAMPLE rows at most
+    levels = calibration(sorted((r.vote, r.label) for r in votes))
+    return fitted._replace(levels=levels), vectors
 
 
 def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """``doc_id, score, predicted`` of every document, with its evidence: the nearest
     examples, their cosines and the terms that it holds."""
     fitted, vectors = fit(docs, labelled)
-    return vectors.mapInArrow(_score(f"{hash(str(fitted))}", fitted), SCHEMA)
+    return vectors.mapInArrow(_score(fitted), SCHEMA)
