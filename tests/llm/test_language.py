@@ -64,6 +64,8 @@ def test_edges(spark, edges, nothing):
     assert kept.columns == edges.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 5, 8, 9, 9]
     assert language.sample(nothing) == {}
+    unlearned = language.keep_identified(edges, {}).collect()
+    assert sorted(r.doc_id or 0 for r in unlearned) == [0, 4, 5, 5, 8, 9, 9]
     assert language.identify(nothing, texts).collect() == []
     assert {r.lang_pred for r in language.identify(edges, {}).collect()} == {"und"}
 

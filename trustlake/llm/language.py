@@ -231,14 +231,21 @@ def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """The documents, with all their columns, whose text has a learned language."""
+    """The documents, with all their columns, whose text has a learned language.
+
+    Where nothing was learned, every text with a letter stays.
+    """
     mark = f"_text_{uuid.uuid4().hex[:8]}"
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, mark):
-            langs, _ = _model(texts).classify(part.column(mark).to_pylist())
+            values = part.column(mark).to_pylist()
+            if texts:
+                keep = [lang != UNKNOWN for lang in _model(texts).classify(values)[0]]
+            else:
+                keep = [bool(t and _LETTER.search(t)) for t in values]
             names = [n for n in part.schema.names if n != mark]
-            yield part.select(names).filter(pa.array([x != UNKNOWN for x in langs]))
+            yield part.select(names).filter(pa.array(keep, pa.bool_()))
 
     return docs.withColumn(mark, docs["text"]).mapInArrow(run, schema)
