@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -62,7 +61,6 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
     )
-    builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     spark = configure(builder, int(cpus)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}

@@ -500,7 +500,8 @@ TABLES["decisions"] = f"""select type, id, name, model_url, case when admitted t
     case when error is null then 'created' else 'invalid' end, '', case when error is null then 0e0 end, error
     from registrations where error is not null or artifact_type <> 'model'"""
 
-TABLES["stored_models"] = "select type, id, name, model_url from models where p_size < 45"
+TABLES["stored_models"] = """select type, case when p % 9 = 4 then -id else id end as id, name, model_url
+  from models"""
 TABLES["updates"] = """select case when p % 11 = 0 then 'code' else type end as path_type,
     id + case when p % 13 = 0 then 1 else 0 end as path_id, type, id,
     case when p % 17 = 0 then '' when p % 5 = 0 then concat(name, '-new') else name end as name,
@@ -526,8 +527,8 @@ TABLES["logs"] = """select case when event_id % 3 = 0 then 'g0' else concat('g',
     concat(case event_type when 'signup' then 'Warning signup' else event_type end, ' ', props) as message, event_id
   from events"""
 TABLES["api_requests"] = "select ts, value as latency_ms from events"
-TABLES["objects"] = f"""select type, {artifact_id('name')} as id, floor(p_retailprice * 12345)::bigint as length
-  from parts where p_size > 5"""
+TABLES["objects"] = f"""select type, {artifact_id('name')} * case when p_size > 5 then 1 else -1 end as id,
+  floor(p_retailprice * 12345)::bigint as length from parts"""
 TABLES["costs"] = "select type, id, round_even(length / 1048576e0, 0)::bigint as total_cost from objects"
 _GROUPS = ", ".join(f"('{g}')" for g in t.LOG_GROUPS)
 
@@ -561,8 +562,8 @@ TABLES["rating_view"] = (
 q = QUERIES
 q["src_registry"] = """select type, id, name, model_url, download_url, net_score from artifacts
   where seq % 17 <> 0"""
-q["src_name_index"] = """select name, id::varchar as id, type from artifacts
-  where seq % 13 <> 0 and seq % 17 <> 0 and seq % 19 <> 0"""
+q["src_name_index"] = """select id::varchar as id, case when seq % 2 = 0 then concat(name, ' v2') else name end as name
+  from artifacts where seq % 2 = 0 or (seq % 13 <> 0 and seq % 17 <> 0 and seq % 19 <> 0)"""
 q["src_readmes"] = """select type, id, case id % 4 when 0 then 'README.md' else 'docs/README.md' end as path,
   md5(text) as digest from readmes where id % 4 < 2"""
 q["src_model_info"] = """select model_id, status_code, sha, downloads, likes, last_modified, array_to_string(tags, '|') as tags,
@@ -587,11 +588,11 @@ q["src_logs"] = f"""select log_group, event_id, message, epoch_us(ts) as ts_us f
   where ts between timestamp '{catalog.LOG_START}' and timestamp '{catalog.LOG_END}' and log_group not in ('g8', 'g9')"""
 q["src_api_requests"] = f"""select epoch_us(ts) as ts_us, latency_ms from api_requests
   where ts between timestamp '{catalog.LOG_START}' and timestamp '{catalog.LOG_END}'"""
-q["src_object_sizes"] = """select type, seq % 5 as id, sum(strlen(name) + 1)::bigint as length from artifacts group by 1, 2"""
+q["src_object_sizes"] = """select type, id, (strlen(name) + 1)::bigint as length from artifacts"""
 q["snk_upsert_registry"] = """select type, id, name, case when type = 'model' then net_score / 2 else net_score end as net_score,
   seq + case when type = 'model' then 1000000000 else 0 end as seq from artifacts where net_score <= 0.9e0"""
-q["snk_append_index"] = """select name, id::varchar as id, type from artifacts
-  union all select name, id::varchar, type from artifacts"""
+q["snk_append_index"] = """select id::varchar as id, case when seq % 2 = 0 then concat(name, ' v2') else name end as name
+  from artifacts"""
 q["snk_store_readme"] = """select 'model' as type, d as id, case d % 4
     when 0 then case when d % 3 <> 0 then concat('docs/ReadMe_', d) else 'README.md' end
     else case when d % 8 = 1 then 'README.rst' else 'README' end end as path, md5(text) as digest
@@ -778,7 +779,7 @@ q["lim_page"] = f"""select name, id, type, type_rank, case when n > 90 then 90::
 q["lim_page_keyset"] = f"""select * from ({expand(['dataset', 'model'])})
   where type_rank > 0 or id::varchar > '5' order by type_rank, id::varchar limit 50"""
 q["lim_log_result"] = f"select log_group, event_id, message from logs order by ts desc, event_id desc limit {C.LOG_RESULT_CAP}"
-q["srt_recent"] = "select repo, number from prs order by updated_at desc, number desc limit 1000"
+q["srt_recent"] = "select repo, number from prs order by updated_at desc, number desc"
 
 
 def search(pattern: str) -> str:
@@ -900,17 +901,47 @@ q["udf_registry"] = f"""select type, id, 'bus_factor' as metric, {round3('bus_fa
 # --- queries: end to end -----------------------------------------------------------------
 
 TABLES["named"] = f"select * from artifacts where id = {artifact_id(text('red widget 1'))}"
-q["e2e_list"] = f"""select name, id, type, type_rank, case when n > 100 then 100::bigint end as next_offset from (
-    select *, count(*) over () as n from (
-      select name, id, type, type_rank from ({expand(['dataset', 'model'])})
+_LISTED = f"""select name, id, type, type_rank from ({expand(['dataset', 'model'])})
       union all select name, id, type, type_rank + 2 from ({expand(['model', 'dataset', 'code'], 'named')})
-      union all select name, id, type, type_rank + 5 from ({expand(['model', 'dataset', 'code'])})))
+      union all select name, id, type, type_rank + 5 from ({expand(['model', 'dataset', 'code'])})"""
+q["e2e_list"] = f"""select name, id, type, type_rank, case when n > 100 then 100::bigint end as next_offset from (
+    select *, count(*) over () as n from ({_LISTED}))
   order by type_rank, id::varchar limit 50 offset 50"""
+q["e2e_list_after"] = f"""select name, id, type, type_rank from ({_LISTED})
+  where type_rank > 1 or (type_rank = 1 and id::varchar > '5') order by type_rank, id::varchar limit 50"""
 q["e2e_search"] = search("(small|blue) (ring|bolt)|apache|evaluation results")
-q["e2e_rate_and_register"] = "select * from decisions"
-q["e2e_update"] = """select type, id, name, model_url, case when admitted then 'created' else 'rejected' end as status,
-    failures, net_score, null::varchar as error from scored_updates
-  union all select type, id, name, url, status, '', null, null from checked_updates where status <> 'ok'"""
+
+
+def stored(records: str, ratings: str) -> str:
+    """Records (type, id, name, model_url, net_score, fresh) as read back; fresh ones were rated and have a README."""
+    scores = ", ".join(
+        f"case when d.type = 'model' then coalesce({round3('r.' + m)}, 0e0) end as {m}"
+        for m in (*[m for m in C.METRIC_WEIGHTS if m != "size_score"], *C.DEVICES)
+    )
+    return f"""select d.type, d.id, d.name, d.model_url, d.net_score, d.name as index_name,
+      case when fresh and d.type = 'model' and m.model_id is not null
+        then concat('artifacts/model/', d.id, '/README.md') end as readme, {scores}
+      from ({records}) d left join {ratings} r on fresh and d.type = 'model' and r.id = d.id
+      left join (select distinct model_id from main_readmes where text <> '') m
+        on m.model_id = regexp_replace(d.name, '-new$', '') and not contains(d.model_url, 'github.com')"""
+
+
+q["e2e_rate_and_register"] = stored(
+    "select type, id, name, model_url, net_score, true as fresh from decisions where status = 'created'",
+    "rated_registrations",
+)
+q["e2e_update"] = stored(
+    """select type, id, name, model_url, net_score, true as fresh from scored_updates where admitted
+    union all select type, id, name, model_url, null, false from stored_models s
+    where not exists (select 1 from scored_updates u where u.admitted and u.type = s.type and u.id = s.id)""",
+    "rated_updates",
+)
+q["e2e_decisions"] = """select *, 'registration' as request from decisions
+  union all select type, id, name, model_url, case when admitted then 'created' else 'rejected' end as status,
+    failures, net_score, null::varchar as error, 'update' from scored_updates
+  union all select type, id, name, url, status, '', null, null, 'update' from checked_updates where status <> 'ok'"""
+q["e2e_blank_search"] = f"""select name, id, type from ({expand(['model', 'dataset', 'code'])})
+  order by type_rank, id::varchar limit 50"""
 _HOUR = "ts between timestamp '2024-01-05 12:00:00' and timestamp '2024-01-15 12:00:00'"
 
 

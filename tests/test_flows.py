@@ -15,43 +15,37 @@ from trustlake.sources import landing, scratch, sinks
 from trustlake.streaming import health as stream_health
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_lookup_join_equals_left_join(spark, broadcast_rows):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_lookup_join_keeps_hot_and_missing_keys(spark, threshold):
     rng = random.Random(4)
     rows = [(i, None if rng.random() < 0.2 else "hot" if rng.random() < 0.4 else f"k{rng.randrange(60)}")
             for i in range(3000)]
-    rows += [(i, "absent") for i in range(3000, 3500)]  # hot, but not in the table
     facts = spark.createDataFrame(rows, "n int, k string")
     table = spark.createDataFrame([("hot", 1), (None, 2)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
-    got = joins.lookup_join(facts, table, ["k"], broadcast_rows=broadcast_rows, share=20)
-    expected = facts.join(table, "k", "left").select("n", "k", "v")
-    assert got.columns == ["n", "k", "v"] or got.columns == ["k", "n", "v"]
-    assert sorted(map(str, got.select("n", "k", "v").collect())) == sorted(map(str, expected.collect()))
-
-
-def test_lookup_join_spreads_hot_keys(spark):
-    facts = spark.range(20_000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise("k").alias("k"))
-    facts = facts.withColumn("k", F.when(F.col("k") == "k", F.concat(F.lit("k"), F.col("id"))).otherwise(F.col("k")))
-    table = facts.select("k").distinct().withColumn("v", F.length("k"))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    values = {"hot": 1} | {f"k{i}": i for i in range(40)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        joined = joins.lookup_join(facts, table, ["k"], broadcast_rows=0)
-        sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        got = {r.n: r.v for r in joins.lookup_join(facts, table, ["k"]).collect()}
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 8
-
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {n: values.get(k) for n, k in rows}
 
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(1000).select((F.col("id") % 7).alias("k"))
-    assert joins.hot_keys(df, ["k"], share=7).count() < 7
 
+def test_building_a_rating_starts_no_job(spark):
+    from trustlake.operators.metrics import rate
+    from trustlake.plans import tables
 
-def test_restrict(spark):
-    table = spark.range(100)
-    wanted = spark.createDataFrame([(5,), (5,), (500,)], "id long")
-    assert [r.id for r in joins.restrict(table, wanted, ["id"]).collect()] == [5]
-    assert joins.restrict(table, wanted, ["id"], broadcast_rows=2).count() == 100
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    wide = rate(tables.landed(spark, "/root/testdata/sf0.001"))
+    flows.decide(tables.registrations_of(tables.table(spark, "/root/testdata/sf0.001", "part")),
+                 tables.landed(spark, "/root/testdata/sf0.001"))
+    jobs = tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "net_score" in wide.columns
+    # Reading the schema of a Parquet file is the only work.
+    assert all("parquet" in (tracker.getStageInfo(s).name if tracker.getStageInfo(s) else "parquet")
+               for j in jobs for s in tracker.getJobInfo(j).stageIds)
 
 
 def record(artifact, name="n", seq=1, kind="model", net=0.5):
@@ -88,15 +82,11 @@ def test_change_log(spark, tmp_path):
     assert names() == {("model", 9): "z"}
 
 
-def test_upsert_delete(spark):
+def test_upsert(spark):
     stored = spark.createDataFrame([record(1, "a", 1), record(2, "b", 2)], RECORD)
     new = spark.createDataFrame([record(2, "b2", 3), record(3, "c", 4)], RECORD)
     merged = registry.upsert(stored, new)
     assert {r.id: r.name for r in merged.collect()} == {1: "a", 2: "b2", 3: "c"}
-    keys = spark.createDataFrame([("model", 1), ("model", 9), ("code", 2)], "type string, id long")
-    remaining, missing = registry.delete(merged, keys)
-    assert sorted(r.id for r in remaining.collect()) == [2, 3]
-    assert sorted((r.type, r.id) for r in missing.collect()) == [("code", 2), ("model", 9)]
     assert registry.reset(stored).count() == 0
 
 
@@ -165,13 +155,53 @@ def test_search(spark):
 
 def test_many_patterns(spark):
     docs = spark.createDataFrame([(i, f"word{i} x") for i in range(30)], "d int, text string")
-    patterns = spark.createDataFrame([(i, f"word{i} ") for i in range(25)] + [(99, "(x+)+")], "pattern_id int, regex string")
-    old, search.PATTERNS_PER_SCAN = search.PATTERNS_PER_SCAN, 10
-    try:
-        hits = search.multi_search(docs, patterns).collect()
-    finally:
-        search.PATTERNS_PER_SCAN = old
+    patterns = [(i, f"word{i} ") for i in range(25)] + [(99, "(x+)+")]
+    hits = search.multi_search(docs, patterns).collect()
     assert sorted((r.d, r.pattern_id) for r in hits) == [(i, i) for i in range(25)]
+    with pytest.raises(ValueError):
+        search.multi_search(docs, patterns * 10)
+
+
+@pytest.mark.filterwarnings("ignore:Possible")
+@pytest.mark.parametrize(
+    "pattern",
+    [r"(?P<my_name>x+)y(?P=my_name)", "a(?#not seen)+b", r"\\Z", r"b\Z", "[[a&&b]+", "x{,2}y", "z{", "}", "[^]a]z",
+     "(?i:A)b", r"\x41\u0042", r"[\b]", r"\bfoo\b", r"(a)(b)\2\1", r"\101", r"[\w-]+=", "a|", r"\$\^", "(?:ab)+?c",
+     r"(?<=a)b", r"\Aa", r"[a\]]+", "[~^]", r"\d{2,3}%", r"é\w"],
+)
+def test_patterns_mean_what_python_means(spark, pattern):
+    import re
+
+    texts = ["xxyxx", "xyx", "aab", "ab\n", "ab", "\\Z", "[&a", "xxy", "y", "z{", "}", "bz", "]z", "aB", "AB", "\b",
+             "a foo.", "abba", "A", "k-1=2", "", "$^", "ababc", "a]", "~", "12%", "Éa", "É"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    got = {r.n for r in df.where(search.matches("t", pattern)).collect()}
+    assert got == {i for i, text in enumerate(texts) if re.search(pattern, text, re.I)}
+
+
+@pytest.mark.parametrize("pattern", ["(", "a**", "(?x)a b", "(?a)x", r"\N{BULLET}", "(a)?(?(1)b|c)", r"\Qx"])
+def test_patterns_without_equivalent_are_refused(spark, pattern):
+    with pytest.raises(ValueError):
+        search.check_pattern(spark.range(0), pattern)
+
+
+def test_last_index_line_wins(spark, tmp_path):
+    """A larger file that is appended later is read first, but its lines are the last."""
+    import time
+
+    schema = "name string, id string, type string, seq long"
+    first = spark.createDataFrame([("old", "1", "model", 1)], schema)
+    later = spark.createDataFrame([("x" * 500, str(i), "model", i) for i in range(2, 300)]
+                                  + [("new", "1", "model", 999)], schema)
+    for lines in (first, later):
+        text = F.concat_ws(",", "name", "id", "type").alias("value")
+        lines.select(text).coalesce(1).write.mode("append").text(str(tmp_path / "raw"))
+        sinks.append_index(lines, str(tmp_path / "typed"))
+        time.sleep(0.05)
+    for index in (landing.read_name_index(spark, str(tmp_path / "raw")),
+                  landing.read_index(spark, str(tmp_path / "typed"))):
+        names = {r.id: r.name for r in search.last_names(index).collect()}
+        assert names["1"] == "new" and len(names) == 299
 
 
 # --- sources -------------------------------------------------------------------------------
@@ -272,7 +302,7 @@ def test_percentiles_are_exact(spark, n, distinct, fraction):
     rng = np.random.default_rng(n)
     values = (rng.integers(0, distinct, n) / 7).tolist()
     requests = spark.createDataFrame([(NOW, v) for v in values], "ts timestamp, latency_ms double")
-    got = health.latency_percentile(requests, fraction, "p").first().p
+    got = health.latency_percentiles(requests, [fraction]).first().latency_ms
     assert math.isclose(got, np.percentile(values, fraction * 100), rel_tol=1e-12, abs_tol=1e-12)
 
 
@@ -282,34 +312,58 @@ def test_stream_drops_nothing_on_replay(spark, tmp_path):
     source = str(tmp_path / "logs")
     logs.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    # Late lines would be dropped; a wide watermark keeps the batches comparable.
-    old, stream_health.WATERMARK = stream_health.WATERMARK, "2 hours"
-    try:
-        for _ in range(2):  # the second run finds nothing new
-            stream_health.run_counts(
-                stream_health.window_counts(stream), str(tmp_path / "counts"), str(tmp_path / "checkpoint")
-            )
-    finally:
-        stream_health.WATERMARK = old
+    for _ in range(2):  # the second run finds nothing new
+        stream_health.run_counts(
+            stream, stream_health.window_counts, str(tmp_path / "counts"), str(tmp_path / "checkpoint")
+        )
+    assert len(list((tmp_path / "counts").glob("batch_id=*"))) >= 4
     streamed = stream_health.read_counts(spark, str(tmp_path / "counts"))
     batch = stream_health.window_counts(logs)
     assert sorted(map(str, streamed.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_join_built(spark, broadcast_rows):
+def test_join_built(spark):
     facts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "z")], "n int, k string")
     landed = spark.createDataFrame([("a", 1), ("a", 2), ("b", 5), ("c", 9)], "key string, v int")
-    seen = []
 
-    def build(wanted, keep):
-        rows = keep(landed, ["key"])
-        seen.append((wanted.count(), rows.count()))
-        return rows.groupBy(F.col("key").alias("k")).agg(F.sum("v").alias("v"))
+    def build(wanted):
+        sums = landed.groupBy(F.col("key").alias("k")).agg(F.sum("v").alias("v"))
+        return wanted.join(sums, "k", "left")
 
-    got = joins.join_built(facts, ["k"], build, broadcast_rows=broadcast_rows)
+    got = joins.join_built(facts, ["k"], build)
     assert {r.n: r.v for r in got.collect()} == {1: 3, 2: 3, 3: 5, 4: None, 5: None}
-    assert seen == [(3, 3 if broadcast_rows else 4)]
+
+
+def test_registrations_of_a_batch_are_ordered(spark, tmp_path):
+    """Of registrations of a name in one batch the last by place is stored, in every run."""
+    from trustlake.streaming import register
+
+    rows = [("m", f"u{i}") for i in range(40)]
+    requests = spark.createDataFrame(rows, "name string, url string").coalesce(1)
+    source = str(tmp_path / "in")
+    requests.write.parquet(source)
+    stream = spark.readStream.schema(requests.schema).parquet(source)
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+
+    def decide(batch):
+        return batch.repartition(7).select(
+            F.lit("model").alias("type"), F.lit(1).cast("long").alias("id"), "name",
+            F.col("url").alias("model_url"), F.lit("created").alias("status"),
+            F.lit("{}").alias("results"), F.lit(0.5).alias("net_score"), "seq",
+        )
+
+    path = str(tmp_path / "out")
+    register.run_registrations(stream.select("*", place.alias("place")), decide, path, str(tmp_path / "check"))
+    stored = registry.current_view(register.registered(spark.read.parquet(path))).collect()
+    assert [r.model_url for r in stored] == ["u39"]
+
+
+def test_deletion_is_stored(spark, tmp_path):
+    log = str(tmp_path / "log")
+    sinks.append_changes(spark.createDataFrame([record(1), record(2)], RECORD), log)
+    keys = spark.createDataFrame([("model", 2, 9), ("model", 7, 9)], "type string, id long, seq long")
+    assert [r.id for r in sinks.delete_artifacts(keys, log).collect()] == [7]
+    assert [r.id for r in sinks.read_current(spark, log).collect()] == [1]
 
 
 def test_update_existence(spark):

@@ -7,7 +7,6 @@ from collections import Counter
 import duckdb
 import pytest
 
-from trustlake.operators import joins
 from trustlake.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -55,10 +54,15 @@ LOOKUPS = [
 
 
 @pytest.mark.parametrize("key", LOOKUPS)
-def test_query_without_small_tables(spark, duck, key, monkeypatch):
-    """The same results when no table counts as small enough to be broadcast."""
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
-    test_query(spark, duck, key)
+def test_query_without_broadcasts(spark, duck, key):
+    """The same results when no table is small enough to be broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        test_query(spark, duck, key)
+    finally:
+        spark.conf.set(name, before)
 
 
 def test_entry(spark):

@@ -120,68 +120,89 @@ def latest_period(requests: DataFrame, period: str = C.PERIOD) -> DataFrame:
 
 def average_latency(requests: DataFrame, period: str = C.PERIOD) -> DataFrame:
     """One row: average latency of the latest period, 0 without any data."""
+    return latest_period(requests, period).agg(_mean().alias("avg_latency_ms"))
+
+
+def _mean() -> Column:
     exact = F.sum(F.col("latency_ms").cast("decimal(28,6)")).cast("double")
-    mean = F.try_divide(exact, F.count(F.lit(1)))
-    return latest_period(requests, period).agg(
-        F.coalesce(mean, F.lit(0.0)).alias("avg_latency_ms")
-    )
+    return F.coalesce(F.try_divide(exact, F.count(F.lit(1))), F.lit(0.0))
 
 
-EXACT_BELOW = 10_000
+# Steps of the sketch that brackets a percentile, and pieces of a bracket.
+GRID = 1000
+PIECES = 1000
 
 
-def latency_percentile(
-    requests: DataFrame,
-    fraction: float,
-    name: str,
-    period: str = C.PERIOD,
-    exact_below: int = EXACT_BELOW,
+def latency_percentiles(
+    requests: DataFrame, fractions: Sequence[float], period: str = C.PERIOD
 ) -> DataFrame:
-    """One row: exact interpolated percentile of the latest period, 0 without data.
-
-    ``percentile`` keeps every distinct value of a group in one task. Instead, a
-    bounded sketch brackets the percentile (from 10 000 samples on; fewer are
-    bracketed by their extremes), values below the bracket are only counted,
-    and the two order statistics are found among the distinct values within:
-    0.2 % of the samples at most.
+    """``fraction, latency_ms``: exact interpolated percentiles of the latest
+    period, and its ``avg_latency_ms``; 0 without data.
+
+    Three scans for any number of fractions: the newest time; a sketch of bounded
+    size that brackets every percentile; the distinct values inside the brackets,
+    with counts, while those below are only counted. A bracket is cut into
+    ``PIECES`` equal pieces, and positions are counted piece by piece, then inside
+    each, so no task orders a whole bracket.
     """
     samples = latest_period(requests, period).select("latency_ms")
-    sketch = F.percentile_approx(
-        "latency_ms",
-        [max(fraction - 0.001, 0.0), min(fraction + 0.001, 1.0)],
-        F.lit(10_000),
-    )
-    bounds = samples.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("latency_ms").alias("lowest"),
-        F.max("latency_ms").alias("highest"),
-        sketch.alias("s"),
-    ).select(
-        F.struct(
-            ((F.col("n") - 1) * F.lit(fraction)).alias("position"),
-            F.when(F.col("n") < exact_below, F.col("lowest")).otherwise(F.col("s")[0]).alias("low"),
-            F.when(F.col("n") < exact_below, F.col("highest"))
-            .otherwise(F.col("s")[1])
-            .alias("high"),
+    steps = [i / GRID for i in range(GRID + 1)]
+    last = F.col("n") - 1
+
+    def bracket(fraction: float) -> Column:
+        position = last * F.lit(float(fraction))
+        # The two order statistics, widened by a step of the grid and its error.
+        low = F.floor((F.floor(position) - 1) / F.greatest(last, F.lit(1)) * GRID) - 1
+        high = F.ceil((F.ceil(position) + 1) / F.greatest(last, F.lit(1)) * GRID) + 1
+        return F.struct(
+            F.lit(float(fraction)).alias("fraction"),
+            position.alias("position"),
+            F.get("s", F.greatest(low, F.lit(0)).cast("int")).alias("low"),
+            F.get("s", F.least(high, F.lit(GRID)).cast("int")).alias("high"),
         )
-    ).scalar()
+
+    known = samples.agg(
+        F.count("latency_ms").alias("n"),
+        _mean().alias("mean"),
+        F.percentile_approx("latency_ms", steps, F.lit(10 * GRID)).alias("s"),
+    ).select(F.struct("mean", F.array(*map(bracket, fractions)).alias("b")).alias("known"))
     value = F.col("latency_ms")
-    counts = (
-        samples.where(value <= bounds["high"])
-        .groupBy(F.when(value >= bounds["low"], value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    held = samples.where("latency_ms is not null").withColumn("known", known.scalar())
+    inside = F.exists("known.b", lambda b: (value >= b["low"]) & (value <= b["high"]))
+    # One row for a value inside a bracket, one for the values between brackets.
+    between_ = F.aggregate("known.b", F.lit(0), lambda k, b: k + (value > b["high"]).cast("int"))
+    counts = held.groupBy(
+        F.when(inside, value).alias("v"), F.when(~inside, between_).alias("gap"), "known"
+    ).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"))
+    rows = counts.select("v", "n", "least", F.explode("known.b").alias("b"), F.col("known.mean").alias("mean"))
+    low, width = F.col("b.low"), F.col("b.high") - F.col("b.low")
+    piece = F.when(
+        (F.col("v") >= low) & (F.col("v") <= F.col("b.high")),
+        F.when(width > 0, F.least(F.floor((F.col("v") - low) / width * PIECES), F.lit(PIECES - 1))).otherwise(0),
+    ).when(F.col("least") < low, -1)
+    rows = rows.withColumn("piece", piece).where("piece is not null")
+    key = [F.col("b.fraction"), F.col("piece")]
+    # PIECES + 1 rows for each fraction.
+    order = Window.partitionBy("b.fraction").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy("b", "mean", "piece").agg(F.sum("n").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
+        .select(F.col("b.fraction").alias("f"), F.col("piece").alias("p"), "before")
     )
-    whole = Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_first("v"))
+    running = Window.partitionBy(*key).orderBy("v")
     ranked = (
-        counts.withColumn("upto", F.sum("n").over(whole))
-        .where("v is not null")
-        .withColumn("position", bounds["position"])
+        rows.where("piece >= 0").join(starts, (key[0] == F.col("f")) & (key[1] == F.col("p")))
+        .withColumn("upto", F.col("before") + F.sum("n").over(running))
     )
-    position = F.col("position")
+    position = F.col("b.position")
     lower = F.min(F.when(F.col("upto") > F.floor(position), F.col("v")))
     upper = F.min(F.when(F.col("upto") > F.ceil(position), F.col("v")))
     share = F.max(position - F.floor(position))
-    return ranked.agg(F.coalesce(lower + (upper - lower) * share, F.lit(0.0)).alias(name))
+    found = ranked.groupBy("b.fraction").agg(
+        (lower + (upper - lower) * share).alias("latency_ms"), F.max("mean").alias("avg_latency_ms")
+    )
+    asked = requests.sparkSession.createDataFrame([(float(f),) for f in fractions], "fraction double")
+    return asked.join(found, "fraction", "left").na.fill(0.0)
 
 
 def request_count(requests: DataFrame) -> DataFrame:
@@ -190,14 +211,14 @@ def request_count(requests: DataFrame) -> DataFrame:
 
 def api_stats(requests: DataFrame, period: str = C.PERIOD) -> DataFrame:
     """One row with average, p95 and p99 latency and the request count."""
-    parts = [
-        average_latency(requests, period),
-        latency_percentile(requests, 0.95, "p95_latency_ms", period),
-        latency_percentile(requests, 0.99, "p99_latency_ms", period),
-        request_count(requests),
-    ]
-    columns = [part.scalar().alias(part.columns[0]) for part in parts]
-    return requests.sparkSession.range(1).select(*columns)
+    names = {0.95: "p95_latency_ms", 0.99: "p99_latency_ms"}
+    found = latency_percentiles(requests, list(names), period)
+    of = {n: F.max(F.when(F.col("fraction") == f, F.col("latency_ms"))).alias(n) for f, n in names.items()}
+    return found.agg(
+        F.max("avg_latency_ms").alias("avg_latency_ms"),
+        *of.values(),
+        request_count(requests).scalar().alias("total_requests"),
+    )
 
 
 def health_status(counts: DataFrame, requests: DataFrame) -> DataFrame:

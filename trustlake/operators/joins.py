@@ -1,117 +1,29 @@
-"""Joins that survive hot and missing keys."""
+"""Joins to narrow tables: one plan, whatever the sizes.
+
+Adaptive execution picks the join by bytes and splits the partitions of a hot or
+missing key on the side of the facts; a runtime filter of the keys in use reaches
+the scan of a much larger table. Nothing is counted beforehand, so building a
+join starts no job.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from trustlake.sources.scratch import saved
-
-# Rows up to which a narrow table is broadcast.
-BROADCAST_ROWS = 200_000
-HOT_SHARE = 1000
-
-
-def is_small(table: DataFrame, rows: int | None = None) -> bool:
-    """Is the table, which is counted, small enough to be broadcast?"""
-    return table.count() <= (BROADCAST_ROWS if rows is None else rows)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys that each hold more than ``1 / share`` of the rows.
-
-    There are fewer than ``share`` of them whatever the size of the table. Counts
-    combine on the map side.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("_n") * share > total).select(*keys).dropna()
-
+from pyspark.sql import DataFrame
 
-def lookup_join(
-    facts: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    broadcast_rows: int | None = None,
-    share: int = HOT_SHARE,
-) -> DataFrame:
-    """Left join to a narrow table with one row per key.
-
-    A table of at most ``broadcast_rows`` (it is counted) is broadcast. With a
-    larger one, rows with a hot key are matched in place against the hot table
-    rows, which are broadcast: fewer than ``share`` rows. In the shuffled join
-    that serves all others, hot rows and rows without a key carry their row
-    number, which matches nothing, so they are spread over all partitions. For
-    this the facts are numbered and written once.
-
-    ``table`` is read more than once; pass a scan or a ``saved`` result.
-    """
-    keys = list(keys)
-    if is_small(table, broadcast_rows):
-        return facts.join(F.broadcast(table), keys, "left")
-    columns, values = facts.columns, [c for c in table.columns if c not in keys]
-    facts = saved(facts.withColumn("_row", F.monotonically_increasing_id()), "facts")
-    hot = F.broadcast(hot_keys(facts, keys, share))
-    here = table.join(hot, keys, "left_semi").select(*keys, F.struct(*values).alias("_here"))
-    no_key: Column = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    flagged = facts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left").join(
-        F.broadcast(here), keys, "left"
-    )
-    salted = flagged.withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNotNull() | no_key, F.col("_row") + 1).otherwise(F.lit(0)),
-    )
-    there = table.select(
-        *keys, F.lit(0).cast("long").alias("_salt"), F.struct(*values).alias("_there")
-    )
-    found = [F.coalesce(F.col(f"_here.{v}"), F.col(f"_there.{v}")).alias(v) for v in values]
-    return salted.join(there, [*keys, "_salt"], "left").select(*columns, *found)
-
-
-Keep = Callable[[DataFrame, Sequence[str]], DataFrame]
-
-
-def join_built(
-    facts: DataFrame,
-    keys: Sequence[str],
-    build: Callable[[DataFrame, Keep], DataFrame],
-    broadcast_rows: int | None = None,
-) -> DataFrame:
-    """Left join to a table that is built for the keys in use.
-
-    ``build(wanted, keep)`` gets the distinct keys and returns one row for each
-    that it knows. ``keep(table, columns)`` filters a landed table by the keys,
-    inside its scan, if at most ``broadcast_rows`` are wanted. The built table
-    is then no larger and is broadcast; otherwise it is written once and looked
-    up with care for hot keys.
-    """
-    keys = list(keys)
-    wanted = saved(facts.select(*keys).dropna().distinct(), "wanted")
-    few = is_small(wanted, broadcast_rows)
+Build = Callable[[DataFrame], DataFrame]
 
-    def keep(table: DataFrame, columns: Sequence[str]) -> DataFrame:
-        named = wanted.toDF(*columns)
-        return table.join(F.broadcast(named), list(columns), "left_semi") if few else table
 
-    table = build(wanted, keep)
-    if few:
-        return facts.join(F.broadcast(table), keys, "left")
-    return lookup_join(facts, saved(table, "built"), keys, broadcast_rows)
+def lookup_join(facts: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join to a narrow table with one row per key."""
+    return facts.join(table, list(keys), "left")
 
 
-def restrict(
-    table: DataFrame, wanted: DataFrame, keys: Sequence[str], broadcast_rows: int | None = None
-) -> DataFrame:
-    """Only rows with a wanted key, if the wanted keys are few enough to be
-    broadcast (they are counted); otherwise the whole table.
+def join_built(facts: DataFrame, keys: Sequence[str], build: Build) -> DataFrame:
+    """Left join to a table that ``build`` makes for the distinct keys in use.
 
-    It keeps heavy scans short when little is asked for. Callers join to the
-    wanted keys afterwards in either case.
+    ``facts`` is read twice; pass a scan.
     """
-    if not is_small(wanted, broadcast_rows):
-        return table
-    return table.join(F.broadcast(wanted.select(*keys).distinct()), list(keys), "left_semi")
+    wanted = facts.select(*keys).dropna().distinct()
+    return lookup_join(facts, build(wanted), keys)

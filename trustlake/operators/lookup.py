@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.functions.numeric import mb_label
-from trustlake.operators.joins import Keep, join_built, lookup_join
+from trustlake.operators.joins import lookup_join
 
 KEY = ["type", "id"]
 
@@ -19,19 +19,15 @@ def get_artifacts(registry: DataFrame, keys: DataFrame) -> DataFrame:
     """Metadata and data of each requested key.
 
     ``status`` is ``ok``, ``malformed`` (a stored record without name, URL, type
-    or id) or ``not_found``. If few keys are asked for, the registry scan keeps
-    only their records.
+    or id) or ``not_found``.
     """
-
-    def build(wanted: DataFrame, keep: Keep) -> DataFrame:
-        return keep(registry, KEY).select(
-            *KEY, "name", "model_url", "download_url", F.lit(True).alias("_stored")
-        )
-
+    stored = registry.select(
+        *KEY, "name", "model_url", "download_url", F.lit(True).alias("_stored")
+    )
     malformed = _missing("name") | _missing("model_url") | _missing("type") | (F.col("id") == 0)
     ok = F.col("status") == "ok"
     return (
-        join_built(keys.select(*KEY), KEY, build)
+        lookup_join(keys.select(*KEY), stored, KEY)
         .withColumn(
             "status",
             F.when(F.col("_stored").isNull(), "not_found")

@@ -20,9 +20,8 @@ from trustlake.functions import numeric as N
 from trustlake.functions import text as T
 from trustlake.functions import urls as U
 from trustlake.operators import code, readmes, reviews, sizes
-from trustlake.operators.joins import Keep, join_built, restrict
+from trustlake.operators.joins import join_built, lookup_join
 from trustlake.operators.scores import gate_failures, with_net_score
-from trustlake.sources.scratch import saved
 
 KEY = ["type", "id"]
 
@@ -218,7 +217,7 @@ def result_rows(df: DataFrame, metric: str, score: Column, devices: Column | Non
     )
 
 
-Facts = Callable[[Landed, Keep], DataFrame]
+Facts = Callable[[Landed], DataFrame]
 
 
 def _joined(landed: Landed, *facts: Facts) -> DataFrame:
@@ -227,35 +226,35 @@ def _joined(landed: Landed, *facts: Facts) -> DataFrame:
     Facts are first brought together per distinct model id, where no key is hot.
     """
 
-    def build(ids: DataFrame, keep: Keep) -> DataFrame:
-        tables = [fact(landed, keep) for fact in facts]
+    def build(ids: DataFrame) -> DataFrame:
+        tables = [fact(landed) for fact in facts]
         return reduce(lambda df, table: df.join(table, "model_id", "left"), tables, ids)
 
     return join_built(with_model_id(landed.models), ["model_id"], build)
 
 
-def _info(landed: Landed, keep: Keep) -> DataFrame:
-    return info_facts(keep(landed.info, ["model_id"]), landed.as_of)
+def _info(landed: Landed) -> DataFrame:
+    return info_facts(landed.info, landed.as_of)
 
 
-def _listing(landed: Landed, keep: Keep) -> DataFrame:
-    return listing_facts(keep(landed.siblings, ["model_id"]))
+def _listing(landed: Landed) -> DataFrame:
+    return listing_facts(landed.siblings)
 
 
-def _readmes(landed: Landed, keep: Keep) -> DataFrame:
-    return readmes.readme_facts(keep(landed.repo_files, ["repo"]))
+def _readmes(landed: Landed) -> DataFrame:
+    return readmes.readme_facts(landed.repo_files)
 
 
-def _claims(landed: Landed, keep: Keep) -> DataFrame:
-    return readmes.claims(keep(landed.repo_files, ["repo"])).toDF("model_id", "claims")
+def _claims(landed: Landed) -> DataFrame:
+    return readmes.claims(landed.repo_files).toDF("model_id", "claims")
 
 
-def _texts(landed: Landed, keep: Keep) -> DataFrame:
-    return readmes.text_facts(keep(landed.repo_files, ["repo"]))
+def _texts(landed: Landed) -> DataFrame:
+    return readmes.text_facts(landed.repo_files)
 
 
-def _pages(landed: Landed, keep: Keep) -> DataFrame:
-    return page_links(keep(landed.pages, ["model_id"]))
+def _pages(landed: Landed) -> DataFrame:
+    return page_links(landed.pages)
 
 
 def ramp_up_time(landed: Landed) -> DataFrame:
@@ -293,11 +292,8 @@ def dataset_quality(landed: Landed) -> DataFrame:
 def _code_scores(landed: Landed, models: DataFrame) -> DataFrame:
     """Adds ``code_quality`` to models with a ``code_repo``."""
 
-    def build(repos: DataFrame, keep: Keep) -> DataFrame:
-        scores = code.code_quality(keep(landed.code_files, ["repo"]))
-        return scores.toDF("code_repo", "code_quality")
-
-    found = join_built(models, ["code_repo"], build)
+    scores = code.code_quality(landed.code_files).toDF("code_repo", "code_quality")
+    found = lookup_join(models, scores, ["code_repo"])
     return found.withColumn(
         "code_quality", F.coalesce("code_quality", F.lit(C.NO_CODE_SCORE))
     )
@@ -311,29 +307,24 @@ def code_quality(landed: Landed) -> DataFrame:
 def _review_scores(landed: Landed, models: DataFrame) -> DataFrame:
     """Adds ``reviewedness`` to models with a ``review_repo``."""
 
-    def build(repos: DataFrame, keep: Keep) -> DataFrame:
-        activity = (landed.prs, landed.reviews, landed.pr_files)
-        scores = reviews.reviewedness(*[keep(table, ["repo"]) for table in activity])
-        return scores.toDF("review_repo", "reviewedness")
-
-    found = join_built(models, ["review_repo"], build)
+    scores = reviews.reviewedness(landed.prs, landed.reviews, landed.pr_files)
+    found = lookup_join(models, scores.toDF("review_repo", "reviewedness"), ["review_repo"])
     return found.withColumn("reviewedness", F.coalesce("reviewedness", F.lit(-1.0)))
 
 
 def reviewedness(landed: Landed) -> DataFrame:
-    models = saved(with_review_repo(_joined(landed, _pages)), "models")
+    models = with_review_repo(_joined(landed, _pages))
     return result_rows(_review_scores(landed, models), "reviewedness", F.col("reviewedness"))
 
 
-def _reproducibility(landed: Landed, models: DataFrame) -> DataFrame:
+def _reproducibility(landed: Landed) -> DataFrame:
     """Scores of landed replies; their texts stay in the scan stage."""
-    replies = restrict(landed.responses, models, KEY)
-    scored = replies.select(*KEY, reproducibility_value().alias("reproducibility"))
+    scored = landed.responses.select(*KEY, reproducibility_value().alias("reproducibility"))
     return one_per_key(scored, KEY)
 
 
 def reproducibility(landed: Landed) -> DataFrame:
-    facts = landed.models.join(_reproducibility(landed, landed.models), KEY, "left")
+    facts = landed.models.join(_reproducibility(landed), KEY, "left")
     return result_rows(facts, "reproducibility", F.col("reproducibility"))
 
 
@@ -359,18 +350,20 @@ def run_metrics(landed: Landed, metrics: Mapping[str, Metric] = METRICS) -> Data
     """Long results of any set of metrics, built-in or a user's own.
 
     A metric is a function from ``Landed`` to rows (type, id, score); one that
-    cannot be built yields missing scores. For the built-in ten, ``rate`` computes the
+    cannot be built yields missing scores and says why in ``error``. For the built-in ten, ``rate`` computes the
     same in one pass.
     """
 
     def rows(metric: str, build: Metric) -> DataFrame:
+        none = F.lit(None).cast("string")
         try:
             result = build(landed)
-            if "device_scores" in result.columns:
-                return result
-            return result_rows(result, metric, F.col("score"))
-        except Exception:  # the metric failed: every model misses this score
-            return result_rows(landed.models, metric, F.lit(None))
+            if "device_scores" not in result.columns:
+                result = result_rows(result, metric, F.col("score"))
+            return result.withColumn("error", none)
+        except Exception as failure:  # every model misses this score
+            error = F.lit(f"{type(failure).__name__}: {failure}"[:1000])
+            return result_rows(landed.models, metric, F.lit(None)).withColumn("error", error)
 
     return reduce(DataFrame.unionByName, [rows(m, build) for m, build in metrics.items()])
 
@@ -380,6 +373,10 @@ def model_facts(landed: Landed) -> DataFrame:
     return _joined(landed, _info, _listing, _texts, _pages)
 
 
+# Columns of the models that a rating passes on: the order of registrations.
+CARRIED = ("seq",)
+
+
 def rate(landed: Landed) -> DataFrame:
     """All ten metrics, wide: one row per model, plus net score and admission.
 
@@ -387,26 +384,24 @@ def rate(landed: Landed) -> DataFrame:
     facts; models meet them in lookup joins, and scores, net score and gate are
     Columns over the result.
     """
-    models = saved(
-        with_review_repo(model_facts(landed)).select(
-            *KEY,
-            "name",
-            "model_url",
-            code_repo().alias("code_repo"),
-            "review_repo",
-            ramp_up_score().alias("ramp_up_time"),
-            bus_factor_score().alias("bus_factor"),
-            license_metric().alias("license"),
-            performance_score().alias("performance_claims"),
-            device_struct().alias("devices"),
-            dataset_and_code_value(landed.strict_links).alias("dataset_and_code_score"),
-            dataset_quality_value().alias("dataset_quality"),
-        ),
-        "models",
+    models = with_review_repo(model_facts(landed)).select(
+        *KEY,
+        "name",
+        "model_url",
+        *[c for c in CARRIED if c in landed.models.columns],
+        code_repo().alias("code_repo"),
+        "review_repo",
+        ramp_up_score().alias("ramp_up_time"),
+        bus_factor_score().alias("bus_factor"),
+        license_metric().alias("license"),
+        performance_score().alias("performance_claims"),
+        device_struct().alias("devices"),
+        dataset_and_code_value(landed.strict_links).alias("dataset_and_code_score"),
+        dataset_quality_value().alias("dataset_quality"),
     )
     scored = (
         _review_scores(landed, _code_scores(landed, models))
-        .join(_reproducibility(landed, models), KEY, "left")
+        .join(_reproducibility(landed), KEY, "left")
         .withColumn("size_score", files_fn.device_mean("devices"))
         .drop("code_repo", "review_repo")
     )

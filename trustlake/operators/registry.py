@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.functions.numeric import col
-from trustlake.operators.joins import Keep, join_built, lookup_join
-from trustlake.sources.scratch import saved
+from trustlake.operators.joins import lookup_join
 
 KEY = ["type", "id"]
 
@@ -20,9 +19,11 @@ KEY = ["type", "id"]
 def last_wins(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """The row with the greatest ``order`` per key; combined on the map side."""
     rest = [c for c in df.columns if c not in keys]
+    # Rows at one place in the order are told apart by all that they hold.
+    total = F.struct(order, *[c for c in rest if c != order])
     return (
         df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), order).alias("_last"))
+        .agg(F.max_by(F.struct(*rest), total).alias("_last"))
         .select(*keys, "_last.*")
         .select(*df.columns)
     )
@@ -32,7 +33,7 @@ def current_view(changes: DataFrame) -> DataFrame:
     """Latest record per (type, id) after the last reset, without deleted ones."""
     last_reset = changes.where(F.col("op") == "reset").agg(F.max("seq")).scalar()
     alive = changes.where(F.col("op") != "reset").where(
-        F.col("seq") > F.coalesce(last_reset, F.lit(-1))
+        last_reset.isNull() | (F.col("seq") > last_reset)
     )
     return last_wins(alive, KEY).where(F.col("op") == "put").drop("op")
 
@@ -46,26 +47,12 @@ def upsert(registry: DataFrame, records: DataFrame) -> DataFrame:
     return last_wins(registry.unionByName(records), KEY)
 
 
-def append_index(index: DataFrame, lines: DataFrame) -> DataFrame:
-    """All lines, old and new; a repeated registration repeats its line."""
-    return index.unionByName(lines)
-
-
-def delete(registry: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(remaining records, keys that matched nothing)."""
-    wanted = keys.select(*KEY).distinct()
-    remaining = registry.join(wanted, KEY, "left_anti")
-    not_found = wanted.join(registry.select(*KEY), KEY, "left_anti")
-    return remaining, not_found
-
-
 def prune_index(index: DataFrame, keys: DataFrame) -> DataFrame:
     """Drop index lines of deleted artifacts (by default they stay). An id that
     was registered very often is a hot key of the index.
     """
     gone = keys.select(F.col("id").cast("string").alias("id"), "type").distinct()
-    flagged = lookup_join(index, saved(gone.withColumn("_gone", F.lit(True)), "gone"), ["id", "type"])
-    return flagged.where(F.col("_gone").isNull()).drop("_gone")
+    return index.join(gone, ["id", "type"], "left_anti").select(*index.columns)
 
 
 def reset(registry: DataFrame) -> DataFrame:
@@ -123,11 +110,8 @@ def with_stored_flag(changes: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds ``stored``: is the (type, id) of a change in the registry? The
     registry has one row per key; an artifact may be changed very often.
     """
-
-    def build(wanted: DataFrame, keep: Keep) -> DataFrame:
-        return keep(registry, KEY).select(*KEY, F.lit(True).alias("stored"))
-
-    flagged = join_built(changes, KEY, build)
+    known = registry.select(*KEY, F.lit(True).alias("stored"))
+    flagged = lookup_join(changes, known, KEY)
     return flagged.withColumn("stored", F.coalesce("stored", F.lit(False)))
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from trustlake import constants as C
 from trustlake.functions.files import has_extension
 from trustlake.functions.numeric import round3
-from trustlake.operators.joins import lookup_join
 
 PR = ["repo", "number"]
 
@@ -51,8 +50,7 @@ def with_review_flag(prs: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def pr_file_changes(prs: DataFrame, files: DataFrame) -> DataFrame:
     """Changed files of the given PRs. A PR with very many files is a hot key."""
-    known = prs.select(*PR, F.lit(True).alias("_known"))
-    return lookup_join(files, known, PR).where("_known").drop("_known")
+    return files.join(prs.select(*PR), PR, "left_semi").select(*files.columns)
 
 
 def pr_additions(files: DataFrame) -> DataFrame:
@@ -67,19 +65,21 @@ def reviewedness(prs: DataFrame, reviews: DataFrame, files: DataFrame) -> DataFr
 
     ``prs`` holds closed PRs. A repository with closed PRs but no counted lines
     scores 0; one without any row in ``prs`` is unknown and absent here.
-    Everything is one row per PR before the joins, at most 30 per repository.
+
+    PRs are cut first, to at most 30 per repository. Files and reviews of no
+    merged one among them go before anything is summed.
     """
-    recent = recent_prs(prs).select(
-        *PR, (F.coalesce(F.col("merged_at").cast("string"), F.lit("")) != "").alias("merged")
+    recent = recent_prs(prs)
+    merged = merged_prs(recent).select(*PR)
+    additions = pr_additions(pr_file_changes(merged, files))
+    seen = pr_file_changes(merged, reviews.select(*PR))
+    lines = with_review_flag(additions, seen)
+    sums = lines.groupBy("repo").agg(
+        F.sum("additions").alias("total"),
+        F.sum(F.when(F.col("reviewed"), F.col("additions"))).alias("reviewed"),
     )
-    lines = with_review_flag(recent, reviews).join(pr_additions(files), PR, "left")
-    merged = F.when(F.col("merged"), F.col("additions"))
     return (
-        lines.groupBy("repo")
-        .agg(
-            F.sum(merged).alias("total"),
-            F.sum(F.when(F.col("reviewed"), merged)).alias("reviewed"),
-        )
+        recent.select("repo").distinct().join(sums, "repo", "left")
         .select(
             "repo",
             F.when(F.col("total") > 0, F.coalesce("reviewed", F.lit(0)) / F.col("total"))

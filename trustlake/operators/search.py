@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,20 +12,97 @@ from trustlake import constants as C
 from trustlake.functions.guard import unsafe_reason
 from trustlake.functions.numeric import col
 from trustlake.functions.text import words_found
-from trustlake.operators.joins import Keep, join_built
-from trustlake.sources.scratch import saved
+from trustlake.operators.joins import lookup_join
+
+
+# What Python's syntax has, outside and inside of brackets, that needs other words here.
+_PART = re.compile(
+    r"""(?P<comment>\(\?\#[^)]*\))
+      | \(\?P<(?P<name>\w+)>
+      | \(\?P=(?P<back>\w+)\)
+      | (?P<flags>\(\?(?=[aiLmsux-]+[:)])(?P<letters>[aiLmsux-]+))
+      | (?P<condition>\(\?\()
+      | (?P<open>\((?!\?))
+      | \\(?P<escape>x..|u....|U.{8}|N\{[^}]*\}|[0-7]{1,3}|[89]|.)
+      | (?P<set>\[\^?\]?(?:\\.|[^\]\\])*\])
+      | \{(?P<low>\d*)(?P<comma>,?)(?P<high>\d*)\}
+      | (?P<brace>[{}])
+      | (?P<other>.)""",
+    re.X | re.S,
+)
+_IN_SET = re.compile(r"\\(?P<escape>x..|u....|U.{8}|[0-7]{1,3}|.)|(?P<other>.)", re.S)
+_CONTROLS = {"a": 7, "f": 12, "v": 11, "b": 8}
 
 
 def java_pattern(pattern: str) -> str:
-    """The pattern with the flags and group syntax that give it its Python meaning."""
-    java = pattern.replace("(?P<", "(?<").replace(r"\Z", r"\z")
-    return "(?iudU)" + java
+    """The pattern in Java's syntax, with the flags that give it its Python meaning.
+
+    Named groups become numbered ones. Raises ``ValueError`` for what Python does
+    not compile and for what has no equivalent: conditional groups, names of
+    characters, and the flags for ASCII, locale and verbose patterns.
+    """
+    try:
+        groups = re.compile(pattern, re.IGNORECASE).groupindex
+    except (re.error, OverflowError, RecursionError) as error:
+        raise ValueError(f"Invalid regex: {error}") from error
+    out = []
+    for m in _PART.finditer(pattern):
+        escape = m["escape"]
+        if m["comment"]:
+            continue
+        if m["condition"] or set(m["letters"] or "") & set("aLx"):
+            raise ValueError(f"Unsupported regex: {m[0]}")
+        if m["letters"]:
+            out.append("(?" + (m["letters"].replace("u", "") or "U"))
+        elif m["name"] or m["open"]:
+            out.append("(")
+        elif m["back"]:
+            out.append(f"(?:\\{groups[m['back']]})")
+        elif escape:
+            out.append(_escape(escape))
+        elif m["set"]:
+            out.append(_set(m["set"]))
+        elif m["low"] is not None:
+            given = m["low"] or m["high"]
+            out.append(f"{{{m['low'] or 0}{m['comma']}{m['high']}}}" if given else "\\{" + m[0][1:-1] + "\\}")
+        else:
+            out.append("\\" + m["brace"] if m["brace"] else m["other"])
+    return "(?iudU)" + "".join(out)
+
+
+def _escape(escape: str, in_set: bool = False) -> str:
+    if escape[0] == "N":
+        raise ValueError("Unsupported regex: \\N{...}")
+    if escape == "Z":
+        return r"\z"
+    if escape[0] == "U":
+        return f"\\x{{{escape[1:]}}}"
+    if escape in _CONTROLS and (in_set or escape != "b"):
+        return f"\\x{_CONTROLS[escape]:02x}"
+    if escape[0] == "0" or (escape[0] in "1234567" and (in_set or len(escape) == 3)):
+        return f"\\x{{{int(escape, 8):x}}}"  # a number of three digits is a character, as in a set
+    if escape[0] in "123456789":
+        return f"(?:\\{escape})" if escape.isdecimal() else f"\\{escape}"
+    return "\\" + escape
+
+
+def _set(text: str) -> str:
+    """A set of characters; Java reads some plain ones as operators."""
+    head = "[^" if text.startswith("[^") else "["
+    body = []
+    for m in _IN_SET.finditer(text[len(head) : -1]):
+        if m["escape"]:
+            body.append(_escape(m["escape"], in_set=True))
+        else:
+            body.append("\\" + m["other"] if m["other"] in "[]&~^" else m["other"])
+    return head + "".join(body) + "]"
 
 
 def check_pattern(df: DataFrame, pattern: str) -> None:
-    """Raise for an empty or unsafe pattern (one-row job, no data is read)."""
+    """Raise for an empty, invalid or unsafe pattern (one-row job, no data is read)."""
     if not pattern:
         raise ValueError("Missing 'regex' field")
+    java_pattern(pattern)
     reason = df.sparkSession.range(1).select(unsafe_reason(F.lit(pattern))).first()[0]
     if reason:
         raise ValueError(f"Unsafe regex: {reason}")
@@ -57,16 +134,8 @@ def last_names(name_index: DataFrame) -> DataFrame:
 
 
 def name_hits(hits: DataFrame, name_index: DataFrame) -> DataFrame:
-    """Attach the last indexed name to hits by id.
-
-    The hits, narrow keys that a scan of all texts has found, are written once.
-    If they are few, only their index lines are looked at.
-    """
-
-    def build(ids: DataFrame, keep: Keep) -> DataFrame:
-        return last_names(keep(name_index, ["id"]))
-
-    named = join_built(saved(hits.select("type", "id"), "hits"), ["id"], build)
+    """Attach the last indexed name to hits by id."""
+    named = lookup_join(hits.select("type", "id"), last_names(name_index), ["id"])
     return named.select(F.coalesce("name", F.lit(C.UNKNOWN_NAME)).alias("name"), "id", "type")
 
 
@@ -98,28 +167,27 @@ def check_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("reason", unsafe_reason("regex"))
 
 
-PATTERNS_PER_SCAN = 500
+# Patterns that one request may bring.
+REQUEST_PATTERNS = 100
 
 
-def multi_search(documents: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """Every document with every safe pattern that it matches.
+def multi_search(
+    documents: DataFrame, patterns: Sequence[tuple[int, str]], text: str = "text"
+) -> DataFrame:
+    """Every document with every safe pattern of a request that it matches.
 
-    Patterns are requests: they become compiled literals of the plan, tested in
-    place on each text, so there is no join and each text is read once per
-    ``PATTERNS_PER_SCAN`` patterns.
+    Patterns are (id, pattern) pairs of a request, at most ``REQUEST_PATTERNS``.
+    They become compiled literals of the plan, tested in place on each text in
+    one scan. Unsafe ones match nothing.
     """
-    requests = [(r["pattern_id"], r["regex"]) for r in safe_patterns(patterns).toLocalIterator()]
-
-    def scan(batch: list[tuple[int, str]]) -> DataFrame:
-        tests = [F.when(matches(text, regex), F.lit(pid).cast("int")) for pid, regex in batch]
-        hits = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
-        return documents.withColumn("pattern_id", F.explode(hits)).drop(text)
-
-    batches = [
-        requests[i : i + PATTERNS_PER_SCAN]
-        for i in range(0, max(len(requests), 1), PATTERNS_PER_SCAN)
+    if len(patterns) > REQUEST_PATTERNS:
+        raise ValueError(f"a request has at most {REQUEST_PATTERNS} patterns")
+    tests = [
+        F.when(unsafe_reason(F.lit(regex)).isNull() & matches(text, regex), F.lit(pid).cast("int"))
+        for pid, regex in patterns
     ]
-    return reduce(DataFrame.unionByName, map(scan, batches))
+    hits = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
+    return documents.withColumn("pattern_id", F.explode(hits)).drop(text)
 
 
 def keyword_matches(documents: DataFrame, words: list[str], text: str = "text") -> DataFrame:

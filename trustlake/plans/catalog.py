@@ -33,6 +33,7 @@ from trustlake.operators import (
     search,
     sizes,
 )
+from trustlake.operators.rating import SCALAR_METRICS
 from trustlake.plans import flows
 from trustlake.plans import tables as t
 from trustlake.sources import landing, sinks
@@ -76,8 +77,9 @@ def src_registry(spark, sf):
     record = F.to_json(F.struct("type", "id", "name", "model_url", "download_url", "net_score"))
     # One document in seventeen is cut off.
     text = F.when(F.col("seq") % 17 == 0, F.left(record, F.lit(40))).otherwise(record)
-    t.artifacts(spark, sf).select(text.alias("value")).write.text(root)
-    return landing.read_registry(spark, root, tree=False).drop("results")
+    records = t.artifacts(spark, sf).select(text.alias("value"), F.col("type").alias("t"), F.col("id").alias("i"))
+    records.repartition("t", "i").write.partitionBy("t", "i").text(root)
+    return landing.read_registry(spark, root, name="part-*").drop("results")
 
 
 @query
@@ -88,8 +90,12 @@ def src_name_index(spark, sf):
              when seq % 19 = 0 then concat(name, ',', id, ',', type, ',')
              else concat('  ', name, ' ,', id, ', ', type, ' ') end"""
     )
-    t.artifacts(spark, sf).select(line.alias("value")).write.text(root)
-    return landing.read_name_index(spark, root).drop("seq")
+    lines = t.artifacts(spark, sf)
+    lines.select(line.alias("value")).write.text(root)
+    # A later and larger append renames every second artifact.
+    later = F.expr("inline(array(struct(repeat('x', 300)), struct(concat(name, ' v2,', id, ',', type))))")
+    lines.where("seq % 2 = 0").select(later).toDF("value").write.mode("append").text(root)
+    return search.last_names(landing.read_name_index(spark, root))
 
 
 @query
@@ -220,9 +226,8 @@ def src_api_requests(spark, sf):
 @query
 def src_object_sizes(spark, sf):
     root = scratch_dir(spark, "objects")
-    t.artifacts(spark, sf).selectExpr(
-        "type", "seq % 5 as id", "name as value"
-    ).repartition("type", "id").write.partitionBy("type", "id").text(root)
+    objects = t.artifacts(spark, sf).selectExpr("type", "id", "name as value")
+    objects.repartition("type", "id").write.partitionBy("type", "id").text(root)
     return landing.read_object_sizes(spark, root, "part-*")
 
 
@@ -252,9 +257,10 @@ def snk_upsert_registry(spark, sf):
 def snk_append_index(spark, sf):
     root = scratch_dir(spark, "index")
     index = t.artifacts(spark, sf)
-    sinks.append_index_lines(index, root)
-    sinks.append_index_lines(index, root)
-    return landing.read_name_index(spark, root).drop("seq")
+    sinks.append_index(index.where("seq % 3 = 0"), root)
+    later = index.withColumns({"name": F.concat("name", F.lit(" v2")), "seq": F.col("seq") + 1_000_000_000})
+    sinks.append_index(later.where("seq % 2 = 0").unionByName(index.where("seq % 3 <> 0")), root)
+    return search.last_names(landing.read_index(spark, root))
 
 
 @query
@@ -291,9 +297,13 @@ def delete_keys(spark, sf) -> DataFrame:
 
 @query
 def snk_delete_artifacts(spark, sf):
-    remaining, not_found = registry.delete(t.artifacts(spark, sf), delete_keys(spark, sf))
+    root = scratch_dir(spark, "changes")
+    stored = t.artifacts(spark, sf).select("type", "id", "name", "net_score", "seq")
+    sinks.append_changes(stored, root)
+    keys = delete_keys(spark, sf).withColumn("seq", F.lit(1_000_000_000).cast("long"))
+    not_found = sinks.delete_artifacts(keys, root)
     return unioned(
-        remaining.select("type", "id", F.lit("remaining").alias("outcome")),
+        sinks.read_current(spark, root).select("type", "id", F.lit("remaining").alias("outcome")),
         not_found.select("type", "id", F.lit("not_found").alias("outcome")),
     )
 
@@ -375,12 +385,14 @@ def updates(spark, sf) -> DataFrame:
         "model_url as url",
         "code_url",
         "dataset_url",
+        "p + 1000000000 as seq",
     )
 
 
 def stored_models(spark, sf) -> DataFrame:
-    parts = t.table(spark, sf, "part").where("p_size < 45")
-    return t.models_of(parts).select("type", "id", "name", "model_url")
+    """Every model; some are stored under another id."""
+    models = t.models_of(t.table(spark, sf, "part"))
+    return models.selectExpr("type", "case when p % 9 = 4 then -id else id end as id", "name", "model_url")
 
 
 @query
@@ -531,7 +543,7 @@ def join_keys_lookup(spark, sf):
 def join_patterns_theta(spark, sf):
     documents = t.readme_texts(spark, sf)
     names = t.artifacts(spark, sf).selectExpr("-1 - seq as d", "name as text")
-    return search.multi_search(documents.unionByName(names), t.patterns(spark))
+    return search.multi_search(documents.unionByName(names), t.PATTERNS)
 
 
 @query
@@ -613,13 +625,10 @@ def agg_latency_pctl_latest(spark, sf):
     requests = t.api_requests(spark, sf)
     return unioned(
         *[
-            health.latency_percentile(requests, q, "latency_ms", p).select(
-                F.lit(p).alias("period"),
-                F.lit(q).alias("fraction"),
-                F.round("latency_ms", 6).alias("latency_ms"),
+            health.latency_percentiles(requests, (0.95, 0.99), p).select(
+                F.lit(p).alias("period"), "fraction", F.round("latency_ms", 6).alias("latency_ms")
             )
             for p in PERIODS
-            for q in (0.95, 0.99)
         ]
     )
 
@@ -745,8 +754,9 @@ def lim_log_result(spark, sf):
 
 @query
 def srt_recent(spark, sf):
+    """Every pull request, the newest first."""
     recent = t.prs(spark, sf).orderBy(F.desc("updated_at"), F.desc("number"))
-    return recent.limit(1000).select("repo", "number")
+    return recent.select("repo", "number")
 
 
 @query
@@ -1090,6 +1100,12 @@ def e2e_list(spark, sf):
     return flows.list_artifacts(t.artifacts(spark, sf), requests, offset=50)
 
 
+@query
+def e2e_list_after(spark, sf):
+    requests = [("*", ["dataset", "model"]), ("red widget 1", []), ("*", [])]
+    return flows.list_artifacts(t.artifacts(spark, sf), requests, after=(1, "5"))
+
+
 @query
 def e2e_search(spark, sf):
     return flows.search_artifacts(
@@ -1105,15 +1121,54 @@ def outcome(decisions: DataFrame) -> DataFrame:
     )
 
 
+def stored_state(spark, root: str) -> DataFrame:
+    """The stored records as a reader sees them, flat."""
+    scores = [N.round3(f"rating.{m}").alias(m) for m in SCALAR_METRICS]
+    devices = [N.round3(f"rating.size_score.{d}").alias(d) for d in C.DEVICES]
+    return flows.stored_state(spark, root).select(
+        "type", "id", "name", "model_url", "net_score", "index_name", "readme", *scores, *devices
+    )
+
+
 @query
 def e2e_rate_and_register(spark, sf):
-    return outcome(flows.decide(t.registrations_of(t.table(spark, sf, "part")), t.landed(spark, sf)))
+    """Rate and store all registrations, then read the state back."""
+    root = scratch_dir(spark, "registered")
+    parts = t.table(spark, sf, "part").withColumn("seq", F.col("p_partkey"))
+    decisions = flows.decide(t.registrations_of(parts, "seq"), t.landed(spark, sf))
+    flows.store(decisions, t.repo_files(spark, sf), root)
+    return stored_state(spark, root)
 
 
 @query
 def e2e_update(spark, sf):
-    return outcome(
-        flows.decide_updates(updates(spark, sf), stored_models(spark, sf), t.landed(spark, sf))
+    """Store models, then rate and store their updates, and read the state back."""
+    root = scratch_dir(spark, "updated")
+    stored = stored_models(spark, sf).withColumn("seq", F.lit(0).cast("long"))
+    sinks.append_changes(stored, f"{root}/changes")
+    sinks.append_index(stored, f"{root}/index")
+    decisions = flows.decide_updates(updates(spark, sf), stored, t.landed(spark, sf))
+    flows.store(decisions, t.repo_files(spark, sf), root)
+    return stored_state(spark, root)
+
+
+@query
+def e2e_decisions(spark, sf):
+    """What becomes of every registration and update."""
+    landed = t.landed(spark, sf)
+    registered = flows.decide(t.registrations_of(t.table(spark, sf, "part")), landed)
+    updated = flows.decide_updates(updates(spark, sf).drop("seq"), stored_models(spark, sf), landed)
+    return unioned(
+        *[outcome(d).withColumn("request", F.lit(name))
+          for name, d in (("registration", registered), ("update", updated))]
+    )
+
+
+@query
+def e2e_blank_search(spark, sf):
+    """A search for nothing lists everything, a page at a time."""
+    return flows.search_artifacts(
+        t.artifacts(spark, sf), t.name_index(spark, sf), t.readmes(spark, sf), " "
     )
 
 
@@ -1141,9 +1196,9 @@ def log_stream(spark, sf) -> DataFrame:
     return t.log_lines(t.table_stream(spark, sf, "events"))
 
 
-def streamed(spark, counts: DataFrame) -> DataFrame:
+def streamed(spark, sf, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
     root = scratch_dir(spark, "stream")
-    health_stream.run_counts(counts, f"{root}/counts", f"{root}/checkpoint")
+    health_stream.run_counts(log_stream(spark, sf), count, f"{root}/counts", f"{root}/checkpoint")
     return health_stream.read_counts(spark, f"{root}/counts").select(
         micros("window_start").alias("start_us"), micros("window_end").alias("end_us"),
         "log_group", "total", "errors", "warnings",
@@ -1152,18 +1207,18 @@ def streamed(spark, counts: DataFrame) -> DataFrame:
 
 @query
 def stream_health(spark, sf):
-    return streamed(spark, health_stream.window_counts(log_stream(spark, sf)))
+    return streamed(spark, sf, health_stream.window_counts)
 
 
 @query
 def stream_health_hour(spark, sf):
-    return streamed(spark, health_stream.hourly_counts(log_stream(spark, sf)))
+    return streamed(spark, sf, health_stream.hourly_counts)
 
 
 @query
 def stream_register(spark, sf):
     root = scratch_dir(spark, "stream")
-    requests = t.registrations_of(t.table_stream(spark, sf, "part"))
+    requests = t.registrations_of(t.table_stream(spark, sf, "part"), "place")
     landed = t.landed(spark, sf)
     register_stream.run_registrations(
         requests, lambda batch: flows.decide(batch, landed), f"{root}/decisions", f"{root}/checkpoint"

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from trustlake import constants as C
 from trustlake.functions.ids import artifact_id
 from trustlake.operators.metrics import Landed
-from trustlake.sources.landing import read_spread
 
 AS_OF = "2024-02-01T00:00:00Z"
 HEALTH_AS_OF = datetime(2024, 1, 15, 12, 0, 0)
@@ -37,30 +36,30 @@ PATTERNS = [
 ]
 
 
-HEAVY_TABLES = {
-    "documents": "doc_id",
-    "pages": "page_id",
-    "conversations": "conv_id",
-    "lineitem": "l_orderkey",
-    "part": "p_partkey",
-}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    if name in HEAVY_TABLES:
-        return read_spread(spark, path, HEAVY_TABLES[name])
-    return spark.read.parquet(path)
+# Files that one micro-batch takes.
+FILES_PER_TRIGGER = 1000
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a file stream; the table is a directory or a single file."""
+    """A table as a file stream; the table is a directory or a single file.
+
+    ``place`` is the file of a row and the block in it.
+    """
     path = f"{sf_dir}/{name}.parquet"
     table = spark.read.parquet(path)
-    reader = spark.readStream.schema(table.schema)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
     if table.inputFiles()[0].endswith(f"/{name}.parquet"):
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    return reader.parquet(path)
+        stream = reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    else:
+        stream = reader.parquet(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")
+    )
+    return stream.select("*", place.alias("place"))
 
 
 def repo(number: str) -> str:
@@ -145,11 +144,12 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models_of(table(spark, sf_dir, "part")).drop("p")
 
 
-def models_of(parts: DataFrame) -> DataFrame:
+def models_of(parts: DataFrame, *more: str) -> DataFrame:
     """Registered models, one per part, with extracted links; ``p`` is the part key."""
-    rows = parts.selectExpr("p_partkey as p", f"{repo('p_partkey')} as name")
+    rows = parts.selectExpr("p_partkey as p", f"{repo('p_partkey')} as name", *more)
     return rows.select(
         "p",
+        *more,
         F.lit("model").alias("type"),
         artifact_id("name").alias("id"),
         "name",
@@ -173,9 +173,10 @@ def models_of(parts: DataFrame) -> DataFrame:
     )
 
 
-def registrations_of(parts: DataFrame) -> DataFrame:
+def registrations_of(parts: DataFrame, *more: str) -> DataFrame:
     """artifact_type, source_url, name, code_url, dataset_url; some incomplete."""
-    return models_of(parts).selectExpr(
+    return models_of(parts, *more).selectExpr(
+        *more,
         """case when p % 11 = 0 then '' when p % 12 = 0 then null when p % 13 = 0 then 'dataset'
              else type end as artifact_type""",
         "case when p % 17 = 0 then '' else model_url end as source_url",
@@ -429,18 +430,14 @@ def api_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """type, id, length of stored archives; the smallest parts have none."""
+    """type, id, length of stored archives; those of small parts have another id."""
     return (
         table(spark, sf_dir, "part")
-        .where("p_size > 5")
         .selectExpr(
             "elt(cast(p_partkey % 3 as int) + 1, 'model', 'dataset', 'code') as type",
             "concat(p_name, ' ', p_partkey) as name",
             "cast(floor(p_retailprice * 12345) as bigint) as length",
+            "case when p_size > 5 then 1 else -1 end as sign",
         )
-        .select("type", artifact_id("name").alias("id"), "length")
+        .select("type", (artifact_id("name") * F.col("sign")).alias("id"), "length")
     )
-
-
-def patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PATTERNS, "pattern_id int, regex string")

@@ -32,3 +32,6 @@ CODE_LISTING = (
     "repo string, status_code int, entries array<struct<type:string, name:string, "
     "path:string, status_code:int, text:string>>"
 )
+
+INDEX_LINE = "name string, id string, type string, seq long"
+README = "id long, path string, text string, type string"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,29 +13,12 @@ from trustlake.functions.urls import strip
 from trustlake.operators.health import between
 
 
-@lru_cache(maxsize=1024)
-def _scan_tasks(application: str, path: str) -> int:
-    return SparkSession.active().read.parquet(path).rdd.getNumPartitions()
-
-
-def read_spread(spark: SparkSession, path: str, *keys: str) -> DataFrame:
-    """A Parquet table with at least one task per core, for work that is heavy per row.
-
-    A file of one row group is one task, however many rows it has. Only scans
-    with fewer tasks than the cluster has cores are redistributed; large tables
-    pass through unshuffled.
-    """
-    scan = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if _scan_tasks(spark.sparkContext.applicationId, path) >= cores:
-        return scan
-    return scan.repartition(cores, *keys)
-
-
-def read_registry(spark: SparkSession, root: str, tree: bool = True) -> DataFrame:
+def read_registry(
+    spark: SparkSession, root: str, tree: bool = True, name: str = "metadata.json"
+) -> DataFrame:
     """Stored records; unreadable documents are skipped, missing fields are null.
 
-    ``tree``: one ``<type>/<id>/metadata.json`` per artifact, as archived.
+    ``tree``: one ``<type>/<id>/<name>`` per artifact, as archived.
     Otherwise one document per line in any number of files.
     """
     reader = (
@@ -48,7 +30,7 @@ def read_registry(spark: SparkSession, root: str, tree: bool = True) -> DataFram
         reader = (
             reader.option("multiLine", True)
             .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "metadata.json")
+            .option("pathGlobFilter", name)
         )
     return reader.json(root).where(F.col("_corrupt").isNull()).drop("_corrupt")
 
@@ -72,9 +54,21 @@ def parse_name_index(lines: DataFrame) -> DataFrame:
 
 
 def read_name_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index lines with ``seq``, their position: file order, then line order."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
-    return parse_name_index(lines)
+    """Index lines of raw text files with ``seq``, their order of appending: time
+    and name of the file, then the place in it. Files may be read in any order.
+    """
+    seq = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"),
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return parse_name_index(spark.read.text(path).select("value", seq.alias("seq")))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Index lines of the table written by ``sinks.append_index``."""
+    return spark.read.schema(schemas.INDEX_LINE).parquet(path)
 
 
 def read_readme_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -102,7 +96,7 @@ def read_readme_tree(spark: SparkSession, root: str) -> DataFrame:
 
 def read_readmes(spark: SparkSession, root: str) -> DataFrame:
     """READMEs from the table written by ``sinks.store_readmes``."""
-    return spark.read.parquet(root).where(
+    return spark.read.schema(schemas.README).parquet(root).where(
         F.col("path").endswith("/README.md") | (F.col("path") == "README.md")
     )
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new directory in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; it gets a temporary one.
+    A session without that setting gets one in its warehouse folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="trustlake-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/trustlake/{name}-{uuid.uuid4().hex}"
 
 

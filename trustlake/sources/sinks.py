@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from trustlake import schemas
 from trustlake.operators.registry import as_changes, current_view
+from trustlake.sources.scratch import saved
 
 
 def append_changes(records: DataFrame, path: str, op: str = "put") -> None:
@@ -24,6 +25,16 @@ def append_changes(records: DataFrame, path: str, op: str = "put") -> None:
     changes.select(*columns).write.mode("append").partitionBy("type").parquet(path)
 
 
+def delete_artifacts(keys: DataFrame, path: str) -> DataFrame:
+    """Append deletions of the keys (type, id, seq) that are stored in the log at
+    ``path``; returns those that are not.
+    """
+    stored = read_current(keys.sparkSession, path).select("type", "id")
+    missing = saved(keys.join(stored, ["type", "id"], "left_anti"), "missing")
+    append_changes(keys.join(missing, ["type", "id"], "left_anti"), path, "delete")
+    return missing
+
+
 def _change_schema() -> StructType:
     return StructType.fromDDL(schemas.CHANGE)
 
@@ -41,10 +52,12 @@ def compact(spark: SparkSession, path: str, version: str) -> DataFrame:
     return read_current(spark, version)
 
 
-def append_index_lines(lines: DataFrame, path: str) -> None:
-    """Append ``name,id,type`` lines; nothing is rewritten or deduplicated."""
-    line = F.concat_ws(",", "name", F.col("id").cast("string"), "type")
-    lines.select(line.alias("value")).write.mode("append").text(path)
+def append_index(lines: DataFrame, path: str) -> None:
+    """Append index lines (name, id, type) with their ``seq``, which alone orders
+    them; nothing is rewritten or deduplicated.
+    """
+    columns = StructType.fromDDL(schemas.INDEX_LINE).fields
+    lines.select(*[F.col(f.name).cast(f.dataType) for f in columns]).write.mode("append").parquet(path)
 
 
 def store_readmes(readmes: DataFrame, path: str) -> None:

@@ -1,27 +1,26 @@
 """Health counts as streams.
 
-Counts leave the stream in update mode: each micro-batch appends the windows it
-changed, under its batch id, and the view keeps the last state of each window.
-The watermark bounds the state; lines later than it are dropped.
+Each micro-batch is counted by itself and its partial counts are stored under
+its batch id; readers add them up. There is no state and no watermark, so no line
+is too late, and a replayed batch overwrites its own counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake import constants as C
 from trustlake.operators.health import is_error, is_warning
-from trustlake.operators.registry import last_wins
 
-WATERMARK = "10 minutes"
+COUNTS = ("total", "errors", "warnings")
 
 
 def window_counts(logs: DataFrame, size: str = C.PERIOD, slide: str | None = None) -> DataFrame:
-    """Lines, errors and warnings per window and log group; batch or stream."""
+    """Lines, errors and warnings per window and log group."""
     counted = logs.withColumn("ts", F.col("ts").cast("timestamp"))
-    if logs.isStreaming:
-        counted = counted.withWatermark("ts", WATERMARK)
     window = F.window("ts", size, slide)
     return (
         counted.groupBy(window.alias("w"), "log_group")
@@ -46,18 +45,19 @@ def hourly_counts(logs: DataFrame) -> DataFrame:
     return window_counts(logs, "1 hour", C.PERIOD)
 
 
-def run_counts(counts: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything available and append it to the table at ``path``.
+def run_counts(
+    logs: DataFrame, count: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+) -> None:
+    """Count every micro-batch of a stream of lines and store it below ``path``.
 
-    A replayed batch overwrites its own directory, so it counts once.
+    The source sets how much a batch holds, with its number of files per trigger.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        count(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     query = (
-        counts.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        logs.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(write)
         .start()
@@ -66,8 +66,8 @@ def run_counts(counts: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Last state of every window."""
-    states = spark.read.parquet(path)
-    return last_wins(states, ["window_start", "window_end", "log_group"], "batch_id").drop(
-        "batch_id"
+    """Counts of every window, over all batches."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("window_start", "window_end", "log_group").agg(
+        *[F.sum(c).alias(c) for c in COUNTS]
     )

@@ -13,29 +13,35 @@ def run_registrations(
     decide: Callable[[DataFrame], DataFrame],
     path: str,
     checkpoint: str,
-    max_files_trigger: bool = True,
 ) -> None:
-    """Run ``decide`` (see ``plans.flows.decide``) on every micro-batch.
+    """Run ``decide`` (see ``plans.flows.decide``) on all that is available.
 
-    Decisions go to ``path/batch_id=N``. A batch that is replayed after a failure
-    overwrites its own directory, which makes the upsert idempotent.
+    Decisions go to ``path/batch_id=N`` with ``seq``: the batch, then the place of
+    the registration in its source (column ``place``), so registrations of a name
+    in one batch have an order of their own. A batch that is replayed after a
+    failure overwrites its own directory, which makes the upsert idempotent.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decide(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    writer = (
+        seq = F.struct(
+            F.lit(batch_id).cast("long").alias("batch"),
+            "place",
+            F.monotonically_increasing_id().alias("row"),
+        )
+        decided = decide(batch.withColumn("seq", seq).drop("place"))
+        decided.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    (
         registrations.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
         .foreachBatch(write)
+        .start()
+        .awaitTermination()
     )
-    if max_files_trigger:
-        writer = writer.trigger(availableNow=True)
-    writer.start().awaitTermination()
 
 
 def registered(decisions: DataFrame) -> DataFrame:
-    """Change rows of the admitted registrations; ``seq`` follows the batches."""
+    """Change rows of the admitted registrations, ordered by ``seq``."""
     return decisions.where(F.col("status") == "created").select(
-        "type", "id", "name", "model_url", "results", "net_score",
-        F.col("batch_id").cast("long").alias("seq"), F.lit("put").alias("op"),
+        "type", "id", "name", "model_url", "results", "net_score", "seq", F.lit("put").alias("op")
     )
