@@ -157,6 +157,18 @@ def _vectors(terms: list[str]) -> Callable[[Iterator], Iterator]:
     return run
 
 
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of a task hold each term; a row for each term, not for each pair."""
+    seen: Counter[int] = Counter()
+    for batch in batches:
+        for held in batch.column("held").to_pylist():
+            seen.update(held)
+    terms = sorted(seen)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(terms, pa.int32()), pa.array([seen[t] for t in terms], pa.int64())], ["t", "n"]
+    )
+
+
 class Index:
     """Postings of the examples by term, in blocks of ``BLOCK`` examples.
 
@@ -336,8 +348,8 @@ def fit(docs: DataFrame, labelled: DataFrame) -> tuple[Fitted, DataFrame]:
         texts.mapInArrow(_vectors(terms), "doc_id long, held array<int>, counts array<int>"), "vectors"
     )
     total = vectors.count()
-    held = vectors.select(F.explode("held").alias("t")).groupBy("t").count()
-    seen = {r.t: r["count"] for r in held.collect()}  # TERMS rows at most
+    held = vectors.select("held").mapInArrow(_document_counts, "t int, n long")
+    seen = {r.t: r.n for r in held.groupBy("t").agg(F.sum("n").alias("n")).collect()}  # TERMS rows
     idf = [math.log((1 + total) / (1 + seen.get(i, 0))) + 1 for i in range(len(terms) + 1)]
     rows = vectors.join(F.broadcast(chosen), "doc_id")
     blank, ones, every = rows.agg(
