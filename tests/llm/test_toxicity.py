@@ -80,3 +80,15 @@ def test_terms_and_evidence(spark):
     assert all(rows[i].predicted == i % 2 for i in range(80))
     assert "stupid" in rows[61].terms and rows[61].neighbours and rows[60].terms == []
     assert all(n % 2 for n in rows[61].neighbours[:5])
+
+
+def test_every_text_with_words_is_searched(spark):
+    nouns = ["river stone boat", "piano song choir", "bread oven flour", "saddle horse barn"]
+    docs = [(i, f"{nouns[i // 2 % 4]} w{'abcdefghij'[i // 8]} {'you stupid fool' if i % 2 else ''}") for i in range(80)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "doc_id % 2 as label").where("doc_id < 64")
+    rows = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    assert all(len(r.neighbours) == toxicity.NEIGHBOURS for r in rows.values())
+    # A text without any term of the label has the texts of its own subject as neighbours.
+    assert all(n // 2 % 4 == i // 2 % 4 and n % 2 == 0 for i in range(64, 80, 2) for n in rows[i].neighbours[:8])
+    assert all(rows[i].terms == [] and not rows[i].predicted for i in range(64, 80, 2))
