@@ -73,3 +73,13 @@ def test_edges(spark, edges, nothing):
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([("x" * 1000, "en")] * 500, "text string, lang string")
     assert len(language.sample(docs, pieces=3, piece=10)["en"]) == 32
+
+
+def test_copies_do_not_displace_texts(spark):
+    texts = [f"text {'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(40)]
+    rows = [(t, "en") for i, t in enumerate(texts) for _ in range(1 if i % 8 else 200)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for pieces in (10, 30, 40):
+        assert len(set(language.sample(docs, pieces=pieces)["en"].split("\n"))) == pieces
+    more = language.sample(docs, pieces=50)["en"].split("\n")
+    assert len(more) == 50 and set(more[:40]) == set(texts)

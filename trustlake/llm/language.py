@@ -10,8 +10,9 @@ walked side by side as arrays; whole texts are read. Letters are lower-cased and
 runs of anything else count as one space.
 
 The sample takes ``PIECES`` pieces of ``PIECE`` characters for each language, from
-documents dealt by a hash of their text, for the ``LANGUAGES`` most frequent
-languages at most. It is a fitted model; its size does not grow with the input.
+distinct texts dealt by a hash, for the ``LANGUAGES`` most frequent languages at most.
+A language with fewer texts than that has them again, in the same order. It is a
+fitted model; its size does not grow with the input.
 
 Defined results
     null text, no letters  ``und`` with score 0
@@ -51,8 +52,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 def sample(labelled: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dict[str, str]:
     """Bounded text for each language of ``text, lang``.
 
-    Rows are cut to their piece before they are ranked, and ranking keeps at most
-    ``pieces`` rows of a language in any task.
+    Rows are cut to their piece, and equal ones counted, before they are ranked; ranking
+    keeps at most ``pieces`` rows of a language in any task. A copy of a text is ranked
+    after all first occurrences, so copies only fill what distinct texts leave.
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     top = (
@@ -68,15 +70,20 @@ def sample(labelled: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dic
             F.lit(piece),
         ).alias("piece"),
     )
+    distinct = dealt.groupBy("lang", "h", "piece").agg(F.count(F.lit(1)).alias("copies"))
     order = Window.partitionBy("lang").orderBy("h", "piece")
     chosen = (
-        dealt.withColumn("rank", F.row_number().over(order))
+        distinct.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= pieces)
         .join(F.broadcast(top), "lang", "left_semi")
     )
-    texts: dict[str, list[str]] = {}
+    found: dict[str, list[tuple[str, int]]] = {}
     for row in chosen.orderBy("lang", "rank").collect():  # pieces * LANGUAGES rows at most
-        texts.setdefault(row.lang, []).append(row.piece)
+        found.setdefault(row.lang, []).append((row.piece, row.copies))
+    texts = {}
+    for lang, rows in found.items():
+        repeats = [p for k in range(1, pieces) for p, copies in rows if copies > k]
+        texts[lang] = [*(p for p, _ in rows), *repeats][:pieces]
     return {lang: "\n".join(parts) for lang, parts in texts.items()}
 
 
