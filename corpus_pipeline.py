@@ -35,7 +35,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token shares meet the targets of source, language and topic."""
+    """A sample whose token shares are moved towards the targets of source, language and
+    topic, as far as chances up to 1 allow."""
     return mixing.draw(docs)
 
 

@@ -4,7 +4,8 @@ Documents are counted into cells of source, language and topic. Raking multiplie
 the weight of cells by the ratio of target to present share, one margin after the
 other, until the shares of all margins agree. A document's chance is its cell's
 weight times one scale, at most 1, with the scale set so that the expected number
-of tokens is ``FRACTION`` of all. Documents are drawn by a hash of their number
+of tokens is ``FRACTION`` of all. Where a chance ends at 1, the sample has less of that
+cell than ``weight`` asks for, and its shares miss the targets. Documents are drawn by a hash of their number
 and text, so a rerun draws the same ones.
 
 Cells, margins and targets stay tables. What the driver sees is one number a
