@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -83,3 +84,34 @@ def test_copies_do_not_displace_texts(spark):
         assert len(set(language.sample(docs, pieces=pieces)["en"].split("\n"))) == pieces
     more = language.sample(docs, pieces=50)["en"].split("\n")
     assert len(more) == 50 and set(more[:40]) == set(texts)
+
+
+def test_every_language_has_its_letters():
+    rng = random.Random(5)
+    signs = [chr(0x4E00 + i) for i in range(400)]
+    # Words of two signs; the languages share most signs, but no word.
+    words = {"xx": [signs[i] + signs[i + 1] for i in range(0, 300, 2)],
+             "yy": [signs[i] + signs[i + 2] for i in range(100, 398, 2)]}
+    latin = {f"l{i}": "".join(rng.choices([chr(0x61 + i), "e", " "], k=3000)) for i in range(20)}
+    model = language.Model({**latin, **{k: "".join(rng.choices(w, k=2000)) for k, w in words.items()}})
+    for lang, own in words.items():
+        found = model.classify(["".join(rng.choices(own, k=40)) for _ in range(20)])[0]
+        assert found == [lang] * 20
+
+
+@pytest.mark.parametrize("size", [30, 61, 62, 63, 64, 300])
+def test_large_alphabets_equal_brute_force(monkeypatch, size):
+    monkeypatch.setattr(language, "WINDOW", 50)
+    rng = random.Random(size)
+    signs = [chr(0x4E00 + i) for i in range(size + 3)]
+    texts = {
+        "xx": "".join(rng.choices(signs[:size], k=900)) + "".join(signs[:size]),
+        "yy": "".join(rng.choices(signs[3:9], k=500)),
+    }
+    model = language.Model(texts)
+    asked = ["".join(rng.choices(signs[:9], k=130)), "".join(rng.choices(signs, k=70)), texts["xx"][40:160]]
+    symbols, at = model.encode(asked)
+    got = model.phrases(symbols, at)
+    for k, lang in enumerate(model.langs):
+        for i, text in enumerate(asked):
+            assert got[k, i] == phrases(texts[lang], text, 50)

@@ -12,7 +12,8 @@ runs of anything else count as one space.
 The sample takes ``PIECES`` pieces of ``PIECE`` characters for each language, from
 distinct texts dealt by a hash, for the ``LANGUAGES`` most frequent languages at most.
 A language with fewer texts than that has them again, in the same order. It is a
-fitted model; its size does not grow with the input.
+fitted model; its size does not grow with the input. Every language has all letters
+of its sample as symbols of their own; any other letter is a phrase by itself.
 
 Defined results
     null text, no letters  ``und`` with score 0
@@ -43,8 +44,8 @@ WINDOW = 256
 PIECES = 96
 PIECE = 256
 LANGUAGES = 64
-# Letters that the automata tell apart, with space and "another letter".
-SYMBOLS = 64
+# An automaton with more symbols than that is held as sorted steps, not as a dense table.
+DENSE = 64
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -88,27 +89,37 @@ def sample(labelled: DataFrame, pieces: int = PIECES, piece: int = PIECE) -> dic
 
 
 class Model:
-    """Automata as tables: a row for each state, a column for each symbol.
+    """Automata as tables. Symbol 0 is a space, 1 a letter that no sample holds.
 
     An entry is the next state, times the number of symbols. Where the automaton
     has no step, a phrase ends: the entry is the state after the symbol as the
     first of a new phrase, with bit 0 set.
+
+    Texts are encoded once, by all letters of all samples; ``own`` has for each language
+    the numbers of its own letters, with 1 for those that its sample lacks.
     """
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        letters = Counter(c for t in texts.values() for c in t.lower() if _LETTER.match(c))
-        common = sorted(letters, key=lambda c: (-letters[c], c))[: SYMBOLS - 2]
-        self.classes = np.zeros(0x110000, np.uint8)
+        letters = {lang: sorted(set(_LETTER.findall(texts[lang].lower()))) for lang in self.langs}
+        common = sorted(set().union(*letters.values()))
+        kind = np.uint8 if len(common) <= 254 else np.uint32
+        self.classes = np.zeros(0x110000, kind)
         everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         for m in _LETTER.finditer(everything):
             self.classes[ord(m[0])] = 1
         for i, c in enumerate(common):
             self.classes[ord(c)] = i + 2
-        self.tables, self.bits = [], []
+        self.own: list[np.ndarray] = []
+        self.tables: list[np.ndarray | Steps] = []
+        self.bits = []
         for lang in self.langs:
+            own = np.ones(len(common) + 2, np.int64)
+            own[0] = 0
+            own[[self.classes[ord(c)] for c in letters[lang]]] = np.arange(len(letters[lang])) + 2
             symbols, _ = self.encode([texts[lang]])
-            self.tables.append(automaton(symbols.tolist()))
+            self.own.append(own)
+            self.tables.append(automaton(own[symbols].tolist(), len(letters[lang]) + 2))
             self.bits.append(float(np.log2(len(symbols) + 1)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,18 +144,18 @@ class Model:
         length = np.minimum(at[1:][text] - start, WINDOW)
         order = np.argsort(-length, kind="stable")
         text, start, length = text[order], start[order], length[order]
-        padded = np.concatenate((symbols, np.zeros(WINDOW, np.uint8)))
+        padded = np.concatenate((symbols, np.zeros(WINDOW, symbols.dtype)))
         steps = padded[start[None, :] + np.arange(WINDOW)[:, None]]
         active = np.searchsorted(-length, -np.arange(WINDOW), "left")
         out = np.zeros((len(self.langs), len(sizes)), np.int64)
-        for k, table in enumerate(self.tables):
+        for k, (table, own) in enumerate(zip(self.tables, self.own, strict=True)):
             state = np.zeros(len(text), np.int64)
             count = np.ones(len(text), np.int64)
             for row, n in zip(steps, active.tolist(), strict=True):
                 if not n:
                     break
                 now = state[:n]
-                now += row[:n]
+                now += own[row[:n]]
                 found = table[now]
                 ends = found & 1
                 count[:n] += ends
@@ -167,8 +178,25 @@ class Model:
         return out, scores
 
 
-def automaton(symbols: list[int]) -> np.ndarray:
-    """The suffix automaton of a sequence, as the table that ``Model`` describes."""
+class Steps:
+    """A table of few steps among many symbols: the entries that are no phrase ends, sorted,
+    and for each symbol the entry of all others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, alone: np.ndarray):
+        order = np.argsort(keys)
+        # A last key beyond all others, so that every search ends at a key.
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.values = np.append(values[order], 0)
+        self.ends = alone + 1
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.keys, at)
+        return np.where(self.keys[place] == at, self.values[place], self.ends[at % len(self.ends)])
+
+
+def automaton(symbols: list[int], width: int) -> np.ndarray | Steps:
+    """The suffix automaton of a sequence of numbers below ``width``, as the table that
+    ``Model`` describes."""
     steps, link, size = [{}], [-1], [0]
     last = 0
     for c in symbols:
@@ -194,16 +222,23 @@ def automaton(symbols: list[int]) -> np.ndarray:
                     steps[p][c] = twin
                     p = link[p]
         last = new
+    # Entries are even, as bit 0 marks the end of a phrase.
+    width += width % 2
     # The state after a symbol alone, a phrase having ended before it. A symbol that the
     # sample lacks leads to one more state, from which every symbol begins a phrase.
-    alone = np.full(SYMBOLS, len(steps) * SYMBOLS, np.int64)
+    alone = np.full(width, len(steps) * width, np.int64)
     for c, q in steps[0].items():
-        alone[c] = q * SYMBOLS
+        alone[c] = q * width
+    if width > DENSE:
+        entries = [(s * width + c, q * width) for s, out in enumerate(steps) if s for c, q in out.items()]
+        entries += list(enumerate(alone.tolist()))  # no phrase ends at the first symbol of a text
+        keys, values = np.array(entries, np.int64).T
+        return Steps(keys, values, alone)
     table = np.tile(alone + 1, (len(steps) + 1, 1))
     table[0] = alone
     for s, out in enumerate(steps):
         for c, q in out.items():
-            table[s, c] = q * SYMBOLS
+            table[s, c] = q * width
     return table.ravel()
 
 
