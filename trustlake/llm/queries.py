@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake.llm import (
+    byte_bpe,
     decontaminate,
     html_text,
     language,
     mixing,
     near_dup,
     secret_scan,
+    spelling,
     token_count,
     toxicity,
     url_filter,
+    whitening,
 )
 from trustlake.llm.exact_dedup import DigestIndex
 
@@ -281,3 +285,80 @@ def mixing_sql() -> str:
 def op5_mix_sources(spark, sf):
     found = mixing.chances(table(spark, sf, "documents"))
     return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+def crc32_sql(text: str) -> str:
+    """The CRC-32 of a text's UTF-8 bytes, byte by byte over a table of remainders."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    digits = f"hex({text})"
+    return f"""xor(list_reduce([4294967295] || list_transform(range(1, length({digits}) + 1, 2),
+            lambda i: ('0x' || substr({digits}, i, 2))::bigint),
+            lambda c, b: xor(c >> 8, list_extract({table}, (xor(c, b) & 255) + 1))), 4294967295)"""
+
+
+@query(
+    f"""
+    with recursive runs as (
+        select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents
+    ), lowered as (
+        select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w,
+               count(*) as c
+        from runs group by all
+    ), keyed as (
+        select *, coalesce(doc_id::varchar, '') || ':' || w as key from lowered
+    ), hashed as materialized (
+        select w, c, {crc32_sql("key")} as h from keyed
+    ), drawn as (
+        select case when h % {spelling.ONE_IN} = 0
+                    then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word,
+               c
+        from hashed
+    ), words as materialized (
+        select word, sum(c)::bigint as n from drawn where length(word) >= {spelling.SHORTEST}
+        group by word having sum(c) >= {spelling.RAREST}
+    ), cuts as materialized (
+        select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest
+        from words, lateral (select unnest(range(1, length(word) + 1)) as i)
+    ), near as (
+        select a.word, b.word as near, b.n as m
+        from cuts a join cuts b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+        union select a.word, b.word, b.n from cuts a join words b on a.rest = b.word
+        union select b.word, a.word, a.n from cuts a join words b on a.rest = b.word
+    ), best as (
+        select word, count(*) as n_near, max(m) as m, arg_min(near, (-m, encode(near))) as near from near group by word
+    ), forms as materialized (
+        select w.word, n, coalesce(n_near, 0) as n_near, case when m >= 2 * n then near end as form,
+               case when m >= 2 * n then m end as form_n
+        from words w left join best using (word)
+    ), chains as (
+        select word, word as root from forms
+        union all
+        select c.word, f.form from chains c join forms f on c.root = f.word where f.form is not null
+    ), ends as (
+        select c.word, c.root from chains c join forms f on c.root = f.word where f.form is null
+    )
+    select word, form, root, n, n_near, form_n from forms join ends using (word)
+    """
+)
+def op11_spelling_variants(spark, sf):
+    return spelling.group_variants(table(spark, sf, "documents"))
+
+
+@query()
+def op12_whiten(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    fitted = whitening.fit(vectors)
+    error = whitening.identity_error(vectors, fitted) if fitted else 0.0
+    return whitening.whiten(vectors, fitted).withColumn("identity_error", F.lit(error))
+
+
+@query()
+def op13_byte_bpe(spark, sf):
+    ranks = byte_bpe.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(table(spark, sf, "documents"), ranks)
+    decoded = byte_bpe.decode(encoded.withColumn("ids_sha256", sha256(F.col("ids"))), ranks)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", sha256(F.col("decoded")).alias("decoded_sha256"))
