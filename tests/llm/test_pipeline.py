@@ -58,7 +58,7 @@ def test_decontamination(spark, stages):
 
 def test_mixing(spark, stages):
     docs = spark.createDataFrame(stages[4], spark.read.parquet(f"{SF}/documents.parquet").schema)
-    drawn = {r.doc_id for r in mixing.chances(docs).collect() if r.drawn}
+    drawn = {r.doc_id for r in mixing.chances(docs).collect() if r.copies}
     assert drawn == {r.doc_id for r in stages[5]} and drawn
 
 

@@ -107,6 +107,9 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         .where(~F.col("kept") | (F.col("rows") > 1)),
         "copies",
     )
+    # Texts are joined to all these keys once. The few repeats are a table of their own,
+    # so that Spark sees its size and finds them without a shuffle of the texts.
+    repeated = cut(gone.where("kept"), "repeated")
     mark, number, sha = (f"_{uuid.uuid4().hex}" for _ in range(3))
     rows = docs.withColumn(mark, digest(docs["text"]))
 
@@ -115,5 +118,5 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         same = F.col("doc_id").eqNullSafe(F.col(number)) & (F.col(mark) == F.col(sha))
         return rows.join(keys, same, how)
 
-    again = listed(gone.where("kept"), "left_semi").dropDuplicates(["doc_id", mark])
+    again = listed(repeated, "left_semi").dropDuplicates(["doc_id", mark])
     return listed(gone, "left_anti").unionByName(again).drop(mark)

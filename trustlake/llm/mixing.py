@@ -2,25 +2,27 @@
 
 Documents are counted into cells of source, language and topic. Raking multiplies
 the weight of cells by the ratio of target to present share, one margin after the
-other, until the shares of all margins agree. A document's chance is its cell's
-weight times one scale, at most 1, with the scale set so that the expected number
-of tokens is ``FRACTION`` of all. Where a chance ends at 1, the sample has less of that
-cell than ``weight`` asks for, and its shares miss the targets. Documents are drawn by a hash of their number
-and text, so a rerun draws the same ones.
+other, until the shares of all margins agree. ``expected``, how often a document is
+to be in the sample, is its cell's weight times ``FRACTION``, the size of the sample
+against all tokens. Its whole part is the number of sure copies, and a hash of number
+and text draws one more with the chance that is left. So every margin of the sample
+meets its target in expectation, those of values too rare for it by copies, and a
+rerun draws the same.
 
 Cells, margins and targets stay tables. What the driver sees is one number a
-round, the scale.
+round, the largest change of a weight, and the totals.
 
 Defined results
-    null or empty text      0 tokens; drawn by its cell's chance
+    null or empty text      0 tokens; drawn as its cell is
     null source, language   a value of its own, written as an empty string
     value without target    share 0, never drawn
     target without tokens   left out, the other shares of its margin are scaled up
-    no tokens at all        all weights and chances are 0
+    no tokens at all        all weights are 0, nothing is drawn
     null doc_id, repeats    drawn by the same hash, so equal rows are drawn alike
+    very long texts         whole; a text is in or out as one
     empty table             no rows
     further columns         not read by ``chances``; passed on by ``draw``, which
-                            replaces columns named weight, probability and topic
+                            replaces columns named topic, weight, expected and copies
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 from trustlake.llm.common import cut
 
 ROUNDS = 15
-SCALINGS = 6
+# Raking ends before if no weight changes by more than this share.
+SETTLED = 1e-13
 FRACTION = 0.5
 # Exponents that temper the present shares into targets.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -68,15 +71,22 @@ def uniform(*columns: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 48)
 
 
+def measures_of(docs: DataFrame) -> dict[str, Column]:
+    """The margins, the tokens and the uniform number of a document."""
+    number = docs["doc_id"].cast("long").cast("string")
+    return {
+        "source": F.coalesce(docs["source"].cast("string"), F.lit("")),
+        "lang": F.coalesce(docs["lang"].cast("string"), F.lit("")),
+        "topic": topic(docs["text"]),
+        "tokens": tokens(docs["text"]),
+        "u": uniform(number, F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))),
+    }
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """The margins and the weight in tokens of every document."""
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        topic(F.col("text")).alias("topic"),
-        tokens(F.col("text")).alias("tokens"),
-        uniform(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("u"),
+        docs["doc_id"].cast("long").alias("doc_id"), *[c.alias(n) for n, c in measures_of(docs).items()]
     )
 
 
@@ -104,76 +114,72 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
         shares[name] = known.select(
             name, (F.col("share") / (sum_ or 1.0) * total).alias("aim")
         )
-    cells = cells.withColumn("weight", F.lit(1.0))
+    cells = cells.withColumns({"weight": F.lit(1.0), "moved": F.lit(0.0)})
     for _ in range(rounds):
-        for name, aim in shares.items():
+        for at, (name, aim) in enumerate(shares.items()):
             now = cells.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
             factor = now.join(aim, name, "left").select(
                 name,
                 F.when(F.col("now") > 0, F.coalesce("aim", F.lit(0.0)) / F.col("now"))
                 .otherwise(0.0).alias("factor"),
             )
-            cells = cells.join(factor, name).withColumn(
-                "weight", F.col("weight") * F.col("factor")
-            ).drop("factor")
-        cells = cut(cells, "cells")
-    return cells
+            change = F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
+            # Written each time: a step reads the cells twice, so plans of several steps would double with each.
+            cells = cut(
+                cells.join(factor, name).select(
+                    *[c for c in cells.columns if c not in ("weight", "moved")],
+                    (F.col("weight") * F.col("factor")).alias("weight"),
+                    F.greatest(F.col("moved") if at else F.lit(0.0), change).alias("moved"),
+                ),
+                "cells",
+            )
+        if (cells.agg(F.max("moved")).first()[0] or 0.0) <= SETTLED:
+            break
+    return cells.drop("moved")
 
 
-def scaled(cells: DataFrame, fraction: float = FRACTION, steps: int = SCALINGS) -> DataFrame:
-    """``probability`` of each cell: weight times a scale, at most 1.
-
-    Cells that reach 1 leave the rest of the budget to the others, so the scale is
-    set again a few times.
-    """
-    held = F.col("tokens") * F.col("weight")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    scale = 0.0
-    for step in range(steps):
-        full = F.lit(step > 0) & (F.col("weight") * scale >= 1)
-        spent, rest = cells.agg(
-            F.sum(F.when(full, F.col("tokens")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(held))
-        ).first()
-        left = fraction * total - float(spent or 0)
-        if not rest or left <= 0:
-            break
-        scale = left / rest
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale)))
+def drawn(weight: Column, u: Column, fraction: float) -> dict[str, Column]:
+    """``expected`` and ``copies`` of a document with a weight and a number from 0 up to 1."""
+    expected = weight * F.lit(fraction)
+    whole = F.floor(expected)
+    return {"expected": expected, "copies": (whole + (u < expected - whole).cast("int")).cast("int")}
 
 
 def chances(
     docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, fraction: float = FRACTION
 ) -> DataFrame:
-    """A row for each document: its margins, tokens, ``weight, probability`` and ``drawn``."""
+    """A row for each document: its margins, tokens, ``weight, expected`` and ``copies``."""
     rows = cut(measured(docs), "measured")
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = cut(scaled(rake(cells, targets or tempered(cells)), fraction), "raked").drop("tokens")
+    raked = rake(cells, targets or tempered(cells)).drop("tokens")
     # One row for each cell; adaptive execution splits the rows of a large cell.
-    return rows.join(raked, list(MARGINS)).withColumn("drawn", F.col("u") < F.col("probability")).drop("u")
+    found = rows.join(raked, list(MARGINS))
+    return found.withColumns(drawn(F.col("weight"), F.col("u"), fraction)).drop("u")
 
 
 def draw(
     docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, fraction: float = FRACTION
 ) -> DataFrame:
-    """The drawn documents, with all their columns and ``topic, weight, probability``.
+    """The drawn documents, each once, with all their columns and ``topic, weight, expected, copies``.
 
-    Cells are joined to the documents, so texts are not shuffled if the cells are few.
+    Texts are read once for their margins and written with them, so they are joined
+    to the cells, which Spark does without a shuffle of them if the cells are few.
     """
-    found = measured(docs)
-    cells = cut(found.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    raked = cut(scaled(rake(cells, targets or tempered(cells)), fraction), "raked")
-    names = {m: f"_{uuid.uuid4().hex}" for m in MARGINS}
-    keys = raked.select(*[F.col(m).alias(n) for m, n in names.items()], "weight", "probability")
-    own = {"source": F.coalesce(docs["source"].cast("string"), F.lit("")),
-           "lang": F.coalesce(docs["lang"].cast("string"), F.lit("")),
-           "topic": topic(docs["text"])}
-    kept = [c for c in docs.columns if c not in ("topic", "weight", "probability")]
-    rows = docs.select(*[docs[c] for c in kept], *[own[m].alias(f"{n}o") for m, n in names.items()])
-    same = [F.col(f"{n}o") == F.col(n) for n in names.values()]
-    number = F.col("doc_id").cast("long").cast("string")
-    u = uniform(number, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return (
-        rows.join(keys, same[0] & same[1] & same[2])
-        .where(u < F.col("probability"))
-        .select(*kept, F.col(names["topic"]).alias("topic"), "weight", "probability")
+    made = ("topic", "weight", "expected", "copies")
+    kept = [c for c in docs.columns if c not in made]
+    found = {name: f"_{uuid.uuid4().hex}" for name in (*MARGINS, "tokens", "u")}
+    measures = measures_of(docs)
+    rows = cut(docs.select(*[docs[c] for c in kept], *[measures[n].alias(x) for n, x in found.items()]), "measured")
+    cells = rows.groupBy(*[F.col(found[m]).alias(m) for m in MARGINS]).agg(F.sum(found["tokens"]).alias("tokens"))
+    cells = cut(cells, "cells")
+    raked = rake(cells, targets or tempered(cells)).select(
+        *[F.col(m).alias(found[m]) for m in MARGINS], F.col("weight").alias(f"{found['u']}w")
     )
+    weight = F.col(f"{found['u']}w")
+    new = drawn(weight, F.col(found["u"]), fraction)
+    return (
+        rows.join(raked, [found[m] for m in MARGINS])
+        .where(new["copies"] > 0)
+        .select(*kept, F.col(found["topic"]).alias("topic"), weight.alias("weight"),
+                new["expected"].alias("expected"), new["copies"].alias("copies"))
+    )

@@ -263,28 +263,18 @@ def mixing_sql() -> str:
             left join a_{name} using ({name})
         )"""
             )
-    parts.append("s0 as (select 0.0::double as scale)")
-    for step in range(1, mixing.SCALINGS + 1):
-        full = f"weight * scale >= 1 and {step} > 1"
-        parts.append(
-            f"""s{step} as materialized (
-            select case when rest > 0 and spare > 0 then spare / rest else scale end as scale
-            from (select any_value(scale) as scale,
-                         {mixing.FRACTION} * any_value(t) - sum(case when {full} then tokens else 0 end) as spare,
-                         sum(case when {full} then 0 else tokens * weight end) as rest
-                  from c{k}, s{step - 1}, total)
-        )"""
-        )
     return f"""with {", ".join(parts)}
         select doc_id, source, lang, topic, m.tokens, round(weight, 6) as weight,
-               round(least(1, weight * scale), 6) as probability, u < least(1, weight * scale) as drawn
-        from m join c{k} using (source, lang, topic), s{mixing.SCALINGS}"""
+               round(weight * {mixing.FRACTION}, 6) as expected,
+               (floor(weight * {mixing.FRACTION})
+                + (u < weight * {mixing.FRACTION} - floor(weight * {mixing.FRACTION}))::int)::int as copies
+        from m join c{k} using (source, lang, topic)"""
 
 
 @query(mixing_sql())
 def op5_mix_sources(spark, sf):
     found = mixing.chances(table(spark, sf, "documents"))
-    return found.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+    return found.withColumns({c: F.round(c, 6) for c in ("weight", "expected")})
 
 
 def crc32_sql(text: str) -> str:
