@@ -884,6 +884,15 @@ q["met_all"] = (
     + ", ".join(f"{round3(m)} as {m}" for m in C.METRIC_WEIGHTS)
     + ", net_score, admitted, failures from scored"
 )
+q["met_all_known"] = q["met_all"]
+TABLES["learnable"] = f"""select 'texts' as kind, text, regexp_matches(repo, '[02468]$') as even
+  from repo_files where status_code = 200 and length(text) > 0
+  union all select 'sources', text, regexp_matches(repo, '[02468]$')
+  from (select * from python_files where status_code = 200
+    qualify row_number() over (partition by repo order by ord) <= {C.MAX_CODE_FILES})"""
+q["agg_learned_texts"] = """select step, kind, case step when 0 then half when 1 then whole - half else 0 end as judged
+  from (select kind, count(distinct text) filter (where even) as half, count(distinct text) as whole
+    from learnable group by kind), (select unnest([0, 1, 2]) as step)"""
 q["met_all_long"] = " union all ".join(
     metric_rows(m, "rated_strict") for m in C.METRIC_WEIGHTS
 )
@@ -912,18 +921,28 @@ q["e2e_list_after"] = f"""select name, id, type, type_rank from ({_LISTED})
 q["e2e_search"] = search("(small|blue) (ring|bolt)|apache|evaluation results")
 
 
+TABLES["readme_names"] = """select concat(case when d % 8 = 2 then 'github.com/' else 'huggingface.co/' end, repo) as key,
+    case when d % 8 = 2 then case when d % 16 = 10 then 'README.rst' else 'README' end
+      when d % 9 = 0 then null when d % 10 = 1 then concat('docs/ReadMe_', d) else 'README.md' end as file, text
+  from readme_texts join document_names using (d) where d % 37 <> 0 and not (d % 8 = 2 and d % 24 = 2)"""
+
+
+def readme_key(url: str) -> str:
+    return f"""case when {url} like 'https://github.com/%' then regexp_extract({url}, '^https://(.*)[.]git$', 1)
+      when {url} like 'https://huggingface.co/%' then regexp_extract({url}, '^https://([^/]+/[^/]+/[^/]+)', 1) end"""
+
+
 def stored(records: str, ratings: str) -> str:
-    """Records (type, id, name, model_url, net_score, fresh) as read back; fresh ones were rated and have a README."""
+    """Records (type, id, name, model_url, net_score, fresh) as read back; fresh ones were rated and may have a README."""
     scores = ", ".join(
         f"case when d.type = 'model' then coalesce({round3('r.' + m)}, 0e0) end as {m}"
         for m in (*[m for m in C.METRIC_WEIGHTS if m != "size_score"], *C.DEVICES)
     )
     return f"""select d.type, d.id, d.name, d.model_url, d.net_score, d.name as index_name,
-      case when fresh and d.type = 'model' and m.model_id is not null
-        then concat('artifacts/model/', d.id, '/README.md') end as readme, {scores}
+      case when fresh and m.file is not null then concat('artifacts/', d.type, '/', d.id, '/', m.file) end as readme,
+      {scores}
       from ({records}) d left join {ratings} r on fresh and d.type = 'model' and r.id = d.id
-      left join (select distinct model_id from main_readmes where text <> '') m
-        on m.model_id = regexp_replace(d.name, '-new$', '') and not contains(d.model_url, 'github.com')"""
+      left join readme_names m on m.key = {readme_key('d.model_url')}"""
 
 
 q["e2e_rate_and_register"] = stored(
@@ -936,6 +955,14 @@ q["e2e_update"] = stored(
     where not exists (select 1 from scored_updates u where u.admitted and u.type = s.type and u.id = s.id)""",
     "rated_updates",
 )
+TABLES["run_registrations"] = f"""select *, case when place % 2 = 0 then 'even' else 'odd' end as run,
+    (1 + place % 2)::bigint as at
+  from (select artifact_type as type, {artifact_id('name')} as id, name, source_url,
+          regexp_extract(name, '[0-9]+$')::bigint as place from registrations where error is null)"""
+q["e2e_register_runs"] = f"""select 'index' as table, run, at, place, type, id, name as text from run_registrations
+  union all select 'changes', run, at, place, type, id, concat('put:', source_url) from run_registrations
+  union all select 'readmes', run, at, place, type, id, concat('artifacts/', type, '/', id, '/', file, ':', md5(text))
+  from run_registrations join readme_names m on m.file is not null and m.key = {readme_key('source_url')}"""
 q["e2e_decisions"] = """select *, 'registration' as request from decisions
   union all select type, id, name, model_url, case when admitted then 'created' else 'rejected' end as status,
     failures, net_score, null::varchar as error, 'update' from scored_updates
@@ -976,7 +1003,7 @@ q["stream_health"] = stream_counts(_BUCKET, "logs", "5 minutes")
 q["stream_health_hour"] = stream_counts(
     "s", f"(select *, {_BUCKET} - to_minutes(5 * j) as s from logs, range(12) r(j))", "1 hour"
 )
-q["stream_register"] = """select type, id, name, model_url, net_score from decisions where status = 'created'"""
+q["stream_register"] = f"""select type, id, name, model_url, net_score, index_name, readme from ({q["e2e_rate_and_register"]})"""
 
 
 # --- assembly ----------------------------------------------------------------------------

@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustlake.operators import health, joins, listing, lookup, registry, search
+from trustlake import schemas
+from trustlake.operators import health, joins, listing, lookup, readmes, registry, search
 from trustlake.plans import flows
-from trustlake.sources import landing, scratch, sinks
+from trustlake.sources import landing, runs, scratch, sinks
 from trustlake.streaming import health as stream_health
 
 
@@ -334,28 +335,169 @@ def test_join_built(spark):
     assert {r.n: r.v for r in got.collect()} == {1: 3, 2: 3, 3: 5, 4: None, 5: None}
 
 
+# --- runs of the stored registry --------------------------------------------------------------
+
+DECIDED = ("type string, id long, name string, model_url string, status string, failures array<string>, "
+           "results string, net_score double, error string, seq long")
+
+
+def decided(spark, *names, start=1, kind="model"):
+    rows = [(kind, 100 + len(n), n, f"https://huggingface.co/o/{n}", "created", [], "{}", 0.5, None, start + i)
+            for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, DECIDED)
+
+
+def readme_reply(spark, *rows):
+    return spark.createDataFrame([(k, 200, [("x",), (name,)], None, None, text) for k, name, text in rows],
+                                 schemas.README_REPLY)
+
+
+def lines(spark, root):
+    runs = flows.registry_runs(spark, root)
+    return sorted((r.name, r.id) for r in runs.read("index").collect()), runs.read("changes").count()
+
+
+def test_each_run_appends_once(spark, tmp_path):
+    root, none = str(tmp_path / "registry"), readme_reply(spark)
+    done = [flows.store(decided(spark, n), none, root, n[0]) for n in ("alpha", "be", "be", "gam")]
+    assert done == [True, True, False, True]
+    assert lines(spark, root) == ([("alpha", "105"), ("be", "102"), ("gam", "103")], 3)
+    hits = search.search(flows.registry_runs(spark, root).read("index"),
+                         flows.registry_runs(spark, root).read("readmes"), "alpha")
+    assert hits.count() == 1
+    manifest = {r.run: (r.at, r.rows) for r in flows.registry_runs(spark, root).manifest().collect()}
+    assert manifest["g"] == (3, {"decisions": 1, "changes": 1, "index": 1, "readmes": 0})
+
+
+@pytest.mark.parametrize("fails_at", ["decisions", "changes", "index", "readmes", "manifest"])
+def test_killed_run_is_repeated(spark, tmp_path, monkeypatch, fails_at):
+    """A run that ends before its row of the manifest is written has no effect; repeated, it has one."""
+    root = str(tmp_path / "registry")
+    replies = readme_reply(spark, ("huggingface.co/o/two", "README.md", "text of two"))
+    flows.store(decided(spark, "one"), replies, root, "first")
+    before = lines(spark, root)
+    path = runs.Runs.path
+
+    def broken(self, name, run):
+        if name == fails_at:
+            raise OSError("the disk is gone")
+        return path(self, name, run)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(runs.Runs, "path", broken)
+        with pytest.raises(OSError):
+            flows.store(decided(spark, "two", "three"), replies, root, "second")
+    assert lines(spark, root) == before
+    # What the first try left does not show, even if the second one decides otherwise.
+    assert flows.store(decided(spark, "two"), replies, root, "second")
+    assert lines(spark, root) == ([("one", "103"), ("two", "103")], 2)
+    state = {r.name: r.readme for r in flows.stored_state(spark, root).collect()}
+    assert state == {"two": "artifacts/model/103/README.md"}  # same id, the later run wins
+
+
+def test_later_runs_win_and_compaction_keeps_order(spark, tmp_path):
+    root = str(tmp_path / "registry")
+    replies = readme_reply(spark, ("huggingface.co/o/aa", "README.md", "first"),
+                           ("huggingface.co/o/bb", "README.md", "second"), ("huggingface.co/o/ccc", "docs/readme", "deep"))
+    flows.store(decided(spark, "aa", "ccc", start=50), replies, root, "one")
+    flows.store(decided(spark, "bb", start=1), replies, root, "two")  # the id of aa, at a lower place
+    flows.store(decided(spark, "dddd"), replies, root, "three")
+    flows.remove(spark.createDataFrame([("model", 104)], "type string, id long"), root, "four")
+
+    def seen():
+        found = flows.registry_runs(spark, root)
+        return (sorted((r.id, r.name, r.index_name, r.readme) for r in flows.stored_state(spark, root).collect()),
+                sorted((r.id, r.name) for r in found.read("index").collect()),
+                sorted((r.path, r.text) for r in readmes.current_readmes(found.read("readmes")).collect()))
+
+    before = seen()
+    assert before[0] == [(102, "bb", "bb", "artifacts/model/102/README.md"),
+                         (103, "ccc", "ccc", "artifacts/model/103/docs/readme")]
+    assert len(before[1]) == 4 and before[2][0] == ("artifacts/model/102/README.md", "second")
+    assert flows.compact(spark, root, "base") and seen() == before
+    flows.registry_runs(spark, root).vacuum()
+    assert seen() == before and not (tmp_path / "registry/changes/run=one").exists()
+    assert not flows.store(decided(spark, "aa"), replies, root, "one")  # done, though its rows moved
+    flows.store(decided(spark, "zz"), replies, root, "five")
+    assert [r.name for r in flows.stored_records(spark, root).where("id = 102").collect()] == ["zz"]
+    flows.clear(spark, root, "six")
+    assert flows.stored_records(spark, root).count() == 0
+    flows.store(decided(spark, "again"), replies, root, "seven")
+    flows.compact(spark, root, "base-2")
+    assert [r.name for r in flows.stored_records(spark, root).collect()] == ["again"]
+    assert {r.run for r in flows.registry_runs(spark, root).live().collect()} == {"base-2"}
+
+
+def test_run_ids(spark, tmp_path):
+    for run in ("", "a/b", "../x", "a b"):
+        with pytest.raises(ValueError):
+            flows.store(decided(spark, "a"), readme_reply(spark), str(tmp_path / "r"), run)
+    found = flows.registry_runs(spark, str(tmp_path / "none"))
+    assert found.read("index").count() == 0 and found.next_number() == 1
+
+
+def test_readme_keys(evaluate):
+    urls = ["https://github.com/o/r.git", "https://GitHub.com/o/r/tree/x", "https://github.com/o", "o/r", "hf://o/r",
+            "https://huggingface.co/o/r/tree/main", "https://huggingface.co/datasets/o/d/x", "https://huggingface.co/",
+            "https://gitlab.com/o/r", None]
+    assert evaluate(readmes.readme_key, urls) == [
+        "github.com/o/r", "github.com/o/r", None, None, None, "huggingface.co/o/r", "huggingface.co/datasets/o/d", None,
+        None, None,
+    ]
+
+
+def test_readmes_of_all_types(spark, tmp_path):
+    import base64
+
+    root = str(tmp_path / "registry")
+    code = base64.b64encode("# Héllo".encode()).decode()
+    replies = spark.createDataFrame(
+        [("github.com/o/c", 200, None, "README.rst", code[:5] + "\n" + code[5:], None),
+         ("huggingface.co/datasets/o/d", 200, [("data.csv",), ("ReadMe.txt",)], None, None, "a data set"),
+         ("huggingface.co/o/gone", 404, [("README.md",)], None, None, "lost")],
+        schemas.README_REPLY,
+    )
+    rows = [("code", 1, "https://github.com/o/c.git"), ("dataset", 2, "https://huggingface.co/datasets/o/d"),
+            ("model", 3, "https://huggingface.co/o/gone"), ("model", 4, "https://github.com/o/c")]
+    made = spark.createDataFrame([(k, i, f"n{i}", u, "created", [], "{}", 0.0, None, i) for k, i, u in rows], DECIDED)
+    flows.store(made, replies, root, "r")
+    found = flows.registry_runs(spark, root).read("readmes").collect()
+    assert sorted((r.type, r.id, r.path, r.text) for r in found) == [
+        ("code", 1, "artifacts/code/1/README.rst", "# Héllo"),
+        ("dataset", 2, "artifacts/dataset/2/ReadMe.txt", "a data set"),
+        ("model", 4, "artifacts/model/4/README.rst", "# Héllo"),
+    ]
+
+
 def test_registrations_of_a_batch_are_ordered(spark, tmp_path):
     """Of registrations of a name in one batch the last by place is stored, in every run."""
     from trustlake.streaming import register
 
-    rows = [("m", f"u{i}") for i in range(40)]
+    rows = [("m", f"https://huggingface.co/o/u{i}") for i in range(40)]
     requests = spark.createDataFrame(rows, "name string, url string").coalesce(1)
-    source = str(tmp_path / "in")
+    source, root = str(tmp_path / "in"), str(tmp_path / "registry")
     requests.write.parquet(source)
     stream = spark.readStream.schema(requests.schema).parquet(source)
     place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    seen = []
 
-    def decide(batch):
-        return batch.repartition(7).select(
+    def store(batch, run):
+        seen.append(run)
+        made = batch.repartition(7).select(
             F.lit("model").alias("type"), F.lit(1).cast("long").alias("id"), "name",
             F.col("url").alias("model_url"), F.lit("created").alias("status"),
             F.lit("{}").alias("results"), F.lit(0.5).alias("net_score"), "seq",
         )
-
-    path = str(tmp_path / "out")
-    register.run_registrations(stream.select("*", place.alias("place")), decide, path, str(tmp_path / "check"))
-    stored = registry.current_view(register.registered(spark.read.parquet(path))).collect()
-    assert [r.model_url for r in stored] == ["u39"]
+        flows.store(made, readme_reply(spark, ("huggingface.co/o/u39", "README.md", "last")), root, run)
+
+    for checkpoint in ("check", "other"):  # another checkpoint replays the batch under its id
+        register.run_registrations(stream.select("*", place.alias("place")), store, str(tmp_path / checkpoint))
+    assert seen == ["stream-0", "stream-0"]
+    stored = flows.stored_state(spark, root).collect()
+    assert [(r.model_url, r.index_name, r.readme) for r in stored] == [
+        ("https://huggingface.co/o/u39", "m", "artifacts/model/1/README.md")
+    ]
+    assert flows.registry_runs(spark, root).read("index").count() == 40
 
 
 def test_deletion_is_stored(spark, tmp_path):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlake import constants as C
+from trustlake.sources.facts import FactStore, Kind, digest
 
 FACTS_SCHEMA = (
     "valid boolean, functions int, undocumented int, long_functions int, complexity double, "
@@ -134,16 +135,32 @@ def analyzed(files: DataFrame) -> DataFrame:
     return files.withColumn("facts", code_facts("text")).drop("text")
 
 
-def code_quality(files: DataFrame) -> DataFrame:
+# The facts of any Python source, wherever it lies (see ``sources.facts``).
+SOURCES = Kind("sources", f"facts struct<{FACTS_SCHEMA.replace(' ', ':').replace(',:', ', ')}>",
+               lambda files: files.withColumn("facts", code_facts("text")))
+FILE_KEY = ("repo", "ord")
+
+
+def scored_files(files: DataFrame) -> DataFrame:
+    """The files that a score looks at, as (repo, ord, digest); only these travel."""
+    narrow = python_files(files).select("repo", "ord", "status_code", digest().alias("digest"))
+    return first_readable(narrow).select("repo", "ord", "digest")
+
+
+def code_quality(files: DataFrame, known: FactStore | None = None) -> DataFrame:
     """(repo, score) from a listing with the landed text of its Python files.
 
     0.5 for a listing without Python files; 0 where there are some but none
     could be read. The mean is taken over at most seven files, added up in
-    listing order. Repositories that were not listed have no row here.
+    listing order. Repositories that were not listed have no row here. With a store
+    that has learned the files, none is parsed here.
     """
+    if known is None:
+        parsed = analyzed(first_readable(python_files(files)).select("repo", "ord", "text"))
+    else:
+        parsed = known.facts(SOURCES, scored_files(files), "repo")
     per_repo = (
-        analyzed(first_readable(python_files(files)).select("repo", "ord", "text"))
-        .withColumn("score", code_score(F.col("facts")))
+        parsed.withColumn("score", code_score(F.col("facts")))
         .groupBy("repo")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "score"))).alias("scores"))
     )

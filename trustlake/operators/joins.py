@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 Build = Callable[[DataFrame], DataFrame]
 
@@ -27,3 +28,20 @@ def join_built(facts: DataFrame, keys: Sequence[str], build: Build) -> DataFrame
     """
     wanted = facts.select(*keys).dropna().distinct()
     return lookup_join(facts, build(wanted), keys)
+
+
+# Cells into which the rows of every key are dealt.
+CELLS = 64
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: str | Column) -> DataFrame:
+    """Inner join to a table with one row per key that is large or lies in buckets.
+
+    The rows of a key are dealt into ``CELLS`` cells by a hash of ``by``. The cells meet
+    the table, which stays where it lies, and then the rows meet their cells, so a
+    key with a third of all rows is spread. ``rows`` is read twice; pass a scan.
+    """
+    cell = F.pmod(F.xxhash64(by), F.lit(CELLS)).cast("int")
+    dealt = rows.withColumn("_cell", cell)
+    cells = dealt.select(*keys, "_cell").distinct().join(table, list(keys))
+    return dealt.join(cells, [*keys, "_cell"]).drop("_cell")

@@ -22,6 +22,7 @@ from trustlake.functions import urls as U
 from trustlake.operators import code, readmes, reviews, sizes
 from trustlake.operators.joins import join_built, lookup_join
 from trustlake.operators.scores import gate_failures, with_net_score
+from trustlake.sources.facts import FactStore
 
 KEY = ["type", "id"]
 
@@ -42,6 +43,7 @@ class Landed:
     code_files  repo, ord, kind, name, status_code, text
     responses   type, id, body
     as_of       timestamp column that stands for "now"
+    known       facts of texts that were judged before; ``learn`` brings them up to date
     """
 
     models: DataFrame
@@ -56,6 +58,16 @@ class Landed:
     responses: DataFrame
     as_of: Column
     strict_links: bool = False
+    known: FactStore | None = None
+
+
+def learn(landed: Landed) -> dict[str, int]:
+    """Judge and parse what landed and is not in ``landed.known``; how many texts of each kind."""
+    files, sources = readmes.usable_files(landed.repo_files), landed.code_files
+    return {
+        "texts": landed.known.learn(readmes.TEXTS, files, readmes.FILE_KEY),
+        "sources": landed.known.learn(code.SOURCES, sources, code.FILE_KEY, code.scored_files(sources)),
+    }
 
 
 # --- facts -----------------------------------------------------------------------------
@@ -242,15 +254,15 @@ def _listing(landed: Landed) -> DataFrame:
 
 
 def _readmes(landed: Landed) -> DataFrame:
-    return readmes.readme_facts(landed.repo_files)
+    return readmes.readme_facts(landed.repo_files, landed.known)
 
 
 def _claims(landed: Landed) -> DataFrame:
-    return readmes.claims(landed.repo_files).toDF("model_id", "claims")
+    return readmes.claims(landed.repo_files, landed.known).toDF("model_id", "claims")
 
 
 def _texts(landed: Landed) -> DataFrame:
-    return readmes.text_facts(landed.repo_files)
+    return readmes.text_facts(landed.repo_files, landed.known)
 
 
 def _pages(landed: Landed) -> DataFrame:
@@ -292,7 +304,7 @@ def dataset_quality(landed: Landed) -> DataFrame:
 def _code_scores(landed: Landed, models: DataFrame) -> DataFrame:
     """Adds ``code_quality`` to models with a ``code_repo``."""
 
-    scores = code.code_quality(landed.code_files).toDF("code_repo", "code_quality")
+    scores = code.code_quality(landed.code_files, landed.known).toDF("code_repo", "code_quality")
     found = lookup_join(models, scores, ["code_repo"])
     return found.withColumn(
         "code_quality", F.coalesce("code_quality", F.lit(C.NO_CODE_SCORE))

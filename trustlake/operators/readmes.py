@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from trustlake import constants as C
 from trustlake.functions import text as T
 from trustlake.functions.files import first_named
-from trustlake.functions.urls import strip
+from trustlake.functions.numeric import let
+from trustlake.functions.urls import authority, path_segments, strip
+from trustlake.sources.facts import FactStore, Kind, digest
 
 
 def rank_in(column: str, order: Sequence[str]) -> Column:
@@ -101,25 +103,54 @@ def _readme_columns() -> dict[str, Column]:
     }
 
 
-def text_facts(files: DataFrame) -> DataFrame:
+def judge_texts(files: DataFrame) -> DataFrame:
+    """Adds the facts of each text (``TEXT_FACTS``)."""
+    facts = _with_scope(files).withColumns(_readme_columns() | {"claims": T.has_claims("text")})
+    return facts.drop("section", "scope")
+
+
+# The facts of any text, wherever it lies (see ``sources.facts``).
+TEXTS = Kind(
+    "texts",
+    "blank boolean, license double, python_signal boolean, trusted array<string>, "
+    "quality_hits int, has_section boolean, claims boolean",
+    judge_texts,
+)
+FILE_KEY = ("repo", "file", "branch")
+
+
+def usable_files(files: DataFrame) -> DataFrame:
+    return fetched(files).where(F.col("file").isin(list(C.REPO_FILES)))
+
+
+def text_facts(files: DataFrame, known: FactStore | None = None) -> DataFrame:
     """All that the metrics need to know about texts, without the texts: one row
     per repository with the facts of its README (branch ``main``) and ``claims``.
 
-    Each text is read and judged once, in the scan stage. One narrow row per file
+    Each text is read and judged once, in the scan stage; or, with a store that
+    has learned the files, only its digest is taken there. One narrow row per file
     is then combined per repository, on the map side first, so copies of a file
     cost nothing further. Columns that a caller drops are not computed.
     """
     is_readme = (F.col("file") == "README.md") & (F.col("branch") == C.BRANCHES[0])
     own_readme = is_readme & (F.instr("repo", "/") > 0)
-    usable = fetched(files).where(F.col("file").isin(list(C.REPO_FILES)))
-    judged = _with_scope(usable).select(
+    usable = usable_files(files)
+    if known is None:
+        facts, source = _readme_columns(), _with_scope(usable)
+        blank, has_claims = strip("text") == "", T.has_claims("text")
+    else:
+        marked = usable.select(*FILE_KEY, digest().alias("digest"))
+        source = known.facts(TEXTS, marked, "repo")
+        facts = {name: F.col(name) for name in README_FACTS}
+        blank, has_claims = F.col("blank"), F.col("claims")
+    judged = source.select(
         F.col("repo").alias("model_id"),
         "file",
         rank_in("branch", C.BRANCHES).alias("branch_rank"),
-        *[F.when(own_readme, fact).alias(name) for name, fact in _readme_columns().items()],
+        *[F.when(own_readme, fact).alias(name) for name, fact in facts.items()],
         F.when(
             F.col("file").isin(list(C.CLAIM_FILES)),
-            F.struct((strip("text") == "").alias("blank"), T.has_claims("text").alias("claims")),
+            F.struct(blank.alias("blank"), has_claims.alias("claims")),
         ).alias("judged"),
     )
     picks = [
@@ -143,37 +174,81 @@ def text_facts(files: DataFrame) -> DataFrame:
     )
 
 
-def readme_facts(files: DataFrame) -> DataFrame:
+def readme_facts(files: DataFrame, known: FactStore | None = None) -> DataFrame:
     """Facts of the READMEs alone, for repositories that have one."""
-    return text_facts(files).select("model_id", *README_FACTS).where("blank is not null")
+    return text_facts(files, known).select("model_id", *README_FACTS).where("blank is not null")
 
 
-def claims(files: DataFrame) -> DataFrame:
+def claims(files: DataFrame, known: FactStore | None = None) -> DataFrame:
     """(repo, score): does the first non-blank file state measured results?"""
-    scores = text_facts(files).select(
+    scores = text_facts(files, known).select(
         F.col("model_id").alias("repo"), F.col("claims").alias("score")
     )
     return scores.where("score is not null")
 
 
-def stored_readme(landed: DataFrame) -> DataFrame:
-    """Which README is stored for a registered artifact.
+def chosen_readme(on_code_host: Column, on_hub: Column) -> tuple[Column, Column]:
+    """Name and text of the README that a landed reply leads to; null where there is none.
 
     Hub repositories: the first sibling whose name contains ``readme``. Code
-    hosts: the decoded base64 ``content`` of the landed reply, under its own
-    name. A reply that failed or cannot be decoded stores nothing.
+    hosts: the decoded base64 ``content``, under its own name. A reply that cannot
+    be decoded has none.
     """
-    hub_name = first_named("siblings", "readme")
     decoded = F.try_to_binary(F.regexp_replace("content", r"\s", ""), F.lit("base64"))
-    on_code_host = F.col("host").contains(C.CODE_HOST)
-    ok = F.col("status_code") == 200
-    return landed.where(ok).select(
-        "type",
-        "id",
-        F.when(on_code_host, F.coalesce("readme_name", F.lit("README")))
-        .when(F.col("host").contains(C.HUB_HOST), hub_name)
-        .alias("path"),
-        F.when(on_code_host, F.try_validate_utf8(decoded.cast("string")))
-        .otherwise(F.col("text"))
-        .alias("text"),
+    name = F.when(on_code_host, F.coalesce("readme_name", F.lit("README"))).when(
+        on_hub, first_named("siblings", "readme")
+    )
+    text = F.when(on_code_host, F.try_validate_utf8(decoded.cast("string"))).otherwise(F.col("text"))
+    return name, text
+
+
+def stored_readme(landed: DataFrame) -> DataFrame:
+    """Which README is stored for a registered artifact. A reply that failed stores nothing."""
+    host = F.col("host")
+    name, text = chosen_readme(host.contains(C.CODE_HOST), host.contains(C.HUB_HOST))
+    return landed.where(F.col("status_code") == 200).select(
+        "type", "id", name.alias("path"), text.alias("text")
     ).where("path is not null and text is not null")
+
+
+def readme_key(url: Column | str) -> Column:
+    """The repository whose README belongs to an artifact: host and path, without
+    ``.git`` on code hosts. Null for other hosts and for what is no URL.
+    """
+
+    def key(host: Column, parts: Column) -> Column:
+        def at(number: int) -> Column:
+            return F.try_element_at(parts, F.lit(number))
+
+        code = F.concat_ws("/", F.lit(C.CODE_HOST), at(1), F.replace(at(2), F.lit(".git"), F.lit("")))
+        length = F.when(at(1) == "datasets", 3).otherwise(2)
+        hub = F.concat_ws("/", F.lit(C.HUB_HOST), F.array_join(F.slice(parts, F.lit(1), length), "/"))
+        return F.when(host.contains(C.CODE_HOST), F.when(F.size(parts) > 1, code)).when(
+            host.contains(C.HUB_HOST) & (F.size(parts) > 0), hub
+        )
+
+    host = F.lower(authority(url))
+    return let(host, lambda h: let(path_segments(url), lambda parts: key(h, parts)))
+
+
+def registered_readmes(records: DataFrame, replies: DataFrame) -> DataFrame:
+    """The README of each registered record of any type that has one, under the
+    name that its host gives it.
+
+    ``records`` has type, id, model_url and place, ``replies`` one row per ``key``.
+    The README is chosen where replies are scanned.
+    """
+    is_code = F.col("key").startswith(C.CODE_HOST)
+    name, text = chosen_readme(is_code, ~is_code)
+    found = replies.where(F.col("status_code") == 200).select("key", name.alias("name"), text.alias("text"))
+    wanted = records.select("type", "id", "place", readme_key("model_url").alias("key"))
+    rows = wanted.where("key is not null").join(found.where("name is not null and text is not null"), "key")
+    path = F.concat_ws("/", F.lit("artifacts"), "type", "id", "name")
+    return rows.select("type", "id", "place", path.alias("path"), "text")
+
+
+def current_readmes(stored: DataFrame) -> DataFrame:
+    """The last stored text of each path. Only keys are compared; texts meet them once."""
+    keys = ["type", "id", "path"]
+    last = stored.groupBy(*keys).agg(F.max("seq").alias("seq"))
+    return stored.join(last, [*keys, "seq"], "left_semi")

@@ -7,6 +7,7 @@ that they can be compared with any other engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
@@ -37,6 +38,7 @@ from trustlake.operators.rating import SCALAR_METRICS
 from trustlake.plans import flows
 from trustlake.plans import tables as t
 from trustlake.sources import landing, sinks
+from trustlake.sources.facts import FactStore
 from trustlake.sources.scratch import scratch_dir
 from trustlake.streaming import health as health_stream
 from trustlake.streaming import register as register_stream
@@ -1043,9 +1045,8 @@ for _name, _metric in {
     QUERIES[_name] = metric_query(_metric)
 
 
-@query
-def met_all(spark, sf):
-    wide = metrics.rate(t.landed(spark, sf))
+def ratings(landed: metrics.Landed) -> DataFrame:
+    wide = metrics.rate(landed)
     return wide.select(
         "type", "id", "name",
         *[N.round3(m).alias(m) for m in C.METRIC_WEIGHTS],
@@ -1053,6 +1054,34 @@ def met_all(spark, sf):
     )
 
 
+@query
+def met_all(spark, sf):
+    return ratings(t.landed(spark, sf))
+
+
+def learned(spark, sf) -> tuple[metrics.Landed, list[tuple[int, str, int]]]:
+    """All that landed with the facts of its texts, learned in steps: the repositories
+    with even numbers, all, and all once more; and how many texts each step judged.
+    """
+    landed = replace(t.landed(spark, sf), known=FactStore(spark, scratch_dir(spark, "facts")))
+    even = F.col("repo").rlike("[02468]$")
+    half = replace(landed, repo_files=landed.repo_files.where(even), code_files=landed.code_files.where(even))
+    steps = [metrics.learn(x) for x in (half, landed, landed)]
+    return landed, [(i, kind, n) for i, step in enumerate(steps) for kind, n in step.items()]
+
+
+@query
+def met_all_known(spark, sf):
+    """The rating from facts that were kept, equal to the one from texts."""
+    return ratings(learned(spark, sf)[0])
+
+
+@query
+def agg_learned_texts(spark, sf):
+    """How many texts each step judged: no text twice."""
+    return spark.createDataFrame(learned(spark, sf)[1], "step int, kind string, judged long")
+
+
 @query
 def met_all_long(spark, sf):
     return metric_rows(metrics.long_results(metrics.rate(t.landed(spark, sf, strict_links=True))))
@@ -1136,19 +1165,46 @@ def e2e_rate_and_register(spark, sf):
     root = scratch_dir(spark, "registered")
     parts = t.table(spark, sf, "part").withColumn("seq", F.col("p_partkey"))
     decisions = flows.decide(t.registrations_of(parts, "seq"), t.landed(spark, sf))
-    flows.store(decisions, t.repo_files(spark, sf), root)
+    flows.store(decisions, t.readme_replies(spark, sf), root, "registrations")
     return stored_state(spark, root)
 
 
+@query
+def e2e_register_runs(spark, sf):
+    """Two runs of registrations, the first one repeated: all that was appended, and READMEs."""
+    root = scratch_dir(spark, "runs")
+    replies = t.readme_replies(spark, sf)
+    parts = t.table(spark, sf, "part").withColumn("seq", F.col("p_partkey"))
+    for run, half in (("even", 0), ("odd", 1), ("even", 0)):
+        requests = t.registrations_of(parts.where(F.col("p_partkey") % 2 == half), "seq")
+        checked = registry.validate_registrations(requests).where("error is null").select(
+            F.col("artifact_type").alias("type"), artifact_id("name").alias("id"), "name",
+            F.col("source_url").alias("model_url"), F.lit("created").alias("status"), "seq",
+        )
+        flows.store(checked, replies, root, run)
+    runs = flows.registry_runs(spark, root)
+    tables = {
+        "index": runs.read("index").withColumn("text", F.col("name")),
+        "readmes": runs.read("readmes").withColumn("text", F.concat_ws(":", "path", digest("text"))),
+        "changes": runs.read("changes").withColumn("text", F.concat_ws(":", "op", "model_url")),
+    }
+    return unioned(*[
+        rows.select(F.lit(name).alias("table"), "run", "seq.at", F.col("seq.place").cast("long").alias("place"),
+                    "type", F.col("id").cast("long").alias("id"), "text")
+        for name, rows in tables.items()
+    ])
+
+
 @query
 def e2e_update(spark, sf):
-    """Store models, then rate and store their updates, and read the state back."""
+    """Store models, then rate and store their updates, compact, and read the state back."""
     root = scratch_dir(spark, "updated")
-    stored = stored_models(spark, sf).withColumn("seq", F.lit(0).cast("long"))
-    sinks.append_changes(stored, f"{root}/changes")
-    sinks.append_index(stored, f"{root}/index")
+    stored = stored_models(spark, sf)
+    first = registry.as_changes(stored, "put").withColumn("place", F.lit(""))
+    flows.registry_runs(spark, root).write("models", {"changes": first, "index": first})
     decisions = flows.decide_updates(updates(spark, sf), stored, t.landed(spark, sf))
-    flows.store(decisions, t.repo_files(spark, sf), root)
+    flows.store(decisions, t.readme_replies(spark, sf), root, "updates")
+    flows.compact(spark, root, "compacted")
     return stored_state(spark, root)
 
 
@@ -1219,9 +1275,8 @@ def stream_health_hour(spark, sf):
 def stream_register(spark, sf):
     root = scratch_dir(spark, "stream")
     requests = t.registrations_of(t.table_stream(spark, sf, "part"), "place")
-    landed = t.landed(spark, sf)
-    register_stream.run_registrations(
-        requests, lambda batch: flows.decide(batch, landed), f"{root}/decisions", f"{root}/checkpoint"
-    )
-    changes = register_stream.registered(spark.read.parquet(f"{root}/decisions"))
-    return registry.current_view(changes).select("type", "id", "name", "model_url", "net_score")
+    landed = replace(t.landed(spark, sf), known=FactStore(spark, f"{root}/facts"))
+    store = flows.registering(landed, t.readme_replies(spark, sf), f"{root}/registry")
+    register_stream.run_registrations(requests, store, f"{root}/checkpoint")
+    state = flows.stored_state(spark, f"{root}/registry")
+    return state.select("type", "id", "name", "model_url", "net_score", "index_name", "readme")

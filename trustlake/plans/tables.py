@@ -301,6 +301,25 @@ def repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+README_KEY = "case when d % 8 = 2 then 'github.com/' else 'huggingface.co/' end"
+
+
+def readme_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed replies about READMEs, one per repository; some failed, some are broken."""
+    return readme_texts(spark, sf_dir).selectExpr(
+        f"concat({README_KEY}, {repo('d')}) as key",
+        "case when d % 37 = 0 then 404 else 200 end as status_code",
+        """array(named_struct('rfilename', 'config.json'),
+                 named_struct('rfilename', case when d % 9 = 0 then 'x' when d % 10 = 1
+                                                then concat('docs/ReadMe_', d) else 'README.md' end))
+           as siblings""",
+        "case when d % 16 = 10 then 'README.rst' end as readme_name",
+        """case when d % 8 = 2 then case when d % 24 = 2 then '%%%'
+                else base64(cast(text as binary)) end end as content""",
+        "text",
+    )
+
+
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").selectExpr(
         f"{repo('page_id')} as model_id",

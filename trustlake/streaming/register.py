@@ -1,4 +1,4 @@
-"""Registration as a stream: validate, rate, gate, append to the change log."""
+"""Registration as a stream: each micro-batch is a run of the stored registry."""
 
 from __future__ import annotations
 
@@ -10,26 +10,22 @@ from pyspark.sql import functions as F
 
 def run_registrations(
     registrations: DataFrame,
-    decide: Callable[[DataFrame], DataFrame],
-    path: str,
+    store: Callable[[DataFrame, str], object],
     checkpoint: str,
+    name: str = "stream",
 ) -> None:
-    """Run ``decide`` (see ``plans.flows.decide``) on all that is available.
+    """Hand every micro-batch of what is available to ``store`` with the id of its run.
 
-    Decisions go to ``path/batch_id=N`` with ``seq``: the batch, then the place of
-    the registration in its source (column ``place``), so registrations of a name
-    in one batch have an order of their own. A batch that is replayed after a
-    failure overwrites its own directory, which makes the upsert idempotent.
+    ``store`` decides and stores (see ``plans.flows``). Rows get ``seq``, the place of
+    the registration in its source (column ``place``), so registrations of a name in
+    one batch have an order of their own. A batch that is replayed after a failure
+    has the same id: it repeats a run that was not committed and skips one that was.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seq = F.struct(
-            F.lit(batch_id).cast("long").alias("batch"),
-            "place",
-            F.monotonically_increasing_id().alias("row"),
-        )
-        decided = decide(batch.withColumn("seq", seq).drop("place"))
-        decided.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        parts = (F.col("place.path"), F.col("place.block"), F.monotonically_increasing_id())
+        seq = F.concat_ws("/", parts[0], *[F.lpad(p.cast("string"), 20, "0") for p in parts[1:]])
+        store(batch.withColumn("seq", seq).drop("place"), f"{name}-{batch_id}")
 
     (
         registrations.writeStream.option("checkpointLocation", checkpoint)
@@ -38,10 +34,3 @@ def run_registrations(
         .start()
         .awaitTermination()
     )
-
-
-def registered(decisions: DataFrame) -> DataFrame:
-    """Change rows of the admitted registrations, ordered by ``seq``."""
-    return decisions.where(F.col("status") == "created").select(
-        "type", "id", "name", "model_url", "results", "net_score", "seq", F.lit("put").alias("op")
-    )
