@@ -42,11 +42,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 # Pre-tokens whose ids a worker remembers, and the longest such.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 SHORT = 32
 # Bytes of texts that a task takes up at once, matches of which it holds and merges
 # at once, and matches or ids of one text that it takes at once.
-STEP = 4 << 20
+STEP = 2 << 20
 HELD = 1 << 20
 BLOCK = 1 << 18
 ENCODED = "doc_id long, n_tokens long, ids binary"
@@ -261,9 +261,6 @@ class Encoder:
         # Sets that end at U+FFFF are looked up faster.
         self.narrow, self.wide = re.compile(narrow), re.compile(wide)
         self.known: dict[str, bytes] = {}
-        self.blob = np.frombuffer(b"".join(t or b"" for t in ranks.tokens), np.uint8)
-        self.length = np.array([-1 if t is None else len(t) for t in ranks.tokens], np.int64)
-        self.start = np.cumsum(np.maximum(self.length, 0)) - np.maximum(self.length, 0)
 
     def settle(self, words: set[str]) -> None:
         """Make ``words`` known."""
@@ -317,6 +314,13 @@ class Encoder:
         flush()
         return [bytes(ids) for ids in out]
 
+
+class Decoder:
+    def __init__(self, ranks: Ranks):
+        self.blob = np.frombuffer(b"".join(t or b"" for t in ranks.tokens), np.uint8)
+        self.length = np.array([-1 if t is None else len(t) for t in ranks.tokens], np.int64)
+        self.start = np.cumsum(np.maximum(self.length, 0)) - np.maximum(self.length, 0)
+
     def decode(self, ids: bytes | None) -> bytes:
         """The bytes that the ids stand for."""
         out = bytearray()
@@ -331,25 +335,32 @@ class Encoder:
         return bytes(out)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+# What a worker built last for each direction, and the hash of the ranks it was built from.
+_BUILT: dict[Callable, tuple[int, Encoder | Decoder]] = {}
+
+
+def _coder(made: Callable, key: int, build: Callable[[], Encoder | Decoder]) -> Encoder | Decoder:
+    """The coder of this worker, which its tasks share."""
+    if _BUILT.get(made, (None,))[0] != key:
+        _BUILT[made] = key, build()
+    return _BUILT[made][1]
 
 
 def _mapped(
-    ranks: Ranks, column: str, made: Callable[[Encoder, list], list[tuple[str, pa.Array]]]
+    ranks: Ranks, column: str, build: Callable[[], Encoder | Decoder],
+    made: Callable[[Encoder | Decoder, list], list[tuple[str, pa.Array]]],
 ) -> Callable[[Iterator], Iterator]:
-    """Batches with ``column`` replaced by what is made of it, and all others kept."""
-    key, narrow, wide = hash(ranks), spelled(ranks.pattern, 0xFFFF), spelled(ranks.pattern)
+    """Batches with ``column`` replaced by what is made of it, and all others kept."""
+    key = hash(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(ranks, narrow, wide)
+        coder = _coder(made, key, build)
         for batch in batches:
             # Some MB at once, as a batch of pre-tokens merges faster than each alone.
             size = max(1, batch.num_rows * STEP // max(1, batch.column(column).nbytes))
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                new = made(_ENCODERS[key], part.column(column).to_pylist())
+                new = made(coder, part.column(column).to_pylist())
                 kept = [(name, part.column(name)) for name in part.schema.names if name != column]
                 yield pa.RecordBatch.from_pydict(dict([*kept, *new]))
 
@@ -361,18 +372,19 @@ def _encoded(encoder: Encoder, texts: list[str | None]) -> list[tuple[str, pa.Ar
     return [("n_tokens", pa.array([len(x) // 4 for x in ids], pa.int64())), ("ids", pa.array(ids, pa.binary()))]
 
 
-def _decoded(encoder: Encoder, ids: list[bytes | None]) -> list[tuple[str, pa.Array]]:
-    return [("decoded", pa.array([encoder.decode(x) for x in ids], pa.binary()))]
+def _decoded(decoder: Decoder, ids: list[bytes | None]) -> list[tuple[str, pa.Array]]:
+    return [("decoded", pa.array([decoder.decode(x) for x in ids], pa.binary()))]
 
 
 def encode(docs: DataFrame, ranks: Ranks) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every document; ids as little-endian unsigned 32-bit integers."""
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    return rows.mapInArrow(_mapped(ranks, "text", _encoded), ENCODED)
+    narrow, wide = spelled(ranks.pattern, 0xFFFF), spelled(ranks.pattern)
+    return rows.mapInArrow(_mapped(ranks, "text", lambda: Encoder(ranks, narrow, wide), _encoded), ENCODED)
 
 
 def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
     """All columns but ``ids``, and ``decoded``: the bytes that the ids stand for."""
     rows = encoded.drop("decoded")
     schema = StructType([f for f in rows.schema.fields if f.name != "ids"]).add("decoded", "binary")
-    return rows.mapInArrow(_mapped(ranks, "ids", _decoded), schema)
+    return rows.mapInArrow(_mapped(ranks, "ids", lambda: Decoder(ranks), _decoded), schema)
