@@ -591,6 +591,8 @@ q["src_api_requests"] = f"""select epoch_us(ts) as ts_us, latency_ms from api_re
 q["src_object_sizes"] = """select type, id, (strlen(name) + 1)::bigint as length from artifacts"""
 q["snk_upsert_registry"] = """select type, id, name, case when type = 'model' then net_score / 2 else net_score end as net_score,
   seq + case when type = 'model' then 1000000000 else 0 end as seq from artifacts where net_score <= 0.9e0"""
+q["snk_base_and_changes"] = """select type, id, name, case when type = 'model' then net_score / 2 else net_score end as net_score,
+  case when type = 'model' then 3 else 1 end::bigint as at, seq as place from artifacts where net_score <= 0.9e0"""
 q["snk_append_index"] = """select id::varchar as id, case when seq % 2 = 0 then concat(name, ' v2') else name end as name
   from artifacts"""
 q["snk_store_readme"] = """select 'model' as type, d as id, case d % 4
@@ -699,6 +701,13 @@ q["join_patterns_theta"] = f"""select d, pattern_id from (select d, text from re
     union all select -1 - seq, name from artifacts) x
   join (select * from (values {_PATTERNS}) v(pattern_id, regex) where {guard('regex')} is null) p
     on regexp_matches(x.text, p.regex, 'i')"""
+TABLES["pattern_table"] = """select c_custkey::int as pattern_id, case c_custkey % 6
+      when 0 then concat('(ring|bolt) ', c_custkey % 100, '$') when 1 then concat('^Small .* ', c_custkey)
+      when 2 then concat('gear [0-9]*', c_custkey % 10, 'x?$') when 3 then concat('(', c_custkey, '+)+')
+      when 4 then concat('(red|blue|', c_custkey, ') widget') else concat('[0-9]{2}', c_custkey % 10) end as regex
+  from customer"""
+q["join_pattern_table"] = f"""select seq as d, pattern_id from artifacts
+  join (select * from pattern_table where {guard('regex')} is null) on regexp_matches(name, regex, 'i')"""
 q["join_keywords"] = f"""select d, unnest({words_found('lower(text)', C.TRUSTED_DATASETS + C.QUALITY_WORDS)}) as word
   from readme_texts"""
 
@@ -776,6 +785,9 @@ def expand(types: list[str], source: str = "artifacts") -> str:
 q["lim_page"] = f"""select name, id, type, type_rank, case when n > 90 then 90::bigint end as next_offset from
   (select *, count(*) over () as n from ({expand(['dataset', 'model'])}))
   order by type_rank, id::varchar limit 50 offset 40"""
+q["lim_page_ranked"] = f"""select name, id, type, type_rank, case when n > 120 then 120::bigint end as next_offset from
+  (select *, count(*) over () as n from ({expand(['dataset', 'model'])}))
+  order by type_rank, id::varchar limit 50 offset 70"""
 q["lim_page_keyset"] = f"""select * from ({expand(['dataset', 'model'])})
   where type_rank > 0 or id::varchar > '5' order by type_rank, id::varchar limit 50"""
 q["lim_log_result"] = f"select log_group, event_id, message from logs order by ts desc, event_id desc limit {C.LOG_RESULT_CAP}"
@@ -906,6 +918,8 @@ q["udf_code_score"] = f"select repo, ord, {round3('score')} as score from code_s
 q["udf_registry"] = f"""select type, id, 'bus_factor' as metric, {round3('bus_factor')} as score from rated
   union all select type, id, 'name_length', {round3('least(1e0, length(name) / 20e0)')} from models
   union all select type, id, 'broken', null from models"""
+q["udf_rows"] = f"""select type, id, 'picky' as metric, case when name not like '%7' then {round3('length(name) / 40e0')} end as score,
+    case when name like '%7' then concat('ValueError: no score for ', name) end as error from models"""
 
 # --- queries: end to end -----------------------------------------------------------------
 
@@ -963,12 +977,18 @@ q["e2e_register_runs"] = f"""select 'index' as table, run, at, place, type, id,
   union all select 'changes', run, at, place, type, id, concat('put:', source_url) from run_registrations
   union all select 'readmes', run, at, place, type, id, concat('artifacts/', type, '/', id, '/', file, ':', md5(text))
   from run_registrations join readme_names m on m.file is not null and m.key = {readme_key('source_url')}"""
+q["flt_regex_readme_indexed"] = q["flt_regex_readme"]
+q["e2e_search_stored"] = f"""select name, id::varchar as id, type, 'name' as hit_source from run_registrations
+    where regexp_matches(name, 'model1[0-5]', 'i')
+  union all select name, id::varchar, type, 'readme'
+  from run_registrations join readme_names m on m.file = 'README.md' and m.key = {readme_key('source_url')}
+  where regexp_matches(text, 'licen[cs]e|evaluation results|model1[0-5]', 'i')"""
 q["e2e_decisions"] = """select *, 'registration' as request from decisions
   union all select type, id, name, model_url, case when admitted then 'created' else 'rejected' end as status,
     failures, net_score, null::varchar as error, 'update' from scored_updates
   union all select type, id, name, url, status, '', null, null, 'update' from checked_updates where status <> 'ok'"""
-q["e2e_blank_search"] = f"""select name, id, type from ({expand(['model', 'dataset', 'code'])})
-  order by type_rank, id::varchar limit 50"""
+q["e2e_blank_search"] = f"""select name, id, type, case when n > 50 then 50::bigint end as next_offset from
+  (select *, count(*) over () as n from ({expand(['model', 'dataset', 'code'])})) order by type_rank, id::varchar limit 50"""
 _HOUR = "ts between timestamp '2024-01-05 12:00:00' and timestamp '2024-01-15 12:00:00'"
 
 
@@ -1003,6 +1023,11 @@ q["stream_health"] = stream_counts(_BUCKET, "logs", "5 minutes")
 q["stream_health_hour"] = stream_counts(
     "s", f"(select *, {_BUCKET} - to_minutes(5 * j) as s from logs, range(12) r(j))", "1 hour"
 )
+_LATENCIES = """select {cells}::int as cells, epoch_us(s) as start_us, count(*) as requests,
+    round(sum(value::decimal(28, 6))::double / count(*), 6) as avg_latency_ms,
+    round(quantile_disc(value, 0.95), 6) as p95_latency_ms
+  from (select value, {bucket} - to_minutes(5 * j) as s from events, range({cells}) r(j)) group by s"""
+q["stream_latency"] = " union all ".join(_LATENCIES.format(cells=n, bucket=_BUCKET) for n in (1, 12))
 q["stream_register"] = f"""select type, id, name, model_url, net_score, index_name, readme from ({q["e2e_rate_and_register"]})"""
 
 

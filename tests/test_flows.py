@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trustlake import schemas
 from trustlake.operators import health, joins, listing, lookup, readmes, registry, search
 from trustlake.plans import flows
-from trustlake.sources import landing, runs, scratch, sinks
+from trustlake.sources import landing, readme_index, runs, scratch, sinks
 from trustlake.streaming import health as stream_health
 
 
@@ -154,15 +154,6 @@ def test_search(spark):
             search.search(index, readmes, pattern)
 
 
-def test_many_patterns(spark):
-    docs = spark.createDataFrame([(i, f"word{i} x") for i in range(30)], "d int, text string")
-    patterns = [(i, f"word{i} ") for i in range(25)] + [(99, "(x+)+")]
-    hits = search.multi_search(docs, patterns).collect()
-    assert sorted((r.d, r.pattern_id) for r in hits) == [(i, i) for i in range(25)]
-    with pytest.raises(ValueError):
-        search.multi_search(docs, patterns * 10)
-
-
 @pytest.mark.filterwarnings("ignore:Possible")
 @pytest.mark.parametrize(
     "pattern",
@@ -307,20 +298,91 @@ def test_percentiles_are_exact(spark, n, distinct, fraction):
     assert math.isclose(got, np.percentile(values, fraction * 100), rel_tol=1e-12, abs_tol=1e-12)
 
 
+@pytest.mark.parametrize("values", [
+    [5.0] * 4000, [1.0 + i * 2**-52 for i in range(3000)], [0.1] * 2000 + [1e300], [-3.5, -0.0, 0.0, 5e-324, -1e-310, 2.0],
+    [float(2**i) for i in range(-40, 60)], [7.25 if i % 3 else float("inf") for i in range(50)], [1e-320, 3e-308, 1.0],
+])
+def test_percentiles_of_clustered_values(spark, values):
+    """Constant, clustered and extreme values are told apart to the last bit, in bounded steps."""
+    requests = spark.createDataFrame([(NOW, v) for v in [*values, None]], "ts timestamp, latency_ms double")
+    fractions = [0.0, 0.25, 0.5, 0.95, 1.0]
+    found = health.latency_percentiles(requests.where("latency_ms < 1e20 or latency_ms is null"), fractions)
+    finite = [v for v in values if v < 1e20]
+    got = {r.fraction: r.latency_ms for r in found.collect()}
+    for f in fractions:
+        assert got[f] == pytest.approx(np.percentile(finite, f * 100), rel=1e-15, abs=0)
+
+
+def test_ordered_bits(evaluate):
+    rng = np.random.default_rng(1)
+    values = [0.0, -0.0, 1.0, -1.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308,
+              float("inf"), float("-inf"), *np.exp(rng.uniform(-700, 700, 400)), *-np.exp(rng.uniform(-700, 700, 400)),
+              *[2.0**i for i in range(-1074, 1024, 7)], *[np.nextafter(2.0**i, 0) for i in range(-1000, 1024, 9)]]
+    values = [float(v) for v in values]
+    got = evaluate(lambda c: health.ordered_bits(F.col(c)), values, "double")
+    image = np.array([abs(v) for v in values]).view(np.int64)
+    assert got == [int(-b if v < 0 else b) for b, v in zip(image, values, strict=True)]
+    assert evaluate(lambda c: health.ordered_bits(F.col(c)), [float("nan"), None], "double")[0] > max(got)
+
+
+def test_pages_by_ranks(spark):
+    """Every page equals the one by sorting, at any offset."""
+    rows = [(t, i * i % 100_003, f"{t}{i}") for t in ("model", "dataset", "code") for i in range(700)]
+    stored = spark.createDataFrame(rows, "type string, id long, name string")
+    ordered = listing.union_types(stored, ["dataset", "model", "dataset"])
+    for offset in (0, 1, 49, 680, 1399, 2050, 2060, 2099, 2100, 9000):
+        got, want = (sorted(map(str, listing.page(ordered, offset, deep=deep).collect())) for deep in (0, 10**9))
+        assert got == want
+    text = listing.page(ordered, 10**7)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in text and "GlobalLimit" not in text
+
+
+def streamed(spark, source, table, root, checkpoint, **options):
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream_health.run_cells(stream, table, str(root), str(checkpoint), **options)
+
+
 def test_stream_drops_nothing_on_replay(spark, tmp_path):
-    rows = [("a", NOW + timedelta(minutes=m % 60), "error" if m % 3 else "ok", m) for m in range(200)]
+    rows = [("a", NOW + timedelta(minutes=m * 37 % 200), "error" if m % 3 else "ok", m) for m in range(200)]
     logs = spark.createDataFrame(rows, "log_group string, ts timestamp, message string, event_id long")
-    source = str(tmp_path / "logs")
-    logs.repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    for _ in range(2):  # the second run finds nothing new
-        stream_health.run_counts(
-            stream, stream_health.window_counts, str(tmp_path / "counts"), str(tmp_path / "checkpoint")
-        )
-    assert len(list((tmp_path / "counts").glob("batch_id=*"))) >= 4
-    streamed = stream_health.read_counts(spark, str(tmp_path / "counts"))
-    batch = stream_health.window_counts(logs)
-    assert sorted(map(str, streamed.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+    source, root = str(tmp_path / "logs"), tmp_path / "cells"
+    logs.repartition(5).write.parquet(source)
+    streamed(spark, source, "counts", root, tmp_path / "one", merge_every=2)
+    # Another checkpoint replays all batches; a later file holds lines of long ago.
+    streamed(spark, source, "counts", root, tmp_path / "other", merge_every=2)
+    late = logs.withColumn("ts", F.col("ts") - F.expr("interval 40 minutes"))
+    late.coalesce(1).write.mode("append").parquet(source)
+    streamed(spark, source, "counts", root, tmp_path / "one", merge_every=2)
+    both = logs.unionAll(late)
+    for cells, want in ((1, stream_health.window_counts(both)), (12, stream_health.hourly_counts(both))):
+        got = stream_health.read_counts(spark, str(root), cells)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    hour = {r.window_start: r.total for r in stream_health.hourly_counts(both).collect()}
+    start = datetime(2024, 1, 1, 12, 30)
+    lines = [r.ts for r in both.collect()]
+    assert hour[start] == sum(start <= ts < start + timedelta(hours=1) for ts in lines)
+    files = [f for f in (root / "counts").rglob("*.parquet")]
+    assert len(files) <= 3 * 8  # merged runs are gone
+
+
+def test_streamed_latencies(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(NOW + timedelta(seconds=int(s)), float(v)) for s, v in zip(rng.integers(0, 9000, 1500), rng.lognormal(3, 1, 1500))]
+    requests = spark.createDataFrame([*rows, (NOW, None)], "ts timestamp, latency_ms double")
+    source, root = str(tmp_path / "requests"), tmp_path / "cells"
+    requests.repartition(4).write.parquet(source)
+    streamed(spark, source, "latencies", root, tmp_path / "check", merge_every=3)
+    for cells, exact in ((1, True), (12, False)):
+        found = stream_health.read_latencies(spark, str(root), cells).collect()
+        assert len(found) >= 30
+        for r in found:
+            held = sorted(v for ts, v in rows if r.window_start <= ts < r.window_end)
+            assert r.requests == len(held) and r.avg_latency_ms == pytest.approx(np.mean(held), abs=1e-5)
+            if exact or len(held) <= stream_health.SKETCH:
+                assert r.percentile_ms == held[math.ceil(0.95 * len(held)) - 1]
+            else:
+                assert 0.93 <= sum(v <= r.percentile_ms for v in held) / len(held) <= 0.97
 
 
 def test_join_built(spark):
@@ -362,14 +424,12 @@ def test_each_run_appends_once(spark, tmp_path):
     done = [flows.store(decided(spark, n), none, root, n[0]) for n in ("alpha", "be", "be", "gam")]
     assert done == [True, True, False, True]
     assert lines(spark, root) == ([("alpha", "105"), ("be", "102"), ("gam", "103")], 3)
-    hits = search.search(flows.registry_runs(spark, root).read("index"),
-                         flows.registry_runs(spark, root).read("readmes"), "alpha")
-    assert hits.count() == 1
+    assert flows.search_stored(spark, root, "alpha").count() == 1
     manifest = {r.run: (r.at, r.rows) for r in flows.registry_runs(spark, root).manifest().collect()}
-    assert manifest["g"] == (3, {"decisions": 1, "changes": 1, "index": 1, "readmes": 0})
+    assert manifest["g"] == (3, {"decisions": 1, "changes": 1, "index": 1, "readmes": 0, "texts": 0, "grams": 0})
 
 
-@pytest.mark.parametrize("fails_at", ["decisions", "changes", "index", "readmes", "manifest"])
+@pytest.mark.parametrize("fails_at", ["decisions", "changes", "index", "readmes", "grams", "manifest"])
 def test_killed_run_is_repeated(spark, tmp_path, monkeypatch, fails_at):
     """A run that ends before its row of the manifest is written has no effect; repeated, it has one."""
     root = str(tmp_path / "registry")
@@ -408,7 +468,8 @@ def test_later_runs_win_and_compaction_keeps_order(spark, tmp_path):
         found = flows.registry_runs(spark, root)
         return (sorted((r.id, r.name, r.index_name, r.readme) for r in flows.stored_state(spark, root).collect()),
                 sorted((r.id, r.name) for r in found.read("index").collect()),
-                sorted((r.path, r.text) for r in readmes.current_readmes(found.read("readmes")).collect()))
+                sorted((r.path, r.text) for r in
+                       readme_index.with_texts(found, readme_index.current(found.read("readmes"))).collect()))
 
     before = seen()
     assert before[0] == [(102, "bb", "bb", "artifacts/model/102/README.md"),
@@ -461,7 +522,9 @@ def test_readmes_of_all_types(spark, tmp_path):
             ("model", 3, "https://huggingface.co/o/gone"), ("model", 4, "https://github.com/o/c")]
     made = spark.createDataFrame([(k, i, f"n{i}", u, "created", [], "{}", 0.0, None, i) for k, i, u in rows], DECIDED)
     flows.store(made, replies, root, "r")
-    found = flows.registry_runs(spark, root).read("readmes").collect()
+    found = flows.registry_runs(spark, root)
+    assert found.read("texts").count() == 2  # the same text is kept once
+    found = readme_index.with_texts(found, found.read("readmes")).collect()
     assert sorted((r.type, r.id, r.path, r.text) for r in found) == [
         ("code", 1, "artifacts/code/1/README.rst", "# Héllo"),
         ("dataset", 2, "artifacts/dataset/2/ReadMe.txt", "a data set"),

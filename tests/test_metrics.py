@@ -300,3 +300,31 @@ def test_code_quality(spark):
     )
     got = {r.repo: round(r.score, 6) for r in code.code_quality(files).collect()}
     assert got == {"nine": 1.0, "skips": round(6 / 7, 6), "unread": 0.0, "other": 0.5}
+
+
+def test_rows_that_fail_are_alone(spark):
+    """A metric that fails for 3 of 2000 models gives 1997 scores and 3 texts."""
+    from types import SimpleNamespace
+
+    models = spark.range(2000).selectExpr("'model' as type", "id", "case when id in (7, 700, 1999) then 'bad' else 'x' end as name")
+
+    def score(batch):
+        if (batch["name"] == "bad").any():
+            raise KeyError("bad name")
+        return batch["id"] / 2000
+
+    landed = SimpleNamespace(models=models.repartition(3))
+    chosen = {
+        "some": metrics.RowMetric(score),
+        "short": metrics.RowMetric(lambda batch: batch["id"].iloc[:-1]),
+        "text": metrics.RowMetric(lambda batch: ["0.5" if i else "high" for i in batch["id"]], lambda x: x.models.limit(2)),
+        "none": metrics.RowMetric(lambda batch: [float("nan")] * len(batch), lambda x: x.models.where("id < 3")),
+    }
+    rows = metrics.run_metrics(landed, chosen).collect()
+    some = {r.id: r for r in rows if r.metric == "some"}
+    assert len(some) == 2000 and {i for i, r in some.items() if r.error} == {7, 700, 1999}
+    assert all(r.score == i / 2000 and r.error is None for i, r in some.items() if i not in (7, 700, 1999))
+    assert some[7].score is None and some[7].error == "KeyError: 'bad name'"
+    assert all(r.error == "ValueError: 0 scores for 1 rows" for r in rows if r.metric == "short")
+    assert {(r.score, r.error is None) for r in rows if r.metric == "text"} <= {(0.5, True), (None, False)}
+    assert [(r.score, r.error) for r in rows if r.metric == "none"] == [(None, None)] * 3

@@ -86,6 +86,14 @@ def test_number_positions_against_python(evaluate):
     found = evaluate(T.number_positions, texts)
     expected = [[(m.start(), m.group()) for m in re.finditer(C.NUMBER, t)] for t in texts]
     assert [[(p.start, p.token) for p in row] for row in found] == expected
+    assert evaluate(T.number_positions, [None]) == [None]
+
+
+def test_many_number_positions(evaluate):
+    """A text of 200 000 numbers takes time in proportion to its length."""
+    text = " ".join(str(i % 977) for i in range(200_000)) + " 𝟘 12%"
+    (found,) = evaluate(T.number_positions, [text])
+    assert [(p.start, p.token) for p in found] == [(m.start(), m[0]) for m in re.finditer(C.NUMBER, text)]
 
 
 def test_sections(evaluate):

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,28 +120,26 @@ def number_windows(text: Column | str) -> Column:
     )
 
 
-def number_positions(text: Column | str) -> Column:
-    """Array of (start, token) for every number; ``start`` counts from zero."""
-    value = col(text)
-    tokens = F.regexp_extract_all(value, F.lit(NUMBER), F.lit(0))
-    gaps = F.split(value, NUMBER)
-    steps = F.arrays_zip(
-        F.slice(gaps, F.lit(1), F.size(tokens)).alias("gap"), tokens.alias("token")
-    )
-    empty = F.struct(
-        F.lit(0).alias("next"),
-        F.array().cast("array<struct<start:int,token:string>>").alias("found"),
-    )
+def _position_reader(pattern: str):
+    """The pandas function behind ``number_positions``, shipped by value."""
 
-    def step(acc: Column, item: Column) -> Column:
-        start = acc["next"] + F.length(item["gap"])
-        found = F.struct(start.alias("start"), item["token"].alias("token"))
-        return F.struct(
-            (start + F.length(item["token"])).alias("next"),
-            F.concat(acc["found"], F.array(found)).alias("found"),
-        )
+    def read(texts: pd.Series) -> pd.Series:
+        number = re.compile(pattern)
+        return pd.Series([
+            None if text is None else [{"start": m.start(), "token": m[0]} for m in number.finditer(text)]
+            for text in texts
+        ], dtype=object)
 
-    return F.aggregate(steps, empty, step, lambda acc: acc["found"])
+    return read
+
+
+def number_positions(text: Column | str) -> Column:
+    """Array of (start, token) for every number; ``start`` counts from zero.
+
+    One pass over each text, in Arrow batches: a running offset in a fold over an
+    array would copy what was found for each number.
+    """
+    return F.pandas_udf(_position_reader(C.NUMBER), "array<struct<start:int,token:string>>")(col(text))
 
 
 def has_number_near_metric(text: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlake import constants as C
+from trustlake.functions.numeric import let
 
 
 def look_back(as_of: datetime, hours: int = C.LOOK_BACK_HOURS) -> tuple[datetime, datetime]:
@@ -128,9 +129,30 @@ def _mean() -> Column:
     return F.coalesce(F.try_divide(exact, F.count(F.lit(1))), F.lit(0.0))
 
 
-# Steps of the sketch that brackets a percentile, and pieces of a bracket.
-GRID = 1000
-PIECES = 1000
+# Bits of a value that one scan settles, and how often it takes that to settle all.
+DIGIT = 16
+SCANS = 64 // DIGIT
+
+
+def ordered_bits(value: Column) -> Column:
+    """The bits of a double as a number in the same order: its power of two, then the
+    exact rest. NaN is the largest; both zeros are equal.
+    """
+
+    def bits(x: Column) -> Column:
+        guess = F.floor(F.log2(x)).cast("int")  # off by one at most, near a power of two
+        two = F.lit(2.0)
+        low = F.when(x < F.pow(two, guess), guess - 1).when(x >= F.pow(two, guess + 1), guess + 1).otherwise(guess)
+        # Smaller numbers have no leading bit; in steps, as 2^1074 itself is no double.
+        tiny = (x * float(2**537) * float(2**537)).cast("long")
+        whole = F.shiftleft((low + 1023).cast("long"), 52) + ((x / F.pow(two, low) - 1.0) * float(2**52)).cast("long")
+        largest = F.lit(0x7FF0000000000000)
+        return F.when(x == 0.0, F.lit(0)).when(F.isnan(x), largest + 1).when(x == float("inf"), largest).when(
+            x < 2.2250738585072014e-308, tiny
+        ).otherwise(whole)
+
+    size = F.when(F.isnan(value), value).otherwise(F.abs(value))
+    return let(size, lambda x: let(bits(x), lambda b: F.when(value < 0.0, -b).otherwise(b)))
 
 
 def latency_percentiles(
@@ -139,70 +161,64 @@ def latency_percentiles(
     """``fraction, latency_ms``: exact interpolated percentiles of the latest
     period, and its ``avg_latency_ms``; 0 without data.
 
-    Three scans for any number of fractions: the newest time; a sketch of bounded
-    size that brackets every percentile; the distinct values inside the brackets,
-    with counts, while those below are only counted. A bracket is cut into
-    ``PIECES`` equal pieces, and positions are counted piece by piece, then inside
-    each, so no task orders a whole bracket.
+    Each percentile lies between two order statistics. Every value is a 64-bit number
+    in the order of the values, and a scan settles ``DIGIT`` bits of all order
+    statistics at once: it counts the values by their next digit, among those that
+    begin as an order statistic does. So a task never holds more than one count for
+    each digit, however many values there are and however they cluster.
     """
-    samples = latest_period(requests, period).select("latency_ms")
-    steps = [i / GRID for i in range(GRID + 1)]
+    samples = latest_period(requests, period).select(F.col("latency_ms").cast("double").alias("v"))
+    keyed = samples.withColumn("bits", ordered_bits(F.col("v")))
+
+    def digits(scan: int) -> Column:
+        """The leading bits after so many scans."""
+        return F.shiftright("bits", 64 - DIGIT * scan)
+
+    exact = F.sum(F.col("v").cast("decimal(28,6)"))
+    upto = Window.orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = keyed.groupBy(digits(1).alias("digit")).agg(
+        F.count("v").alias("c"), F.count(F.lit(1)).alias("rows"), exact.alias("s")
+    )
+    sums = {"n": "c", "rows": "rows", "total": "s"}
+    first = first.withColumn("upto", F.sum("c").over(upto)).withColumns(
+        {name: F.sum(column).over(whole) for name, column in sums.items()}
+    )
     last = F.col("n") - 1
 
-    def bracket(fraction: float) -> Column:
+    def targets(fraction: float) -> list[Column]:
         position = last * F.lit(float(fraction))
-        # The two order statistics, widened by a step of the grid and its error.
-        low = F.floor((F.floor(position) - 1) / F.greatest(last, F.lit(1)) * GRID) - 1
-        high = F.ceil((F.ceil(position) + 1) / F.greatest(last, F.lit(1)) * GRID) + 1
-        return F.struct(
-            F.lit(float(fraction)).alias("fraction"),
-            position.alias("position"),
-            F.get("s", F.greatest(low, F.lit(0)).cast("int")).alias("low"),
-            F.get("s", F.least(high, F.lit(GRID)).cast("int")).alias("high"),
+        return [
+            F.struct(F.lit(float(fraction)).alias("fraction"), F.lit(upper).alias("upper"),
+                     (position - F.floor(position)).alias("share"), rank(position).cast("long").alias("rank"))
+            for upper, rank in ((False, F.floor), (True, F.ceil))
+        ]
+
+    # The digits that hold a wanted rank, and the rank among the values of that digit.
+    before = F.col("upto") - F.col("c")
+    wanted = F.explode(F.array(*[t for f in fractions for t in targets(f)]))
+    mean = (F.col("total").cast("double") / F.col("rows")).alias("mean")
+    found = first.select("digit", "c", "upto", mean, wanted.alias("t")).where(
+        (F.col("t.rank") >= before) & (F.col("t.rank") < F.col("upto"))
+    ).select("t.fraction", "t.upper", "t.share", "mean", F.col("digit").alias("prefix"), (F.col("t.rank") - before).alias("rank"))
+    for scan in range(2, SCANS + 1):
+        prefixes = found.select("prefix").distinct()
+        inside = keyed.withColumn("prefix", digits(scan - 1)).join(F.broadcast(prefixes), "prefix")
+        counts = inside.groupBy("prefix", digits(scan).alias("digit")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("v").alias("v")
         )
-
-    known = samples.agg(
-        F.count("latency_ms").alias("n"),
-        _mean().alias("mean"),
-        F.percentile_approx("latency_ms", steps, F.lit(10 * GRID)).alias("s"),
-    ).select(F.struct("mean", F.array(*map(bracket, fractions)).alias("b")).alias("known"))
-    value = F.col("latency_ms")
-    held = samples.where("latency_ms is not null").withColumn("known", known.scalar())
-    inside = F.exists("known.b", lambda b: (value >= b["low"]) & (value <= b["high"]))
-    # One row for a value inside a bracket, one for the values between brackets.
-    between_ = F.aggregate("known.b", F.lit(0), lambda k, b: k + (value > b["high"]).cast("int"))
-    counts = held.groupBy(
-        F.when(inside, value).alias("v"), F.when(~inside, between_).alias("gap"), "known"
-    ).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"))
-    rows = counts.select("v", "n", "least", F.explode("known.b").alias("b"), F.col("known.mean").alias("mean"))
-    low, width = F.col("b.low"), F.col("b.high") - F.col("b.low")
-    piece = F.when(
-        (F.col("v") >= low) & (F.col("v") <= F.col("b.high")),
-        F.when(width > 0, F.least(F.floor((F.col("v") - low) / width * PIECES), F.lit(PIECES - 1))).otherwise(0),
-    ).when(F.col("least") < low, -1)
-    rows = rows.withColumn("piece", piece).where("piece is not null")
-    key = [F.col("b.fraction"), F.col("piece")]
-    # PIECES + 1 rows for each fraction.
-    order = Window.partitionBy("b.fraction").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy("b", "mean", "piece").agg(F.sum("n").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-        .select(F.col("b.fraction").alias("f"), F.col("piece").alias("p"), "before")
-    )
-    running = Window.partitionBy(*key).orderBy("v")
-    ranked = (
-        rows.where("piece >= 0").join(starts, (key[0] == F.col("f")) & (key[1] == F.col("p")))
-        .withColumn("upto", F.col("before") + F.sum("n").over(running))
-    )
-    position = F.col("b.position")
-    lower = F.min(F.when(F.col("upto") > F.floor(position), F.col("v")))
-    upper = F.min(F.when(F.col("upto") > F.ceil(position), F.col("v")))
-    share = F.max(position - F.floor(position))
-    found = ranked.groupBy("b.fraction").agg(
-        (lower + (upper - lower) * share).alias("latency_ms"), F.max("mean").alias("avg_latency_ms")
+        upto = Window.partitionBy("prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("upto", F.sum("c").over(upto))
+        found = found.drop("v").join(counts, "prefix").where(
+            (F.col("rank") >= before) & (F.col("rank") < F.col("upto"))
+        ).select("fraction", "upper", "share", "mean", F.col("digit").alias("prefix"),
+                 (F.col("rank") - before).alias("rank"), "v")
+    low, high = (F.max(F.when(F.col("upper") == upper, F.col("v"))) for upper in (False, True))
+    result = found.groupBy("fraction").agg(
+        (low + (high - low) * F.max("share")).alias("latency_ms"), F.max("mean").alias("avg_latency_ms")
     )
     asked = requests.sparkSession.createDataFrame([(float(f),) for f in fractions], "fraction double")
-    return asked.join(found, "fraction", "left").na.fill(0.0)
+    return asked.join(result, "fraction", "left").na.fill(0.0)
 
 
 def request_count(requests: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ CELLS = 64
 
 
 def dealt_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], by: str | Column) -> DataFrame:
-    """Inner join to a table with one row per key that is large or lies in buckets.
+    """Inner join to a table with few rows per key that is large or lies in buckets.
 
     The rows of a key are dealt into ``CELLS`` cells by a hash of ``by``. The cells meet
     the table, which stays where it lies, and then the rows meet their cells, so a

@@ -59,17 +59,28 @@ def union_types(df: DataFrame, types: Sequence[str]) -> DataFrame:
     return filter_types(df, wanted).withColumn("type_rank", F.explode(positions))
 
 
-def page(df: DataFrame, offset: int | str | None = 0, size: int = C.PAGE_SIZE) -> DataFrame:
+# Offsets from here on are found by counts, not by sorting all that comes before.
+DEEP = 10_000
+# Characters of an id by which its place is narrowed down.
+LEVELS = (3, 6, 9)
+
+
+def page(
+    df: DataFrame, offset: int | str | None = 0, size: int = C.PAGE_SIZE, deep: int = DEEP
+) -> DataFrame:
     """One page in (type position, id as text) order.
 
     ``next_offset`` is set only if rows remain. An offset that is no integer
     counts as zero. One more row than the page holds is read to know whether
-    any remain, so the window below sees at most ``size + 1`` rows.
+    any remain, so the window below sees at most ``size + 1`` rows. An offset of
+    ``deep`` or more is found by ranks.
     """
     try:
         start = int(offset)
     except (TypeError, ValueError):
         start = 0
+    if start >= deep:
+        return ranked_page(df, start, size)
     order = ["type_rank", F.col("id").cast("string")]
     probe = df.orderBy(*order).offset(start).limit(size + 1)
     whole = Window.partitionBy(F.lit(0))
@@ -84,6 +95,51 @@ def page(df: DataFrame, offset: int | str | None = 0, size: int = C.PAGE_SIZE) -
     )
 
 
+def ranked_page(df: DataFrame, start: int, size: int = C.PAGE_SIZE) -> DataFrame:
+    """The same page, without an order of the rows before it.
+
+    Rows are counted by type position and the first characters of the id. Sums of
+    the counts say which of these ranges the page begins and ends in; inside those
+    the next characters are counted, and only what remains is sorted. A page
+    touches no more ranges than it has rows, so they are broadcast.
+    """
+    end = start + size
+    rows = df.withColumn("_key", F.col("id").cast("string"))
+    found, at = None, 0
+    for chars in LEVELS:
+        inside = rows.withColumn("_range", F.substring("_key", 1, chars))
+        if found is None:
+            counts = inside.groupBy("type_rank", "_range").agg(F.count(F.lit(1)).alias("_n"))
+            # As many rows as there are ranges.
+            order = Window.orderBy("type_rank", "_range")
+            counts = counts.withColumns(
+                {"_base": F.lit(0), "_total": F.sum("_n").over(Window.partitionBy(F.lit(0)))}
+            )
+        else:
+            inside = inside.withColumn("_outer", F.substring("_key", 1, at))
+            outer = found.withColumnsRenamed({"_range": "_outer", "_before": "_base"})
+            counts = (
+                inside.join(F.broadcast(outer), ["type_rank", "_outer"])
+                .groupBy("type_rank", "_outer", "_base", "_total", "_range")
+                .agg(F.count(F.lit(1)).alias("_n"))
+            )
+            order = Window.partitionBy("type_rank", "_outer").orderBy("_range")
+        upto = F.col("_base") + F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        counts = counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+        found = counts.where((F.col("_upto") > start) & (F.col("_before") < end)).select(
+            "type_rank", "_range", "_before", "_total"
+        )
+        at = chars
+    last = rows.withColumn("_range", F.substring("_key", 1, at)).join(F.broadcast(found), ["type_rank", "_range"])
+    place = F.row_number().over(Window.partitionBy("type_rank", "_range").orderBy("_key"))
+    return (
+        last.withColumn("_rank", F.col("_before") + place - 1)
+        .where((F.col("_rank") >= start) & (F.col("_rank") < end))
+        .withColumn("next_offset", F.when(F.col("_total") > end, F.lit(end)).cast("long"))
+        .select(*df.columns, "next_offset")
+    )
+
+
 def page_after(
     df: DataFrame, type_rank: int, artifact: int | str, size: int = C.PAGE_SIZE
 ) -> DataFrame:

@@ -7,10 +7,12 @@ so that texts and listings never travel through a join.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,7 +217,9 @@ def reproducibility_value(lenient: bool = False) -> Column:
 # --- metric tables ---------------------------------------------------------------------
 
 
-def result_rows(df: DataFrame, metric: str, score: Column, devices: Column | None = None) -> DataFrame:
+def result_rows(
+    df: DataFrame, metric: str, score: Column, devices: Column | None = None, more: Sequence[str] = ()
+) -> DataFrame:
     """Long result rows of one metric. Computed scores have no latency of their
     own: metrics are fused into shared stages.
     """
@@ -226,6 +230,7 @@ def result_rows(df: DataFrame, metric: str, score: Column, devices: Column | Non
         score.cast("double").alias("score"),
         device_map.cast("map<string,double>").alias("device_scores"),
         F.lit(0).cast("long").alias("latency_ms"),
+        *more,
     )
 
 
@@ -344,6 +349,55 @@ def reproducibility(landed: Landed) -> DataFrame:
 
 Metric = Callable[[Landed], DataFrame]
 
+
+@dataclass(frozen=True)
+class RowMetric:
+    """A user's metric in Python: the scores of a batch of rows, one for each.
+
+    ``rows`` has type and id and what ``score`` reads; the models by default. A batch
+    that fails is tried again by halves, down to the rows that fail by themselves.
+    """
+
+    score: Callable[[pd.DataFrame], pd.Series]
+    rows: Callable[[Landed], DataFrame] = lambda landed: landed.models
+
+
+def _scored(score: Callable[[pd.DataFrame], pd.Series]) -> Callable:
+    """Batches to type, id, score and error."""
+
+    def attempt(batch: pd.DataFrame) -> tuple[list, list]:
+        try:
+            found = [None if x is None else float(x) for x in score(batch.reset_index(drop=True))]
+            if len(found) != len(batch):
+                raise ValueError(f"{len(found)} scores for {len(batch)} rows")
+            return [None if x is None or math.isnan(x) else x for x in found], [None] * len(batch)
+        except Exception as failure:
+            if len(batch) == 1:
+                return [None], [f"{type(failure).__name__}: {failure}"[:1000]]
+        half = len(batch) // 2
+        left, right = attempt(batch.iloc[:half]), attempt(batch.iloc[half:])
+        return left[0] + right[0], left[1] + right[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                scores, errors = attempt(batch)
+                yield pd.DataFrame({
+                    "type": batch["type"].to_numpy(), "id": batch["id"].to_numpy(),
+                    "score": pd.Series(scores, dtype="float64"), "error": pd.Series(errors, dtype=object),
+                })
+
+    return run
+
+
+def row_results(landed: Landed, metric: str, built: RowMetric) -> DataFrame:
+    """Long result rows of a metric in Python, with the error of each row that failed."""
+    kinds = built.rows(landed).select(*KEY)
+    schema = f"type string, id {kinds.schema['id'].dataType.simpleString()}, score double, error string"
+    found = built.rows(landed).mapInPandas(_scored(built.score), schema)
+    return result_rows(found, metric, F.col("score"), more=["error"])
+
+
 METRICS: dict[str, Metric] = {
     "ramp_up_time": ramp_up_time,
     "bus_factor": bus_factor,
@@ -358,17 +412,20 @@ METRICS: dict[str, Metric] = {
 }
 
 
-def run_metrics(landed: Landed, metrics: Mapping[str, Metric] = METRICS) -> DataFrame:
+def run_metrics(landed: Landed, metrics: Mapping[str, Metric | RowMetric] = METRICS) -> DataFrame:
     """Long results of any set of metrics, built-in or a user's own.
 
-    A metric is a function from ``Landed`` to rows (type, id, score); one that
-    cannot be built yields missing scores and says why in ``error``. For the built-in ten, ``rate`` computes the
-    same in one pass.
+    A metric is a function from ``Landed`` to rows (type, id, score), or a
+    ``RowMetric``. One that cannot be built yields missing scores and says why in
+    ``error``; so does each row for which a ``RowMetric`` fails. For the built-in ten,
+    ``rate`` computes the same in one pass.
     """
 
-    def rows(metric: str, build: Metric) -> DataFrame:
+    def rows(metric: str, build: Metric | RowMetric) -> DataFrame:
         none = F.lit(None).cast("string")
         try:
+            if isinstance(build, RowMetric):
+                return row_results(landed, metric, build)
             result = build(landed)
             if "device_scores" not in result.columns:
                 result = result_rows(result, metric, F.col("score"))

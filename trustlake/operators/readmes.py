@@ -246,9 +246,3 @@ def registered_readmes(records: DataFrame, replies: DataFrame) -> DataFrame:
     path = F.concat_ws("/", F.lit("artifacts"), "type", "id", "name")
     return rows.select("type", "id", "place", path.alias("path"), "text")
 
-
-def current_readmes(stored: DataFrame) -> DataFrame:
-    """The last stored text of each path. Only keys are compared; texts meet them once."""
-    keys = ["type", "id", "path"]
-    last = stored.groupBy(*keys).agg(F.max("seq").alias("seq"))
-    return stored.join(last, [*keys, "seq"], "left_semi")

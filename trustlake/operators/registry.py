@@ -29,13 +29,17 @@ def last_wins(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     )
 
 
-def current_view(changes: DataFrame) -> DataFrame:
-    """Latest record per (type, id) after the last reset, without deleted ones."""
+def alive(changes: DataFrame) -> DataFrame:
+    """Changes after the last reset."""
     last_reset = changes.where(F.col("op") == "reset").agg(F.max("seq")).scalar()
-    alive = changes.where(F.col("op") != "reset").where(
+    return changes.where(F.col("op") != "reset").where(
         last_reset.isNull() | (F.col("seq") > last_reset)
     )
-    return last_wins(alive, KEY).where(F.col("op") == "put").drop("op")
+
+
+def current_view(changes: DataFrame) -> DataFrame:
+    """Latest record per (type, id) after the last reset, without deleted ones."""
+    return last_wins(alive(changes), KEY).where(F.col("op") == "put").drop("op")
 
 
 def as_changes(records: DataFrame, op: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from trustlake import constants as C
 from trustlake.functions.guard import unsafe_reason
 from trustlake.functions.numeric import col
 from trustlake.functions.text import words_found
-from trustlake.operators.joins import lookup_join
+from trustlake.operators import trigrams as tri
+from trustlake.operators.joins import CELLS, dealt_join, lookup_join
+from trustlake.sources.facts import digest
 
 
 # What Python's syntax has, outside and inside of brackets, that needs other words here.
@@ -147,14 +150,19 @@ def search(
     ``hit_source`` tells them apart. ``dedupe`` keeps one row per artifact.
     """
     check_pattern(name_index, pattern)
+    return hits(name_index, search_readmes(readmes, pattern), pattern, dedupe)
+
+
+def hits(
+    name_index: DataFrame, readme_hits: DataFrame, pattern: str, dedupe: bool = False
+) -> DataFrame:
+    """Name hits of a checked pattern, together with README hits (type, id)."""
     by_name = search_names(name_index, pattern).withColumn("hit_source", F.lit("name"))
-    by_readme = name_hits(search_readmes(readmes, pattern), name_index).withColumn(
-        "hit_source", F.lit("readme")
-    )
-    hits = by_name.unionByName(by_readme)
+    by_readme = name_hits(readme_hits, name_index).withColumn("hit_source", F.lit("readme"))
+    found = by_name.unionByName(by_readme)
     if not dedupe:
-        return hits
-    return hits.groupBy("type", "id").agg(
+        return found
+    return found.groupBy("type", "id").agg(
         F.max("name").alias("name"), F.min("hit_source").alias("hit_source")
     )
 
@@ -167,27 +175,58 @@ def check_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("reason", unsafe_reason("regex"))
 
 
-# Patterns that one request may bring.
-REQUEST_PATTERNS = 100
+_ANCHOR = "pattern_id int, regex string, java string, gram string"
 
 
-def multi_search(
-    documents: DataFrame, patterns: Sequence[tuple[int, str]], text: str = "text"
-) -> DataFrame:
-    """Every document with every safe pattern of a request that it matches.
-
-    Patterns are (id, pattern) pairs of a request, at most ``REQUEST_PATTERNS``.
-    They become compiled literals of the plan, tested in place on each text in
-    one scan. Unsafe ones match nothing.
+def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each trigram of the cover of a pattern; one with null where there is no cover.
+    Patterns that do not compile have no row.
     """
-    if len(patterns) > REQUEST_PATTERNS:
-        raise ValueError(f"a request has at most {REQUEST_PATTERNS} patterns")
-    tests = [
-        F.when(unsafe_reason(F.lit(regex)).isNull() & matches(text, regex), F.lit(pid).cast("int"))
-        for pid, regex in patterns
-    ]
-    hits = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<int>")
-    return documents.withColumn("pattern_id", F.explode(hits)).drop(text)
+    for batch in batches:
+        rows = []
+        for pattern_id, regex in zip(batch["pattern_id"], batch["regex"], strict=True):
+            try:
+                java, found = java_pattern(regex), tri.cover(tri.required(regex))
+            except ValueError:
+                continue
+            rows += [(pattern_id, regex, java, gram) for gram in sorted(found or [None], key=str)]
+        yield pd.DataFrame(rows, columns=["pattern_id", "regex", "java", "gram"])
+
+
+def multi_search(documents: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """Every document with every pattern of a table (pattern_id, regex) that it matches.
+
+    Patterns that are unsafe or do not compile match nothing. Each pattern is
+    reduced to a few trigrams, one of which any matching text holds; texts, each
+    once however often it occurs, meet patterns by those, and the pattern decides on
+    the pairs that remain. Patterns without such trigrams meet all texts, which are
+    dealt into cells for that. Nothing is held in the driver. ``documents`` and
+    ``patterns`` are read several times; pass scans.
+    """
+    key, body = digest(text), F.col(text)
+    anchors = (
+        safe_patterns(patterns.select(F.col("pattern_id").cast("int").alias("pattern_id"), "regex"))
+        .where(F.length("regex") > 0)
+        .mapInPandas(_anchors, _ANCHOR)
+    )
+    bare = anchors.where("gram is null").select("pattern_id", "java")
+    tied = anchors.where("gram is not null").select("pattern_id", "java", "gram")
+    texts = documents.where(body.isNotNull()).select(key.alias("_digest"), body.alias("_text"))
+    # Texts stay in the scan; their trigrams meet those of the patterns, without them.
+    found = texts.select("_digest", F.explode(tri.trigrams(F.col("_text"))).alias("_grams"))
+    found = found.select("_digest", F.explode("_grams").alias("gram")).join(tied.select("gram").distinct(), "gram")
+    pairs = found.distinct().join(tied, "gram").select("_digest", "pattern_id", "java").distinct()
+    once = texts.dropDuplicates(["_digest"])
+    by_gram = pairs.join(once, "_digest")
+    cells = F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))
+    dealt = once.withColumn("_cell", F.pmod(F.xxhash64("_digest"), F.lit(CELLS)).cast("int"))
+    by_cell = dealt.join(bare.withColumn("_cell", cells), "_cell")
+    columns = ["_digest", "pattern_id"]
+    hits_ = [df.where(F.regexp_like("_text", F.col("java"))).select(*columns) for df in (by_gram, by_cell)]
+    matched = hits_[0].unionAll(hits_[1])
+    rows = documents.where(body.isNotNull()).withColumn("_digest", key).drop(text)
+    names = [c for c in documents.columns if c != text]
+    return dealt_join(rows, matched, ["_digest"], F.struct(*names) if names else F.lit(0)).drop("_digest")
 
 
 def keyword_matches(documents: DataFrame, words: list[str], text: str = "text") -> DataFrame:

@@ -37,8 +37,9 @@ from trustlake.operators import (
 from trustlake.operators.rating import SCALAR_METRICS
 from trustlake.plans import flows
 from trustlake.plans import tables as t
-from trustlake.sources import landing, sinks
+from trustlake.sources import landing, readme_index, sinks
 from trustlake.sources.facts import FactStore
+from trustlake.sources.runs import place
 from trustlake.sources.scratch import scratch_dir
 from trustlake.streaming import health as health_stream
 from trustlake.streaming import register as register_stream
@@ -255,6 +256,24 @@ def snk_upsert_registry(spark, sf):
     return stored.select("type", "id", "name", "net_score", "seq")
 
 
+@query
+def snk_base_and_changes(spark, sf):
+    """The current records as a base in buckets and two later runs of changes give them."""
+    root = scratch_dir(spark, "base")
+    runs = flows.registry_runs(spark, root)
+    records = t.artifacts(spark, sf).select("type", "id", "name", "net_score", place("seq", "bigint").alias("place"))
+
+    def change(run, rows, op="put"):
+        runs.write(run, {"changes": registry.as_changes(rows, op)})
+
+    change("first", records)
+    flows.compact(spark, root, "base")
+    change("second", records.where("type = 'model'").withColumn("net_score", F.col("net_score") / 2))
+    change("third", records.where("net_score > 0.9"), "delete")
+    found = flows.stored_records(spark, root)
+    return found.select("type", "id", "name", "net_score", "seq.at", F.col("seq.place").cast("long").alias("place"))
+
+
 @query
 def snk_append_index(spark, sf):
     root = scratch_dir(spark, "index")
@@ -430,6 +449,19 @@ def flt_safe_patterns(spark, sf):
     return search.check_patterns(patterns)
 
 
+@query
+def flt_regex_readme_indexed(spark, sf):
+    """The same search by the trigrams of READMEs that were stored in two runs, then compacted."""
+    runs = flows.registry_runs(spark, scratch_dir(spark, "trigrams"))
+    path = F.concat_ws("/", F.lit("artifacts"), "type", "id", F.lit("README.md"))
+    texts = t.readmes(spark, sf).withColumns({"path": path, "place": F.lit("")})
+    old = texts.withColumn("text", F.concat(F.lit("apache "), "text"))
+    for run, found in (("old", old.where("id % 3 = 0")), ("new", texts)):
+        runs.write(run, readme_index.indexed(runs, run, lambda rows=found: rows))
+    runs.compact("compacted", readme_index.compacted(runs))
+    return readme_index.search_readmes(runs, README_PATTERN)
+
+
 @query
 def flt_weight_files(spark, sf):
     return sizes.weight_files(t.siblings(spark, sf)).select("model_id", "ord", "rfilename")
@@ -545,7 +577,15 @@ def join_keys_lookup(spark, sf):
 def join_patterns_theta(spark, sf):
     documents = t.readme_texts(spark, sf)
     names = t.artifacts(spark, sf).selectExpr("-1 - seq as d", "name as text")
-    return search.multi_search(documents.unionByName(names), t.PATTERNS)
+    patterns = spark.createDataFrame(t.PATTERNS, "pattern_id int, regex string")
+    return search.multi_search(documents.unionByName(names), patterns)
+
+
+@query
+def join_pattern_table(spark, sf):
+    """A table of patterns, as many as there are customers, on all names."""
+    names = t.artifacts(spark, sf).selectExpr("seq as d", "name as text")
+    return search.multi_search(names, t.pattern_table(spark, sf))
 
 
 @query
@@ -743,6 +783,13 @@ def lim_page(spark, sf):
     return listing.page(ordered, "40").select("name", "id", "type", "type_rank", "next_offset")
 
 
+@query
+def lim_page_ranked(spark, sf):
+    """A page from the middle, found by counts instead of an order."""
+    ordered = listing.union_types(t.artifacts(spark, sf), ["dataset", "model"])
+    return listing.page(ordered, 70, deep=0).select("name", "id", "type", "type_rank", "next_offset")
+
+
 @query
 def lim_page_keyset(spark, sf):
     ordered = listing.union_types(t.artifacts(spark, sf), ["dataset", "model"])
@@ -1120,6 +1167,20 @@ def udf_registry(spark, sf):
     return rows.select("type", "id", "metric", N.round3("score").alias("score"))
 
 
+@query
+def udf_rows(spark, sf):
+    """A user's metric in Python that fails for some models, and says why."""
+
+    def picky(models):
+        bad = models["name"][models["name"].str.endswith("7")]
+        if len(bad):
+            raise ValueError(f"no score for {bad.iloc[0]}")
+        return models["name"].str.len() / 40
+
+    rows = metrics.run_metrics(t.landed(spark, sf), {"picky": metrics.RowMetric(picky)})
+    return rows.select("type", "id", "metric", N.round3("score").alias("score"), "error")
+
+
 # --- end to end --------------------------------------------------------------------------
 
 
@@ -1135,14 +1196,25 @@ def e2e_list_after(spark, sf):
     return flows.list_artifacts(t.artifacts(spark, sf), requests, after=(1, "5"))
 
 
+SEARCH_PATTERN = "(small|blue) (ring|bolt)|apache|evaluation results"
+
+
 @query
 def e2e_search(spark, sf):
     return flows.search_artifacts(
-        t.artifacts(spark, sf), t.name_index(spark, sf), t.readmes(spark, sf),
-        "(small|blue) (ring|bolt)|apache|evaluation results",
+        t.artifacts(spark, sf), t.name_index(spark, sf), t.readmes(spark, sf), SEARCH_PATTERN
     )
 
 
+@query
+def e2e_search_stored(spark, sf):
+    """A search of what was registered, READMEs by their trigrams."""
+    root = scratch_dir(spark, "searched")
+    requests = t.registrations_of(t.table(spark, sf, "part").withColumn("seq", F.col("p_partkey")), "seq")
+    flows.store(admitted(requests), t.readme_replies(spark, sf), root, "registrations")
+    return flows.search_stored(spark, root, "model1[0-5]|licen[cs]e|evaluation results")
+
+
 def outcome(decisions: DataFrame) -> DataFrame:
     return decisions.select(
         "type", "id", "name", "model_url", "status", joined("failures").alias("failures"),
@@ -1169,6 +1241,14 @@ def e2e_rate_and_register(spark, sf):
     return stored_state(spark, root)
 
 
+def admitted(requests: DataFrame) -> DataFrame:
+    """Valid registrations as decisions, without a rating."""
+    return registry.validate_registrations(requests).where("error is null").select(
+        F.col("artifact_type").alias("type"), artifact_id("name").alias("id"), "name",
+        F.col("source_url").alias("model_url"), F.lit("created").alias("status"), "seq",
+    )
+
+
 @query
 def e2e_register_runs(spark, sf):
     """Two runs of registrations, the first one repeated: all that was appended, and READMEs."""
@@ -1177,20 +1257,17 @@ def e2e_register_runs(spark, sf):
     parts = t.table(spark, sf, "part").withColumn("seq", F.col("p_partkey"))
     for run, half in (("even", 0), ("odd", 1), ("even", 0)):
         requests = t.registrations_of(parts.where(F.col("p_partkey") % 2 == half), "seq")
-        checked = registry.validate_registrations(requests).where("error is null").select(
-            F.col("artifact_type").alias("type"), artifact_id("name").alias("id"), "name",
-            F.col("source_url").alias("model_url"), F.lit("created").alias("status"), "seq",
-        )
-        flows.store(checked, replies, root, run)
+        flows.store(admitted(requests), replies, root, run)
     runs = flows.registry_runs(spark, root)
+    texts = readme_index.with_texts(runs, runs.read("readmes"))
     tables = {
-        "index": runs.read("index").withColumn("text", F.col("name")),
-        "readmes": runs.read("readmes").withColumn("text", F.concat_ws(":", "path", digest("text"))),
-        "changes": runs.read("changes").withColumn("text", F.concat_ws(":", "op", "model_url")),
+        "index": runs.read("index").withColumn("shown", F.col("name")),
+        "readmes": texts.withColumn("shown", F.concat_ws(":", "path", digest("text"))),
+        "changes": runs.read("changes").withColumn("shown", F.concat_ws(":", "op", "model_url")),
     }
     return unioned(*[
         rows.select(F.lit(name).alias("table"), "run", "seq.at", F.col("seq.place").cast("long").alias("place"),
-                    "type", F.col("id").cast("long").alias("id"), "text")
+                    "type", F.col("id").cast("long").alias("id"), F.col("shown").alias("text"))
         for name, rows in tables.items()
     ])
 
@@ -1252,23 +1329,45 @@ def log_stream(spark, sf) -> DataFrame:
     return t.log_lines(t.table_stream(spark, sf, "events"))
 
 
-def streamed(spark, sf, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    root = scratch_dir(spark, "stream")
-    health_stream.run_counts(log_stream(spark, sf), count, f"{root}/counts", f"{root}/checkpoint")
-    return health_stream.read_counts(spark, f"{root}/counts").select(
+def windowed(counts: DataFrame) -> DataFrame:
+    return counts.select(
         micros("window_start").alias("start_us"), micros("window_end").alias("end_us"),
         "log_group", "total", "errors", "warnings",
     )
 
 
+def streamed(spark, sf, rows: DataFrame, table: str) -> str:
+    """Where the cells of a stream over the events file are stored."""
+    root = scratch_dir(spark, "stream")
+    health_stream.run_cells(rows, table, f"{root}/cells", f"{root}/checkpoint")
+    return f"{root}/cells"
+
+
 @query
 def stream_health(spark, sf):
-    return streamed(spark, sf, health_stream.window_counts)
+    root = streamed(spark, sf, log_stream(spark, sf), "counts")
+    return windowed(health_stream.read_counts(spark, root))
 
 
 @query
 def stream_health_hour(spark, sf):
-    return streamed(spark, sf, health_stream.hourly_counts)
+    root = streamed(spark, sf, log_stream(spark, sf), "counts")
+    return windowed(health_stream.read_counts(spark, root, health_stream.HOUR_CELLS))
+
+
+@query
+def stream_latency(spark, sf):
+    """Average and 95th percentile of five minutes and of the sliding hour."""
+    requests = t.table_stream(spark, sf, "events").selectExpr("ts", "value as latency_ms")
+    root = streamed(spark, sf, requests, "latencies")
+    health_stream.merge_cells(health_stream.cell_runs(spark, root, "latencies"), "closed", "latencies")
+    return unioned(*[
+        health_stream.read_latencies(spark, root, cells).select(
+            F.lit(cells).alias("cells"), micros("window_start").alias("start_us"), "requests",
+            F.round("avg_latency_ms", 6).alias("avg_latency_ms"), F.round("percentile_ms", 6).alias("p95_latency_ms"),
+        )
+        for cells in (1, health_stream.HOUR_CELLS)
+    ])
 
 
 @query

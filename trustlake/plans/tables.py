@@ -320,6 +320,17 @@ def readme_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pattern_id, regex: a pattern for each customer; some are unsafe, some hold no letters."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "cast(c_custkey as int) as pattern_id",
+        """case c_custkey % 6 when 0 then concat('(ring|bolt) ', c_custkey % 100, '$')
+             when 1 then concat('^Small .* ', c_custkey) when 2 then concat('gear [0-9]*', c_custkey % 10, 'x?$')
+             when 3 then concat('(', c_custkey, '+)+') when 4 then concat('(red|blue|', c_custkey, ') widget')
+             else concat('[0-9]{2}', c_custkey % 10) end as regex""",
+    )
+
+
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").selectExpr(
         f"{repo('page_id')} as model_id",

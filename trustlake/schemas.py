@@ -36,7 +36,8 @@ CODE_LISTING = (
 INDEX_LINE = "name string, id string, type string, seq long"
 README = "id long, path string, text string, type string"
 
-# Tables of the registry that grow by runs (see ``sources.runs``).
+# Tables of the registry that grow by runs (see ``sources.runs``), beside those of
+# ``sources.readme_index``.
 DECISION = (
     "type string, id long, name string, model_url string, status string, "
     "failures array<string>, results string, net_score double, error string"
@@ -45,7 +46,6 @@ REGISTRY = {
     "decisions": DECISION,
     "changes": RECORD + ", op string",
     "index": "name string, id string, type string",
-    "readmes": "type string, id long, path string, text string",
 }
 # Landed replies about READMEs, by repository (``readmes.readme_key``).
 README_REPLY = (
