@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from trustlake.llm import decontaminate, mixing
+from trustlake.llm.common import cut
 
 from test_near_dup import brute
 
@@ -67,3 +68,24 @@ def test_columns_and_run(spark, stages):
     assert all(s[0].__fields__ == columns for s in stages[1:5])
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stages[5])
+
+
+def through(spark, docs):
+    """The doc_ids after each stage, and the last stage's rows."""
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = cut(stage(spark, docs, SF), name)
+        seen.append(sorted(r.doc_id or 0 for r in docs.select("doc_id").collect()))
+    return seen, docs
+
+
+def test_edges(spark, edges, nothing):
+    seen, drawn = through(spark, edges)
+    assert seen[0] == [0, 4, 5, 5, 8, 9, 9]  # null, empty and unlettered texts go
+    assert seen[1] == [5, 8, 9, 9] and seen[2] == seen[3] == [5, 8, 9]
+    assert set(seen[4]) <= set(seen[3])
+    more = ["topic", "weight", "expected", "copies"]
+    assert drawn.columns == [c for c in edges.columns if c not in more] + more
+    assert all(r.copies >= 1 for r in drawn.collect())
+    seen, drawn = through(spark, nothing)
+    assert seen == [[]] * 5
