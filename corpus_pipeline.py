@@ -1,9 +1,18 @@
 """The corpus pipeline: five stages from raw documents to a mixed training set.
 
 Each stage reads what its predecessor kept and returns documents with their
-columns; the last adds the topic, weight and probability of each drawn document.
+columns; the last adds topic, weight, expected and copies of each drawn document.
 Stages are written as Parquet and read again, so a lost executor costs one stage
 at most, and each can be rerun alone.
+
+Defined results
+    null or empty text   has no letter, so the language stage drops it
+    null doc_id          smaller than any number; kept as it is
+    repeated rows        one of them stays
+    very long texts      whole in every stage
+    ties                 as each stage's module says
+    empty table          no rows
+    further columns      passed on, but for the four that the last stage adds
 """
 
 from __future__ import annotations
@@ -35,8 +44,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token shares are moved towards the targets of source, language and
-    topic, as far as chances up to 1 allow."""
+    """A sample whose token shares meet the targets of source, language and topic in
+    expectation; documents of values that are too rare for it count as several copies."""
     return mixing.draw(docs)
 
 

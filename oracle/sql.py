@@ -970,12 +970,12 @@ q["e2e_update"] = stored(
     "rated_updates",
 )
 TABLES["run_registrations"] = f"""select *, case when place % 2 = 0 then 'even' else 'odd' end as run,
-    (1 + place % 2)::bigint as at
+    (1 + place % 2)::bigint as run_number
   from (select artifact_type as type, {artifact_id('name')} as id, name, source_url,
           regexp_extract(name, '[0-9]+$')::bigint as place from registrations where error is null)"""
-q["e2e_register_runs"] = f"""select 'index' as table, run, at, place, type, id, name as text from run_registrations
-  union all select 'changes', run, at, place, type, id, concat('put:', source_url) from run_registrations
-  union all select 'readmes', run, at, place, type, id, concat('artifacts/', type, '/', id, '/', file, ':', md5(text))
+q["e2e_register_runs"] = f"""select 'index' as stored, run, run_number, place, type, id, name as text from run_registrations
+  union all select 'changes', run, run_number, place, type, id, concat('put:', source_url) from run_registrations
+  union all select 'readmes', run, run_number, place, type, id, concat('artifacts/', type, '/', id, '/', file, ':', md5(text))
   from run_registrations join readme_names m on m.file is not null and m.key = {readme_key('source_url')}"""
 q["flt_regex_readme_indexed"] = q["flt_regex_readme"]
 q["e2e_search_stored"] = f"""select name, id::varchar as id, type, 'name' as hit_source from run_registrations

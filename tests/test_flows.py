@@ -196,6 +196,23 @@ def test_last_index_line_wins(spark, tmp_path):
         assert names["1"] == "new" and len(names) == 299
 
 
+def test_parts_of_an_append_keep_their_order(spark, tmp_path):
+    """Tasks end in any order: the time of a part says nothing about its place in the append."""
+    import os
+
+    ids = ("11111111-1111-1111-1111-111111111111", "00000000-0000-0000-0000-000000000000")
+    for name, text, time in (
+        (f"part-00000-{ids[0]}-c000.txt", "a0,1,model", 50), (f"part-00001-{ids[0]}-c000.txt", "a1,1,model\nx,2,code", 40),
+        (f"part-00000-{ids[1]}-c000.txt", "b0,2,code", 60), ("other.txt", "c0,3,code\nc1,3,code", 45),
+    ):
+        (tmp_path / name).write_text(text + "\n")
+        os.utime(tmp_path / name, (1_700_000_000 + time,) * 2)
+    rows = landing.read_name_index(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.name for r in rows] == ["a0", "a1", "x", "c0", "c1", "b0"]
+    names = {r.id: r.name for r in search.last_names(landing.read_name_index(spark, str(tmp_path))).collect()}
+    assert names == {"1": "a1", "2": "b0", "3": "c1"}
+
+
 # --- sources -------------------------------------------------------------------------------
 
 

@@ -1,8 +1,7 @@
 """Joins to narrow tables: one plan, whatever the sizes.
 
 Adaptive execution picks the join by bytes and splits the partitions of a hot or
-missing key on the side of the facts; a runtime filter of the keys in use reaches
-the scan of a much larger table. Nothing is counted beforehand, so building a
+missing key on the side of the facts. Nothing is counted beforehand, so building a
 join starts no job.
 """
 

@@ -50,21 +50,12 @@ def files_to_cap(
 ) -> DataFrame:
     """Files in listing order up to and including the one that reaches the cap.
 
-    The running sum is taken in two levels: per block of listing positions, then
-    inside each block, starting from the sum of the blocks before. Each model's
-    range of positions is cut into one block for every ``block`` files, however
-    sparse the positions are, so a model with a third of all files is spread over
-    its blocks and most models are a single one.
+    The running sum is taken in two levels: per block of ``block`` listing positions,
+    then inside each block, starting from the sum of the blocks before. A model with
+    a third of all files is spread over its blocks, and most models are a single
+    one. ``files`` is read twice; pass a scan.
     """
-    span = F.max("ord") - F.min("ord") + 1
-    ranges = files.groupBy("model_id").agg(
-        F.min("ord").alias("_first"), (span / F.ceil(F.count(F.lit(1)) / block)).alias("_width")
-    )
-    blocks = (
-        files.join(ranges, "model_id")
-        .withColumn("_block", F.floor((F.col("ord") - F.col("_first")) / F.col("_width")))
-        .drop("_first", "_width")
-    )
+    blocks = files.withColumn("_block", F.floor(F.col("ord") / block))
     before = Window.partitionBy("model_id").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -1266,7 +1266,8 @@ def e2e_register_runs(spark, sf):
         "changes": runs.read("changes").withColumn("shown", F.concat_ws(":", "op", "model_url")),
     }
     return unioned(*[
-        rows.select(F.lit(name).alias("table"), "run", "seq.at", F.col("seq.place").cast("long").alias("place"),
+        rows.select(F.lit(name).alias("stored"), "run", F.col("seq.at").alias("run_number"),
+                    F.col("seq.place").cast("long").alias("place"),
                     "type", F.col("id").cast("long").alias("id"), F.col("shown").alias("text"))
         for name, rows in tables.items()
     ])

@@ -53,17 +53,33 @@ def parse_name_index(lines: DataFrame) -> DataFrame:
     )
 
 
+# The name that all parts of one append share.
+APPEND = r"/part-\d+-([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})[^/]*\z"
+
+
 def read_name_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index lines of raw text files with ``seq``, their order of appending: time
-    and name of the file, then the place in it. Files may be read in any order.
+    """Index lines of raw text files with ``seq``, their order of appending: the time
+    of the append, then its parts by name, then the place in the file. Files may be
+    read in any order, and parts of one append may be written in any.
+
+    An append is as old as its oldest file; other files are appends of their own.
     """
-    seq = F.struct(
-        F.col("_metadata.file_modification_time").alias("time"),
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
+    name = F.col("_metadata.file_path")
+    lines = spark.read.text(path).select(
+        "value",
+        F.coalesce(F.nullif(F.regexp_extract(name, APPEND, 1), F.lit("")), name).alias("_append"),
+        F.col("_metadata.file_modification_time").alias("_time"),
+        name.alias("_path"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
     )
-    return parse_name_index(spark.read.text(path).select("value", seq.alias("seq")))
+    # A row for each append.
+    begun = lines.groupBy("_append").agg(F.min("_time").alias("_begun"))
+    seq = F.struct(
+        F.col("_begun").alias("time"), F.col("_append").alias("append"), F.col("_path").alias("path"),
+        F.col("_block").alias("block"), F.col("_line").alias("line"),
+    )
+    return parse_name_index(lines.join(begun, "_append").select("value", seq.alias("seq")))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
