@@ -107,8 +107,9 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         .where(~F.col("kept") | (F.col("rows") > 1)),
         "copies",
     )
-    # Texts are joined to all these keys once. The few repeats are a table of their own,
-    # so that Spark sees its size and finds them without a shuffle of the texts.
+    # Texts are joined to all these keys once, by a merge at every size, as dropped rows
+    # grow with the input. The few repeats are a table of their own, so that Spark sees
+    # its size and finds them without another shuffle of the texts.
     repeated = cut(gone.where("kept"), "repeated")
     mark, number, sha = (f"_{uuid.uuid4().hex}" for _ in range(3))
     rows = docs.withColumn(mark, digest(docs["text"]))
@@ -119,4 +120,4 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         return rows.join(keys, same, how)
 
     again = listed(repeated, "left_semi").dropDuplicates(["doc_id", mark])
-    return listed(gone, "left_anti").unionByName(again).drop(mark)
+    return listed(gone.hint("merge"), "left_anti").unionByName(again).drop(mark)
