@@ -70,7 +70,9 @@ def test_sample_meets_the_targets(spark, fraction):
 
 def test_edges(spark, edges, nothing):
     rows = mixing.chances(edges).collect()
-    assert len(rows) == edges.count() and all(r.expected >= 0 for r in rows)
+    assert len(rows) == edges.count() and all(0 <= r.expected <= sum(r.tokens for r in rows) for r in rows)
+    held = {(r.source, r.lang, r.topic) for r in rows if r.tokens}
+    assert all(r.expected == 0 for r in rows if (r.source, r.lang, r.topic) not in held)
     assert {r.source for r in rows} == {"s", ""}
     twice = [r.copies for r in rows if r.doc_id == 5]
     assert len(twice) == 2 and len(set(twice)) == 1

@@ -13,7 +13,7 @@ Cells, margins and targets stay tables. What the driver sees is one number a
 round, the largest change of a weight, and the totals.
 
 Defined results
-    null or empty text      0 tokens; drawn as its cell is
+    null or empty text      0 tokens; drawn as its cell is, never if that has no tokens
     null source, language   a value of its own, written as an empty string
     value without target    share 0, never drawn
     target without tokens   left out, the other shares of its margin are scaled up
@@ -100,7 +100,8 @@ def tempered(cells: DataFrame, exponents: Mapping[str, float] = TEMPER) -> dict[
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (margins and ``tokens``) with ``weight``: how many times over a token counts.
+    """``cells`` (margins and ``tokens``) with ``weight``: how many times over a token counts;
+    0 for cells without tokens.
 
     ``targets`` has a table of value and share for each margin; shares need not add
     up to 1. Weights keep the total number of tokens.
@@ -114,7 +115,9 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
         shares[name] = known.select(
             name, (F.col("share") / (sum_ or 1.0) * total).alias("aim")
         )
-    cells = cells.withColumns({"weight": F.lit(1.0), "moved": F.lit(0.0)})
+    # Cells without tokens count for no margin; nothing would bound their weights.
+    held = F.when(F.col("tokens") > 0, 1.0).otherwise(0.0)
+    cells = cells.withColumns({"weight": held, "moved": F.lit(0.0)})
     for _ in range(rounds):
         for at, (name, aim) in enumerate(shares.items()):
             now = cells.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"))
@@ -142,7 +145,7 @@ def drawn(weight: Column, u: Column, fraction: float) -> dict[str, Column]:
     """``expected`` and ``copies`` of a document with a weight and a number from 0 up to 1."""
     expected = weight * F.lit(fraction)
     whole = F.floor(expected)
-    return {"expected": expected, "copies": (whole + (u < expected - whole).cast("int")).cast("int")}
+    return {"expected": expected, "copies": (whole + (u < expected - whole).cast("int")).cast("long")}
 
 
 def chances(

@@ -239,7 +239,7 @@ def mixing_sql() -> str:
                        / 281474976710656.0::double as u
             from texts
         ), c0 as materialized (
-            select source, lang, topic, sum(tokens)::double as tokens, 1.0::double as weight
+            select source, lang, topic, sum(tokens)::double as tokens, case when sum(tokens) > 0 then 1.0 else 0.0 end::double as weight
             from m group by all
         ), total as (select sum(tokens) as t from c0)"""
     ]
@@ -267,7 +267,7 @@ def mixing_sql() -> str:
         select doc_id, source, lang, topic, m.tokens, round(weight, 6) as weight,
                round(weight * {mixing.FRACTION}, 6) as expected,
                (floor(weight * {mixing.FRACTION})
-                + (u < weight * {mixing.FRACTION} - floor(weight * {mixing.FRACTION}))::int)::int as copies
+                + (u < weight * {mixing.FRACTION} - floor(weight * {mixing.FRACTION}))::int)::bigint as copies
         from m join c{k} using (source, lang, topic)"""
 
 
