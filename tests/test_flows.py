@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trustlake import schemas
 from trustlake.operators import health, joins, listing, lookup, readmes, registry, search
-from trustlake.plans import flows
+from trustlake.plans import catalog, flows
 from trustlake.sources import landing, readme_index, runs, scratch, sinks
 from trustlake.streaming import health as stream_health
 
@@ -243,6 +243,27 @@ def test_registry_tree(spark, tmp_path):
     assert "content" not in sizes._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
 
 
+def written(root):
+    return [p for p in root.rglob("*") if p.is_file()]
+
+
+def test_packed_objects(spark, tmp_path):
+    """Sizes of objects of which many lie in one file."""
+    keys = ["artifacts/model/1/artifact.zip", "type=code/id=-2/artifact.zip", "model/3/README.md"]
+    rows = [(k, bytearray(b"\xff\n" * i)) for i, k in enumerate(keys)]
+    root = tmp_path / "objects"
+    sinks.pack_objects(spark.createDataFrame(rows, schemas.OBJECT).coalesce(1), str(root))
+    sizes = landing.read_object_sizes(spark, str(root), tree=False).collect()
+    assert sorted(map(tuple, sizes)) == [("code", -2, 2), ("model", 1, 0)]
+
+
+def test_files_do_not_grow_with_artifacts(spark, tmp_path, monkeypatch):
+    """Object sizes are read from few files, however many the artifacts."""
+    monkeypatch.setattr(catalog, "scratch_dir", lambda spark, name: str(tmp_path / name))
+    assert catalog.QUERIES["src_object_sizes"](spark, "/root/testdata/sf0.001").count() == 200
+    assert len(written(tmp_path / "objects")) < 20
+
+
 def test_name_index_lines(spark, tmp_path):
     (tmp_path / "name_id.txt").write_text(" a , 1 , model \n\nno comma\na,b\nx,1,2,3\na,1,model\n\"q,2,code\n")
     rows = landing.read_name_index(spark, str(tmp_path / "name_id.txt")).orderBy("seq").collect()

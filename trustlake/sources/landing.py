@@ -201,19 +201,26 @@ def read_api_requests(
     return between(spark.read.parquet(path), start, end).select("ts", "latency_ms")
 
 
-def read_object_sizes(spark: SparkSession, root: str, name: str = "artifact.zip") -> DataFrame:
-    """(type, id, length) of stored archives. Only the file status is read: the
-    content column is pruned.
+def read_object_sizes(
+    spark: SparkSession, root: str, name: str = "artifact.zip", tree: bool = True
+) -> DataFrame:
+    """(type, id, length) of stored archives.
+
+    ``tree``: a file per archive, whose name is a glob. Only the file status is read:
+    the content column is pruned. The driver lists every file. Otherwise archives by
+    key, packed by ``sinks.pack_objects``, any number in a file.
     """
-    key = r"/(?:type=)?([^/=]+)/(?:id=)?([^/=]+)/[^/]+\z"
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", name)
-        .load(root)
-        .select(
-            F.regexp_extract("path", key, 1).alias("type"),
-            F.regexp_extract("path", key, 2).cast("long").alias("id"),
-            "length",
+    key = r"(?:^|/)(?:type=)?([^/=]+)/(?:id=)?([^/=]+)/[^/]+\z"
+    if tree:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        archives = files.option("pathGlobFilter", name).load(root)
+    else:
+        packed = spark.read.schema(schemas.OBJECT).parquet(root)
+        archives = packed.where(F.substring_index("key", "/", -1) == name).select(
+            F.col("key").alias("path"), F.octet_length("content").cast("long").alias("length")
         )
+    return archives.select(
+        F.regexp_extract("path", key, 1).alias("type"),
+        F.regexp_extract("path", key, 2).cast("long").alias("id"),
+        "length",
     )

@@ -1,4 +1,4 @@
-"""Writers: the change log, the name index and READMEs."""
+"""Writers: the change log, the name index, READMEs and packed objects."""
 
 from __future__ import annotations
 
@@ -63,3 +63,8 @@ def append_index(lines: DataFrame, path: str) -> None:
 def store_readmes(readmes: DataFrame, path: str) -> None:
     """Append READMEs (type, id, path, text), one directory per type."""
     readmes.write.mode("append").partitionBy("type").parquet(path)
+
+
+def pack_objects(objects: DataFrame, path: str) -> None:
+    """Append stored objects (key, content), many to a file."""
+    objects.select("key", "content").write.mode("append").parquet(path)
