@@ -257,11 +257,22 @@ def test_packed_objects(spark, tmp_path):
     assert sorted(map(tuple, sizes)) == [("code", -2, 2), ("model", 1, 0)]
 
 
+def test_packed_records(spark, tmp_path):
+    """Documents with several lines, among them one that is cut off."""
+    texts = [json.dumps({"type": "model", "id": i, "name": "a\n\x1eb"}, indent=1) for i in range(5)]
+    texts[2] = texts[2][:20]
+    root = str(tmp_path / "records")
+    sinks.pack_records(spark.createDataFrame([(x,) for x in texts], "value string").coalesce(1), root)
+    rows = landing.read_registry(spark, root, tree=False).collect()
+    assert sorted((r.id, r.name) for r in rows) == [(i, "a\n\x1eb") for i in (0, 1, 3, 4)]
+
+
 def test_files_do_not_grow_with_artifacts(spark, tmp_path, monkeypatch):
-    """Object sizes are read from few files, however many the artifacts."""
+    """Records and object sizes are read from few files, however many the artifacts."""
     monkeypatch.setattr(catalog, "scratch_dir", lambda spark, name: str(tmp_path / name))
     assert catalog.QUERIES["src_object_sizes"](spark, "/root/testdata/sf0.001").count() == 200
-    assert len(written(tmp_path / "objects")) < 20
+    assert len(catalog.QUERIES["src_registry"](spark, "/root/testdata/sf0.001").collect()) == 188
+    assert all(len(written(tmp_path / name)) < 20 for name in ("objects", "records"))
 
 
 def test_name_index_lines(spark, tmp_path):

@@ -18,8 +18,9 @@ def read_registry(
 ) -> DataFrame:
     """Stored records; unreadable documents are skipped, missing fields are null.
 
-    ``tree``: one ``<type>/<id>/<name>`` per artifact, as archived.
-    Otherwise one document per line in any number of files.
+    ``tree``: one ``<type>/<id>/<name>`` per artifact, as archived; the driver lists
+    every file. Otherwise any number of files as ``sinks.pack_records`` writes them,
+    whose documents may have several lines.
     """
     reader = (
         spark.read.schema(schemas.RECORD + ", _corrupt string")
@@ -32,6 +33,8 @@ def read_registry(
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", name)
         )
+    else:
+        reader = reader.option("lineSep", schemas.RECORD_END)
     return reader.json(root).where(F.col("_corrupt").isNull()).drop("_corrupt")
 
 

@@ -1,4 +1,4 @@
-"""Writers: the change log, the name index, READMEs and packed objects."""
+"""Writers: the change log, the name index, READMEs, packed objects and documents."""
 
 from __future__ import annotations
 
@@ -68,3 +68,8 @@ def store_readmes(readmes: DataFrame, path: str) -> None:
 def pack_objects(objects: DataFrame, path: str) -> None:
     """Append stored objects (key, content), many to a file."""
     objects.select("key", "content").write.mode("append").parquet(path)
+
+
+def pack_records(documents: DataFrame, path: str) -> None:
+    """Append stored documents (value), many to a file."""
+    documents.select("value").write.mode("append").option("lineSep", schemas.RECORD_END).text(path)
