@@ -328,3 +328,32 @@ def test_rows_that_fail_are_alone(spark):
     assert all(r.error == "ValueError: 0 scores for 1 rows" for r in rows if r.metric == "short")
     assert {(r.score, r.error is None) for r in rows if r.metric == "text"} <= {(0.5, True), (None, False)}
     assert [(r.score, r.error) for r in rows if r.metric == "none"] == [(None, None)] * 3
+
+
+def test_rows_of_one_file_are_dealt_to_tasks(spark):
+    """A metric in Python runs in many tasks, however few bytes its rows have."""
+    from types import SimpleNamespace
+
+    from pyspark import TaskContext
+
+    models = spark.range(2000).selectExpr("'model' as type", "id").coalesce(1)
+    task = metrics.RowMetric(lambda batch: [TaskContext.get().partitionId()] * len(batch))
+    rows = metrics.run_metrics(SimpleNamespace(models=models), {"task": task}).collect()
+    assert len(rows) == 2000 and len({r.score for r in rows}) > 4
+
+
+def test_halves_that_must_fail_are_not_tried():
+    import pandas as pd
+
+    sizes = []
+
+    def score(batch):
+        sizes.append(len(batch))
+        if (batch["id"] == 7).any():
+            raise ValueError("seven")
+        return batch["id"]
+
+    batch = pd.DataFrame({"type": ["model"] * 8, "id": range(8)})
+    (found,) = metrics._scored(score)(iter([batch]))
+    assert list(found["error"].notna()) == [False] * 7 + [True] and list(found["score"][:7]) == list(range(7))
+    assert sizes == [8, 4, 2, 1, 1]
