@@ -164,3 +164,14 @@ def test_nothing_to_match(spark):
     assert search.multi_search(docs, patterns.where("false")).collect() == []
     twice = search.multi_search(docs.unionAll(docs), patterns)
     assert rows_of(twice) == [(1, 1), (1, 1)]
+
+
+def test_each_pattern_meets_a_text_once(spark):
+    """Patterns and texts that occur often are compared once; ids and rows come after."""
+    texts = spark.range(300).selectExpr("id as d", "concat('blue ring ', id % 3) as text")
+    patterns = spark.range(400).selectExpr("cast(id as int) as pattern_id", "concat(elt(1 + id % 2, 'ring ', '[a-z] '), id % 2) as regex")
+    anchors = patterns.mapInPandas(search._anchors, search._ANCHOR)
+    found = search.matched_texts(texts.select(search.digest("text").alias("_digest"), texts.text.alias("_text")), anchors)
+    assert found.count() == found.distinct().count() == 2
+    pairs = rows_of(search.multi_search(texts, patterns))
+    assert pairs == sorted((d, p) for d in range(300) for p in range(400) if d % 3 == p % 2)
