@@ -175,3 +175,43 @@ def test_each_pattern_meets_a_text_once(spark):
     assert found.count() == found.distinct().count() == 2
     pairs = rows_of(search.multi_search(texts, patterns))
     assert pairs == sorted((d, p) for d in range(300) for p in range(400) if d % 3 == p % 2)
+
+
+# --- postings ---------------------------------------------------------------------------------
+
+
+def grams_in(text):
+    low = "".join(tri.FOLDED.get(c, c) for c in text or "").lower()
+    return {low[i : i + 3] for i in range(len(low) - 2) if low[i : i + 3].isascii()}
+
+
+@pytest.mark.parametrize("size", [3, 7, 1 << 20])
+def test_postings_equal_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(tri, "SLICE", size)
+    odd = ["", None, "ab", "the quick Krown fox\néè abc", "İSſ ıK", "x\0y\0z", "abab" * 9, "é" * 5, "ABC", "abc"]
+    texts = [(i * 10**12 - 7, text) for i, text in enumerate(odd + texts_of(5, 30))]
+    found = tri.postings(spark.createDataFrame(texts, "doc long, text string").repartition(2)).collect()
+    got = {(r.gram, doc) for r in found for doc in r.docs}
+    assert got == {(gram, doc) for doc, text in texts for gram in grams_in(text)}
+
+
+def test_postings_are_stored_many_to_a_row(spark, stored):
+    runs, _ = stored
+    rows = runs.read("grams").where("run = 'a'")
+    texts = {r.doc: r.text for r in runs.read("texts").where("run = 'a'").collect()}
+    pairs = {(gram, doc) for doc, text in texts.items() for gram in grams_in(text)}
+    assert {(r.gram, doc) for r in rows.collect() for doc in r.docs} == pairs
+    assert rows.count() * 2 < len(pairs)
+
+
+def test_compacted_postings_are_those_of_the_texts_that_stay(spark, tmp_path):
+    runs = flows.registry_runs(spark, str(tmp_path))
+    for run, text in (("a", "the first text"), ("b", "another one"), ("c", "the first text again")):
+        path = "artifacts/model/1/README.md" if run != "b" else "artifacts/model/2/README.md"
+        row = spark.createDataFrame([("model", 1, path, text, "")], "type string, id long, path string, text string, place string")
+        runs.write(run, readme_index.indexed(runs, run, lambda row=row: row))
+    flows.compact(spark, str(tmp_path), "base")
+    held = {r.doc: r.text for r in runs.read("texts").collect()}
+    assert sorted(held.values()) == ["another one", "the first text again"]
+    got = {(r.gram, doc) for r in runs.read("grams").collect() for doc in r.docs}
+    assert got == {(gram, doc) for doc, text in held.items() for gram in grams_in(text)}
