@@ -5,6 +5,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from trustlake.functions import text as T
 from trustlake.functions.ids import artifact_id
 from trustlake.operators import code, health, listing, metrics, reviews, sizes
 from trustlake.plans import flows
@@ -82,3 +83,21 @@ def test_no_cross_joins(spark):
     )
     for df in (wide, report):
         assert "CartesianProduct" not in plan(df) and "NestedLoopJoin" not in plan(df)
+
+
+def test_prs_are_ranked_once_and_reviews_combine_before_the_shuffle(spark):
+    tables = (t.prs(spark, SF), saved(t.pr_reviews(spark, SF), "reviews"), t.pr_files(spark, SF))
+    scores = plan(reviews.reviewedness(*tables))
+    assert scores.count("+- Window [") == 1
+    assert len(re.findall(r"Join .*LeftSemi", scores)) == 1
+
+
+def test_listings_are_read_by_generated_code(spark):
+    """No lambda, which would be interpreted for each of the files."""
+    facts = plan(metrics.listing_facts(saved(t.siblings(spark, SF), "siblings")))
+    assert "lambda" not in facts and "weight_bytes" in facts
+
+
+def test_license_words_are_found_without_a_rewritten_text(spark):
+    rows = spark.createDataFrame([("mit",)], "text string")
+    assert "regexp_replace" not in plan(rows.select(T.license_score("text")))

@@ -184,3 +184,8 @@ def test_dataset_section(evaluate):
 def test_status_code(evaluate, content, strict, lenient):
     assert evaluate(T.status_code, [content]) == [strict]
     assert evaluate(lambda c: T.status_code(c, lenient=True), [content]) == [lenient]
+
+
+def test_license_words_may_be_parted_by_blanks_and_underscores(evaluate):
+    texts = ["apache_ 2.0", "x_mit_x", "mitx", "cc \n by nc", "gpl -3", "lgpl__3", "émit", "bsd-3  clause"]
+    assert evaluate(T.license_class_score, texts) == [1.0, 1.0, 0.0, 0.0, 0.0, 0.5, 0.0, 1.0]
