@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from trustlake.llm import near_dup
 from trustlake.llm.components import components
@@ -159,3 +160,21 @@ def test_components(spark):
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert len(got) == len(want) and {r.node: r.root for r in got} == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_texts_are_dealt_once(spark, monkeypatch):
+    """What needs texts later, and what drops them, reads their buckets without a shuffle."""
+    monkeypatch.setattr(near_dup, "cut", lambda df, name: df)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base, f"end{k}"]), k % 3) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `further column` int")
+    texts = near_dup._Texts(docs)
+    join = near_dup._Join(texts, 5, 80)
+    gone = spark.createDataFrame([(3, None), (4, None)], "doc_id long, mark long").select(
+        "doc_id", F.xxhash64(F.concat(F.lit(" ".join(base) + " end"), F.col("doc_id"))).alias("mark")
+    )
+    for df in (join.tokens(join.sets.select("digest")), left := texts.without(gone)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect())) == sorted(r for r in rows if r[0] not in (3, 4))

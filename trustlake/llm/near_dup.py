@@ -19,6 +19,9 @@ components are joined to one row for each key, in joins whose larger side adapti
 execution splits where a key is hot; the members of a large node meet copies of
 their pivot, ``PER_PIVOT`` members to a copy.
 
+Texts are dealt into buckets once. What needs some of them later, at any level, joins
+their keys to the buckets and leaves the texts where they lie.
+
 Defined results
     null or empty text    empty set, n_shingles 0, linked with nothing, kept
     fewer words           the whole sequence is the one shingle
@@ -42,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trustlake.llm.common import cut, groups, mix, shingles, slices, utf8, word_hashes
+from trustlake.llm.common import cut, groups, mix, scratch_dir, shingles, slices, utf8, word_hashes
 from trustlake.llm.components import components
 
 SHINGLE = 5
@@ -256,15 +259,50 @@ def _to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _key(doc_id: Column | str, mark: Column | str) -> Column:
+    """Never null, and spread also where doc_id is null or repeated."""
+    return F.xxhash64(doc_id, mark)
+
+
+class _Texts:
+    """Documents in buckets by ``_key``, with ``doc_id`` as a long number and ``mark``."""
+
+    def __init__(self, docs: DataFrame):
+        spark, names = docs.sparkSession, [f"c{i}" for i in range(len(docs.columns))]
+        self.names = dict(zip(docs.columns, names, strict=True))
+        self.mark, parts = F.xxhash64(self.names["text"]), _parts(docs)
+        self.doc_id = F.col(self.names["doc_id"]).cast("long")
+        table = f"near_dup_{uuid.uuid4().hex}"
+        (
+            docs.toDF(*names).withColumn("key", _key(self.doc_id, self.mark)).repartition(parts, "key")
+            .write.format("parquet").bucketBy(parts, "key")
+            .option("path", scratch_dir(spark, "texts")).saveAsTable(table)
+        )
+        self.table = spark.table(table)
+
+    def narrow(self) -> DataFrame:
+        return self.table.select(
+            "key", self.doc_id.alias("doc_id"), F.col(self.names["text"]).alias("text"), self.mark.alias("mark")
+        )
+
+    def without(self, gone: DataFrame) -> DataFrame:
+        """The documents, as they came, but those in ``gone`` (doc_id, mark)."""
+        keys = gone.select(_key("doc_id", "mark").alias("gone_key"), F.struct("doc_id", "mark").alias("gone"))
+        # Not an equality, so that the key alone deals the rows, as the buckets are.
+        same = F.struct(self.doc_id, self.mark).between(F.col("gone"), F.col("gone"))
+        left = self.table.join(
+            keys.hint("shuffle_hash"), (F.col("key") == F.col("gone_key")) & same, "left_anti"
+        )
+        return left.select(*[F.col(n).alias(c) for c, n in self.names.items()])
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, size: int, percent: int):
+    def __init__(self, texts: _Texts, size: int, percent: int):
         self.size, self.percent = size, percent
         self.agree = AGREE if percent == 80 else max(0, int(SKETCH * percent / 100 - 4.5 * (SKETCH * 0.25) ** 0.5))
-        self.docs = docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")
-        )
+        self.docs = texts.narrow()
         self.rows = cut(
-            self.docs.mapInArrow(
+            self.docs.drop("key").mapInArrow(
                 _sketch(size),
                 "doc_id long, mark long, n long, digest binary, roots array<long>, sketch binary",
             ),
@@ -272,16 +310,16 @@ class _Join:
         )
         self.sets = cut(
             self.rows.where("n > 0").groupBy("digest", "n", "roots", "sketch")
-            .agg(F.min("doc_id").alias("rep")),
+            .agg(F.min("doc_id").alias("rep"), F.min(_key("doc_id", "mark")).alias("at")),
             "sets",
         )
 
     def tokens(self, digests: DataFrame) -> DataFrame:
-        """``digest, tokens`` for the given digests, from the texts of their documents."""
+        """``digest, tokens`` for the given digests, each from the text of one document."""
         wanted = self.sets.join(digests.distinct(), "digest", "left_semi").select(
-            F.col("rep"), F.col("digest").alias("want")
+            F.col("at").alias("key"), F.col("digest").alias("want")
         )
-        texts = self.docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "want")
+        texts = self.docs.select("key", "text").join(wanted.hint("shuffle_hash"), "key").select("text", "want")
         size = self.size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,7 +446,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     ``mark`` is a hash of the text, which tells rows with equal doc_id apart.
     """
-    join = _Join(docs, size, percent)
+    return _components(_Texts(docs.select("doc_id", "text")), size, percent)
+
+
+def _components(texts: _Texts, size: int, percent: int) -> DataFrame:
+    join = _Join(texts, size, percent)
     roots = components(join.links())
     reps = cut(
         join.sets.select("digest", "rep").join(roots.toDF("digest", "root"), "digest", "left")
@@ -429,10 +471,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def drop_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all its columns.
 
-    Only the keys of dropped rows are joined to the texts.
+    Only the keys of dropped rows are joined to the texts, in their buckets.
     """
-    number, mark = (f"_{uuid.uuid4().hex}" for _ in range(2))
-    gone = near_duplicates(docs, size, percent).where("not kept")
-    gone = cut(gone.select(F.col("doc_id").alias(number), F.col("mark").alias(mark)).distinct(), "gone")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(number)) & (F.xxhash64("text") == F.col(mark))
-    return docs.join(gone, same, "left_anti")
+    texts = _Texts(docs)
+    gone = _components(texts, size, percent).where("not kept")
+    return texts.without(cut(gone.select("doc_id", "mark").distinct(), "gone"))
