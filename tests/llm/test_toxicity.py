@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trustlake.llm import toxicity
@@ -92,3 +93,14 @@ def test_every_text_with_words_is_searched(spark):
     # A text without any term of the label has the texts of its own subject as neighbours.
     assert all(n // 2 % 4 == i // 2 % 4 and n % 2 == 0 for i in range(64, 80, 2) for n in rows[i].neighbours[:8])
     assert all(rows[i].terms == [] and not rows[i].predicted for i in range(64, 80, 2))
+
+
+def test_vectors_look_a_word_and_its_beginning_up_together():
+    """Counts of words, beginnings and other words, as they would be taken one by one."""
+    terms = ["toxic*", "toxically", "plain", "abcde"]
+    text = "Toxically toxicity plain plain other other other once abcde"
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [text, None]})
+    [found] = toxicity._vectors(terms)(iter([batch]))
+    assert found.column("held").to_pylist() == [[0, 1, 2, 3], []]
+    assert found.column("counts").to_pylist() == [[2, 1, 2, 1], []]
+    assert found.column("rest").to_pylist() == [pytest.approx(2 + (1 + np.log(3)) ** 2), 0.0]

@@ -168,23 +168,33 @@ def _vectors(terms: list[str]) -> Callable[[Iterator], Iterator]:
     squares of what its other words weigh before idf, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {t: i for i, t in enumerate(terms)}
-        stems = {t for t in terms if t[-1:] == "*"}
+        begins = {t[:-1]: i for i, t in enumerate(terms) if t[-1:] == "*"}
+        # The number of each word and of its beginning, found together.
+        number = {
+            t: (i, begins.get(t[:STEM]) if len(t) > STEM else None)
+            for i, t in enumerate(terms) if t[-1:] != "*"
+        }
 
         def vector(text: str | None) -> tuple[list[int], list[int], float]:
             found: dict[int, int] = {}
             rest = []
+            once = 0  # other words that occur once, of weight 1
             for w, c in Counter(words(text)).items():
-                k = number.get(w)
-                if k is not None:
+                known = number.get(w)
+                if known is not None:
+                    k, begin = known
                     found[k] = c
                 else:
-                    rest.append(c)
-                if stems and len(w) > STEM and (begin := stem(w)) in stems:
-                    k = number[begin]
-                    found[k] = found.get(k, 0) + c
+                    if c == 1:
+                        once += 1
+                    else:
+                        rest.append(c)
+                    begin = begins.get(w[:STEM]) if len(w) > STEM else None
+                if begin is not None:
+                    found[begin] = found.get(begin, 0) + c
             held = sorted(found)
-            return held, [found[t] for t in held], sum((1 + math.log(c)) ** 2 for c in sorted(rest))
+            squares = sum(((1 + math.log(c)) ** 2 for c in sorted(rest)), float(once))
+            return held, [found[t] for t in held], squares
 
         for part in slices(batches, "text"):
             rows = [vector(t) for t in part.column("text").to_pylist()]
