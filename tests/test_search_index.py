@@ -215,3 +215,47 @@ def test_compacted_postings_are_those_of_the_texts_that_stay(spark, tmp_path):
     assert sorted(held.values()) == ["another one", "the first text again"]
     got = {(r.gram, doc) for r in runs.read("grams").collect() for doc in r.docs}
     assert got == {(gram, doc) for doc, text in held.items() for gram in grams_in(text)}
+
+
+# --- tables of many patterns ------------------------------------------------------------------
+
+
+def test_words_decide_like_their_pattern():
+    plain = {"alp(ha|en)": {"alpha", "alpen"}, "(red|blue|15) widget": {"red widget", "blue widget", "15 widget"},
+             "bert|robertα?|bertha": None, "bert|bertha": {"bert"}, "[kK]elvin|\\bfoo": None, "(?-i:Foo|Bar)": None,
+             "(?>a|ab)cde": None, "foo|ba": None, "(ring|bolt) 4$": None, "x{3}y|lic[ce]ns(e)?": {"xxxy", "liccns", "licens"}}
+    for pattern, expected in plain.items():
+        assert tri.words(pattern) == expected, pattern
+    rnd, texts = random.Random(3), [t.replace("\n", " ") for t in texts_of(4, 300)]
+    for pattern in PATTERNS + [random_pattern(rnd) for _ in range(600)]:
+        words = tri.words(pattern)
+        for text in texts if words else ():
+            low = "".join(tri.FOLDED.get(c, c) for c in text).lower()
+            assert any(w in low for w in words) == bool(re.search(pattern, text, re.I)), (pattern, text)
+
+
+def test_crowded_trigrams_give_way_to_longer_pieces(spark):
+    """Many patterns that share trigrams meet few texts: candidates do not grow with both."""
+    patterns = spark.range(100_000, 102_000).selectExpr("cast(id as int) as pattern_id", "concat('^Small .* ', id) as regex")
+    anchors = patterns.mapInPandas(search._anchors, search._ANCHOR)
+    ties = search._ties(anchors)
+    assert ties.count() == 2000 == ties.select("key").distinct().count()
+    by_gram = ties.groupBy("gram").count()
+    assert by_gram.where(F.col("count") > search.CROWD).isEmpty()
+    assert not by_gram.where(F.length("gram") == tri.LONG).isEmpty()
+    few = patterns.limit(10).mapInPandas(search._anchors, search._ANCHOR)
+    assert {len(r.gram) for r in search._ties(few).collect()} == {tri.SIZE}
+
+
+def test_words_are_looked_for_once(spark):
+    """A word that many patterns share is one row for a text, and patterns that share texts come once."""
+    patterns = spark.range(500).selectExpr("cast(id as int) as pattern_id", "concat('(red|blue|x', id, ') widget') as regex")
+    again = spark.createDataFrame([(7, "red|blue"), (7, "blue wid|red wid")], "pattern_id int, regex string")
+    table = patterns.unionAll(again)
+    docs = [(0, "a RED widget"), (1, "red widget, blue widget"), (2, "X41 widget"), (3, "red"), (4, "none"), (5, "red widget, Blue widget")]
+    texts = spark.createDataFrame(docs, "d int, text string")
+    anchors = table.mapInPandas(search._anchors, search._ANCHOR)
+    found = search.matched_texts(texts.select(search.digest("text").alias("_digest"), texts.text.alias("_text")), anchors)
+    assert found.count() <= 6 * 7
+    everything = [(r.pattern_id, r.regex) for r in table.collect()]
+    assert rows_of(search.multi_search(texts, table)) == brute(docs, everything)
