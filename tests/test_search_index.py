@@ -259,3 +259,41 @@ def test_words_are_looked_for_once(spark):
     assert found.count() <= 6 * 7
     everything = [(r.pattern_id, r.regex) for r in table.collect()]
     assert rows_of(search.multi_search(texts, table)) == brute(docs, everything)
+
+
+# --- what moves -------------------------------------------------------------------------------
+
+
+def moved(df):
+    """Columns of each exchange of rows in the plan."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [re.findall(r"(\w+)#", columns) for columns in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)]
+
+
+def test_texts_move_once_and_not_to_be_compacted(spark, tmp_path):
+    runs = flows.registry_runs(spark, str(tmp_path))
+    schema = "type string, id long, path string, text string, place string"
+    rows = [("model", i, f"artifacts/model/{i}/README.md", f"text {i % 40} of many", "") for i in range(100)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", 2 * readme_index.SHARDS)
+    try:
+        for run, start in (("a", 0), ("b", 50)):
+            found = spark.createDataFrame([(*r[:3], r[3] + ("" if r[1] % 2 else run), r[4]) for r in rows[start:]], schema)
+            tables = readme_index.indexed(runs, run, lambda found=found: found)
+            if run == "b":
+                assert sum("text" in columns for columns in moved(tables["texts"]())) == 1
+            runs.write(run, tables)
+            assert moved(tables["grams"]()) == []
+        folds = readme_index.compacted(runs, "base")
+        columns = moved(folds["texts"](runs.sharded("texts")))
+        assert columns and not any("text" in c for c in columns)
+        texts = {"".join(r[3] + ("" if r[1] % 2 else "b" if r[1] >= 50 else "a")) for r in rows}
+        assert {r.text for r in runs.sharded("texts").collect()} >= texts
+        runs.compact("base", folds)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sorted(r.text for r in runs.read("texts").collect()) == sorted(texts)
+    lies = runs.written("texts", "base").select("shard", "doc", F.input_file_name().alias("file"))
+    assert lies.where(readme_index._shard(F.col("doc")) != F.col("shard")).isEmpty()
+    assert lies.select("shard").distinct().count() == lies.select("file").distinct().count()
